@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import langid, ngramjoin, packing, substrings, toxicity
+from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_scores(table(spark, sf_dir, "embeddings"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_maxscore": op4_maxscore,
     "op5_langid": op5_langid,
     "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
