@@ -225,8 +225,8 @@ def fit(documents: DataFrame, per_language: int = 500) -> Model:
     return train([x.encode() for x in sample["text"].to_pylist()], np.array([place[x] for x in named], dtype=np.int64), languages)
 
 
-def with_languages(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``, the pooled probability of the language predicted."""
+def with_languages(documents: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``documents`` with the language predicted and its pooled probability in the columns so named."""
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
     @F.arrow_udf(returnType=T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -243,7 +243,7 @@ def with_languages(documents: DataFrame, model: Model) -> DataFrame:
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     found = documents.withColumn("_found", labelled(F.col("text")))
     named = F.when(letters, F.col("_found.lang_pred")).otherwise(F.lit(UNKNOWN))
-    return found.withColumn("lang_pred", named).withColumn("score", F.when(letters, F.col("_found.score")).otherwise(F.lit(0.0))).drop("_found")
+    return found.withColumns({language: named, score: F.when(letters, F.col("_found.score")).otherwise(F.lit(0.0))}).drop("_found")
 
 
 def languages(documents: DataFrame, per_language: int = 500) -> DataFrame:
