@@ -24,8 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language."""
-    found = langid.with_languages(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    found = langid.with_languages(docs, langid.fit(docs), "_language", "_share")
+    return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_share") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
