@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pieces, substrings, toxicity
+from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_maxscore": op4_maxscore,
     "op5_langid": op5_langid,
     "op7_packing": op7_packing,
+    "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
