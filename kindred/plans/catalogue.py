@@ -5,6 +5,566 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from kindred.functions import vectors as vec
+from kindred.functions.vocabulary import clean_terms, harmonised, has_keyword
+from kindred.operators import aggregate, annotate, encoder, matrix, neighbours, ontology, search, summarize, training
+from kindred.operators import quality_control as qc
+from kindred.plans import roles
+from kindred.plans.roles import CELLS, CLOSURE, COUNTS, DISTANCES, EDGES, GENES, RANKED, VECTORS
+from kindred.sources import tables
+from kindred.streaming import events
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+MAX_DIST = 0.8
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+# Similarity search
+
+
+@query(f"WITH {RANKED} SELECT query_id, rank::INT AS rank, id, round(dist, 6) AS dist FROM ranked WHERE rank <= 10")
+def knn_topk(spark, d):
+    rows = roles.vectors(spark, d)
+    return rounded(neighbours.nearest(roles.asked(rows), rows, 10), dist=6)
+
+
+@query(f"WITH {RANKED}, lens AS (SELECT * FROM ranked WHERE dist <= {MAX_DIST} AND label = 3) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id)::INT AS rank, id, label, round(dist, 6) AS query_nn_dist FROM lens")
+def radius_filtered(spark, d):
+    rows = roles.vectors(spark, d)
+    hits = search.search_exhaustive(roles.asked(rows), rows, rows.select("id", "label"), MAX_DIST, {"label": 3})
+    return rounded(hits.select("query_id", "rank", "id", "label", "query_nn_dist"), query_nn_dist=6)
+
+
+@query(f"WITH {RANKED} SELECT query_id, rank::INT AS rank, id, label, round(dist, 6) AS query_nn_dist FROM ranked WHERE dist <= {MAX_DIST}")
+def radius_all(spark, d):
+    rows = roles.vectors(spark, d)
+    hits = search.search_nearest(roles.asked(rows), rows, rows.select("id", "label"), max_dist=MAX_DIST)
+    return rounded(hits.select("query_id", "rank", "id", "label", "query_nn_dist"), query_nn_dist=6)
+
+
+MEANS = f"{VECTORS}, parts AS (SELECT label, i, avg(vector[i]) AS x FROM vectors, range(1, 65) t(i) GROUP BY 1, 2), means AS (SELECT label, list(x ORDER BY i) AS vector FROM parts GROUP BY 1)"
+
+
+@query(f"WITH {MEANS}, d AS (SELECT m.label AS query_id, v.id, v.label, list_cosine_distance(m.vector, v.vector) AS dist FROM means m, vectors v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM d) SELECT query_id::BIGINT AS query_id, rank::INT AS rank, id, label, round(dist, 6) AS query_nn_dist FROM r WHERE rank <= 50")
+def embedding_centroid_search(spark, d):
+    rows = roles.vectors(spark, d)
+    means = search.mean_vectors(rows, "label").select(F.col("label").cast("long").alias("query_id"), "vector")
+    hits = search.search_nearest(means, rows, rows.select("id", "label"), 50)
+    return rounded(hits.select("query_id", "rank", "id", "label", "query_nn_dist"), query_nn_dist=6)
+
+
+@query(f"WITH {MEANS} SELECT v.id, v.label, round(list_cosine_distance(v.vector, m.vector), 6) AS dist, round(1 - list_cosine_distance(v.vector, m.vector), 6) AS similarity, round(1 / list_cosine_distance(v.vector, m.vector), 4) AS inverse FROM vectors v JOIN means m USING (label)")
+def dist2centroid(spark, d):
+    rows = roles.vectors(spark, d)
+    means = search.mean_vectors(rows, "label").withColumnRenamed("vector", "centroid")
+    out = rows.join(means, "label").withColumn("dist", vec.cosine_distance("vector", "centroid"))
+    return rounded(out.select("id", "label", "dist", (1 - F.col("dist")).alias("similarity"), (1 / F.col("dist")).alias("inverse")), dist=6, similarity=6, inverse=4)
+
+
+@query()
+def knn_inverted_file(spark, d):
+    """Approximate; its recall is tested against the exact search."""
+    rows = roles.vectors(spark, d)
+    index = neighbours.InvertedFile.build(rows, 16)
+    return rounded(index.nearest(roles.asked(rows), 10, 10), dist=6)
+
+
+@query()
+def query_coherence(spark, d):
+    """K-means has no SQL form; tested by its bounds."""
+    rows = roles.vectors(spark, d)
+    mean = search.mean_vectors(rows.withColumn("one", F.lit(0)), "one").select(F.lit(0).cast("long").alias("query_id"), "vector")
+    hits = neighbours.nearest(mean, rows, 1000)
+    return spark.createDataFrame([(search.coherence(roles.asked(rows), hits, rows),)], "coherence double")
+
+
+@query("SELECT pos, v.vec_id, v.label FROM (SELECT row_number() OVER (ORDER BY vec_id DESC) - 1 AS pos, vec_id FROM embeddings) i JOIN embeddings v USING (vec_id)")
+def gather_order(spark, d):
+    rows = tables.load(spark, d, "embeddings")
+    ids = tables.with_row_ids(rows.select("vec_id", (-F.col("vec_id")).alias("_down")), "_down", name="pos").select("pos", "vec_id")
+    return tables.gather(rows.select("vec_id", "label"), ids, "vec_id").select("pos", "vec_id", "label")
+
+
+# Annotation
+
+
+def _vote_sql(k: int, where: str = "true", weighted: bool = False) -> str:
+    return f"""WITH {DISTANCES}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM distances WHERE {where}),
+    top AS (SELECT * FROM near WHERE rank <= {k}),
+    v AS (SELECT query_id, label, count(*) AS hits, sum(1 / greatest(dist, 1e-6)) AS weight, min(rank) AS first_rank FROM top GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {'weight' if weighted else 'hits'} DESC, first_rank) AS w, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC) AS n, count(*) OVER (PARTITION BY query_id) AS labels FROM v)
+    SELECT query_id, max(CASE WHEN w = 1 THEN label END) AS prediction,
+    round(CASE WHEN max(labels) = 1 THEN 1.0 ELSE max(CASE WHEN n = 1 THEN hits END) / sum(CASE WHEN n <= 2 THEN hits END) END, 6)::DOUBLE AS vs2nd,
+    round(max(hits) / sum(hits), 6)::DOUBLE AS vs_all, round(max(weight) / sum(weight), 4)::DOUBLE AS weighted_vs_all FROM o GROUP BY 1"""
+
+
+def _voted(spark, d, k, weighting=False, **lists):
+    rows = roles.vectors(spark, d)
+    out = annotate.annotate(roles.asked(rows), annotate.allowed(rows, **lists), k, weighting)
+    return rounded(out.select("query_id", "prediction", "vs2nd", "vs_all", "weighted_vs_all"), vs2nd=6, vs_all=6, weighted_vs_all=4)
+
+
+@query(_vote_sql(50))
+def annotate_vote(spark, d):
+    return _voted(spark, d, 50)
+
+
+@query(_vote_sql(50, weighted=True, where="id <> query_id"))
+def annotate_vote_weighted(spark, d):
+    rows = roles.vectors(spark, d)
+    out = annotate.annotate(roles.asked(rows), rows, 50, weighting=True, exclude_self=True)
+    return rounded(out.select("query_id", "prediction", "vs2nd", "vs_all", "weighted_vs_all"), vs2nd=6, vs_all=6, weighted_vs_all=4)
+
+
+@query(_vote_sql(25, where="label IN (1, 3, 5)"))
+def annotate_safelist(spark, d):
+    return _voted(spark, d, 25, safelist=[1, 3, 5])
+
+
+@query(_vote_sql(25, where="label NOT IN (0, 2)"))
+def annotate_blocklist(spark, d):
+    return _voted(spark, d, 25, blocklist=[0, 2])
+
+
+@query("SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL")
+def label_classes(spark, d):
+    return annotate.classes(roles.vectors(spark, d))
+
+
+# Counts
+
+
+LOGNORM = f"WITH {COUNTS} SELECT cell_id, gene_idx, round(ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id)), 6) AS x FROM counts"
+
+
+@query(LOGNORM)
+def lognorm(spark, d):
+    return rounded(matrix.lognorm(roles.counts(spark, d)).select("cell_id", "gene_idx", "x"), x=6)
+
+
+@query(f"WITH {COUNTS} SELECT cell_id, list(gene_idx::INT ORDER BY gene_idx)::VARCHAR AS genes, count(*) AS n FROM counts GROUP BY 1")
+def pack_counts(spark, d):
+    packed = matrix.pack(roles.counts(spark, d))
+    return packed.select("cell_id", F.concat(F.lit("["), F.array_join(F.col("idx").cast("array<string>"), ", "), F.lit("]")).alias("genes"), F.size("idx").cast("long").alias("n"))
+
+
+@query(f"WITH {COUNTS}, {GENES} SELECT cell_id, symbol, sum(value) AS value FROM counts JOIN genes USING (gene_idx) GROUP BY 1, 2")
+def consolidate_symbols(spark, d):
+    return matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d))
+
+
+TARGET = "target AS (SELECT symbol, (row_number() OVER (ORDER BY symbol DESC) - 1)::INT AS gene_idx FROM (SELECT DISTINCT p_name AS symbol FROM part WHERE p_brand < 'Brand#3'))"
+
+
+@query(f"WITH {COUNTS}, {GENES}, {TARGET} SELECT cell_id, t.gene_idx, sum(value) AS value FROM counts c JOIN genes g ON c.gene_idx = g.gene_idx JOIN target t USING (symbol) GROUP BY 1, 2")
+def align_genes(spark, d):
+    names = roles.genes(spark, d).where("brand < 'Brand#3'").select("symbol").distinct()
+    # a gene order is a vocabulary, so one task may number it
+    target = names.withColumn("gene_idx", F.expr("cast(row_number() over (order by symbol desc) - 1 as int)"))
+    return matrix.align(matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)), target, least_overlap=1)
+
+
+@query(f"WITH {COUNTS}, {GENES} SELECT cell_id, symbol, sum(value) AS value FROM counts JOIN genes USING (gene_idx) WHERE gene_idx > 10 GROUP BY 1, 2")
+def id2symbol(spark, d):
+    named = roles.counts(spark, d).select("cell_id", F.concat(F.lit("'g"), F.col("gene_idx"), F.lit('"')).alias("name"), "value")
+    mapping = roles.genes(spark, d).where("gene_idx > 10").select(F.concat(F.lit("g"), F.col("gene_idx")).alias("id"), "symbol")
+    return matrix.to_symbols(named, mapping)
+
+
+QC = f"{COUNTS}, {GENES}, metrics AS (SELECT cell_id, sum(value) AS total_counts, count(*) FILTER (value <> 0) AS n_genes, sum(CASE WHEN starts_with(symbol, 'cold ') THEN value ELSE 0 END) AS total_mt FROM counts JOIN genes USING (gene_idx) GROUP BY 1), qc AS (SELECT *, 100 * total_mt / total_counts AS pct_mt FROM metrics)"
+
+
+def _metrics(spark, d):
+    rows = roles.counts(spark, d).join(roles.genes(spark, d), "gene_idx")
+    return qc.qc_metrics(rows, F.col("symbol").startswith("cold "))
+
+
+@query(f"WITH {QC} SELECT cell_id, total_counts, n_genes, total_mt, round(pct_mt, 6) AS pct_mt FROM qc")
+def qc_metrics(spark, d):
+    return rounded(_metrics(spark, d), pct_mt=6)
+
+
+@query(f"WITH {QC} SELECT cell_id, n_genes, round(pct_mt, 6) AS pct_mt FROM qc WHERE pct_mt < 30 AND n_genes >= 3")
+def filter_cells(spark, d):
+    return rounded(qc.filter_cells(_metrics(spark, d), 3, 30.0).select("cell_id", "n_genes", "pct_mt"), pct_mt=6)
+
+
+@query(f"WITH {COUNTS} SELECT gene_idx, round(ln(1 + 1e4 * sum(value) / (SELECT sum(value) FROM counts)), 6) AS x FROM counts GROUP BY 1")
+def centroid(spark, d):
+    return rounded(aggregate.centroid(roles.counts(spark, d)), x=6)
+
+
+@query(f"WITH {COUNTS}, {CELLS}, s AS (SELECT region AS cluster, gene_idx, sum(value) AS value FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2) SELECT cluster, gene_idx, round(ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cluster)), 6) AS x FROM s")
+def cluster_centroid(spark, d):
+    return rounded(aggregate.cluster_centroids(roles.counts(spark, d), roles.cells(spark, d).select("cell_id", F.col("region").alias("cluster"))), x=6)
+
+
+BULK = "bulk AS (SELECT c.{g}, symbol AS gene, cell_id, sum(value) AS value FROM counts JOIN genes USING (gene_idx) JOIN {cells} c USING (cell_id) GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {COUNTS}, {GENES}, {CELLS}, {BULK.format(g='study', cells='cells')}, n AS (SELECT study, count(*) AS cells FROM cells GROUP BY 1 HAVING count(*) >= 2) SELECT study, gene, sum(value) AS sum, count(*) FILTER (value <> 0) AS count_nonzero, any_value(n.cells) AS cells FROM bulk JOIN n USING (study) GROUP BY 1, 2")
+def pseudobulk(spark, d):
+    counts = matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
+    return aggregate.pseudobulk(counts, roles.cells(spark, d), ["study"], 2)
+
+
+@query(f"WITH {QC}, {CELLS}, good AS (SELECT cells.* FROM cells JOIN qc USING (cell_id) WHERE pct_mt <= 20 AND total_counts >= 50 AND n_genes >= 2), {BULK.format(g='study', cells='good')}, n AS (SELECT study, count(*) AS cells FROM good GROUP BY 1) SELECT study, gene, sum(value) AS sum, count(*) FILTER (value <> 0) AS count_nonzero, any_value(n.cells) AS cells FROM bulk JOIN n USING (study) GROUP BY 1, 2")
+def pseudobulk_qc(spark, d):
+    counts = matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
+    good = qc.qc_pass(_metrics(spark, d), 20.0, 50, 2).select("cell_id")
+    return aggregate.pseudobulk(counts, roles.cells(spark, d).join(good, "cell_id", "left_semi"), ["study"])
+
+
+@query(f"WITH {COUNTS}, {GENES}, {CELLS}, {BULK.format(g='tissue', cells='cells')}, n AS (SELECT tissue, count(*) AS cells FROM cells GROUP BY 1), m AS (SELECT DISTINCT p_name AS gene FROM part WHERE p_name < 'g') SELECT tissue, gene, CASE WHEN gene IN (SELECT gene FROM m) THEN sum(value) END AS sum, CASE WHEN gene IN (SELECT gene FROM m) THEN count(*) FILTER (value <> 0) END AS count_nonzero, any_value(n.cells) AS cells FROM bulk JOIN n USING (tissue) GROUP BY 1, 2")
+def pseudobulk_masked(spark, d):
+    counts = matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
+    measured = roles.genes(spark, d).where("symbol < 'g'").select(F.col("symbol").alias("gene"))
+    return aggregate.pseudobulk(counts, roles.cells(spark, d), ["tissue"], 1, measured)
+
+
+@query()
+def embed_cells(spark, d):
+    """A network has no SQL form; tested against a plain matrix product."""
+    genes = roles.genes(spark, d)
+    width = genes.agg(F.max("gene_idx")).first()[0] + 1
+    packed = matrix.pack(matrix.lognorm(roles.counts(spark, d)).select("cell_id", "gene_idx", F.col("x").alias("value")))
+    out = encoder.embed(packed, encoder.Encoder.random(width, [32], 16, seed=1))
+    return out.select("cell_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+@query()
+def attribute_genes(spark, d):
+    """Integrated gradients have no SQL form; tested against their sum, the distance itself."""
+    genes = roles.genes(spark, d)
+    width = genes.agg(F.max("gene_idx")).first()[0] + 1
+    centres = aggregate.cluster_centroids(roles.counts(spark, d), roles.cells(spark, d).select("cell_id", F.col("region").alias("cluster")))
+    packed = matrix.pack(centres.select(F.col("cluster").alias("cell_id"), "gene_idx", F.col("x").alias("value")))
+    anchor, negative = (packed.select(F.col("cell_id").alias(x), F.col("idx").alias(f"{x}_idx"), F.col("val").alias(f"{x}_val")) for x in ("anchor", "negative"))
+    pairs = anchor.join(negative, F.col("anchor") < F.col("negative")).withColumn("pair_id", F.xxhash64("anchor", "negative"))
+    return training.ranked_genes(encoder.attribute(pairs, encoder.Encoder.random(width, [32], 16, seed=1)))
+
+
+# Summaries
+
+
+HITS = f"{CELLS}, hits AS (SELECT cell_id % 7 AS query_id, cells.* FROM cells)"
+
+
+def _hits(spark, d):
+    return roles.cells(spark, d).withColumn("query_id", F.col("cell_id") % 7)
+
+
+@query(f"WITH {HITS}, n AS (SELECT query_id, study, sample, tissue, disease, count(*) AS cells FROM hits GROUP BY ALL), t AS (SELECT study, sample, count(*) AS total FROM cells GROUP BY 1, 2) SELECT query_id, study, sample, tissue, disease, n.cells, total, round(n.cells / total, 6) AS fraction FROM n JOIN t USING (study, sample)")
+def sample_rollup(spark, d):
+    return rounded(summarize.sample_rollup(_hits(spark, d), roles.cells(spark, d), ["study", "sample", "tissue", "disease"]), fraction=6)
+
+
+@query(f"WITH {CELLS} SELECT cell_id, study, sample, data_type, cell_id - min(cell_id) OVER (PARTITION BY study, sample, data_type) AS cell_index FROM cells")
+def cell_index(spark, d):
+    return summarize.cell_index(roles.cells(spark, d)).select("cell_id", "study", "sample", "data_type", "cell_index")
+
+
+@query(f"WITH {CELLS}, g AS (SELECT sample, tissue FROM cells GROUP BY 1, 2 HAVING count(DISTINCT disease) >= 4) SELECT cell_id, sample, tissue, disease FROM cells JOIN g USING (sample, tissue)")
+def subset_unique(spark, d):
+    return summarize.subset_by_unique_values(roles.cells(spark, d), ["sample", "tissue"], "disease", 4).select("cell_id", "sample", "tissue", "disease")
+
+
+@query(f"WITH {CELLS}, g AS (SELECT sample FROM cells GROUP BY 1 HAVING count(*) >= 12) SELECT sample, cell_id, study FROM cells JOIN g USING (sample)")
+def subset_frequency(spark, d):
+    return summarize.subset_by_frequency(roles.cells(spark, d).select("cell_id", "study", "sample"), ["sample"], 12)
+
+
+@query(f"WITH {CELLS}, m AS (SELECT study, row_number() OVER (ORDER BY avg(price), study) AS name_rank FROM cells GROUP BY 1) SELECT study, cell_id, price, name_rank::INT AS name_rank FROM cells JOIN m USING (study)")
+def rank_by_score(spark, d):
+    return summarize.rank_by_score(roles.cells(spark, d).select("cell_id", "study", "price"), "study", "price")
+
+
+@query(f"WITH {CELLS}, m AS (SELECT study, avg(price) AS p FROM cells GROUP BY 1 ORDER BY p DESC, study LIMIT 5), r AS (SELECT study, row_number() OVER (ORDER BY p, study) AS name_rank FROM m) SELECT study, cell_id, price, name_rank::INT AS name_rank FROM cells JOIN r USING (study)")
+def topn_by_score(spark, d):
+    return summarize.rank_by_score(roles.cells(spark, d).select("cell_id", "study", "price"), "study", "price", topn=5)
+
+
+@query(f"WITH {CELLS} SELECT disease, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM cells GROUP BY 1")
+def proportions(spark, d):
+    return rounded(summarize.proportions(roles.cells(spark, d), "disease"), percent=6)
+
+
+@query(f"WITH {HITS}, a AS (SELECT tissue, count(*) / sum(count(*)) OVER () AS p FROM hits GROUP BY 1), b AS (SELECT tissue, count(*) / sum(count(*)) OVER () AS q FROM cells GROUP BY 1) SELECT tissue, round(100 * p, 6)::DOUBLE AS hit_percent, round(100 * q, 6)::DOUBLE AS all_percent, round(p / q, 6)::DOUBLE AS enrichment FROM a JOIN b USING (tissue)")
+def background_enrichment(spark, d):
+    a = summarize.proportions(_hits(spark, d), "tissue").select("tissue", F.col("percent").alias("hit_percent"))
+    b = summarize.proportions(roles.cells(spark, d), "tissue").select("tissue", F.col("percent").alias("all_percent"))
+    return rounded(a.join(b, "tissue").withColumn("enrichment", F.col("hit_percent") / F.col("all_percent")), hit_percent=6, all_percent=6, enrichment=6)
+
+
+@query(f"WITH {CELLS} SELECT region, study, count(*) AS n FROM cells GROUP BY ROLLUP (region, study) HAVING grouping(region) = 0")
+def hits_rollup(spark, d):
+    return summarize.nested_counts(roles.cells(spark, d), ["region", "study"])
+
+
+@query(f"WITH {CELLS} SELECT tissue, " + ", ".join(f"count(*) FILTER (data_type = '{x}') AS {x}" for x in "FOP") + " FROM cells GROUP BY 1")
+def hits_heatmap(spark, d):
+    return summarize.heatmap(roles.cells(spark, d).withColumn("one", F.lit(1)), "tissue", "data_type", ["F", "O", "P"], "one")
+
+
+@query(f"WITH {CELLS} SELECT region, study, tissue, round(sum(price), 2) AS size FROM cells GROUP BY ALL")
+def leaf_sizes(spark, d):
+    return rounded(summarize.leaf_sizes(roles.cells(spark, d), ["region", "study"], "tissue", "price"), size=2)
+
+
+@query(f"WITH {CELLS}, l AS (SELECT region, study, tissue, count(*) AS size FROM cells GROUP BY ALL) SELECT region, count(DISTINCT study) AS children, sum(size)::BIGINT AS size, count(*) AS leaves FROM l GROUP BY 1")
+def size_tree(spark, d):
+    cells = roles.cells(spark, d).withColumn("one", F.lit(1))
+    made = summarize.tree(summarize.leaf_sizes(cells, ["region", "study"], "tissue", "one"), ["region", "study"], "tissue")
+    leaves = F.flatten(F.transform("children", lambda x: x["children"]))
+    return made.select("region", F.size("children").cast("long").alias("children"), F.aggregate(leaves, F.lit(0).cast("long"), lambda s, x: s + x["size"]).alias("size"), F.size(leaves).cast("long").alias("leaves"))
+
+
+@query(f"WITH {CELLS} SELECT study, round(quantile_cont(price, 0.9), 6) AS quantile FROM cells GROUP BY 1")
+def group_quantiles(spark, d):
+    return rounded(summarize.group_quantiles(roles.cells(spark, d), "study", "price", 0.9), quantile=6)
+
+
+@query(f"WITH {CELLS} SELECT cell_id, price FROM cells WHERE price >= (SELECT quantile_cont(price, 0.999) FROM cells)")
+def above_quantile(spark, d):
+    return summarize.above_quantile(roles.cells(spark, d).select("cell_id", "price"), "price", 0.999)
+
+
+# Filters, vocabularies and joins
+
+
+VOCABULARY = [("automobile", "vehicle"), ("MACHINERY", "machine"), ("building", "house"), ("household", "house")]
+KEYWORDS = ["URGENT", "SPEC"]
+
+
+@query(f"WITH {CELLS} SELECT cell_id, tissue, CASE lower(tissue) WHEN 'automobile' THEN 'vehicle' WHEN 'machinery' THEN 'machine' WHEN 'building' THEN 'house' WHEN 'household' THEN 'house' ELSE 'other' END AS tissue_group FROM cells")
+def clean_vocab(spark, d):
+    vocabulary = spark.createDataFrame(VOCABULARY, "term string, group string")
+    return clean_terms(roles.cells(spark, d).select("cell_id", "tissue"), "tissue", vocabulary, "tissue_group", "other")
+
+
+@query(f"WITH {CELLS} SELECT cell_id, replace(replace(disease, '1-', 'one '), '-', ' ') AS disease FROM cells")
+def harmonise_labels(spark, d):
+    return roles.cells(spark, d).select("cell_id", harmonised(F.col("disease"), [("1-", "one "), ("-", " ")]).alias("disease"))
+
+
+@query(f"WITH {CELLS} SELECT cell_id, disease FROM cells WHERE contains(disease, 'URGENT') OR contains(disease, 'SPEC')")
+def keyword_filter(spark, d):
+    return roles.cells(spark, d).where(has_keyword("disease", KEYWORDS)).select("cell_id", "disease")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'click' THEN event_type END AS kind FROM events WHERE (CASE WHEN event_type <> 'click' THEN event_type END) IS DISTINCT FROM 'view'")
+def exclude_self_nullsafe(spark, d):
+    rows = tables.load(spark, d, "events").select("event_id", F.when(F.col("event_type") != "click", F.col("event_type")).alias("kind"))
+    return rows.where(qc.differs("kind", "view"))
+
+
+@query(f"WITH {CELLS} SELECT cell_id, study, tissue FROM cells WHERE (study, tissue) NOT IN (SELECT n_name, 'BUILDING' FROM nation WHERE n_regionkey = 1)")
+def exclude_pairs(spark, d):
+    pairs = tables.load(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("study"), F.lit("BUILDING").alias("tissue"))
+    return qc.exclude(roles.cells(spark, d).select("cell_id", "study", "tissue"), pairs, "study", "tissue").select("cell_id", "study", "tissue")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'")
+def query_filter(spark, d):
+    return tables.query(tables.load(spark, d, "orders"), 'o_totalprice > 200000 and o_orderstatus == "F" and o_orderpriority != "5-LOW"', ["o_orderkey", "o_totalprice", "o_orderpriority"])
+
+
+@query(f"WITH {CELLS} SELECT cell_id, CASE WHEN data_type = 'F' THEN 'train' WHEN tissue = 'BUILDING' THEN 'test' ELSE 'NA' END AS data_type FROM cells")
+def split_tag(spark, d):
+    cells = roles.cells(spark, d)
+    return training.split_tags(cells.select("cell_id"), cells.where("data_type = 'F'"), cells.where("tissue = 'BUILDING'"))
+
+
+# Ontology
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT ancestor, descendant, depth FROM pairs")
+def closure(spark, d):
+    return ontology.closure(roles.edges(spark, d))
+
+
+@query(f"WITH {EDGES} SELECT parent AS node, child FROM edges")
+def children(spark, d):
+    return ontology.children(roles.edges(spark, d), roles.nodes(spark, d)).select("node", "child")
+
+
+@query(f"WITH {EDGES} SELECT child AS node, parent FROM edges WHERE parent < 6")
+def parents(spark, d):
+    return ontology.parents(roles.edges(spark, d), roles.nodes(spark, d), roles.nodes(spark, d).where("node < 6"))
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT a.child AS node, b.child AS sibling FROM edges a JOIN edges b USING (parent) WHERE a.child <> b.child")
+def siblings(spark, d):
+    return ontology.siblings(roles.edges(spark, d), roles.nodes(spark, d))
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT descendant AS node, ancestor FROM pairs UNION SELECT n_nationkey::INT, n_nationkey::INT FROM nation")
+def ancestors(spark, d):
+    return ontology.ancestors(ontology.closure(roles.edges(spark, d)), roles.nodes(spark, d), inclusive=True)
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT ancestor AS node, descendant FROM pairs WHERE descendant < 12")
+def descendants(spark, d):
+    nodes = roles.nodes(spark, d)
+    return ontology.descendants(ontology.closure(roles.edges(spark, d)), nodes, nodes.where("node < 12"))
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT a.descendant AS a, b.descendant AS b, count(*) AS similarity FROM pairs a JOIN pairs b USING (ancestor) WHERE a.descendant < b.descendant GROUP BY 1, 2")
+def onto_similarity(spark, d):
+    return ontology.similarities(ontology.closure(roles.edges(spark, d)), roles.nodes(spark, d))
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, up AS (SELECT descendant AS node, ancestor AS c FROM pairs UNION SELECT n_nationkey::INT, n_nationkey::INT FROM nation),
+    common AS (SELECT x.node AS a, y.node AS b, x.c FROM up x JOIN up y ON x.c = y.c AND x.node < y.node)
+    SELECT a, b, min(c) AS lca FROM common k WHERE NOT EXISTS (SELECT 1 FROM common j JOIN pairs p ON p.descendant = j.c WHERE j.a = k.a AND j.b = k.b AND p.ancestor = k.c) GROUP BY 1, 2""")
+def lca(spark, d):
+    nodes = roles.nodes(spark, d)
+    asked = nodes.select(F.col("node").alias("a")).join(nodes.select(F.col("node").alias("b")), F.col("a") < F.col("b"))
+    return ontology.lowest_common_ancestors(ontology.closure(roles.edges(spark, d)), asked)
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, ok AS (SELECT n_nationkey::INT AS node FROM nation WHERE n_nationkey IN (1, 2, 3, 5, 8)),
+    good AS (SELECT child AS node, parent FROM edges WHERE parent IN (SELECT node FROM ok)), n AS (SELECT node, count(*) AS k, min(parent) AS one FROM good GROUP BY 1),
+    deep AS (SELECT g.node, min(g.parent) AS deep FROM good g JOIN good h ON g.node = h.node JOIN pairs p ON p.descendant = g.parent AND p.ancestor = h.parent GROUP BY 1),
+    e AS (SELECT child AS node, count(*) AS k, min(parent) AS only FROM edges GROUP BY 1)
+    SELECT x.n_nationkey::INT AS node, CASE WHEN n.k = 1 THEN n.one WHEN n.k > 1 THEN deep.deep WHEN e.k = 1 AND m.k = 1 THEN m.one END AS parent
+    FROM nation x LEFT JOIN n ON n.node = x.n_nationkey LEFT JOIN deep ON deep.node = x.n_nationkey LEFT JOIN e ON e.node = x.n_nationkey LEFT JOIN n m ON m.node = e.only""")
+def viable_parent(spark, d):
+    edges, nodes = roles.edges(spark, d), roles.nodes(spark, d)
+    return ontology.most_viable_parent(edges, ontology.closure(edges), nodes, nodes.where("node in (1, 2, 3, 5, 8)"))
+
+
+@query(f"WITH RECURSIVE {CLOSURE} (SELECT ancestor AS node FROM pairs WHERE descendant = 20 UNION SELECT descendant FROM pairs WHERE ancestor = 2) EXCEPT SELECT ancestor FROM pairs WHERE descendant = 9")
+def set_algebra(spark, d):
+    pairs = ontology.closure(roles.edges(spark, d))
+    up = lambda n: pairs.where(F.col("descendant") == n).select(F.col("ancestor").alias("node"))
+    down = pairs.where("ancestor = 2").select(F.col("descendant").alias("node"))
+    return up(20).union(down).distinct().subtract(up(9))
+
+
+# Training
+
+
+@query(f"WITH {CELLS}, w AS (SELECT cell_id, 1 / ln(1 + count(*) OVER (PARTITION BY disease) / 1e4) / ln(1 + count(*) OVER (PARTITION BY study) / 1e6) AS weight FROM cells) SELECT cell_id, round(least(weight, (SELECT 2 * quantile_cont(weight, 0.999) FROM w)), 4) AS weight FROM w")
+def sampling_weights(spark, d):
+    rows = roles.cells(spark, d).select("cell_id", F.col("disease").alias("label"), "study")
+    return rounded(training.sampler_weights(rows).select("cell_id", "weight"), weight=4)
+
+
+@query(f"WITH {CELLS}, g AS (SELECT sample % 50 AS label FROM cells GROUP BY 1 HAVING count(DISTINCT study) >= 18) SELECT cell_id, sample % 50 AS label, study FROM cells WHERE sample % 50 IN (SELECT label FROM g)")
+def support_filter(spark, d):
+    rows = roles.cells(spark, d).select("cell_id", (F.col("sample") % 50).alias("label"), "study")
+    return training.with_support(rows, 18).select("cell_id", "label", "study")
+
+
+@query(f"WITH {CELLS} SELECT cell_id, study, sample FROM cells WHERE study IN (SELECT n_name FROM nation WHERE n_regionkey = 2) AND tissue IN (SELECT tissue FROM cells WHERE study NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 2))")
+def study_split(spark, d):
+    names = [r[0] for r in tables.load(spark, d, "nation").where("n_regionkey = 2").select("n_name").collect()]
+    _, val = training.split(roles.cells(spark, d).withColumnRenamed("tissue", "label"), names)
+    return val.select("cell_id", "study", "sample")
+
+
+@query(f"WITH {CELLS} SELECT DISTINCT disease AS label, (dense_rank() OVER (ORDER BY disease) - 1)::INT AS label_int FROM cells")
+def label_encode(spark, d):
+    return training.encoded_labels(roles.cells(spark, d).select(F.col("disease").alias("label")))
+
+
+@query()
+def weighted_sample(spark, d):
+    """Seeded by a hash; tested by its size, its bias and its repeatability."""
+    rows = roles.cells(spark, d).select("cell_id", F.col("disease").alias("label"), "study")
+    return training.weighted_batches(training.sampler_weights(rows), "cell_id", 100, 3, seed=1, decay=0.5).select("batch", "cell_id")
+
+
+BATCH = f"{VECTORS}, b AS (SELECT id // 1000 AS batch, id, label, id % 3 AS study, vector FROM vectors)"
+SQUARED = "list_sum(list_transform(range(1, 65), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+
+
+def _batches(spark, d):
+    return roles.vectors(spark, d).select(F.expr("id div 1000").alias("batch"), "id", "label", (F.col("id") % 3).alias("study"), "vector")
+
+
+@query(f"WITH {BATCH} SELECT x.batch, x.id AS a, y.id AS b, round({SQUARED.format(a='x.vector', b='y.vector')}, 6) AS dist2 FROM b x JOIN b y ON x.batch = y.batch AND x.id < y.id")
+def pdist(spark, d):
+    return rounded(training.pair_distances(_batches(spark, d)), dist2=6)
+
+
+@query(f"""WITH {BATCH}, p AS (SELECT x.batch, x.id AS anchor, y.id AS positive, {SQUARED.format(a='x.vector', b='y.vector')} AS ap FROM b x JOIN b y ON x.batch = y.batch AND x.label = y.label AND x.id < y.id AND x.study <> y.study),
+    n AS (SELECT x.id AS anchor, y.id AS negative, {SQUARED.format(a='x.vector', b='y.vector')} AS an FROM b x JOIN b y ON x.batch = y.batch AND x.label <> y.label),
+    m AS (SELECT anchor, negative, an FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY an, negative) AS k FROM n) WHERE k = 1)
+    SELECT batch, anchor, positive, negative, round(ap - an + 0.05, 6) AS loss FROM p JOIN m USING (anchor) WHERE ap - an + 0.05 > 0""")
+def triplets_hard(spark, d):
+    return rounded(training.triplets(_batches(spark, d)), loss=6)
+
+
+SUMS = f"{DISTANCES}, sums AS (SELECT query_id AS id, v.label, d.label AS other, sum(dist) AS total, count(*) AS n FROM distances d JOIN vectors v ON v.id = d.query_id WHERE query_id <> d.id GROUP BY ALL)"
+WIDTH = "SELECT id, label, round(intra, 5) AS intra, round(inter, 5) AS inter, round((inter - intra) / greatest(intra, inter), 4) AS width FROM s WHERE k > 1 AND inter IS NOT NULL"
+
+
+def _widths(spark, d, **ties):
+    out = training.silhouette(neighbours.distance_sums(roles.vectors(spark, d)), **ties)
+    return rounded(out, intra=5, inter=5, width=4)
+
+
+@query(f"WITH {SUMS}, s AS (SELECT id, label, sum(total) FILTER (other = label) / (sum(n) FILTER (other = label) - 1) AS intra, sum(n) FILTER (other = label) AS k, min(total / n) FILTER (other <> label AND n > 1) AS inter FROM sums GROUP BY 1, 2) {WIDTH}")
+def silhouette(spark, d):
+    return _widths(spark, d)
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, {SUMS}, t AS (SELECT s.*, s.label = s.other OR EXISTS (SELECT 1 FROM pairs p WHERE p.ancestor = s.label AND p.descendant = s.other) AS own FROM sums s WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.ancestor = s.other AND p.descendant = s.label)),
+    s AS (SELECT id, label, sum(total) FILTER (own) / (sum(n) FILTER (own) - 1) AS intra, sum(n) FILTER (own) AS k, min(total / n) FILTER (NOT own AND n > 1) AS inter FROM t GROUP BY 1, 2) {WIDTH}""")
+def silhouette_onto(spark, d):
+    pairs = ontology.closure(roles.edges(spark, d))
+    below = pairs.select(F.col("ancestor").alias("node"), F.col("descendant").alias("related"))
+    above = pairs.select(F.col("descendant").alias("node"), F.col("ancestor").alias("related"))
+    return _widths(spark, d, descendants=below, ancestors=above)
+
+
+@query(f"WITH {COUNTS} SELECT gene_idx, round(avg(value), 6) AS attribution, round(stddev_pop(value), 6) AS std, count(*) AS cells, round(1.96 * stddev_pop(value) / sqrt(count(*)), 6) AS half_width FROM counts GROUP BY 1")
+def rank_genes(spark, d):
+    return rounded(training.ranked_genes(roles.counts(spark, d)), attribution=6, std=6, half_width=6)
+
+
+@query(f"WITH {COUNTS}, {GENES}, {CELLS}, pick AS (SELECT study, arg_max(cell_id, price) AS cell_id FROM cells GROUP BY 1) SELECT symbol, count(DISTINCT study) AS studies FROM counts JOIN pick USING (cell_id) JOIN genes USING (gene_idx) GROUP BY 1 HAVING count(DISTINCT study) >= 2")
+def genes_by_support(spark, d):
+    chosen = roles.cells(spark, d).groupBy("study").agg(F.max_by("cell_id", "price").alias("cell_id"))
+    rows = roles.counts(spark, d).join(chosen, "cell_id").join(roles.genes(spark, d), "gene_idx")
+    return rows.groupBy("symbol").agg(F.count_distinct("study").alias("studies")).where("studies >= 2")
+
+
+# Event time
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_tumbling(spark, d):
+    return rounded(events.tumbling(tables.load(spark, d, "events"), "1 hour", ["event_type"]), value=4)
+
+
+@query("SELECT s AS start, s + INTERVAL '2 hours' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS s FROM events) GROUP BY ALL")
+def event_sliding(spark, d):
+    return rounded(events.sliding(tables.load(spark, d, "events"), "2 hours", "1 hour", ["event_type"]), value=4)
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL '6 hours' AS \"end\", user_id, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k")
+def event_session(spark, d):
+    return rounded(events.sessions(tables.load(spark, d, "events"), "6 hours", ["user_id"]), value=4)
