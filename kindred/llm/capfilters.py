@@ -30,6 +30,8 @@ COSINE = 0.98
 TABLES, CODE = 24, 32
 #: Filters of a table that a vector exceeds, on average over uniform directions.
 WANTED = 1.0
+#: A cap reaches so far from its direction at least, as a cosine; in few dimensions the mean number alone would make caps narrower than links.
+REACH = 0.85
 BLOCK = 512
 
 
@@ -38,11 +40,20 @@ def tables(dim: int, n_tables: int, code: int, wanted: float) -> tuple[list[tupl
     """Of each table the rotation and the code words of both halves; the bound, as the quantile that lets ``wanted`` filters pass."""
     rng, half, out = np.random.default_rng(98), dim // 2, []
     for _ in range(n_tables):
-        words = [rng.normal(size=(code, n)) for n in (half, dim - half)]
-        out.append((np.linalg.qr(rng.normal(size=(dim, dim)))[0], *(w / np.linalg.norm(w, axis=1, keepdims=True) for w in words)))
+        words = [code_words(rng, code, n) for n in (half, dim - half)]
+        out.append((np.linalg.qr(rng.normal(size=(dim, dim)))[0], *words))
     probe = rng.normal(size=(2000, dim))
     probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    return out, float(np.quantile(np.concatenate([filter_sums(probe, t).ravel() for t in out[:2]]), 1 - wanted / code**2))
+    bound = float(np.quantile(np.concatenate([filter_sums(probe, t).ravel() for t in out[:2]]), 1 - wanted / (len(out[0][1]) * len(out[0][2]))))
+    return out, min(bound, REACH * 2**0.5)
+
+
+def code_words(rng: np.random.Generator, code: int, dim: int) -> np.ndarray:
+    """Unit vectors, ``code`` of them but in the fewest dimensions; in one there are but two."""
+    if dim == 1:
+        return np.array([[1.0], [-1.0]])
+    words = rng.normal(size=(min(code, 2 * 4 ** (dim - 1)), dim))
+    return words / np.linalg.norm(words, axis=1, keepdims=True)
 
 
 def filter_sums(unit: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
