@@ -1,7 +1,7 @@
 """HTML extraction by differencing each page with its nearest URL.
 
-Pages are sorted by host and path over range partitions, so a frequent host is cut into ranges, and the
-neighbours of a page in that order are its nearest URLs. Text lines of a page and of its nearest differing
+The distinct pages of hosts are sorted by host and path over range partitions, so a frequent host is cut into ranges, and the
+neighbours of a page in that order are its nearest URLs. Text lines of a page and of the nearer
 neighbour are aligned by their longest common subsequence; shared lines are the site's, not the page's.
 
 The markup narrows what differencing decides. Lines in menus, headers, footers, sidebars, notices, adverts, forms
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from hashlib import md5
 from html import unescape
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -160,12 +162,12 @@ def common(a: list[int], b: list[int]) -> np.ndarray:
     return used
 
 
-PARSED = T.StructType([T.StructField("article", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
-ARROW_PARSED = pa.struct([("article", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+PARSED = T.StructType([T.StructField("key", T.StringType()), T.StructField("article", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
+ARROW_PARSED = pa.struct([("key", pa.string()), ("article", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
 
 def parsed(html: Column) -> Column:
-    """The declared article of each page, or null and the other lines with their places; and the hashes of all lines."""
+    """The declared article of each page, or null and the other lines with their places; the hashes of all lines, and a key that equal lists of them share."""
 
     @F.arrow_udf(returnType=PARSED)
     def parse(column: pa.Array) -> pa.Array:
@@ -174,34 +176,36 @@ def parsed(html: Column) -> Column:
             lines = lines_of(x.as_py() or "")
             article = [text for text, kind in lines if kind == ARTICLE]
             plain = [] if article else [(i, text) for i, (text, kind) in enumerate(lines) if kind == PLAIN]
-            out.append({"article": "\n\n".join(article) if article else None, "texts": [t for _, t in plain], "places": [i for i, _ in plain], "hashes": [hashed(t) for t, _ in lines]})
+            hashes = np.array([hashed(t) for t, _ in lines], np.int64)
+            out.append({"key": md5(hashes.tobytes()).hexdigest(), "article": "\n\n".join(article) if article else None, "texts": [t for _, t in plain], "places": [i for i, _ in plain], "hashes": hashes.tolist()})
         return pa.array(out, ARROW_PARSED)
 
     return parse(html)
 
 
-def differenced(texts: Column, places: Column, hashes: Column, partner: Column) -> Column:
-    """The lines of ``texts`` that aren't shared with the partner's, joined by two line ends."""
+def differenced(texts: Column, places: Column, hashes: Column, path: Column, near: Column) -> Column:
+    """The lines of ``texts`` that aren't shared with the page, of those in ``near``, whose path has the longest common start; joined by two line ends."""
 
     @F.arrow_udf(returnType=T.StringType())
-    def difference(texts: pa.Array, places: pa.Array, hashes: pa.Array, partner: pa.Array) -> pa.Array:
+    def difference(texts: pa.Array, places: pa.Array, hashes: pa.Array, path: pa.Array, near: pa.Array) -> pa.Array:
         out = []
-        for t, p, h, o in zip(texts, places, hashes, partner, strict=True):
-            lines, other = t.as_py(), o.as_py()
-            if lines and other:
-                shared = common(h.as_py(), other)
+        for t, p, h, at, n in zip(texts, places, hashes, path, near, strict=True):
+            lines, others = t.as_py(), [x for x in n.as_py() or [] if x]
+            if lines and others:
+                partner = max(others, key=lambda x: len(commonprefix([x["_path"], at.as_py()])))
+                shared = common(h.as_py(), partner["hashes"])
                 lines = [x for x, i in zip(lines, p.as_py(), strict=True) if not shared[i]]
             out.append("\n\n".join(lines))
         return pa.array(out, pa.string())
 
-    return difference(texts, places, hashes, partner)
+    return difference(texts, places, hashes, path, near)
 
 
-ORDER = ("_host", "_path", "page_id", "url")
+ORDER = ("_host", "_path", "key")
 
 
-def beside(pages: DataFrame, reach: int = 2) -> DataFrame:
-    """Rows (.., _host, _path, _part, hashes) with ``partner``: the hashes of the nearest URL of the host that differ.
+def beside(pages: DataFrame) -> DataFrame:
+    """``(_host, key, near)`` of distinct pages ``(_host, _path, key, hashes, _part)``: the path and hashes of the two next to each in the order of its host's paths.
 
     ``_part`` is the range partition. The first and last rows of each range are copied to the ranges next to it, so neighbours across
     its ends count too; what is collected is the list of ranges.
@@ -210,36 +214,32 @@ def beside(pages: DataFrame, reach: int = 2) -> DataFrame:
     parts = sorted(r[0] for r in pages.select("_part").distinct().collect())
     within = Window.partitionBy("_part").orderBy(*ORDER)
     back = Window.partitionBy("_part").orderBy(*(F.desc(c) for c in ORDER))
-    narrow = pages.select(*ORDER, "_part", "hashes")
-    edge = narrow.withColumn("_up", F.row_number().over(within)).withColumn("_down", F.row_number().over(back))
+    edge = pages.withColumn("_up", F.row_number().over(within)).withColumn("_down", F.row_number().over(back))
     pairs = spark.createDataFrame(list(zip(parts[:-1], parts[1:], strict=True)) or [(-1, -1)], "_before int, _after int")
-    heads = edge.where(F.col("_up") <= reach).join(pairs, F.col("_part") == F.col("_after")).withColumn("_part", F.col("_before"))
-    tails = edge.where(F.col("_down") <= reach).join(pairs, F.col("_part") == F.col("_before")).withColumn("_part", F.col("_after"))
-    guests = heads.union(tails).select(*ORDER, "_part", "hashes").withColumn("_guest", F.lit(True))
-    all_rows = pages.withColumn("_guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
-    near = []
-    for n in range(1, reach + 1):
-        for shift in (F.lag, F.lead):
-            near.append(shift(F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("hashes").alias("hashes")), n).over(within))
-    rows = all_rows.withColumn("_near", F.array(*near)).where("not _guest").drop("_guest")
-    fit = F.filter("_near", lambda x: x.isNotNull() & (x["host"] == F.col("_host")) & (x["hashes"] != F.col("hashes")))
-    shared_path = lambda x: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(x["path"]), F.length(F.col("_path")), F.lit(512)))), lambda k: F.substring(x["path"], 1, k) == F.substring(F.col("_path"), 1, k)))
-    best = F.array_max(F.transform(fit, lambda x: F.struct(shared_path(x).alias("n"), x["hashes"].alias("hashes"))))
-    return rows.withColumn("partner", best["hashes"]).drop("_near")
+    heads = edge.where("_up = 1").join(pairs, F.col("_part") == F.col("_after")).withColumn("_part", F.col("_before"))
+    tails = edge.where("_down = 1").join(pairs, F.col("_part") == F.col("_before")).withColumn("_part", F.col("_after"))
+    guests = heads.union(tails).select(*pages.columns, F.lit(True).alias("_guest"))
+    page = F.struct("_path", "hashes")
+    near = [F.when(shift("_host").over(within) == F.col("_host"), shift(page).over(within)) for shift in (F.lag, F.lead)]
+    return pages.withColumn("_guest", F.lit(False)).union(guests).withColumn("near", F.array(*near)).where("not _guest").select("_host", "key", "near")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page.
 
-    A null or empty html, and a page without text of its own, give the empty text. A page whose host has no other page that
+    A null or empty html, and a page without text of its own, give the empty text. Pages of a host with the same lines are one page
+    when neighbours are sought, that of the least path, so copies are not differenced with each other, nor any page with one without text. A page whose host has no other page that
     differs loses no line by differencing; pages without a URL have the empty host. Repeated rows get a row each.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
-    keyed = pages.select("page_id", "url", "html", host.alias("_host"), path.alias("_path"))
-    dealt = keyed.repartitionByRange(partitions(pages), *ORDER).withColumn("_part", F.spark_partition_id())
-    lines = written(dealt.withColumn("_p", parsed(F.col("html"))).select(*ORDER, "_part", "_p.*"), "lines")
-    own = differenced(F.col("texts"), F.col("places"), F.col("hashes"), F.col("partner"))
-    text = F.when(F.col("article").isNotNull(), F.col("article")).otherwise(own)
-    return beside(lines).withColumn("text", text).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    keyed = pages.select("page_id", "url", host.alias("_host"), path.alias("_path"), parsed(F.col("html")).alias("_p"))
+    lines = written(keyed.select("page_id", "url", "_host", "_path", "_p.*"), "lines")
+    declared, plain = lines.where("article is not null"), lines.where("article is null")
+    distinct = lines.where(F.size("hashes") > 0).join(plain.select("_host").distinct(), "_host", "left_semi").groupBy("_host", "key").agg(F.min(F.struct("_path", "hashes")).alias("_page"))
+    distinct = distinct.select("_host", "_page._path", "key", "_page.hashes").repartitionByRange(partitions(pages), *ORDER)
+    near = beside(written(distinct.withColumn("_part", F.spark_partition_id()), "distinct"))
+    own = differenced(F.col("texts"), F.col("places"), F.col("hashes"), F.col("_path"), F.col("near"))
+    texts = declared.select("page_id", "url", F.col("article").alias("text")).union(plain.join(near, ["_host", "key"], "left").select("page_id", "url", own.alias("text")))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

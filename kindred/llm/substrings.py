@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ FAN = 2
 BATCHES = 3
 ANCHORS = T.ArrayType(T.StructType([T.StructField("fp", T.LongType()), T.StructField("pos", T.IntegerType())]))
 ARROW_ANCHORS = pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())]))
-WINDOWS = T.ArrayType(T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("start", T.IntegerType())]))
-ARROW_WINDOWS = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())]))
+WINDOWS = T.ArrayType(T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("again", T.BooleanType())]))
+ARROW_WINDOWS = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("again", pa.bool_())]))
 
 
 def compressed(text: Column) -> Column:
@@ -107,12 +107,12 @@ def anchors(frame: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
 
 
 def windows_at(frame: Column, places: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """``array<struct<h1, h2, start>>``: both hashes of every window of a text that holds a gram which starts at one of ``places``."""
+    """``array<struct<h1, h2, start, again>>``: both hashes of every window of a text that holds a gram which starts at one of ``places``; ``again``: whether it also starts earlier there."""
 
     @F.arrow_udf(returnType=WINDOWS)
     def make(column: pa.Array, at: pa.Array) -> pa.Array:
         near, near_offs = np.asarray(at.flatten(), dtype=np.int64), np.concatenate([[0], np.cumsum(np.asarray(at.value_lengths().fill_null(0), dtype=np.int64))])
-        one, two, begin, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+        one, two, begin, again, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)], []
         for a, data, offs in rows_of(column):
             starts, ends, word_offs = tw.word_spans(data, offs)
             hashes = [tw.spans_hash(data, starts, ends, base) for base in tw.BASES]
@@ -130,7 +130,12 @@ def windows_at(frame: Column, places: Column, window: int = WINDOW, gram: int =
             first = np.concatenate(picked)
             for to, words, base in ((one, hashes[0], tw.BASES[0]), (two, hashes[1], tw.BASES[1])):
                 to.append(tw.spans_hash(words, first, first + window, base).view(np.int64))
-        return nested([np.concatenate(one), np.concatenate(two), np.concatenate(begin)], np.array(counts, np.int64), ARROW_WINDOWS)
+            row = np.repeat(np.arange(len(picked)), [len(x) for x in picked])
+            order = np.lexsort((first, two[-1], one[-1], row))
+            same = np.zeros(len(order), bool)
+            same[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (one[-1], two[-1], row)])
+            again.append(same)
+        return nested([np.concatenate(x) for x in (one, two, begin, again)], np.array(counts, np.int64), ARROW_WINDOWS)
 
     return make(frame, places)
 
@@ -221,8 +226,9 @@ class FingerprintLog:
         """
         texts = seen.join(written(self.matches(batch), "matches"), "doc_id")
         made = texts.select("doc_id", F.explode(windows_at(F.col("frame"), F.col("places"), self.window, self.gram)).alias("_w")).select("doc_id", "_w.*")
-        order = Window.partitionBy("h1", "h2").orderBy("doc_id", "start")
-        later = made.withColumn("_n", F.rank().over(order)).where("_n > 1")
+        made = written(made, "windows")
+        least = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+        later = made.join(least, ["h1", "h2"], "left").where("again or doc_id > _first")
         if first is not None:
             later = later.where(F.col("doc_id") >= first)
         return written(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "later")
@@ -234,7 +240,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     Removes each word that is covered by a window of ``window`` words whose sequence also starts earlier: in a smaller
     doc_id, or in the same document at an earlier word. Documents pass through the log in ``batches`` batches in the order of
     doc_id. A null text has no words; a text of fewer words than a window loses none. ``doc_id`` is the key: if an id
-    repeats, rows of the same text are one document and the windows of others count as its own; rows with a null id
+    repeats, rows of the same text are one document, and words that one of the rows loses are lost in the others at the same places; rows with a null id
     come back whole.
     """
     spark = documents.sparkSession
