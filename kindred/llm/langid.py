@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder
+from kindred.llm.shared import remainder, small_batches
 
 HIDDEN = 8
 SEGMENT = 96
@@ -227,6 +227,7 @@ def fit(documents: DataFrame, per_language: int = 500) -> Model:
 
 def with_languages(documents: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
     """``documents`` with the language predicted and its pooled probability in the columns so named."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
     @F.arrow_udf(returnType=T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

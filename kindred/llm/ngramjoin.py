@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
 from kindred.llm.components import components
-from kindred.llm.shared import partitions, written
+from kindred.llm.shared import partitions, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -170,6 +170,7 @@ def verified(members: DataFrame, similarity: float, block: int) -> DataFrame:
 
 def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(classes, partners, components)``: classes of equal texts ``(text_key, rep, copies, words)``; numbers of partners of representatives; components."""
+    small_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.md5("text").alias("text_key"), banded(F.col("text"), bands, rows).alias("keys"))
     keyed = written(keyed, "bands")

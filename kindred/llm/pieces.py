@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
+from kindred.llm.shared import small_batches
 
 MARK = "▁"
 MEMO = 1 << 19
@@ -190,8 +191,6 @@ def decoded(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-
-
 def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_ids, ids_crc32, n_chars, decoded_sha256)`` of every document: its encoding, and what that decodes to.
 
@@ -199,6 +198,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     text, which equals the text but for U+2581, which comes back as a space. A null text counts as empty and has no ids;
     repeated rows and null ids get a row each.
     """
+    small_batches(documents.sparkSession)
     path = path or model_path()
     ids = documents.select("doc_id", encoded(F.coalesce("text", F.lit("")), path).alias("ids"))
     text = ids.select("doc_id", F.col("ids"), decoded(F.col("ids"), path).alias("decoded"))

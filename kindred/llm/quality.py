@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder
+from kindred.llm.shared import remainder, small_batches
 from kindred.llm.toxicity import labelled_sample
 
 TREES, DEPTH, BINS = 80, 4, 64
@@ -171,6 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``documents`` with the probability of label 1 for each text; null texts count as empty."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.feature, model.threshold, model.value, model.bias))
 
     @F.arrow_udf(returnType=T.DoubleType())

@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on in this session, as texts can be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def remainder(key: str | Column, modulus: int) -> Column:
     """``crc32(key as text) mod modulus``: the fold of a row."""
     column = F.col(key) if isinstance(key, str) else key

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import new_path, written
+from kindred.llm.shared import new_path, small_batches, written
 
 WINDOW = 20
 GRAM = 8
@@ -244,6 +244,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     come back whole.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     log = FingerprintLog(spark, window, gram)
     rest = [c for c in documents.columns if c != "text"]
     whole = documents.select(*rest, F.md5(F.coalesce("text", F.lit(""))).alias("_key"), compressed(F.col("text")).alias("_frame"))

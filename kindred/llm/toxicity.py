@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder
+from kindred.llm.shared import remainder, small_batches
 
 BUCKETS = 1 << 20
 #: Offsets of the second word of each kind of pair: 1 is a bigram, the others are skip-grams.
@@ -58,7 +58,7 @@ def train(texts: pa.Array, labels: np.ndarray, alpha: float = 3.0, beta: float =
     for _, _, data, offs in tw.slices(texts):
         row, bucket = features(data, offs)
         pairs = np.unique(row * BUCKETS + bucket)
-        docs += np.split(pairs % BUCKETS, np.searchsorted(pairs // BUCKETS, np.arange(1, len(offs) - 1)))
+        docs += np.split((pairs % BUCKETS).astype(np.int32), np.searchsorted(pairs // BUCKETS, np.arange(1, len(offs) - 1)))
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     rate = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
     bias, bias_n = float(np.log(rate / (1 - rate))), 1.0
@@ -110,6 +110,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``documents`` with a score from 0 to 1 for each text; null texts count as empty. Other columns stay as they are."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.bias))
 
     @F.arrow_udf(returnType=T.DoubleType())
