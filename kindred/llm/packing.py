@@ -8,8 +8,9 @@ no hot group, and a look-up turns rank into sequence and offset.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,9 @@ from kindred.llm.shared import partitions, small_batches, written
 
 SIZE = 4096
 END = 1
-#: Words whose ids a task keeps at most.
-MEMO = 1 << 18
+#: Words and ids of words that a task keeps at most.
+SLOTS, HELD = 1 << 19, 1 << 22
+STOPS = ".,;:!?"
 #: Pieces of one length in one bucket, on average at most.
 PER_BUCKET = 200_000
 
@@ -36,33 +38,75 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words, one after another; the ids of words seen before are remembered, at most ``MEMO`` of them.
+    words, one after another. The ids of words seen before stand in a table of ``SLOTS`` slots by the words' hashes, whose
+    later words replace earlier ones, and is emptied when ``HELD`` ids are in it.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        words = set(words)
-        new = list(words.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
-
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        self.learn(w for words in texts for w in words)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
+        self.keys, self.first, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.held, self.filled = np.zeros(HELD, np.uint32), 0
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has.
+
+        Words of letters, or letters and one stop, go through the tokenizer side by side: they are one or two runs, and the last
+        id of a run is marked as such. Where the number of marks is another than that, and for other words, each goes alone.
+        """
+        texts = [w.decode() for w in words]
+        runs = np.array([1 if w.isalpha() else 2 if w[-1] in STOPS and w[:-1].isalpha() else 0 for w in texts], dtype=np.int64)
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        alone, simple = [np.flatnonzero(runs == 0)], np.flatnonzero(runs)
+        for at in range(0, len(simple), 4096):
+            part = simple[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends, marks = np.cumsum(runs[part]), np.flatnonzero(self.last[ids]) + 1
+            if len(marks) == ends[-1] and marks[-1] == len(ids):
+                for i, x in zip(part, np.split(ids, marks[ends[:-1] - 1]), strict=True):
+                    found[i] = x
+            else:
+                alone.append(part)
+        rest = np.concatenate(alone)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, dtype=np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows of UTF-8 bytes, and each row's offsets into them."""
+        starts, ends, word_offs = tw.word_spans(data, offs)
+        names, example, place = np.unique(tw.spans_hash(data, starts, ends, tw.BASES[0]), return_index=True, return_inverse=True)
+        slot = (names & np.uint64(SLOTS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != names)
+        raw = data.tobytes()
+        found, sizes = self.tokens([raw[starts[i] : ends[i]] for i in example[new]])
+        base = self.filled
+        if base + len(found) > len(self.held):
+            old = np.setdiff1d(np.arange(len(names)), new, assume_unique=True)
+            found = np.concatenate([ragged(self.held, self.first[slot[old]], self.size[slot[old]]), found])
+            sizes, new, base = np.concatenate([self.size[slot[old]], sizes]), np.concatenate([old, new]), 0
+            self.keys[:] = 0
+            self.held = np.zeros(max(HELD, len(found)), np.uint32)
+        self.held[base : base + len(found)] = found
+        self.filled = base + len(found)
+        first, size = self.first[slot], self.size[slot]
+        first[new], size[new] = base + np.cumsum(sizes) - sizes, sizes
+        self.keys[slot], self.first[slot], self.size[slot] = names, first, size
+        n_ids = size[place]
+        return ragged(self.held, first[place], n_ids), np.concatenate([[0], np.cumsum(n_ids)])[word_offs]
+
+
+def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs values[first : first + size], one after another."""
+    return values[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 def pieces_of(ids: bytes, size: int = SIZE) -> list[dict]:
@@ -85,9 +129,8 @@ def tokenized(text: Column, path: str, size: int = SIZE) -> Column:
             encoders.append(WordEncoder(path))
         out = []
         for _, _, data, offs in tw.slices(column):
-            raw = data.tobytes()
-            words = [raw[a:b].split() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            out += [pieces_of(ids + END.to_bytes(4, "little"), size) for ids in encoders[0].encode(words)]
+            ids, at = encoders[0].encode(data, offs)
+            out += [pieces_of(ids[a:b].astype("<u4").tobytes() + END.to_bytes(4, "little"), size) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.array(out, ARROW_PIECES)
 
     return cut(text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 MASK = (1 << 64) - 1
 #: Odd bases of two independent hash families.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SOLID = np.ones(256, dtype=bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
