@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from kindred.llm.shared import partitions, small_batches, written
 SIZE = 4096
 END = 1
 #: Words and ids of words that a task keeps at most.
-SLOTS, HELD = 1 << 19, 1 << 22
+SLOTS, HELD = 1 << 20, 1 << 23
 STOPS = ".,;:!?"
 #: Pieces of one length in one bucket, on average at most.
 PER_BUCKET = 200_000
@@ -109,6 +110,12 @@ def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One a process: what a task has learned serves the next ones."""
+    return WordEncoder(path)
+
+
 def pieces_of(ids: bytes, size: int = SIZE) -> list[dict]:
     """The pieces of one document's ids: only one of more than ``size`` ids is cut."""
     step = 4 * size
@@ -121,15 +128,12 @@ ARROW_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()),
 
 def tokenized(text: Column, path: str, size: int = SIZE) -> Column:
     """The pieces of each text's ids, with id 1 at its end; a null text is empty."""
-    encoders: list[WordEncoder] = []
 
     @F.arrow_udf(returnType=PIECES)
     def cut(column: pa.Array) -> pa.Array:
-        if not encoders:
-            encoders.append(WordEncoder(path))
-        out = []
+        machine, out = encoder(path), []
         for _, _, data, offs in tw.slices(column):
-            ids, at = encoders[0].encode(data, offs)
+            ids, at = machine.encode(data, offs)
             out += [pieces_of(ids[a:b].astype("<u4").tobytes() + END.to_bytes(4, "little"), size) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.array(out, ARROW_PIECES)
 
