@@ -15,12 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder, small_batches
+from kindred.llm.shared import remainder, sampled, small_batches
 
 HIDDEN = 8
 SEGMENT = 96
@@ -211,8 +211,7 @@ def pooled(data: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
 def labelled_sample(documents: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` training documents of each language: not held out, with text and language."""
     known = documents.where("text is not null and text <> '' and lang is not null and doc_id is not null").where(remainder("doc_id", 5) != 0)
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
+    ids = sampled(known.select("doc_id", "lang").distinct(), "lang", per_language)
     return known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("lang", F.xxhash64("doc_id"), "doc_id")
 
 

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder, small_batches
+from kindred.llm.shared import remainder, sampled, small_batches
 
 BUCKETS = 1 << 20
 #: Offsets of the second word of each kind of pair: 1 is a bigram, the others are skip-grams.
@@ -97,8 +97,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: t
     ``fold``: (modulus, held-out remainder). A document labelled twice counts with its larger label.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    place = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.join(documents.select("doc_id").distinct(), "doc_id").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= per_class).drop("_n")
+    chosen = sampled(known.join(documents.select("doc_id").distinct(), "doc_id"), "label", per_class)
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
 
 
