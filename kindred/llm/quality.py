@@ -4,7 +4,7 @@ Each tree is complete, so all trees are flattened into arrays of split features,
 numpy walks every document down a level of every tree at once. The arrays have a fixed size and are broadcast.
 
 Training reads at most ``per_class`` labelled documents of each class, those with the smallest hashes of their
-ids; statistics and scores are of whole texts.
+ids; statistics and scores are of whole texts. The bias is corrected to the classes' shares among all labelled documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
 from kindred.llm.shared import remainder, small_batches
-from kindred.llm.toxicity import labelled_sample
+from kindred.llm.toxicity import labelled_sample, prior_shift
 
 TREES, DEPTH, BINS = 80, 4, 64
 
@@ -166,7 +166,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out
     """A model of ``labels.quality`` from a bounded sample outside the held-out fold."""
     sample = labelled_sample(documents, labels, "quality", (modulus, held_out), per_class)
     x = all_statistics(sample["text"].combine_chunks()) if sample.num_rows else np.zeros((0, len(NAMES)), np.float32)
-    return train(x, np.asarray(sample["label"], dtype=np.float64))
+    model = train(x, np.asarray(sample["label"], dtype=np.float64))
+    model.bias += prior_shift(sample)
+    return model
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -51,13 +51,15 @@ def remainder(key: str | Column, modulus: int) -> Column:
 def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, those with the smallest hashes of doc_id; ids are distinct within a group.
 
+    ``weight``: how many rows of its group each one stands for.
+
     Of a large group only hashes below a bound that lets about four times as many pass are ranked, so no task gets the whole group.
     """
     place, whole = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), float(1 << 40)
     sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    near = rows.join(sizes, group).where(place.cast("double") * F.col("_size") <= 4 * most * whole).drop("_size")
+    near = rows.join(sizes, group).where(place.cast("double") * F.col("_size") <= 4 * most * whole)
     order = Window.partitionBy(group).orderBy(place, "doc_id")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).withColumn("weight", F.greatest(F.col("_size") / most, F.lit(1.0))).drop("_n", "_size")
 
 
 def partitions(df: DataFrame) -> int:

@@ -4,7 +4,8 @@ Per-coordinate learning rates and the L1 term leave few weights other than 0, so
 short list of (bucket, weight) whose size is bounded by ``BUCKETS`` and is broadcast.
 
 Training reads at most ``per_class`` labelled documents of each class, those with the smallest
-hashes of their ids; scoring reads every byte of every text.
+hashes of their ids; scoring reads every byte of every text. As classes are sampled apart, the bias is
+corrected to their shares among all labelled documents, so decisions don't depend on the table's size.
 """
 
 from __future__ import annotations
@@ -92,19 +93,32 @@ def scores(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int) -> pa.Table:
-    """``(doc_id, text, label)`` of at most ``per_class`` documents of each class 0 and 1 outside the held-out fold.
+    """``(doc_id, text, label, weight)`` of at most ``per_class`` documents of each class 0 and 1 outside the held-out fold.
 
-    ``fold``: (modulus, held-out remainder). A document labelled twice counts with its larger label.
+    ``fold``: (modulus, held-out remainder). A document labelled twice counts with its larger label. ``weight``: the labelled
+    documents of its class that each one stands for.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = sampled(known.join(documents.select("doc_id").distinct(), "doc_id"), "label", per_class)
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
 
 
+def prior_shift(sample: pa.Table) -> float:
+    """What the sample's log-odds of label 1 lack to those of all labelled documents; 0 if a class has no rows.
+
+    Sampling by class leaves the slopes of a logistic model as they are and moves its bias by the opposite of this.
+    """
+    label, weight = (np.asarray(sample[c]) for c in ("label", "weight"))
+    clean, toxic = (weight[label == k] for k in (0, 1))
+    return float(np.log(toxic[0] / clean[0])) if len(clean) and len(toxic) else 0.0
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out: int = 0, modulus: int = 5) -> Model:
     """A model of ``labels.toxic`` from a bounded sample outside the held-out fold."""
     sample = labelled_sample(documents, labels, "toxic", (modulus, held_out), per_class)
-    return train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.asarray(sample["label"], dtype=np.int64))
+    model = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.asarray(sample["label"], dtype=np.int64))
+    model.bias += prior_shift(sample)
+    return model
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

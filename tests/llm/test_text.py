@@ -103,6 +103,22 @@ def test_quality(corpus):
     assert len(held) > 40 and (held["predicted"] == held["good"]).mean() >= 0.97 and got["score"].between(0, 1).all()
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_capped_classes_decide_like_all(spark, module):
+    """One mark says little of the rarer class, so only a model of the wrong class shares decides by it."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1600):
+        marked = rng.random() < 0.3
+        rare = rng.random() < (0.2 if marked else 0.02)
+        rows.append((i, "THE OF AND mark" if marked else "the of and to"))
+        labels.append((i, int(not rare), int(rare)))
+    documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    run = getattr(module, module.__name__.split(".")[-1])
+    whole, capped = (run(documents, labels, per_class=n).agg(F.avg("predicted")).first()[0] for n in (6000, 60))
+    assert abs(whole - capped) <= 0.05
+
+
 def test_flat_trees_equal_a_walk():
     rng = np.random.default_rng(0)
     x = rng.random((500, 5)).astype(np.float32)
