@@ -36,6 +36,8 @@ SITE_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 SITE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond share sharing social related recommended footer masthead toolbar pagination pager widget widgets copyright legal disclaimer".split()
 )
+#: Elements of running text: inside an article their ids are anchors named by what they say.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 WRAPPING = frozenset("wrap wrapper container layout page has with no without".split())
 
 TOKEN = re.compile(
@@ -48,8 +50,13 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 EMPTY_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.IGNORECASE)
 
 
-def kind_of(tag: str, attrs: str, kind: int) -> int:
-    """The kind of region an element opens inside one of ``kind``."""
+def named_site(names: str) -> bool:
+    """Whether a whole class or id, all words of it, names a region of the site, and none a wrapping one."""
+    return not set(WORD.findall(names)) & WRAPPING and any(SITE_WORDS.issuperset(re.split("[-_]+", x)) for x in names.split())
+
+
+def kind_of(tag: str, attrs: str, kind: int, nested: bool = False) -> int:
+    """The kind of region an element opens inside one of ``kind``. What a page declares as its article is one by any name, but for one ``nested`` in another, as comments are."""
     if kind == SITE:
         return SITE
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
@@ -58,12 +65,13 @@ def kind_of(tag: str, attrs: str, kind: int) -> int:
         return SITE
     if named.get("aria-hidden") == "true" or HIDDEN.search(named.get("style", "")) or (attrs and EMPTY_ATTRIBUTE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs))):
         return SITE
-    words = set(WORD.findall(f"{named.get('class', '')} {named.get('id', '')}".lower()))
-    if words & SITE_WORDS and not words & WRAPPING and tag not in ("html", "body", "main"):
-        return SITE
-    if tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articleBody":
+    declared = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articleBody"
+    if declared and not nested:
         return ARTICLE
-    return kind
+    anchor = "" if kind == ARTICLE and tag in ANCHORED else named.get("id", "")
+    if tag not in ("html", "body") and named_site(f"{named.get('class', '')} {anchor}".lower()):
+        return SITE
+    return ARTICLE if declared else kind
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
@@ -114,7 +122,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] == tag == "li"), None)
             if place is not None and not any(name in ("ul", "ol", "div", "section", "article") for name, _ in stack[place + 1 :]):
                 close(place)
-        new = kind_of(tag, m["attrs"], kind)
+        new = kind_of(tag, m["attrs"], kind, tag == "article" and any(name == tag for name, _ in stack))
         if new != kind:
             flush()
             kind = new

@@ -232,6 +232,21 @@ def test_declared_article():
     assert texts == ["Head & tail", "Bold é!", "A b c <p> l", "end"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article class="post category-social tag-advertising"><p>A</p></article>', ["A"]),
+        ('<article id="legal-notice-2024"><p>A</p></article>', ["A"]),
+        ('<main class="social"><article class="social"><p>A</p></article></main>', ["A"]),
+        ('<article><h2 id="social-structure">A</h2><section id="related-work"><p id="notice">B</p></section><h3 id="share">C</h3></article>', ["A", "B", "C"]),
+        ('<article><p class="topic-legal">A</p><div class="big ad">X</div><div class="social-share">X</div><article class="comment">X</article><article>B</article></article>', ["A", "B"]),
+        ('<div class="comments"><article class="comment">X</article></div><article hidden>X</article><div role="article" class="related">A</div>', ["A"]),
+    ],
+)
+def test_names_of_elements_cut_no_article(page, want):
+    assert [t for t, kind in pagediff.lines_of(page) if kind == pagediff.ARTICLE] == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(300):
