@@ -25,11 +25,15 @@ from pyspark.sql import types as T
 
 from kindred.llm.shared import partitions, written
 
-PLAIN, ARTICLE, SITE = 0, 1, 2
+PLAIN, ARTICLE, SITE, UNSEEN = 0, 1, 2, 3
 
 # Fixed values of HTML: elements by their kind, and words that authors name regions with.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math canvas object select button"
+RAW = "script style noscript template textarea title iframe"
+#: Elements whose text is no part of the text around them; their ends are sought like those of any element.
+CONTROLS = frozenset("svg canvas select button".split())
+#: A block inside one of these that lacks its end tag ends it, but for the blocks that may stand there.
+ENDED = {"svg": frozenset(), "button": frozenset(["div"]), "select": frozenset(["option", "hr", "legend"])}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SITE_TAGS = frozenset("nav footer aside form menu dialog".split())
 SITE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -41,7 +45,7 @@ ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 WRAPPING = frozenset("wrap wrapper container layout page has with no without".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -57,8 +61,10 @@ def named_site(names: str) -> bool:
 
 def kind_of(tag: str, attrs: str, kind: int, nested: bool = False) -> int:
     """The kind of region an element opens inside one of ``kind``. What a page declares as its article is one by any name, but for one ``nested`` in another, as comments are."""
-    if kind == SITE:
-        return SITE
+    if kind in (SITE, UNSEEN):
+        return kind
+    if tag in CONTROLS:
+        return UNSEEN
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
     role = named.get("role", "").lower()
     if role in SITE_ROLES or tag in SITE_TAGS or (tag == "header" and kind != ARTICLE):
@@ -81,27 +87,33 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     part: list[str] = []
     kind, at = PLAIN, 0
 
+    def region() -> int:
+        return next((k for _, k in reversed(stack) if k != UNSEEN), PLAIN)
+
     def flush() -> None:
         text = " ".join(unescape("".join(part)).split())
         part.clear()
         if text:
-            lines.append((text, kind))
+            lines.append((text, region()))
 
     def close(place: int) -> None:
         nonlocal kind
         below = stack[place - 1][1] if place else PLAIN
-        if below != kind:
+        if below not in (UNSEEN, region()):
             flush()
         del stack[place:]
         kind = below
 
-    for m in TOKEN.finditer(html):
-        part.append(html[at : m.start()])
+    while m := TOKEN.search(html, at):
+        if kind != UNSEEN:
+            part.append(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             if m["raw"]:
                 part.append(" ")
+                if html[m.start("inside") - 2] == "/" and any(name in ("svg", "math") for name, _ in stack):
+                    at = m.start("inside")
             continue
         if tag in BLOCKS:
             flush()
@@ -114,8 +126,12 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             continue
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
             continue
+        if kind == UNSEEN and tag in BLOCKS:
+            place = next((i for i, (name, _) in enumerate(stack) if tag not in ENDED.get(name, BLOCKS)), None)
+            if place is not None and not any(name == "foreignobject" for name, _ in stack[place + 1 :]):
+                close(place)
         if tag in ("article", "main"):
-            place = next((i for i, (name, _) in enumerate(stack) if name in ("nav", "header")), None)
+            place = next((i for i, (name, k) in enumerate(stack) if name in ("nav", "header") or k == UNSEEN), None)
             if place is not None:
                 close(place)
         elif tag in BLOCKS:
@@ -123,11 +139,13 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             if place is not None and not any(name in ("ul", "ol", "div", "section", "article") for name, _ in stack[place + 1 :]):
                 close(place)
         new = kind_of(tag, m["attrs"], kind, tag == "article" and any(name == tag for name, _ in stack))
-        if new != kind:
+        if new == UNSEEN != kind:
+            part.append(" ")
+        elif new != kind:
             flush()
-            kind = new
+        kind = new
         stack.append((tag, new))
-    part.append(html[at:] if not html[at:].startswith("<") else "")
+    part.append(html[at:] if kind != UNSEEN and not html[at:].startswith("<") else "")
     flush()
     return lines
 

@@ -247,6 +247,27 @@ def test_names_of_elements_cut_no_article(page, want):
     assert [t for t, kind in pagediff.lines_of(page) if kind == pagediff.ARTICLE] == want
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ('<p>A <svg class="i"/>b</p><p>C</p>', ["A b", "C"]),
+        ("<p>A <math/>b</p><p>C <math><mi>x</mi></math> d</p>", ["A b", "C x d"]),
+        ('<p>A <svg><title/><style/><text>X</text></svg> b</p><p>C <svg><path d="M0"/></svg></p>', ["A b", "C"]),
+        ("<p>A <svg><path><p>B</p><div><svg></div>C", ["A", "B", "C"]),
+        ("<p>A <button>X</button>b <canvas>X</canvas>c</p>D", ["A b c", "D"]),
+        ("<div><button>X</div>A<div><select><option>X<option>X</div><p>B", ["A", "B"]),
+        ("<select><option>X</option><p>A</p>", ["A"]),
+        ("<button><div>X</div><p>A</p>", ["A"]),
+        ("<p>A <object data='x'>b</object> c</p>", ["A b c"]),
+        ("<title-bar>A</title-bar><button-group>b</button-group><svg-icon></svg-icon><p>C</p>", ["Ab", "C"]),
+        ("<p>A<script>X</script><style >X</style ><template><p>X</p></template><iframe src=x>X</iframe>b</p><textarea>X</textarea>", ["A b"]),
+    ],
+)
+def test_elements_end_where_they_end(inside, want):
+    assert [t for t, kind in pagediff.lines_of(f"<article>{inside}</article>") if kind == pagediff.ARTICLE] == want
+    assert [t for t, kind in pagediff.lines_of(f"<body>{inside}</body>") if kind == pagediff.PLAIN] == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(300):
