@@ -5,8 +5,8 @@ text with a distribution over the languages; a document's distribution is the me
 bytes. A text is cut into segments of ``SEGMENT`` bytes that are run side by side, so memory is
 bounded by the batch, whatever the length of a text, and no byte is left out.
 
-Training reads at most ``per_language`` documents of each language (those with the smallest
-hashes of their ids) and random segments of them; labelling reads everything.
+Training reads about ``per_language`` documents of each language (those whose ids hash below a
+bound, all of a smaller language) and random segments of them; labelling reads everything.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder, sampled, small_batches
+from kindred.llm.shared import free_name, remainder, sampled
 
 HIDDEN = 8
 SEGMENT = 96
@@ -209,7 +209,7 @@ def pooled(data: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` training documents of each language: not held out, with text and language."""
+    """About ``per_language`` training documents of each language: not held out, with text and language."""
     known = documents.where("text is not null and text <> '' and lang is not null and doc_id is not null").where(remainder("doc_id", 5) != 0)
     ids = sampled(known.select("doc_id", "lang").distinct(), "lang", per_language)
     return known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("lang", F.xxhash64("doc_id"), "doc_id")
@@ -226,7 +226,6 @@ def fit(documents: DataFrame, per_language: int = 500) -> Model:
 
 def with_languages(documents: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
     """``documents`` with the language predicted and its pooled probability in the columns so named."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
     @F.arrow_udf(returnType=T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -241,9 +240,10 @@ def with_languages(documents: DataFrame, model: Model, language: str = "lang_pre
         return pa.StructArray.from_arrays([pa.array(names[best if model.languages else best - 1], pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = documents.withColumn("_found", labelled(F.col("text")))
-    named = F.when(letters, F.col("_found.lang_pred")).otherwise(F.lit(UNKNOWN))
-    return found.withColumns({language: named, score: F.when(letters, F.col("_found.score")).otherwise(F.lit(0.0))}).drop("_found")
+    both = free_name([*documents.columns, language, score], "_found")
+    found = documents.withColumn(both, labelled(F.col("text")))
+    named = F.when(letters, F.col(f"{both}.lang_pred")).otherwise(F.lit(UNKNOWN))
+    return found.withColumns({language: named, score: F.when(letters, F.col(f"{both}.score")).otherwise(F.lit(0.0))}).drop(both)
 
 
 def languages(documents: DataFrame, per_language: int = 500) -> DataFrame:

@@ -3,8 +3,8 @@
 Each tree is complete, so all trees are flattened into arrays of split features, thresholds and leaf values, and
 numpy walks every document down a level of every tree at once. The arrays have a fixed size and are broadcast.
 
-Training reads at most ``per_class`` labelled documents of each class, those with the smallest hashes of their
-ids; statistics and scores are of whole texts. The bias is corrected to the classes' shares among all labelled documents.
+Training reads about ``per_class`` labelled documents of each class, those whose ids hash below a bound, all of a
+smaller class; statistics and scores are of whole texts. The bias is corrected to the classes' shares among all labelled documents.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder, small_batches
-from kindred.llm.toxicity import labelled_sample, prior_shift
+from kindred.llm.shared import remainder
+from kindred.llm.toxicity import gathered, labelled_sample, prior_shift
 
 TREES, DEPTH, BINS = 80, 4, 64
 
@@ -162,18 +162,27 @@ def all_statistics(texts: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
 
 
+def measured(text: Column) -> Column:
+    """The statistics of each text, as little-endian 32-bit floats."""
+
+    @F.arrow_udf(returnType=T.BinaryType())
+    def measure(column: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for x in all_statistics(column).astype("<f4")], pa.binary())
+
+    return measure(text)
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out: int = 2, modulus: int = 4) -> Model:
-    """A model of ``labels.quality`` from a bounded sample outside the held-out fold."""
-    sample = labelled_sample(documents, labels, "quality", (modulus, held_out), per_class)
-    x = all_statistics(sample["text"].combine_chunks()) if sample.num_rows else np.zeros((0, len(NAMES)), np.float32)
-    model = train(x, np.asarray(sample["label"], dtype=np.float64))
-    model.bias += prior_shift(sample)
+    """A model of ``labels.quality`` from a bounded sample outside the held-out fold; tasks measure its texts, and only statistics come to the driver."""
+    rows, label, weight = gathered(labelled_sample(documents, labels, "quality", (modulus, held_out), per_class), measured(F.col("text")))
+    x = np.frombuffer(b"".join(rows), "<f4").reshape(-1, len(NAMES))
+    model = train(x, label.astype(np.float64))
+    model.bias += prior_shift(label, weight)
     return model
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``documents`` with the probability of label 1 for each text; null texts count as empty."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.feature, model.threshold, model.value, model.bias))
 
     @F.arrow_udf(returnType=T.DoubleType())

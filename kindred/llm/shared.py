@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset, as in tests, a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master, as in tests, may leave it unset, and then gets a temporary one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(context, "_kindred_dir", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="kindred-")
@@ -23,8 +27,54 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def _made(spark: SparkSession) -> tuple[list[str], list[str]]:
+    """Folders and tables that operators made in this session and that are still there."""
+    context = spark.sparkContext
+    if not hasattr(context, "_kindred_made"):
+        context._kindred_made = ([], [])
+    return context._kindred_made
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate folders and tables that operators made inside. Results are lazy, so write what is wanted of them inside too."""
+    marks = [len(x) for x in _made(spark)]
+    try:
+        yield
+    finally:
+        folders, tables = _made(spark)
+        for table in tables[marks[1] :]:
+            spark.sql(f"drop table if exists {table}")
+        for folder in folders[marks[0] :]:
+            deleted(spark, folder)
+        del folders[marks[0] :], tables[marks[1] :]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made(spark)[0].append(path)
+    return path
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    table = f"kindred_{name}_{uuid.uuid4().hex}"
+    _made(spark)[1].append(table)
+    return table
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,11 +85,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows from now on in this session, as texts can be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or as many underscores before it as it takes to clash with no column; Spark's names know no case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def remainder(key: str | Column, modulus: int) -> Column:
@@ -49,17 +100,15 @@ def remainder(key: str | Column, modulus: int) -> Column:
 
 
 def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each group, those with the smallest hashes of doc_id; ids are distinct within a group.
-
-    ``weight``: how many rows of its group each one stands for.
+    """``rows`` of each group, about ``most`` of them: those whose hash of doc_id is below the bound that lets ``most`` pass; all of a smaller group.
 
-    Of a large group only hashes below a bound that lets about four times as many pass are ranked, so no task gets the whole group.
+    ``weight``: how many rows of its group each one stands for. Each row is judged by itself and its group's size, so no task
+    gathers a group; ids are distinct within a group. Groups are the classes of a model, so their sizes are few and broadcast.
     """
     place, whole = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), float(1 << 40)
     sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    near = rows.join(sizes, group).where(place.cast("double") * F.col("_size") <= 4 * most * whole)
-    order = Window.partitionBy(group).orderBy(place, "doc_id")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).withColumn("weight", F.greatest(F.col("_size") / most, F.lit(1.0))).drop("_n", "_size")
+    below = rows.join(F.broadcast(sizes), group).where(place.cast("double") * F.col("_size") <= most * whole)
+    return below.withColumn("weight", F.greatest(F.col("_size") / most, F.lit(1.0))).drop("_size")
 
 
 def partitions(df: DataFrame) -> int:

@@ -3,8 +3,8 @@
 Per-coordinate learning rates and the L1 term leave few weights other than 0, so the model is a
 short list of (bucket, weight) whose size is bounded by ``BUCKETS`` and is broadcast.
 
-Training reads at most ``per_class`` labelled documents of each class, those with the smallest
-hashes of their ids; scoring reads every byte of every text. As classes are sampled apart, the bias is
+Training reads about ``per_class`` labelled documents of each class, those whose ids hash below a
+bound, all of a smaller class; scoring reads every byte of every text. As classes are sampled apart, the bias is
 corrected to their shares among all labelled documents, so decisions don't depend on the table's size.
 """
 
@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import remainder, sampled, small_batches
+from kindred.llm.shared import remainder, sampled
 
 BUCKETS = 1 << 20
 #: Offsets of the second word of each kind of pair: 1 is a bigram, the others are skip-grams.
@@ -53,20 +53,30 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(44)).astype(np.int64)
 
 
-def train(texts: pa.Array, labels: np.ndarray, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, passes: int = 8, weight: float = 1.5) -> Model:
-    """FTRL-proximal over the presence of features, one document at a time; ``weight`` multiplies the loss of label 1. Without rows, the bias is all there is."""
-    docs: list[np.ndarray] = []
-    for _, _, data, offs in tw.slices(texts):
-        row, bucket = features(data, offs)
-        pairs = np.unique(row * BUCKETS + bucket)
-        docs += np.split((pairs % BUCKETS).astype(np.int32), np.searchsorted(pairs // BUCKETS, np.arange(1, len(offs) - 1)))
+def presence(text: Column) -> Column:
+    """The distinct buckets of each text, ascending, as little-endian 32-bit bytes."""
+
+    @F.arrow_udf(returnType=T.BinaryType())
+    def buckets(column: pa.Array) -> pa.Array:
+        out = []
+        for _, _, data, offs in tw.slices(column):
+            row, bucket = features(data, offs)
+            pairs = np.unique(row * BUCKETS + bucket)
+            out += [x.astype("<i4").tobytes() for x in np.split(pairs % BUCKETS, np.searchsorted(pairs // BUCKETS, np.arange(1, len(offs) - 1)))]
+        return pa.array(out, pa.binary())
+
+    return buckets(text)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, passes: int = 8, weight: float = 1.5) -> Model:
+    """FTRL-proximal over the presence of features, one document (its distinct buckets) at a time; ``weight`` multiplies the loss of label 1. Without rows, the bias is all there is."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     rate = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
     bias, bias_n = float(np.log(rate / (1 - rate))), 1.0
     order = np.random.default_rng(7)
     for _ in range(passes):
-        for i in order.permutation(len(docs)):
-            x, y = docs[i], float(labels[i])
+        for i in order.permutation(len(rows)):
+            x, y = rows[i], float(labels[i])
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((beta + np.sqrt(nx)) / alpha + l2))
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
@@ -92,38 +102,45 @@ def scores(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int) -> pa.Table:
-    """``(doc_id, text, label, weight)`` of at most ``per_class`` documents of each class 0 and 1 outside the held-out fold.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int) -> DataFrame:
+    """``(doc_id, text, label, weight)`` of about ``per_class`` documents of each class 0 and 1 outside the held-out fold.
 
     ``fold``: (modulus, held-out remainder). A document labelled twice counts with its larger label. ``weight``: the labelled
     documents of its class that each one stands for.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = sampled(known.join(documents.select("doc_id").distinct(), "doc_id"), "label", per_class)
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def gathered(sample: DataFrame, column: Column) -> tuple[list[pa.Buffer], np.ndarray, np.ndarray]:
+    """``column`` (binary), label and weight of a bounded sample, in an order that the rows alone decide. No text comes along."""
+    keys = [F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_b")]
+    table = sample.select(*keys, "label", "weight", column.alias("_x")).toArrow()
+    order = np.lexsort([table["_b"].to_numpy(), table["_a"].to_numpy()])
+    held = [x.as_buffer() for chunk in table["_x"].chunks for x in chunk]
+    return [held[i] for i in order], table["label"].to_numpy()[order], table["weight"].to_numpy()[order]
 
 
-def prior_shift(sample: pa.Table) -> float:
-    """What the sample's log-odds of label 1 lack to those of all labelled documents; 0 if a class has no rows.
+def prior_shift(label: np.ndarray, weight: np.ndarray) -> float:
+    """What a sample's log-odds of label 1 lack to those of all labelled documents; 0 if a class has no rows.
 
     Sampling by class leaves the slopes of a logistic model as they are and moves its bias by the opposite of this.
     """
-    label, weight = (np.asarray(sample[c]) for c in ("label", "weight"))
     clean, toxic = (weight[label == k] for k in (0, 1))
     return float(np.log(toxic[0] / clean[0])) if len(clean) and len(toxic) else 0.0
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out: int = 0, modulus: int = 5) -> Model:
-    """A model of ``labels.toxic`` from a bounded sample outside the held-out fold."""
-    sample = labelled_sample(documents, labels, "toxic", (modulus, held_out), per_class)
-    model = train(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.asarray(sample["label"], dtype=np.int64))
-    model.bias += prior_shift(sample)
+    """A model of ``labels.toxic`` from a bounded sample outside the held-out fold; tasks hash its texts, and only distinct buckets come to the driver."""
+    rows, label, weight = gathered(labelled_sample(documents, labels, "toxic", (modulus, held_out), per_class), presence(F.col("text")))
+    model = train([np.frombuffer(x, "<i4") for x in rows], label)
+    model.bias += prior_shift(label, weight)
     return model
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``documents`` with a score from 0 to 1 for each text; null texts count as empty. Other columns stay as they are."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.bias))
 
     @F.arrow_udf(returnType=T.DoubleType())
