@@ -9,39 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import shared_dir
+from kindred.llm.shared import partitions, shared_dir
+
+#: Links that a checkpoint's file holds, on average, before another one is made.
+PER_FILE = 50_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each neighbour of u to the least of u and its neighbours: the larger neighbours, or u and the smaller ones."""
-    if large:
-        near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges
+    """Links each neighbour of u to the least of u and its neighbours: the larger neighbours, or u and the smaller ones. Links may repeat after a large star."""
+    near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = near.join(least.hint("merge"), "u")  # not a broadcast a round, as links may be many
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
 def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node that has a link to another; ``component`` is the least node it can reach.
 
-    ``links`` may repeat, be empty, or hold nulls and self-links, which are ignored. Raises if the
+    ``links`` may repeat, be empty, or hold nulls and self-links, which are ignored; nodes are of any type that has an order. Raises if the
     components have not settled after ``rounds`` rounds (each halves the depth of the trees).
     """
     shared_dir(links.sparkSession)
-    ends = [F.col(left).cast("long"), F.col(right).cast("long")]
+    ends = [F.col(left), F.col(right)]
     edges = links.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"), *(e.alias(f"_{i}") for i, e in enumerate(ends)))
-    edges = edges.where("_0 is not null and _1 is not null and u <> v").select("u", "v").distinct().checkpoint()
-    before = None
-    for _ in range(rounds):
-        edges = _star(_star(edges, True), False).checkpoint()
+    edges, count, before = edges.where("_0 is not null and _1 is not null and u <> v").select("u", "v").distinct(), links.count(), None
+    for step in range(rounds + 1):
+        # links only get fewer, so few of them need few files
+        edges = (_star(_star(edges, True), False) if step else edges).coalesce(max(1, min(partitions(links), count // PER_FILE))).checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
-        before = now
+        before, count = now, now[0]
     raise RuntimeError(f"components have not settled after {rounds} rounds")

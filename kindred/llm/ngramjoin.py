@@ -1,20 +1,21 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full shingle sets decide.
 
-1. Texts that are equal are one class; only class representatives go on.
+1. Texts that are equal are one class; only classes go on.
 2. A signature of ``bands * rows`` minima is cut into bands; texts that agree on a band are
    candidates. With 44 bands of 8 rows a pair of similarity 0.8 is missed with probability
    (1 - 0.8**8)**44 = 0.0003.
-3. Candidates are gathered by the connected components of the band graph, so that each full
-   shingle set moves once for small components. A component of more than ``block`` texts is dealt
-   to pairs of blocks, so no task ever holds more than two blocks of it.
+3. The bands are shuffled as pairs of 64-bit numbers. Bands of one text go; the others become stars (see ``stars``), so that a
+   full shingle set moves once or a few times, not once a band, and chains of texts that share no band don't meet. A star of more than
+   ``block`` texts is dealt to pairs of blocks, so no task ever gathers it.
 4. A task counts the partners of each text (a number, not the pairs) and keeps a spanning forest
-   of the links; the components of the forests are the classes.
+   of the links; the components of the forests are the classes' groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,12 @@ from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
 from kindred.llm.components import components
-from kindred.llm.shared import partitions, small_batches, written
+from kindred.llm.shared import written
+from kindred.llm.stars import BLOCK, stars, verified
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 44, 8
-BLOCK = 512
 #: Shingles that are hashed side by side.
 CHUNK = 512
 
@@ -107,86 +108,35 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -
     return (shared > 0) & (shared >= similarity * union - 1e-6)
 
 
-def forest(links: np.ndarray) -> np.ndarray:
-    """The least index each index can reach over a symmetric boolean matrix."""
-    label = np.arange(len(links))
-    while True:
-        near = np.where(links, label[None, :], len(label)).min(1, initial=len(label))
-        new = np.minimum(label, near)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def spread(members: DataFrame, group: str, block: int) -> DataFrame:
-    """Deals the members of each group to pairs of blocks: columns ``_i <= _j`` name the pair, ``_b`` the member's own block.
-
-    A group of at most ``block`` members has the one pair (0, 0); one of n members has about n/block blocks.
-    """
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
-    many = sizes.where(F.col("_n") > block).select(group, F.ceil(F.col("_n") / block).cast("int").alias("_g"))
-    dealt = members.join(many, group, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda k: F.struct(F.least(k, F.col("_b")).alias("_i"), F.greatest(k, F.col("_b")).alias("_j")))
-    return dealt.withColumn("_p", F.explode(pairs)).select(*members.columns, "_b", "_p._i", "_p._j")
+def linking(similarity: float) -> Callable[[list[bytes], list[bytes] | None], np.ndarray]:
+    """Which of the shingle sets, as bytes, link."""
 
+    def link(left: list[bytes], right: list[bytes] | None) -> np.ndarray:
+        one = [np.frombuffer(x, np.uint64) for x in left]
+        return linked(one, one if right is None else [np.frombuffer(x, np.uint64) for x in right], similarity)
 
-def verified(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``(node, partners, root)``: partial numbers of partners and links to a smaller node, one forest a block pair.
+    return link
 
-    ``members``: node, cluster, copies, shingles.
-    """
-    dealt = spread(members, "cluster", block)
-    slot = F.pmod(F.xxhash64("cluster", "_i", "_j"), F.lit(1 << 20))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby(["cluster", "_i", "_j"], sort=False):
-            if len(part) < 2:
-                continue
-            part = part.sort_values("node")
-            inner = part["_i"].iat[0] == part["_j"].iat[0]
-            nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-            if inner:
-                links = linked(sets, sets, similarity)
-                np.fill_diagonal(links, False)
-            else:
-                low = np.flatnonzero((part["_b"] == part["_i"]).to_numpy())
-                high = np.flatnonzero((part["_b"] == part["_j"]).to_numpy())
-                links = np.zeros((len(part), len(part)), bool)
-                if len(low) and len(high):
-                    links[np.ix_(low, high)] = linked([sets[i] for i in low], [sets[i] for i in high], similarity)
-                links |= links.T
-            partners = links @ copies
-            has = partners > 0
-            out.append(pd.DataFrame({"node": nodes[has], "partners": partners[has], "root": nodes[forest(links)][has]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "partners": [], "root": []}).astype("int64")
-
-    width = max(partitions(members) * 4, 32)
-    return dealt.withColumn("_s", F.pmod(slot, F.lit(width))).groupBy("_s").applyInPandas(work, "node long, partners long, root long")
-
-
-def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(classes, partners, components)``: classes of equal texts ``(text_key, rep, copies, words)``; numbers of partners of representatives; components."""
-    small_batches(documents.sparkSession)
+def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """``(text_key, rep, copies, words, partners, component, component_id)`` of each class of equal texts: its least doc_id, its rows, whether it has words, the rows of the
+    classes it links to, the least class that links reach and the least doc_id that they reach (the last three null where there are none)."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.md5("text").alias("text_key"), banded(F.col("text"), bands, rows).alias("keys"))
-    keyed = written(keyed, "bands")
-    classes = written(keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("keys") > 0).alias("words")), "classes")
-    reps = keyed.join(classes.select("text_key", F.col("rep").alias("doc_id")), ["text_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    bands_of = reps.select("doc_id", F.explode("keys").alias("key"))
-    least = bands_of.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    near = bands_of.join(least, "key").where("doc_id <> first").select("doc_id", "first").distinct()
-    clusters = components(near, "doc_id", "first").withColumnRenamed("component", "cluster")
-    copies = classes.select(F.col("rep").alias("node"), "copies").groupBy("node").agg(F.max("copies").alias("copies"))
-    wanted = written(clusters.join(copies, "node"), "clusters")
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    members = texts.select(F.col("doc_id").alias("node"), "cluster", "copies", shingle_set(F.col("text")).alias("shingles"))
-    found = written(verified(members, similarity, block), "links")
+    classes = keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("keys") > 0).alias("words"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("node", F.xxhash64("text_key")), "classes")
+    pairs = stars(classes.select(F.explode("keys").alias("key"), "node"))
+    wanted = classes.join(pairs.select("node").distinct(), "node", "left_semi").select(F.col("text_key").alias("name"), "rep", "node", "copies")
+    own = F.md5(docs["text"]) == wanted["name"]
+    texts = docs.join(wanted, own & docs["doc_id"].eqNullSafe(wanted["rep"])).dropDuplicates(["name"])
+    content = texts.select("node", "copies", "name", shingle_set(F.col("text")).alias("raw"))
+    found = written(verified(pairs, content, linking(similarity), block), "links")
     partners = found.groupBy("node").agg(F.sum("partners").alias("partners"))
-    return classes, partners, components(found.where("node <> root"), "node", "root")
+    groups = components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "text_key")
+    reps = groups.join(classes.select("text_key", "rep"), "text_key")
+    least = groups.join(reps.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    of = classes.select("text_key", "rep", "copies", "words").join(partners.withColumnRenamed("node", "text_key"), "text_key", "left")
+    return of.join(least.select("text_key", "component", "component_id"), "text_key", "left")
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -195,13 +145,28 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands:
     ``n_links``: other documents whose sets of five-word shingles have Jaccard similarity of at
     least ``similarity``, equal texts included. ``component_id``: the least doc_id reachable by
     links. ``kept``: whether that is the document itself. A text of one to four words has one
-    shingle; a null text, or one without words, links with nothing. ``doc_id`` is the table's key:
-    a repeated row counts as a copy, and rows with a null id are returned, with no component.
+    shingle; a null text, or one without words, links with nothing. A repeated row counts as a copy; rows that share an id
+    but not a text are documents of their own; rows with a null id are returned, and link, but name no component.
     """
-    classes, partners, groups = jaccard_links(documents, similarity, bands, rows, block)
-    of_class = classes.join(partners.withColumnRenamed("node", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    ids = documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
-    joined = ids.join(of_class, "text_key")
+    of_class = jaccard_links(documents, similarity, bands, rows, block)
+    joined = documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key")).join(of_class, "text_key")
     links = F.when(F.col("words"), F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
-    component = F.when(F.col("words"), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("words"), F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", links.cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each group of near-duplicates one row, of the least doc_id; columns, whatever their names, as they are.
+
+    Rows without words or without an id stay. Of texts of one group that share that least id the one with the least hash stays.
+    """
+    names = documents.columns
+    of_class = jaccard_links(documents, similarity).where("words").withColumn("group", F.coalesce("component", "text_key"))
+    first = F.col("rep") == F.coalesce("component_id", "rep")
+    best = of_class.where(first).groupBy("group").agg(F.min(F.struct("text_key", "rep")).alias("_b")).select(F.col("_b.text_key").alias("_key"), F.col("_b.rep").alias("_id"))
+    nested = documents.select(F.struct(*(F.col(c) for c in names)).alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
+    judged = F.col("words") & F.col("id").isNotNull()
+    chosen = nested.where(judged).join(best, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    repeated = chosen.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key")
+    once = chosen.join(repeated, ["id", "key"], "left_anti").select("row").union(chosen.join(repeated, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("row"))
+    return once.union(nested.where(~judged).select("row")).select("row.*")
