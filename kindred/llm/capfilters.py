@@ -2,37 +2,39 @@
 
 A filter is a direction; a vector belongs to it if their inner product exceeds a bound. The directions
 of one table are all concatenations of a code word of the first half and one of the second half of a randomly
-rotated space, so ``CODE**2`` of them are decoded from ``2 * CODE`` inner products. ``TABLES`` independent
-rotations keep the number of a vector's filters even. Two vectors at cosine 0.98 share no filter
-with a probability of about 0.0003; every pair that shares one is verified exactly.
-
-Equal vectors are one class. A filter's vectors of one label are dealt to pairs of blocks, so a frequent
-filter is no hot group. A task counts partners (a pair counts in the first filter that both share) and
-keeps a spanning forest; pairs are never emitted.
+rotated space, so ``code**2`` of them are decoded from ``2 * code`` inner products: for each word of the first half that can still
+exceed the bound, the words of the second half that do. ``TABLES`` independent rotations keep the number of a vector's filters even.
+The code grows with the square root of the number of vectors, so that a filter holds few vectors that aren't near at any size of the table. Two
+vectors at cosine 0.98 share no filter with a probability below 0.001; every pair that shares one is verified exactly.
+
+Equal vectors are one class. Filters are joined as pairs of 64-bit numbers; vectors that are alone in all their filters go, and only then the others'
+components move, to the stars of their filters (see ``stars``), dealt to pairs of blocks, so a frequent
+filter is no hot group. A task counts partners and keeps a spanning forest; pairs are never emitted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm.components import components
-from kindred.llm.ngramjoin import forest, spread
-from kindred.llm.shared import partitions, written
+from kindred.llm.shared import written
+from kindred.llm.stars import BLOCK, stars, verified
 
 COSINE = 0.98
-TABLES, CODE = 24, 32
+TABLES = 24
+#: Code words of a half at least and at most.
+LEAST_CODE, MOST_CODE = 32, 2048
 #: Filters of a table that a vector exceeds, on average over uniform directions.
 WANTED = 1.0
 #: A cap reaches so far from its direction at least, as a cosine; in few dimensions the mean number alone would make caps narrower than links.
 REACH = 0.85
-BLOCK = 512
 
 
 @lru_cache(maxsize=8)
@@ -42,10 +44,16 @@ def tables(dim: int, n_tables: int, code: int, wanted: float) -> tuple[list[tupl
     for _ in range(n_tables):
         words = [code_words(rng, code, n) for n in (half, dim - half)]
         out.append((np.linalg.qr(rng.normal(size=(dim, dim)))[0], *words))
-    probe = rng.normal(size=(2000, dim))
+    # inner products of random directions with a random filter: the bound is the quantile that few enough exceed
+    probe = rng.normal(size=(4096, dim))
     probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    bound = float(np.quantile(np.concatenate([filter_sums(probe, t).ravel() for t in out[:2]]), 1 - wanted / (len(out[0][1]) * len(out[0][2]))))
-    return out, min(bound, REACH * 2**0.5)
+    parts = [half_sums(probe, t) for t in out]
+    mean = lambda bound: np.mean([passing(a, b, bound) for a, b in parts[:2]])
+    low, high = 0.0, 2**0.5
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mean(middle) > wanted else (low, middle)
+    return out, min(high, REACH * 2**0.5)
 
 
 def code_words(rng: np.random.Generator, code: int, dim: int) -> np.ndarray:
@@ -56,10 +64,17 @@ def code_words(rng: np.random.Generator, code: int, dim: int) -> np.ndarray:
     return words / np.linalg.norm(words, axis=1, keepdims=True)
 
 
-def filter_sums(unit: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """(vector, first word, second word) inner products, but for a common factor."""
+def half_sums(unit: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, word) inner products of both halves; a filter's is the sum of two, but for a common factor."""
     turned, half = unit @ table[0], table[1].shape[1]
-    return (turned[:, :half] @ table[1].T)[:, :, None] + (turned[:, half:] @ table[2].T)[:, None, :]
+    return turned[:, :half] @ table[1].T, turned[:, half:] @ table[2].T
+
+
+def passing(first: np.ndarray, second: np.ndarray, bound: float) -> float:
+    """How many filters a vector exceeds, on average."""
+    ordered = np.sort(second, axis=1)
+    row, word = np.nonzero(first > bound - ordered[:, -1:])
+    return sum(int((ordered[r] > bound - first[r, w]).sum()) for r, w in zip(row, word, strict=True)) / len(first)
 
 
 def decoded(unit: np.ndarray, n_tables: int, code: int, wanted: float) -> list[np.ndarray]:
@@ -68,13 +83,16 @@ def decoded(unit: np.ndarray, n_tables: int, code: int, wanted: float) -> list[n
     if dim < 2:
         return [np.zeros(1, np.int32)] * n
     made, bound = tables(dim, n_tables, code, wanted)
-    found = [[] for _ in range(n)]
+    who, ids = [], []
     for k, table in enumerate(made):
-        who, first, second = np.nonzero(filter_sums(unit, table) > bound)
-        ids = (k * code * code + first * code + second).astype(np.int32)
-        for i, part in enumerate(np.split(ids, np.searchsorted(who, np.arange(1, n)))):
-            found[i].append(part)
-    return [np.concatenate(x) for x in found]
+        first, second = half_sums(unit, table)
+        row, word = np.nonzero(first > bound - second.max(1, keepdims=True))
+        at, other = np.nonzero(second[row] > bound - first[row, word][:, None])
+        who.append(row[at])
+        ids.append((k * code * code + word[at] * code + other).astype(np.int32))
+    who, ids = np.concatenate(who), np.concatenate(ids)
+    order = np.lexsort((ids, who))
+    return np.split(ids[order], np.searchsorted(who[order], np.arange(1, n)))
 
 
 FOUND = T.StructType([T.StructField("raw", T.BinaryType()), T.StructField("dim", T.IntegerType()), T.StructField("filters", T.ArrayType(T.IntegerType()))])
@@ -109,77 +127,54 @@ def described(vector: Column, single: bool, n_tables: int, code: int, wanted: fl
     return describe(vector)
 
 
-def shared_before(lists: list[np.ndarray], current: int) -> np.ndarray:
-    """Which pairs share a filter less than ``current``."""
-    who = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    ids = np.concatenate(lists)
-    who, ids = who[ids < current], ids[ids < current]
-    names, place = np.unique(ids, return_inverse=True)
-    out = np.zeros((len(lists), len(lists)), np.float32)
-    for at in range(0, len(names), 2048):
-        marks = np.zeros((len(lists), 2048), np.float32)
-        here = (place >= at) & (place < at + 2048)
-        marks[who[here], place[here] - at] = 1
-        out += marks @ marks.T
-    return out > 0
-
-
-def verified(members: DataFrame, cosine: float, block: int, single: bool) -> DataFrame:
-    """``(node, partners, root)`` from members ``(node, group, filter, copies, raw, filters)`` of each filter and label."""
-    dealt = spread(members, "bucket", block)
-    width = max(partitions(members) * 8, 64)
+def linking(cosine: float, single: bool) -> Callable[[list[bytes], list[bytes] | None], np.ndarray]:
+    """Which vectors, as bytes of one length each, link."""
     kind = np.float32 if single else np.float64
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby(["bucket", "_i", "_j"], sort=False):
-            if len(part) < 2:
-                continue
-            vectors = np.stack([np.frombuffer(x, kind) for x in part["raw"]]).astype(np.float64)
-            vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
-            links = vectors @ vectors.T >= cosine
-            np.fill_diagonal(links, False)
-            if part["_i"].iat[0] != part["_j"].iat[0]:
-                links &= part["_b"].to_numpy()[:, None] != part["_b"].to_numpy()[None, :]
-            has = np.flatnonzero(links.any(1))
-            if not len(has):
-                continue
-            nodes, copies = part["node"].to_numpy()[has], part["copies"].to_numpy()[has]
-            order = np.argsort(nodes)
-            nodes, copies, has = nodes[order], copies[order], has[order]
-            links = links[np.ix_(has, has)]
-            filters = part["filters"].to_numpy()[has]
-            first = links & ~shared_before(list(filters), int(part["filter"].iat[0]))
-            out.append(pd.DataFrame({"node": nodes, "partners": first @ copies, "root": nodes[forest(links)]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "partners": [], "root": []}).astype("int64")
-
-    slot = F.pmod(F.xxhash64("bucket", "_i", "_j"), F.lit(width))
-    return dealt.withColumn("_s", slot).groupBy("_s").applyInPandas(work, "node long, partners long, root long")
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, n_tables: int = TABLES, code: int = CODE, wanted: float = WANTED, block: int = BLOCK) -> DataFrame:
+    def unit(raw: list[bytes]) -> np.ndarray:
+        vectors = np.stack([np.frombuffer(x, kind) for x in raw]).astype(np.float64)
+        return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+
+    def link(left: list[bytes], right: list[bytes] | None) -> np.ndarray:
+        one = unit(left)
+        return one @ (one if right is None else unit(right)).T >= cosine
+
+    return link
+
+
+def code_for(vectors: int) -> int:
+    """Code words of a half: the least power of 2 whose square is the number of vectors, within the limits."""
+    return int(min(max(1 << ((max(vectors, 1) - 1).bit_length() + 1) // 2, LEAST_CODE), MOST_CODE))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, n_tables: int = TABLES, code: int | None = None, wanted: float = WANTED, block: int = BLOCK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``: one row per row of ``vectors`` (vec_id, embedding, label).
 
     Vectors of one label, not null, link if their cosine in double precision is at least ``cosine``. ``n_links``: other vectors
     linked directly, equal ones included; ``component_id``: the least vec_id reachable by links; ``kept``: whether that is the
     row's own. Null, empty and zero vectors, those with null or non-finite components, of unequal lengths and with a null label link with
-    nothing. ``vec_id`` is the key: a repeated row counts as a copy; a row with a null id comes back with no component.
+    nothing. A repeated row counts as a copy; rows that share an id but not a vector are vectors of their own; a row with a null id comes back with no component.
     """
     kind = vectors.schema["embedding"].dataType.elementType
     single = isinstance(kind, T.FloatType)
     cast = F.col("embedding").cast("array<float>" if single else "array<double>")
-    base = vectors.select("vec_id", "label", described(cast, single, n_tables, code, wanted).alias("_v")).select("vec_id", "label", "_v.*")
+    code = code or code_for(vectors.count())
+    base = vectors.select("vec_id", F.col("label").cast("string").alias("label"), described(cast, single, n_tables, code, wanted).alias("_v")).select("vec_id", "label", "_v.*")
     whole = F.col("raw").isNotNull() & F.col("label").isNotNull()
-    base = written(base.withColumn("key", F.when(whole, F.md5(F.concat(F.col("raw"), F.encode(F.col("label").cast("string"), "utf-8"))))), "vectors")
-    classes = written(base.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
-    reps = base.join(classes.withColumnRenamed("node", "vec_id"), ["key", "vec_id"]).dropDuplicates(["key"])
-    bucket = F.xxhash64("label", "dim", "filter")
-    members = reps.select(F.col("vec_id").alias("node"), "label", "dim", "copies", "raw", "filters", F.explode("filters").alias("filter")).withColumn("bucket", bucket).drop("label", "dim")
-    found = written(verified(members, cosine, block, single), "links")
+    base = written(base.withColumn("name", F.when(whole, F.md5(F.concat("raw", F.encode("label", "utf-8"))))), "vectors")
+    fine = base.where("name is not null and vec_id is not null")
+    classes = fine.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("node", F.xxhash64("name")), "classes")
+    # of each class the filters of one row: its least id's
+    chosen = fine.join(classes.select("name", F.col("rep").alias("vec_id"), "node", "copies"), ["name", "vec_id"])
+    pairs = stars(chosen.select("label", "dim", "node", F.explode("filters").alias("filter")).select(F.xxhash64("label", "dim", "filter").alias("key"), "node").distinct())
+    content = chosen.join(pairs.select("node").distinct(), "node", "left_semi").dropDuplicates(["name"]).select("node", "copies", "name", "raw")
+    found = written(verified(pairs, content, linking(cosine, single), block), "links")
     partners = found.groupBy("node").agg(F.sum("partners").alias("partners"))
-    groups = components(found.where("node <> root"), "node", "root").withColumnRenamed("component", "_component")
-    of_class = classes.join(partners, "node", "left").join(groups, "node", "left")
-    joined = base.select("vec_id", "key").join(of_class, "key", "left")
+    groups = components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "name")
+    least = groups.join(groups.join(classes.select("name", "rep"), "name").groupBy("component").agg(F.min("rep").alias("_component")), "component")
+    of_class = classes.join(partners.withColumnRenamed("node", "name"), "name", "left").join(least.select("name", "_component"), "name", "left").select("name", "rep", "copies", "partners", "_component")
+    joined = base.select("vec_id", "name").join(of_class, "name", "left")
     links = F.when(F.col("vec_id").isNull() | F.col("copies").isNull(), F.lit(0)).otherwise(F.coalesce("partners", F.lit(0)) + F.col("copies") - 1)
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_component", "node", "vec_id"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_component", "rep", "vec_id"))
     return joined.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
