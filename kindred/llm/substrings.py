@@ -1,15 +1,16 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-The index keeps fingerprints of past text in immutable runs, each a Parquet table bucketed and
-sorted by fingerprint. A batch of new documents is merge-joined with every run (the sorted run needs no
-shuffle), matches are verified, the batch is appended as a run, and when ``FAN`` runs have gathered they are merged into one.
+The index keeps fingerprints of past text in immutable runs, each a folder of Parquet files sorted by fingerprint, named by a manifest, so that
+a later session goes on where one ended. A batch of new documents is merge-joined with the runs, matches are verified, the batch is
+appended as a run, and ``FAN`` runs of one tier are merged into one of the next.
 
 Not every window is stored. Among the ``WINDOW - GRAM + 1`` hashes of the ``GRAM``-word grams of a window the
 least is its anchor, so equal windows have equal anchors, and a run needs only the places of anchors, about a
 seventh of all words. Where an anchor matches, the windows around it are made again from the whole texts
 on both sides and compared by two independent 64-bit hashes; that verification is exact but for hash collisions
-of 128 bits. Whole copies of a document are set aside before: all their windows start earlier.
+of 128 bits. Only texts that share an anchor are read again. Whole copies of a document are set aside before: all their windows start earlier.
 
+A fingerprint that very many documents share is dealt to files by fingerprint and document, and counted before it is joined, so no task gathers it.
 Texts are compressed and dealt by doc_id once, to a bucketed table, so no later step shuffles text again.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import new_path, small_batches, written
+from kindred.llm.shared import deleted, exists, new_path, new_table, partitions, written
 
 WINDOW = 20
 GRAM = 8
-FAN = 2
-BATCHES = 3
+FAN = 4
+BATCHES = 2
+#: How many files the rows of one fingerprint are spread over at most.
+SPREAD = 64
 ANCHORS = T.ArrayType(T.StructType([T.StructField("fp", T.LongType()), T.StructField("pos", T.IntegerType())]))
 ARROW_ANCHORS = pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())]))
 WINDOWS = T.ArrayType(T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("again", T.BooleanType())]))
@@ -170,39 +174,64 @@ def kept(frame: Column, starts: Column, copy: Column, window: int = WINDOW) -> C
     return cut(frame, starts, copy)
 
 
-def bucketed(rows: DataFrame, key: str, buckets: int, name: str, sort: bool = False) -> str:
+def bucketed(rows: DataFrame, key: str, buckets: int, name: str) -> str:
     """A table in the shared folder, bucketed by ``key``: joins on it need no shuffle of its rows."""
-    table = f"kindred_{name}_{uuid.uuid4().hex}"
-    writer = rows.write.bucketBy(buckets, key)
-    (writer.sortBy(key) if sort else writer).option("path", new_path(rows.sparkSession, name)).saveAsTable(table)
+    table = new_table(rows.sparkSession, name)
+    rows.write.bucketBy(buckets, key).option("path", new_path(rows.sparkSession, name)).saveAsTable(table)
     return table
 
 
+@dataclass(frozen=True)
+class Run:
+    """Sorted anchors ``(fp, doc_id, pos)`` in a folder; ``level`` counts the merges behind it."""
+
+    path: str
+    level: int
+
+
 class FingerprintLog:
-    """Anchors of all documents seen so far, in immutable runs ``(fp, doc_id, pos)``, each bucketed and sorted by ``fp``."""
+    """Anchors of all documents seen so far, in immutable runs. ``path`` is where an earlier session left a log, or where to begin one."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fan: int = FAN):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fan: int = FAN):
         self.spark, self.window, self.gram, self.fan = spark, window, gram, fan
-        self.runs: list[str] = []
-        self.buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def append(self, batch: DataFrame) -> str:
-        """The anchors of a batch ``(doc_id, frame)`` as a new run."""
+        self.path = path or new_path(spark, "log")
+        self.version, self.runs = 0, []
+        if exists(spark, f"{self.path}/manifest"):
+            rows = spark.read.parquet(f"{self.path}/manifest")
+            newest = rows.where(F.col("version") == rows.agg(F.max("version")).first()[0]).collect()
+            if (newest[0]["window"], newest[0]["gram"]) != (window, gram):
+                raise ValueError(f"the log at {self.path} has windows of {newest[0]['window']} words and grams of {newest[0]['gram']}")
+            self.version, self.runs = newest[0]["version"], [Run(f"{self.path}/{r['name']}", r["level"]) for r in newest if r["name"]]
+
+    def commit(self, runs: list[Run]) -> None:
+        """Names ``runs`` as the log in a new version of the manifest, then deletes runs that it no longer names. What dies before leaves the old version valid."""
+        self.version += 1
+        rows = [(r.path.rsplit("/", 1)[1], r.level, self.window, self.gram) for r in runs] or [(None, 0, self.window, self.gram)]
+        self.spark.createDataFrame(rows, "name string, level int, window int, gram int").coalesce(1).write.parquet(f"{self.path}/manifest/version={self.version}")
+        old, self.runs = set(self.runs) - set(runs), runs
+        for run in old:
+            deleted(self.spark, run.path)
+
+    def write(self, rows: DataFrame, level: int) -> Run:
+        run = Run(f"{self.path}/run-{uuid.uuid4().hex[:12]}", level)
+        rows.repartition(partitions(rows), "fp", F.pmod("doc_id", F.lit(SPREAD))).sortWithinPartitions("fp").write.parquet(run.path)
+        return run
+
+    def read(self, runs: list[Run]) -> DataFrame:
+        return self.spark.read.schema("fp long, doc_id long, pos int").parquet(*(r.path for r in runs))
+
+    def append(self, batch: DataFrame) -> Run:
+        """The anchors of a batch ``(doc_id, frame)`` as a new run; full tiers are merged."""
         rows = batch.select("doc_id", F.explode(anchors(F.col("frame"), self.window, self.gram)).alias("_a")).select("_a.fp", "doc_id", "_a.pos")
-        self.runs.append(bucketed(rows.repartition(self.buckets, "fp"), "fp", self.buckets, "run", sort=True))
-        return self.runs[-1]
+        run = self.write(rows, 0)
+        self.commit([*self.runs, run])
+        return run
 
     def compact(self) -> None:
-        """Merges the runs into one once there are ``fan`` of them."""
-        if len(self.runs) < self.fan:
-            return
-        old = self.runs
-        rows = reduce(DataFrame.union, [self.spark.table(x) for x in old])
-        self.runs = [bucketed(rows.repartition(self.buckets, "fp"), "fp", self.buckets, "run", sort=True)]
-        for name in old:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()[1])
-            self.spark.sql(f"drop table {name}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        """Merges the runs of a tier into one of the next while there are ``fan`` of them."""
+        while full := [level for level in {r.level for r in self.runs} if sum(r.level == level for r in self.runs) >= self.fan]:
+            old = [r for r in self.runs if r.level == full[0]]
+            self.commit([*(r for r in self.runs if r not in old), self.write(self.read(old), full[0] + 1)])
 
     def matches(self, batch: DataFrame) -> DataFrame:
         """``(doc_id, places)``: where the batch's anchors occur again in it or in a run, and where the runs have those anchors.
@@ -210,45 +239,48 @@ class FingerprintLog:
         Adds the batch to the log.
         """
         self.compact()
-        past = [self.spark.table(x) for x in self.runs]
-        new = self.spark.table(self.append(batch))
-        many = new.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        found = [new.join(many, "fp", "left_semi")]
-        for run in past:
-            found += [new.join(run.select("fp"), "fp", "left_semi"), run.join(new.select("fp"), "fp", "left_semi")]
-        return reduce(DataFrame.union, found).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+        past = self.runs
+        new = self.read([self.append(batch)])
+        often = new.groupBy("fp").agg(F.count("*").alias("n"))
+        if not past:
+            found = new.join(often.where("n > 1").select("fp"), "fp", "left_semi")
+        else:
+            old = self.read(past)
+            both = often.join(old.select("fp").distinct().withColumn("old", F.lit(True)), "fp", "left").where("n > 1 or old").select("fp")
+            found = new.join(both, "fp", "left_semi").union(old.join(both, "fp", "left_semi"))
+        return found.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
     def deduplicate(self, batch: DataFrame, seen: DataFrame, first: int | None) -> DataFrame:
         """``(doc_id, starts)`` of the batch: its windows whose words also start earlier, in a smaller doc_id or before in the same document.
 
         ``batch``, ``seen``: (doc_id, frame) of the batch, and of it with all that the log holds; past ids are less
-        than ``first``, the least id of the batch.
+        than ``first``, the least id of the batch. The result is lazy; the log is not.
         """
-        texts = seen.join(written(self.matches(batch), "matches"), "doc_id")
+        texts = seen.join(self.matches(batch), "doc_id")
         made = texts.select("doc_id", F.explode(windows_at(F.col("frame"), F.col("places"), self.window, self.gram)).alias("_w")).select("doc_id", "_w.*")
         made = written(made, "windows")
         least = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
         later = made.join(least, ["h1", "h2"], "left").where("again or doc_id > _first")
         if first is not None:
             later = later.where(F.col("doc_id") >= first)
-        return written(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "later")
+        return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
 
-def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """``documents`` with ``n_words``, ``n_removed`` and, in place of ``text``, the words left, joined by one space.
+def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, counts: tuple[str, str] | None = ("n_words", "n_removed")) -> DataFrame:
+    """``documents`` with, in place of ``text``, the words left, joined by one space, and their numbers before and removed in two columns named by ``counts``.
 
     Removes each word that is covered by a window of ``window`` words whose sequence also starts earlier: in a smaller
     doc_id, or in the same document at an earlier word. Documents pass through the log in ``batches`` batches in the order of
     doc_id. A null text has no words; a text of fewer words than a window loses none. ``doc_id`` is the key: if an id
     repeats, rows of the same text are one document, and words that one of the rows loses are lost in the others at the same places; rows with a null id
-    come back whole.
+    come back whole. Other columns, whatever their names, come back as they are, but for one named in ``counts``, which is replaced.
     """
     spark = documents.sparkSession
-    small_batches(spark)
-    log = FingerprintLog(spark, window, gram)
+    log, buckets = FingerprintLog(spark, None, window, gram), max(8, partitions(documents))
     rest = [c for c in documents.columns if c != "text"]
-    whole = documents.select(*rest, F.md5(F.coalesce("text", F.lit(""))).alias("_key"), compressed(F.col("text")).alias("_frame"))
-    held = spark.table(bucketed(whole.repartition(log.buckets, "doc_id"), "doc_id", log.buckets, "texts"))
+    row = F.struct(*(F.col(c) for c in rest)).alias("_row")
+    whole = documents.select("doc_id", row, F.md5(F.coalesce("text", F.lit(""))).alias("_key"), compressed(F.col("text")).alias("_frame"))
+    held = spark.table(bucketed(whole.repartition(buckets, "doc_id"), "doc_id", buckets, "texts"))
     ids = held.where("doc_id is not null").select("doc_id", "_key")
     first_of = ids.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     copies = written(ids.join(first_of, "_key").where("doc_id > _first").select("doc_id").distinct().withColumn("_copy", F.lit(True)), "copies")
@@ -261,7 +293,9 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
         found.append(log.deduplicate(batch, seen, None if low is None else low + 1))
     gone = reduce(DataFrame.union, found).join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_gone")
     done = held.join(gone, held["doc_id"] == gone["_gone"], "left").withColumn("_kept", kept(F.col("_frame"), F.col("starts"), F.col("_copy"), window))
-    return done.select(*(F.col("_kept.kept_text").alias("text") if c == "text" else held[c] for c in documents.columns), "_kept.n_words", "_kept.n_removed")
+    added = {name: F.col(f"_kept.{kind}").alias(name) for name, kind in zip(counts or (), ("n_words", "n_removed"), strict=False)}
+    columns = [F.col("_kept.kept_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in documents.columns if c not in added]
+    return done.select(*columns, *added.values())
 
 
 def digest(documents: DataFrame) -> DataFrame:
