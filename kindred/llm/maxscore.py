@@ -1,18 +1,20 @@
 """Exact top-k search by MaxScore over shards of quantised vectors.
 
-Every component, split by sign, is a term with a posting list; a query's terms have score bounds in each shard.
-Terms are ordered by bound; those whose bounds together stay below the k-th best score so far are
-non-essential. Only the postings of essential terms yield candidates; the other terms are probed, largest bound
-first, for the candidates that are still competitive. Scores are integers, so the result is exact.
-
-Queries come in blocks and rows in shards; each pair of them is one group, whose size is bounded, and gives at most k
-rows a query. Shards are merged by rank.
+Every component, by the sign that a query gives it, is a term; its posting list holds a shard's rows from the highest contribution
+down, cut into tiers, each with a bound: what the rows behind it can contribute at most. Tiers are essential from the top down until
+the bounds behind them, summed over the terms, stay below the k-th best score so far. Only the postings of essential tiers are traversed and
+add to a row's partial score; the other components are probed, widest first, for the rows that are still competitive.
+A look at the first tier of all terms gives the threshold a start. Scores are integers, so the result is exact.
+
+Rows are dealt to shards once; queries go to every shard and stream past its index in batches, so no task holds all queries of a shard, and gives
+at most k rows a query. Shards are merged by rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,14 @@ from kindred.llm.shared import partitions, written
 TOP = 5
 SCALE = 256
 EVERY = 50
-#: Rows of a shard and queries of a block, on average.
-SHARD, QUERIES = 8192, 1024
+#: Rows of a shard, on average.
+SHARD = 8192
+#: Where the tiers of a posting list end, as shares of its rows.
+TIERS = np.array([0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1])
+#: The tier that all terms are traversed to at first.
+FIRST = 2
+#: Components that are probed between two looks at the threshold.
+PROBED = 8
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -45,52 +53,93 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
 
 
 class Shard:
-    """Inverted lists of the signed terms of some rows, in the order of their ids."""
+    """Impact-ordered posting lists of some rows of one length, in the order of their ids. ``touched``: contributions that were added up so far, of ``full``."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.columns = np.ascontiguousarray(self.rows.T)
-        self.high, self.low = self.rows.max(0), self.rows.min(0)
-        self.postings = {(term, sign): np.flatnonzero(column * sign > 0) for term, column in enumerate(self.columns) for sign in (1, -1)}
+        n = len(ids)
+        self.up = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32).T
+        self.sorted = np.take_along_axis(self.rows.T, self.up, axis=1).astype(np.float64)
+        self.ends = np.unique(np.ceil(TIERS * n).astype(np.int64))
+        # bounds behind each tier; behind the last one nothing is left, and the least contribution is what every row has
+        last = np.minimum(self.ends, n - 1)
+        self.behind = {1: self.sorted[:, n - 1 - last], -1: -self.sorted[:, last]}
+        self.touched = self.full = 0
+
+    def traversed(self, query: np.ndarray, begin: np.ndarray, end: np.ndarray, partial: np.ndarray) -> None:
+        """Adds to each row's partial score what the postings from tier ``begin`` to tier ``end`` of each term contribute."""
+        terms = np.flatnonzero(end > begin)
+        if not len(terms):
+            return
+        n, where, what = len(self.ids), [], []
+        for t in terms:
+            a, b = self.ends[begin[t]], self.ends[end[t]]
+            part = slice(n - b, n - a) if query[t] > 0 else slice(a, b)
+            where.append(self.up[t, part])
+            what.append(self.sorted[t, part] * query[t])
+            self.touched += b - a
+        partial += np.bincount(np.concatenate(where), np.concatenate(what), minlength=n)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k rows but those with the query's id; of equal scores the smaller ids."""
-        bounds = np.maximum(np.maximum(query * self.high, query * self.low), 0)
-        order = np.argsort(-bounds, kind="stable")
-        least = np.minimum(np.minimum(query * self.high, query * self.low), 0)
-        rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0]])
-        floor = np.concatenate([np.cumsum(least[order][::-1])[::-1], [0]])
+        n, d = self.rows.shape
         others = self.ids != own
-        n = int(others.sum())
-        if n <= k or not len(query):
+        self.full += n * d
+        if others.sum() <= k or not d or not query.any():
             keep = np.flatnonzero(others)
             return self._best(keep, self.rows[keep] @ query, k)
-        partial = np.zeros(len(self.ids), np.int64)
-        seen = np.zeros(len(self.ids), bool)
-        taken, threshold = 0, None
-        # essential terms: until the bounds of those left can't reach the k-th best lower bound
-        while taken < len(order) and (threshold is None or rest[taken] >= threshold):
-            for term in order[taken : taken + 8]:
-                partial += query[term] * self.columns[term]
-                for sign in (1, -1):
-                    if query[term] * sign > 0:
-                        seen[self.postings[term, sign]] = True
-            taken = min(taken + 8, len(order))
-            lower = (partial + floor[taken])[others]
-            threshold = int(np.partition(lower, len(lower) - k)[len(lower) - k])
-        keep = np.flatnonzero(others & (seen if threshold is not None and rest[taken] < threshold and threshold > 0 else True))
-        score = partial[keep]
-        # probe the non-essential terms of what is still competitive
-        while taken < len(order):
-            good = score + rest[taken] >= threshold
-            keep, score = keep[good], score[good]
-            for term in order[taken : taken + 8]:
-                score = score + query[term] * self.columns[term][keep]
-            taken = min(taken + 8, len(order))
-            if len(score) > k:
-                threshold = max(threshold, int(np.partition(score, len(score) - k)[len(score) - k]) + int(floor[taken]))
-        return self._best(keep, score, k)
+        size = np.abs(query).astype(np.float64)
+        bounds = np.where((query > 0)[:, None], self.behind[1], self.behind[-1]) * size[:, None]
+        tiers = bounds.shape[1] - 1
+        none, first = np.zeros(d, np.int64), np.where(size > 0, min(FIRST, tiers), 0)
+        partial = np.zeros(n)
+        self.traversed(query, none, first, partial)
+        seen = np.flatnonzero(others & (partial != 0)) if (partial[others] != 0).sum() >= k else np.flatnonzero(others)
+        tried = seen[np.argpartition(-partial[seen], min(4 * k, len(seen) - 1))[: 4 * k]]
+        exact = self.rows[tried] @ query
+        self.touched += d * len(tried)
+        threshold = np.partition(exact, len(exact) - k)[len(exact) - k]
+        level = self.essential(bounds, first, threshold)
+        self.traversed(query, first, level, partial)
+        # an upper bound of each row's score: what was added up, and of the other terms the bound behind the tier reached
+        behind = bounds[np.arange(d), level]
+        upper = partial + behind.sum()
+        for t in np.flatnonzero((level > 0) & (level < tiers)):
+            part = self.up[t, n - self.ends[level[t]] :] if query[t] > 0 else self.up[t, : self.ends[level[t]]]
+            upper[part] -= behind[t]
+        done = (level == tiers) & (size > 0)
+        upper -= behind[done].sum()
+        slack = 1e-9 * (np.abs(upper).max() + size.max() * np.abs(self.sorted).max() * d) + 0.5
+        keep = np.flatnonzero(others & (upper >= threshold - slack))
+        rank, upper = keep, upper[keep]
+        # probe what isn't known yet, the widest terms first, while a row is competitive
+        width = (bounds[:, 0] + np.where(query > 0, -self.sorted[:, 0], self.sorted[:, -1]) * size) * ~done
+        order = np.argsort(-width, kind="stable")[: int((width > 0).sum())]
+        for at in range(0, len(order), PROBED):
+            if len(rank) <= 4 * k:
+                break
+            for t in order[at : at + PROBED]:
+                value = self.rows[rank, t] * float(query[t])
+                upper += np.minimum(value - behind[t], 0)
+                self.touched += len(rank)
+            good = upper >= threshold - slack
+            rank, upper = rank[good], upper[good]
+        self.touched += d * len(rank)
+        return self._best(rank, self.rows[rank] @ query, k)
+
+    def essential(self, bounds: np.ndarray, least: np.ndarray, threshold: float) -> np.ndarray:
+        """For each term the tier to traverse to, ``least`` at least: those that lower the sum of bounds most for their postings, until it is below the threshold."""
+        gain = np.maximum(bounds[:, :-1] - bounds[:, 1:], 0)
+        gain[np.arange(gain.shape[1])[None, :] < least[:, None]] = 0
+        rate = np.minimum.accumulate(np.where(np.arange(gain.shape[1])[None, :] < least[:, None], np.inf, gain / np.diff(self.ends)), axis=1)
+        terms, steps = np.nonzero(np.isfinite(rate) & (rate > 0))
+        order = np.lexsort((steps, -rate[terms, steps]))
+        left = bounds[np.arange(len(bounds)), least].sum() - np.cumsum(gain[terms[order], steps[order]])
+        taken = order[: int(np.searchsorted(-left, -threshold, side="right")) + 1]
+        level = least.copy()
+        np.maximum.at(level, terms[taken], steps[taken] + 1)
+        return level if bounds[np.arange(len(bounds)), least].sum() >= threshold else least
 
     def _best(self, keep: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(score) > k:
@@ -100,38 +149,53 @@ class Shard:
         return self.ids[keep[best]], score[best]
 
 
-def top_scores(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Batches (shard, dim, asks, vec_id, raw), sorted by the first three, so that a shard's rows come before its queries."""
+    current, rows, held = None, [], None
+    for batch in batches:
+        shard, dim, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        edges = np.flatnonzero((np.diff(shard) != 0) | (np.diff(dim) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+        for at, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(shard)]]), strict=True):
+            if at == end:
+                continue
+            if current != (shard[at], dim[at]):
+                current, rows, held = (shard[at], dim[at]), [], None
+            ids = batch.column(3).slice(at, end - at).to_numpy()
+            data = np.frombuffer(b"".join(batch.column(4).slice(at, end - at).to_pylist()), "<i8").reshape(end - at, -1)
+            if not asks[at]:
+                rows.append((ids, data))
+                continue
+            if held is None:
+                if not rows:
+                    continue
+                held, rows = Shard(*(np.concatenate(x) for x in zip(*rows, strict=True))), []
+            found = [(i, *held.top(q, i, k)) for i, q in zip(ids, data, strict=True)]
+            asked = np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(asked), *(pa.array(np.concatenate([x[j] for x in found]).astype(np.int64)) for j in (1, 2))], schema=FOUND)
+
+
+def top_scores(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, shard: int = SHARD) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest inner products of the quantised vectors of each query with all others.
 
     Queries are the rows whose vec_id is divisible by ``every``; a query's own id is no candidate. Ties go to the smaller
     vec_id; with fewer candidates all are returned. Null, empty and non-finite vectors and null ids take no part; vectors
-    of another length than the query's are no candidates; a repeated row is one candidate, and asks once.
+    of another length than the query's are no candidates; a repeated row is one candidate, and asks once. An id with several vectors asks with all of
+    them, and its k best scores are those of all.
     """
     base = vectors.where("vec_id is not null").select("vec_id", quantised(F.col("embedding").cast("array<double>"), scale).alias("raw"))
     base = written(base.where("raw is not null").dropDuplicates(["vec_id", "raw"]), "quantised").withColumn("dim", F.length("raw"))
-    asked = base.where(F.col("vec_id") % every == 0)
-    rows, asks = (x.count() for x in (base, asked))
-    shards, blocks = max(1, -(-rows // shard)), max(1, -(-asks // queries))
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")
-    every_block, every_shard = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, shards))
-    left = asked.select("vec_id", "raw", "dim", block.alias("block"), every_shard.alias("shard"), F.lit(True).alias("asks"))
-    right = base.select("vec_id", "raw", "dim", number.alias("shard")).select("vec_id", "raw", "dim", every_block.alias("block"), "shard", F.lit(False).alias("asks"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        asks = pdf["asks"].to_numpy()
-        data = [np.frombuffer(x, "<i8") for x in pdf["raw"]]
-        ids = pdf["vec_id"].to_numpy()
-        rows, wanted = np.flatnonzero(~asks), np.flatnonzero(asks)
-        if len(rows) and len(wanted):
-            held = Shard(ids[rows], np.stack([data[i] for i in rows]))
-            for i in wanted:
-                found, score = held.top(data[i], int(ids[i]), k)
-                out.append(pd.DataFrame({"query_id": ids[i], "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    found = left.unionByName(right).repartition(max(partitions(vectors), min(shards * blocks, 4096)), "block", "shard", "dim")
-    found = found.groupBy("block", "shard", "dim").applyInPandas(search, "query_id long, vec_id long, score long")
+    shards = max(1, -(-base.count() // shard))
+    columns = ["shard", "dim", "asks", F.col("vec_id").cast("long").alias("vec_id"), "raw"]
+    held = base.withColumns({"shard": F.pmod(F.xxhash64("vec_id", "raw"), F.lit(shards)).cast("int"), "asks": F.lit(False)})
+    asked = base.where(F.col("vec_id") % every == 0).withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "asks": F.lit(True)})
+    both = held.select(*columns).unionByName(asked.select(*columns)).repartition(max(partitions(vectors), min(shards, 10_000)), "shard")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return searched(batches, k)
+
+    found = both.sortWithinPartitions("shard", "dim", "asks").mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
