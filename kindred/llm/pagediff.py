@@ -1,18 +1,19 @@
 """HTML extraction by differencing each page with its nearest URL.
 
 The distinct pages of hosts are sorted by host and path over range partitions, so a frequent host is cut into ranges, and the
-neighbours of a page in that order are its nearest URLs. Text lines of a page and of the nearer
-neighbour are aligned by their longest common subsequence; shared lines are the site's, not the page's.
+neighbours of a page in that order are its nearest URLs. Text lines of every page and of the nearer
+neighbour are aligned by their longest common subsequence; shared lines are taken for the site's, not the page's.
 
-The markup narrows what differencing decides. Lines in menus, headers, footers, sidebars, notices, adverts, forms
-and comments go without a partner, as such lines may differ between pages. Lines in an element that a page declares as
-its article stay though shared, as articles share passages. Where no article is declared, differencing alone decides.
+The markup says of some lines what they are, and where it speaks and the two disagree it decides, by this rule. Lines in menus, headers, footers,
+sidebars, notices, adverts, forms and comments go though the neighbour lacks them, as such lines may differ between pages. Lines in an element that
+a page declares as its article stay though shared, as articles share passages, and then no other line stays. Lines of which the markup says nothing
+stay if differencing finds them in this page alone.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections.abc import Iterator
 from hashlib import md5
 from html import unescape
 from os.path import commonprefix
@@ -44,11 +45,10 @@ SITE_WORDS = frozenset(
 ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 WRAPPING = frozenset("wrap wrapper container layout page has with no without".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
-ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+TAG = re.compile(r"</?([a-z][^\s/>]*+)", re.IGNORECASE)
+PLAINLY = re.compile(r"[^<>\"']*+")
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW.split()}
+ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 EMPTY_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.IGNORECASE)
@@ -80,72 +80,153 @@ def kind_of(tag: str, attrs: str, kind: int, nested: bool = False) -> int:
     return ARTICLE if declared else kind
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(text before it, tag, attributes) of every tag in one forward scan; a tag of "" is a comment, a declaration or a raw element, "/p" an end.
+
+    A tag runs to the next ">" outside quotes. One that meets a "<" before is text up to there. A quote that isn't closed quotes nothing. A comment or raw
+    element that isn't closed takes the rest of the page.
+    """
+    at = begin = 0
+    last, quotes = html.rfind(">"), {q: html.rfind(q) for q in "\"'"}
+    vector = 0  # open svg and math elements, in which raw names may close themselves
+    while (start := html.find("<", at)) >= 0 and start <= last:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            yield html[begin:start], "", ""
+            if end < 0:
+                return
+            at = begin = end + 3
+            continue
+        if html.startswith(("<!", "<?"), start):
+            yield html[begin:start], "", ""
+            at = begin = html.find(">", start) + 1
+            continue
+        named = TAG.match(html, start)
+        if not named:
+            at = start + 1
+            continue
+        here = named.end()
+        while True:
+            here = PLAINLY.match(html, here).end()
+            c = html[here : here + 1]
+            if c not in ("\"", "'"):
+                break
+            here = html.find(c, here + 1) + 1 if quotes[c] > here else here + 1
+        if c != ">":
+            at = max(here, start + 1)
+            if not c:
+                break
+            continue
+        name, attrs = named[1].lower(), html[named.end() : here]
+        tag = "/" + name if html[start + 1] == "/" else name
+        at = here + 1
+        if name in ("svg", "math"):
+            vector = max(vector + (1 if tag == name and not attrs.endswith("/") else -1 if tag != name else 0), 0)
+        if tag in CLOSING and not (vector and attrs.endswith("/")):
+            yield html[begin:start], "", ""
+            end = CLOSING[tag].search(html, at)
+            at = begin = html.find(">", end.end()) + 1 if end else 0
+            if not at:
+                return
+            continue
+        yield html[begin:start], "" if tag in CLOSING else tag, attrs
+        begin = at
+    yield html[begin:], "", ""
+
+
+class Elements:
+    """The open elements: their kinds, the region each belongs to, and where those of a name stand, so that no look-up walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.unseen: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.stack)
+
+    def kind(self, place: int = -1) -> int:
+        return self.stack[place][1] if self.stack and place >= -1 else PLAIN
+
+    def region(self) -> int:
+        return self.stack[-1][2] if self.stack else PLAIN
+
+    def push(self, name: str, kind: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if kind == UNSEEN:
+            self.unseen.append(len(self.stack))
+        self.stack.append((name, kind, self.region() if kind == UNSEEN else kind))
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            name, kind, _ = self.stack.pop()
+            self.places[name].pop()
+            if kind == UNSEEN:
+                self.unseen.pop()
+
+    def last(self, *names: str) -> int:
+        """Where the innermost element of these names stands, or -1."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def first(self, *names: str) -> int:
+        """Where the outermost element of these names stands, or -1."""
+        return min((self.places[x][0] for x in names if self.places.get(x)), default=-1)
+
+
 def lines_of(html: str) -> list[tuple[str, int]]:
     """(text, kind) of every block of text, in page order; white space is one space, character references are decoded."""
     lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
     part: list[str] = []
-    kind, at = PLAIN, 0
-
-    def region() -> int:
-        return next((k for _, k in reversed(stack) if k != UNSEEN), PLAIN)
+    elements = Elements()
 
     def flush() -> None:
         text = " ".join(unescape("".join(part)).split())
         part.clear()
         if text:
-            lines.append((text, region()))
+            lines.append((text, elements.region()))
 
     def close(place: int) -> None:
-        nonlocal kind
-        below = stack[place - 1][1] if place else PLAIN
-        if below not in (UNSEEN, region()):
+        below = elements.kind(place - 1) if place else PLAIN
+        if below not in (UNSEEN, elements.region()):
             flush()
-        del stack[place:]
-        kind = below
-
-    while m := TOKEN.search(html, at):
-        if kind != UNSEEN:
-            part.append(html[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+        elements.cut(place)
+
+    for text, tag, attrs in tokens(html):
+        if elements.kind() != UNSEEN:
+            part.append(text)
         if not tag:
-            if m["raw"]:
-                part.append(" ")
-                if html[m.start("inside") - 2] == "/" and any(name in ("svg", "math") for name, _ in stack):
-                    at = m.start("inside")
+            part.append(" ")
             continue
+        end, tag = tag[0] == "/", tag.removeprefix("/")
         if tag in BLOCKS:
             flush()
         elif tag == "br":
             part.append(" ")
-        if m["end"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
+        if end:
+            if (place := elements.last(tag)) >= 0:
                 close(place)
             continue
-        if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        if kind == UNSEEN and tag in BLOCKS:
-            place = next((i for i, (name, _) in enumerate(stack) if tag not in ENDED.get(name, BLOCKS)), None)
-            if place is not None and not any(name == "foreignobject" for name, _ in stack[place + 1 :]):
+        if elements.kind() == UNSEEN and tag in BLOCKS:
+            place = elements.first(*(name for name, inside in ENDED.items() if tag not in inside))
+            if place >= 0 and elements.last("foreignobject") <= place:
                 close(place)
         if tag in ("article", "main"):
-            place = next((i for i, (name, k) in enumerate(stack) if name in ("nav", "header") or k == UNSEEN), None)
-            if place is not None:
-                close(place)
+            found = [x for x in (elements.first("nav", "header"), elements.unseen[0] if elements.unseen else -1) if x >= 0]
+            if found:
+                close(min(found))
         elif tag in BLOCKS:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] == tag == "li"), None)
-            if place is not None and not any(name in ("ul", "ol", "div", "section", "article") for name, _ in stack[place + 1 :]):
+            place = elements.last("p", "li") if tag == "li" else elements.last("p")
+            if place >= 0 and elements.last("ul", "ol", "div", "section", "article") <= place:
                 close(place)
-        new = kind_of(tag, m["attrs"], kind, tag == "article" and any(name == tag for name, _ in stack))
+        kind = elements.kind()
+        new = kind_of(tag, attrs, kind, tag == "article" and elements.last(tag) >= 0)
         if new == UNSEEN != kind:
             part.append(" ")
         elif new != kind:
             flush()
-        kind = new
-        stack.append((tag, new))
-    part.append(html[at:] if kind != UNSEEN and not html[at:].startswith("<") else "")
+        elements.push(tag, new)
     flush()
     return lines
 
@@ -156,75 +237,87 @@ def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Of every prefix of ``b``, the empty one first, the length of its longest common subsequence with ``a``: row by row in the bits of one number."""
+    bits: dict[int, int] = {}
+    for j, x in enumerate(b):
+        bits[x] = bits.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & bits.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    packed = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(1 - np.unpackbits(packed, bitorder="little")[: len(b)].astype(np.int64))])
+
+
 def common(a: list[int], b: list[int]) -> np.ndarray:
-    """Which places of ``a`` a longest common subsequence with ``b`` uses (Hunt and Szymanski)."""
+    """Which places of ``a`` a longest common subsequence with ``b`` uses.
+
+    Lines that the other lacks and equal ends are set aside; the rest is halved again and again where the best subsequences of both halves meet, so
+    memory grows with the lines, not with their product.
+    """
     used = np.zeros(len(a), bool)
-    low, high = 0, min(len(a), len(b))
-    while low < high and a[low] == b[low]:
-        low += 1
-    tail = 0
-    while tail < high - low and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    used[:low] = True
-    used[len(a) - tail :] = True
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, low - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    nodes: list[tuple[int, object]] = []
-    for i in range(low, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                nodes.append(node)
-            elif j < ends[k]:
-                ends[k], nodes[k] = j, node
-    node = nodes[-1] if nodes else None
-    while node:
-        used[node[0]] = True
-        node = node[1]
+    both = set(a) & set(b)
+    work = [([i for i, x in enumerate(a) if x in both], [x for x in b if x in both])]
+    while work:
+        places, other = work.pop()
+        low, high = 0, min(len(places), len(other))
+        while low < high and a[places[low]] == other[low]:
+            low += 1
+        tail = 0
+        while tail < high - low and a[places[-1 - tail]] == other[-1 - tail]:
+            tail += 1
+        used[places[:low]] = True
+        used[places[len(places) - tail :]] = True
+        places, other = places[low : len(places) - tail], other[low : len(other) - tail]
+        if not places or not other:
+            continue
+        if len(places) == 1:
+            used[places[0]] = a[places[0]] in other
+            continue
+        half = len(places) // 2
+        ahead = prefix_lengths([a[i] for i in places[:half]], other)
+        behind = prefix_lengths([a[i] for i in places[:half - 1:-1]], other[::-1])[::-1]
+        cut = int(np.argmax(ahead + behind))
+        work += [(places[:half], other[:cut]), (places[half:], other[cut:])]
     return used
 
 
-PARSED = T.StructType([T.StructField("key", T.StringType()), T.StructField("article", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
-ARROW_PARSED = pa.struct([("key", pa.string()), ("article", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+PARSED = T.StructType([T.StructField("key", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("kinds", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
+ARROW_PARSED = pa.struct([("key", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
 
 def parsed(html: Column) -> Column:
-    """The declared article of each page, or null and the other lines with their places; the hashes of all lines, and a key that equal lists of them share."""
+    """The lines that may stay, of the declared article or else those of which the markup says nothing, with their places; the kinds and hashes of all lines, and a key that equal lists of them share."""
 
     @F.arrow_udf(returnType=PARSED)
     def parse(column: pa.Array) -> pa.Array:
         out = []
         for x in column:
             lines = lines_of(x.as_py() or "")
-            article = [text for text, kind in lines if kind == ARTICLE]
-            plain = [] if article else [(i, text) for i, (text, kind) in enumerate(lines) if kind == PLAIN]
+            wanted = ARTICLE if any(kind == ARTICLE for _, kind in lines) else PLAIN
+            may = [(i, text) for i, (text, kind) in enumerate(lines) if kind == wanted]
             hashes = np.array([hashed(t) for t, _ in lines], np.int64)
-            out.append({"key": md5(hashes.tobytes()).hexdigest(), "article": "\n\n".join(article) if article else None, "texts": [t for _, t in plain], "places": [i for i, _ in plain], "hashes": hashes.tolist()})
+            out.append({"key": md5(hashes.tobytes()).hexdigest(), "texts": [t for _, t in may], "places": [i for i, _ in may], "kinds": [k for _, k in lines], "hashes": hashes})
         return pa.array(out, ARROW_PARSED)
 
     return parse(html)
 
 
-def differenced(texts: Column, places: Column, hashes: Column, path: Column, near: Column) -> Column:
-    """The lines of ``texts`` that aren't shared with the page, of those in ``near``, whose path has the longest common start; joined by two line ends."""
+def shared_lines(hashes: Column, path: Column, near: Column) -> Column:
+    """Which lines are shared with the page, of those in ``near``, whose path has the longest common start; none without such a page."""
 
-    @F.arrow_udf(returnType=T.StringType())
-    def difference(texts: pa.Array, places: pa.Array, hashes: pa.Array, path: pa.Array, near: pa.Array) -> pa.Array:
+    @F.arrow_udf(returnType=T.ArrayType(T.BooleanType()))
+    def align(hashes: pa.Array, path: pa.Array, near: pa.Array) -> pa.Array:
         out = []
-        for t, p, h, at, n in zip(texts, places, hashes, path, near, strict=True):
-            lines, others = t.as_py(), [x for x in n.as_py() or [] if x]
-            if lines and others:
-                partner = max(others, key=lambda x: len(commonprefix([x["_path"], at.as_py()])))
-                shared = common(h.as_py(), partner["hashes"])
-                lines = [x for x, i in zip(lines, p.as_py(), strict=True) if not shared[i]]
-            out.append("\n\n".join(lines))
-        return pa.array(out, pa.string())
+        for h, at, n in zip(hashes.to_pylist(), path.to_pylist(), near.to_pylist(), strict=True):
+            others = [x for x in n or [] if x]
+            partner = max(others, key=lambda x: len(commonprefix([x["_path"], at]))) if others else {"hashes": []}
+            out.append(common(h, partner["hashes"]))
+        return pa.array(out, pa.list_(pa.bool_()))
 
-    return difference(texts, places, hashes, path, near)
+    return align(hashes, path, near)
 
 
 ORDER = ("_host", "_path", "key")
@@ -250,22 +343,27 @@ def beside(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_guest", F.lit(False)).union(guests).withColumn("near", F.array(*near)).where("not _guest").select("_host", "key", "near")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` of every page.
-
-    A null or empty html, and a page without text of its own, give the empty text. Pages of a host with the same lines are one page
-    when neighbours are sought, that of the least path, so copies are not differenced with each other, nor any page with one without text. A page whose host has no other page that
-    differs loses no line by differencing; pages without a URL have the empty host. Repeated rows get a row each.
-    """
+def aligned(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, texts, places, kinds, shared)`` of every page: the lines that may stay and their places, and of all lines their kinds by the markup and whether the nearest URL shares them."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
     keyed = pages.select("page_id", "url", host.alias("_host"), path.alias("_path"), parsed(F.col("html")).alias("_p"))
     lines = written(keyed.select("page_id", "url", "_host", "_path", "_p.*"), "lines")
-    declared, plain = lines.where("article is not null"), lines.where("article is null")
-    distinct = lines.where(F.size("hashes") > 0).join(plain.select("_host").distinct(), "_host", "left_semi").groupBy("_host", "key").agg(F.min(F.struct("_path", "hashes")).alias("_page"))
+    distinct = lines.where(F.size("hashes") > 0).groupBy("_host", "key").agg(F.min(F.struct("_path", "hashes")).alias("_page"))
     distinct = distinct.select("_host", "_page._path", "key", "_page.hashes").repartitionByRange(partitions(pages), *ORDER)
     near = beside(written(distinct.withColumn("_part", F.spark_partition_id()), "distinct"))
-    own = differenced(F.col("texts"), F.col("places"), F.col("hashes"), F.col("_path"), F.col("near"))
-    texts = declared.select("page_id", "url", F.col("article").alias("text")).union(plain.join(near, ["_host", "key"], "left").select("page_id", "url", own.alias("text")))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    shared = shared_lines(F.col("hashes"), F.col("_path"), F.col("near")).alias("shared")
+    return lines.join(near, ["_host", "key"], "left").select("page_id", "url", "texts", "places", "kinds", shared)
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` of every page.
+
+    A null or empty html, and a page without text of its own, give the empty text. Pages of a host with the same lines are one page
+    when neighbours are sought, that of the least path, so copies are not differenced with each other, nor any page with one without text. A page whose host has no other page that
+    differs loses no line by differencing; pages without a URL have the empty host. Repeated rows get a row each.
+    """
+    stays = lambda x: (F.element_at("kinds", x["places"] + 1) == ARTICLE) | ~F.element_at("shared", x["places"] + 1)
+    left = F.transform(F.filter(F.arrays_zip("texts", "places"), stays), lambda x: x["texts"])
+    return aligned(pages).select("page_id", "url", F.array_join(left, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
