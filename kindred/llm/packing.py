@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import partitions, small_batches, written
+from kindred.llm.shared import partitions, written
 
 SIZE = 4096
 END = 1
@@ -157,35 +157,45 @@ class Plan:
 
 
 class Complements:
-    """Sums of one, two and three available lengths. ``counts`` only fall, so the table of pair sums is a superset until renewed."""
+    """Which gaps one, two or three of the lengths that are left fill exactly. ``left`` is changed by who uses the index, and only falls between renewals."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.size = counts, len(counts) - 1
+    def __init__(self, left: np.ndarray):
+        self.left, self.size = left, len(left) - 1
         self.renew()
 
     def renew(self) -> None:
-        has = (self.counts > 0).astype(np.float64)
-        width = 1 << (2 * self.size).bit_length()
+        """Indexes the sums of two and of three lengths by convolution; a length that is left once is no pair with itself."""
+        has = (self.left > 0).astype(np.float64)
+        width = 1 << (3 * self.size).bit_length()
         spectrum = np.fft.rfft(has, width)
-        self.sums = np.fft.irfft(spectrum * spectrum, width)[: self.size + 1] > 0.5
-
-    def pair(self, gap: int, used: dict[int, int]) -> list[int] | None:
+        pairs = np.fft.irfft(spectrum * spectrum, width)[: self.size + 1]
+        once = np.flatnonzero(self.left == 1)
+        once = once[2 * once <= self.size]
+        pairs[2 * once] -= 1
+        self.pairs = pairs > 0.5
+        self.triples = np.fft.irfft(spectrum * np.fft.rfft(self.pairs.astype(np.float64), width), width)[: self.size + 1] > 0.5
+
+    def pair(self, gap: int) -> list[int] | None:
         low = np.arange(1, gap // 2 + 1)
-        good = low[(self.counts[low] > 0) & (self.counts[gap - low] > 0)]
-        return next((got for a in good[:8] if self.fits(got := [gap - int(a), int(a)], used)), None)
-
-    def fits(self, lengths: list[int], used: dict[int, int]) -> bool:
-        return all(self.counts[x] >= used.get(x, 0) + lengths.count(x) for x in lengths)
-
-    def find(self, gap: int, used: dict[int, int]) -> list[int] | None:
-        """Up to three lengths that fill the gap exactly."""
-        if self.counts[gap] > 0 and self.fits([gap], used):
+        good = (self.left[low] > 0) & (self.left[gap - low] > 0)
+        if gap % 2 == 0 and len(good):
+            good[-1] = self.left[gap // 2] > 1
+        return [gap - int(low[good.argmax()]), int(low[good.argmax()])] if good.any() else None
+
+    def find(self, gap: int) -> list[int] | None:
+        """Up to three lengths that fill the gap exactly, if there are such: all indexed candidates are tried."""
+        if self.left[gap] > 0:
             return [gap]
-        if found := self.pair(gap, used) if self.sums[gap] else None:
+        if self.pairs[gap] and (found := self.pair(gap)):
             return found
-        most = np.flatnonzero(self.counts[: gap - 1])[::-1]
-        for a in most[self.sums[gap - most]][:16]:
-            if (rest := self.pair(gap - int(a), used)) and self.fits([int(a), *rest], used):
+        if not self.triples[gap]:
+            return None
+        most = np.flatnonzero(self.left[: gap - 1] > 0)[::-1]
+        for a in most[self.pairs[gap - most]]:
+            self.left[a] -= 1
+            rest = self.pair(gap - int(a))
+            self.left[a] += 1
+            if rest:
                 return [int(a), *rest]
         return None
 
@@ -195,26 +205,25 @@ def compose(counts: np.ndarray, size: int = SIZE) -> list[tuple[int, list[int]]]
 
     From the longest piece on, a sequence is filled exactly by one, two or three lengths if there
     are such; else it takes the longest piece that fits, the best fit, and tries again. A composition is
-    repeated as often as its lengths last, so each uses up a length and their number is bounded by ``size``.
+    repeated as often as its lengths last, so each uses up a length, but for a rest smaller than it needs, and their number stays within a few times ``size``.
     """
     counts, out = counts.astype(np.int64).copy(), []
-    index = Complements(counts)
-    while len(left := np.flatnonzero(counts)):
-        if len(out) % 64 == 0:
-            index.renew()
-        lengths = [int(left[-1])]
-        used, gap = {lengths[0]: 1}, size - lengths[0]
-        while gap > 0:
-            found = index.find(gap, used)
-            if found is None:
-                fit = next((int(x) for x in reversed(left[: np.searchsorted(left, gap, side="right")]) if counts[x] > used.get(int(x), 0)), None)
-                found = [] if fit is None else [fit]
-            if not found:
-                break
+    index = Complements(counts.copy())
+    while len(rest := np.flatnonzero(counts)):
+        index.left[:] = counts
+        index.renew()
+        lengths, gap = [], size
+        found: list[int] | None = [int(rest[-1])]
+        while found:
             for x in found:
-                used[x] = used.get(x, 0) + 1
+                index.left[x] -= 1
             lengths += found
             gap -= sum(found)
+            found = None
+            if gap > 0 and not (found := index.find(gap)):
+                fit = np.flatnonzero(index.left[: gap + 1])
+                found = [int(fit[-1])] if len(fit) else None
+        used = {x: lengths.count(x) for x in set(lengths)}
         times = min(int(counts[x]) // n for x, n in used.items())
         for x, n in used.items():
             counts[x] -= n * times
@@ -265,6 +274,5 @@ def packed(documents: DataFrame, size: int = SIZE, path: str | None = None) -> D
     A null or empty text is the one id 1. Repeated rows and null ids are packed like any others;
     an empty table gives no rows.
     """
-    small_batches(documents.sparkSession)
     cut = documents.select("doc_id", F.explode(tokenized(F.col("text"), path or tokenizer_path(), size)).alias("_p")).select("doc_id", "_p.*")
     return placed(written(cut, "pieces"), size)
