@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 The model's parts are compiled once: the normaliser (a space put before the text, spaces written as
-U+2581), a trie of the pieces, and a fallback from characters without a piece to their UTF-8 bytes. For a
+U+2581; a model that specifies another one is refused), a trie of the pieces, and a fallback from characters without a piece to their UTF-8 bytes. For a
 byte-pair model the cost of a piece is not its own: a segmentation is the model's if and only if no two neighbours would have been
 merged otherwise. So the pieces are composed with an automaton whose states are pieces and whose arc from p to q
 weighs 0 if merging p + q alone gives p, q again, and infinity if not; arcs are compiled when first
@@ -12,6 +12,7 @@ words, and the paths of words seen before are remembered, a bounded number of th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import small_batches
 
 MARK = "▁"
-MEMO = 1 << 19
+#: Bytes of words and of their ids that are remembered at most, and the longest word that is.
+MEMO, LONGEST = 1 << 26, 64
 #: Compiled arcs that are kept at most.
 ARCS = 1 << 20
+#: What an entry takes beside its characters and ids.
+OVERHEAD = 160
 START, FALLBACK, NONE = -1, -2, -3
 EMPTY: dict[int, bool] = {}
 
@@ -37,6 +40,53 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message; fixed-width values come as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(data: bytes) -> None:
+    """Raises ValueError unless a model is a byte-pair one whose normaliser leaves characters as they are, marks every space and puts one before the text.
+
+    Those are what the transducer's normaliser is compiled for: other specifications would give other ids.
+    """
+    # fixed values of the model's format: numbers of fields, and what they mean where they are left out
+    model = dict(fields(data))
+    trainer, normaliser = dict(fields(model.get(2, b""))), dict(fields(model.get(3, b"")))
+    said = {
+        "model type": trainer.get(3, 1) == 2,
+        "byte fallback": trainer.get(35, 0) == 1,
+        "character map": not normaliser.get(2, b""),
+        "space before the text": normaliser.get(3, 1) == 1,
+        "extra white space": normaliser.get(4, 1) == 0,
+        "space marks": normaliser.get(5, 1) == 1,
+    }
+    wrong = [name for name, fine in said.items() if not fine]
+    if wrong:
+        raise ValueError(f"the transducer can't follow this model's {', '.join(wrong)}")
+
+
 class Transducer:
     """Texts to piece ids and back, for a byte-pair model with byte fallback and the identity as character map."""
 
@@ -44,6 +94,7 @@ class Transducer:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
+        check_model(model.serialized_model_proto())
         ids = range(model.get_piece_size())
         self.names = [model.id_to_piece(i) for i in ids]
         self.score = [model.get_score(i) for i in ids]
@@ -71,6 +122,7 @@ class Transducer:
         self.arcs: dict[int, dict[int, bool]] = {}
         self.compiled = 0
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """The model's merges: again and again the pair of neighbours whose union has the highest score, the leftmost of equals."""
@@ -133,9 +185,13 @@ class Transducer:
         return path[::-1]
 
     def learned(self, segment: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        ids = self.memo[segment] = np.array(self.shortest(segment), dtype="<u4").tobytes()
+        ids = np.array(self.shortest(segment), dtype="<u4").tobytes()
+        if len(segment) <= LONGEST:
+            if self.held >= MEMO:
+                self.memo.clear()
+                self.held = 0
+            self.memo[segment] = ids
+            self.held += 4 * len(segment) + len(ids) + OVERHEAD
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -198,7 +254,6 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     text, which equals the text but for U+2581, which comes back as a space. A null text counts as empty and has no ids;
     repeated rows and null ids get a row each.
     """
-    small_batches(documents.sparkSession)
     path = path or model_path()
     ids = documents.select("doc_id", encoded(F.coalesce("text", F.lit("")), path).alias("ids"))
     text = ids.select("doc_id", F.col("ids"), decoded(F.col("ids"), path).alias("decoded"))
