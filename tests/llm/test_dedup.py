@@ -9,7 +9,9 @@ import re
 import numpy as np
 import pytest
 
-from kindred.llm import capfilters, components, ngramjoin, substrings
+from pyspark.sql import functions as F
+
+from kindred.llm import capfilters, components, ngramjoin, shared, stars, substrings
 from kindred.llm import textwords as tw
 
 DOCS = "doc_id long, text string, lang string, rep string, n long"
@@ -106,15 +108,99 @@ def test_substring_dedup_odd_tables(spark, documents):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (7, 30)]
 
 
-def test_compaction_keeps_one_run(spark):
+def frames_of(spark, rows):
+    frames = spark.createDataFrame(rows, "doc_id long, text string")
+    return frames.select("doc_id", substrings.compressed(frames["text"]).alias("frame"))
+
+
+def test_compaction_by_tiers(spark):
     log = substrings.FingerprintLog(spark, fan=2)
-    frames = spark.createDataFrame([(i, " ".join(f"a{i}b{k}" for k in range(25))) for i in range(9)], "doc_id long, text string")
-    frames = frames.select("doc_id", substrings.compressed(frames["text"]).alias("frame"))
-    for low in (0, 3, 6):
+    frames = frames_of(spark, [(i, " ".join(f"a{i}b{k}" for k in range(25))) for i in range(15)])
+    for low in range(0, 15, 3):
         log.matches(frames.where(f"doc_id >= {low} and doc_id < {low + 3}")).collect()
-    assert len(log.runs) == 2
     log.compact()
-    assert len(log.runs) == 1 and spark.table(log.runs[0]).select("doc_id").distinct().count() == 9
+    assert sorted(r.level for r in log.runs) == [0, 2] and log.read(log.runs).select("doc_id").distinct().count() == 15
+    for run in log.runs:
+        for part in spark.read.parquet(run.path).select("fp", F.input_file_name().alias("f")).toPandas().groupby("f"):
+            assert part[1]["fp"].is_monotonic_increasing
+
+
+def test_log_goes_on_in_another_session(spark, texts):
+    """Two sessions, the second of which opens what the first left, give the rows of one run over all."""
+    docs = frames_of(spark, [(i, t) for i, t in enumerate(texts)])
+    cut = len(texts) // 2
+    first = substrings.FingerprintLog(spark, fan=2)
+    found = first.deduplicate(docs.where(f"doc_id < {cut}"), docs.where(f"doc_id < {cut}"), None).collect()
+    other = spark.newSession()
+    again = substrings.FingerprintLog(other, first.path, fan=2)
+    assert again.runs == first.runs
+    docs = frames_of(other, [(i, t) for i, t in enumerate(texts)])
+    found += again.deduplicate(docs.where(f"doc_id >= {cut}"), docs, cut).collect()
+    whole = substrings.FingerprintLog(spark)
+    docs = frames_of(spark, [(i, t) for i, t in enumerate(texts)])
+    once = whole.deduplicate(docs, docs, None).collect()
+    assert sorted((r.doc_id, sorted(r.starts)) for r in found) == sorted((r.doc_id, sorted(r.starts)) for r in once)
+    with pytest.raises(ValueError, match="windows of 20 words"):
+        substrings.FingerprintLog(spark, first.path, window=30)
+
+
+CLASHING = ["starts", "_key", "_frame", "_copy", "_kept", "n_words", "_row", "_first", "places", "score", "_score", "language", "_share", "_found", "row", "id", "key", "words", "rep", "node", "text_key", "copies"]
+
+
+@pytest.mark.parametrize("run", [substrings.without_repeats, ngramjoin.without_near_duplicates])
+def test_columns_that_clash(spark, run):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(1, text, *(["x"] * len(CLASHING))), (2, "other " + text + " more", *(["y"] * len(CLASHING))), (3, None, *([None] * len(CLASHING)))]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} string' for c in CLASHING)}")
+    got = run(frame)
+    assert [c for c in got.columns if c not in ("n_words", "n_removed")] == [c for c in frame.columns if c != "n_words"] or got.columns == frame.columns
+    assert {r["starts"] for r in got.collect()} <= {"x", "y", None} and got.count() in (2, 3)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two), (1, one), (4, three)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in ngramjoin.without_near_duplicates(frame).collect()) == [(1, one), (1, two), (4, three)]
+    got = sorted(tuple(r) for r in ngramjoin.near_duplicates(frame).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (1, 2, 1, True), (4, 0, 4, True)])
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in capfilters.near_duplicates(vectors).collect()) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_stars(spark):
+    keys = {"k1": [1, 2, 3], "k2": [3, 4], "k3": [5], "k4": [1, 2], "k5": [6, 7], "k6": [7, 6]} | {f"c{i}": [i, i + 1] for i in range(20, 60)}
+    pairs = {(a, b) for nodes in keys.values() for a in nodes for b in nodes}
+    rows = [(k, n) for k, nodes in keys.items() for n in nodes]
+    got = stars.stars(spark.createDataFrame(rows, "key string, node long")).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.node, set()).add(r.leader)
+    assert all(a == b or of[a] & of[b] for a, b in pairs) and 5 not in of and len(got) == len(set(got))
+    assert all((r.node, r.leader) in pairs for r in got), "a star's nodes share a key with its leader, so chains don't grow"
+
+
+def test_scratch_is_deleted(spark, documents):
+    with shared.scratch(spark):
+        before = [len(x) for x in shared._made(spark)]
+        substrings.digest(documents).count()
+        folders, tables = (list(x[n:]) for x, n in zip(shared._made(spark), before, strict=True))
+        assert folders and tables and all(shared.exists(spark, x) for x in folders)
+    assert not any(shared.exists(spark, x) for x in folders) and not any(spark.catalog.tableExists(x) for x in tables)
+
+
+def test_no_local_folder_stands_in_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(Session())
 
 
 def test_equal_windows_have_equal_anchors():
@@ -176,5 +262,6 @@ def test_cap_filter_recall():
     w = rng.normal(size=u.shape)
     w -= (w * u).sum(1, keepdims=True) * u
     v = 0.98 * u + np.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
-    a, b = (capfilters.decoded(x, capfilters.TABLES, capfilters.CODE, capfilters.WANTED) for x in (u, v))
-    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b, strict=True)]) >= 0.995
+    for code in (32, 256):
+        a, b = (capfilters.decoded(x, capfilters.TABLES, code, capfilters.WANTED) for x in (u, v))
+        assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b, strict=True)]) >= 0.995

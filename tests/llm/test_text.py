@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -40,22 +43,45 @@ def test_maxscore(spark, shard):
     rows = [(i, [float(x) for x in np.round(rng.normal(size=12), 1)]) for i in range(140)]
     rows += [(150, rows[0][1]), (151, rows[0][1]), (200, None), (201, [float("nan")] * 12), (202, [1.0, None]), (203, []), (250, [0.5, 0.25]), (251, [0.25, 0.5]), (300, [-1.0] * 12)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {tuple(r) for r in maxscore.top_scores(frame, every=10, shard=shard, queries=4).select("query_id", "rank", "vec_id", "score").collect()}
+    got = {tuple(r) for r in maxscore.top_scores(frame, every=10, shard=shard).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == brute(rows, 10, 5)
     assert maxscore.top_scores(frame.where("false")).count() == 0
     assert maxscore.top_scores(frame.where("vec_id = 0")).count() == 0
 
 
-def test_maxscore_shard_prunes_nothing_that_counts():
+@pytest.mark.parametrize("kind", ["sparse", "dense", "equal", "huge"])
+def test_maxscore_shard_prunes_nothing_that_counts(kind):
     rng = np.random.default_rng(8)
     for trial in range(40):
-        rows = (rng.integers(-9, 10, size=(60, 7)) * (rng.random((60, 7)) < 0.4)).astype(np.int64)
-        shard, query = maxscore.Shard(np.arange(60), rows), rng.integers(-9, 10, 7)
+        n = int(rng.integers(1, 300))
+        rows = rng.integers(-9, 10, size=(n, 7))
+        if kind == "sparse":
+            rows *= rng.random((n, 7)) < 0.4
+        elif kind == "equal":
+            rows = np.repeat(rows[:1], n, axis=0)
+        elif kind == "huge":
+            rows = rows * 2**24 + rng.integers(0, 9, size=(n, 7))
+        shard, query = maxscore.Shard(np.arange(n), rows.astype(np.int64)), rng.integers(-9, 10, 7)
         ids, scores = shard.top(query, trial, 4)
-        want = sorted((-int(rows[i] @ query), i) for i in range(60) if i != trial)[:4]
+        want = sorted((-int(rows[i] @ query), i) for i in range(n) if i != trial)[:4]
         assert [(-s, i) for i, s in zip(ids, scores, strict=True)] == want
 
 
+def test_maxscore_touches_few_postings():
+    """Vectors whose weight lies in few components, in groups of near copies; rows of the same kind without any."""
+    rng = np.random.default_rng(9)
+    for copies, most in ((8, 0.25), (1, 0.6)):
+        centre = rng.normal(size=(4096 // copies, 64)) * rng.permuted(np.tile(0.85 ** np.arange(64), (4096 // copies, 1)), axis=1)
+        rows = np.repeat(centre, copies, axis=0) + rng.normal(size=(4096, 64)) * 0.01
+        rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.int64)
+        shard = maxscore.Shard(np.arange(4096), rows)
+        for i in range(0, 4096, 128):
+            _, scores = shard.top(rows[i], i, 5)
+            assert list(scores) == sorted(np.delete(rows @ rows[i], i))[::-1][:5]
+        print(f"{copies} copies: {shard.touched / shard.full:.2f} of all postings touched")
+        assert shard.touched < most * shard.full
+
+
 # classifiers
 
 
@@ -281,6 +307,66 @@ def test_longest_common_subsequence():
         assert used.sum() == best[-1][-1] and all(x in rest for x, u in zip(a, used, strict=True) if u)
 
 
+def test_long_alignments():
+    """Repeated lines: thousands of matches a line, in time and memory that stay small."""
+    began = time.perf_counter()
+    a, b = [i % 2 for i in range(3000)], [i // 2 % 2 for i in range(3000)]
+    assert pagediff.common(a, b).sum() == pagediff.prefix_lengths(a, b)[-1] >= 1990
+    assert pagediff.common([1, *range(2, 40_000)], [*range(40_000, 2, -1)]).sum() == 1
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 20_000, "<div>" * 20_000, '<a "' * 8000, '"' * 1_000_000, "<a '" + '"<b "' * 30_000, "<!--" * 20_000, "<!" * 30_000, "<title" * 20_000, "<title>" * 20_000, "<script " * 20_000, "<p a" + "a" * 60_000 + ">", "<p " + "a =" * 20_000 + ">", "<p>" * 30_000, "<li><p>" * 20_000, "<svg>" * 20_000 + "<p>" * 20_000, "<article>" * 20_000, "</p>" * 30_000, "&" * 100_000, "<button><div>" * 10_000],
+    ids=lambda x: x[:12],
+)
+def test_malformed_pages_take_linear_time(page):
+    began = time.perf_counter()
+    pagediff.lines_of(page)
+    assert time.perf_counter() - began < 1
+
+
+def nearest_by_hand(pages):
+    """Texts of pages that declare no article, from the plainest form of the rule: sort, take neighbours, align by a table."""
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    hosts = {}
+    for url, lines in pages:
+        host, path = url.removeprefix("http://").split("/", 1)
+        if lines:
+            known = hosts.setdefault(host, {})
+            known[tuple(lines)] = min(known.get(tuple(lines), "~"), "/" + path)
+    out = []
+    for url, lines in pages:
+        host, path = url.removeprefix("http://").split("/", 1)
+        order = sorted((p, hashlib.md5(np.array([pagediff.hashed(x) for x in t], np.int64).tobytes()).hexdigest(), t) for t, p in hosts[host].items()) if lines else []
+        here = next((i for i, x in enumerate(order) if x[2] == tuple(lines)), 0)
+        near = [order[i] for i in (here - 1, here + 1) if 0 <= i < len(order)]
+        start = lambda x: len(os.path.commonprefix([x[0], "/" + path]))  # noqa: E731, B023
+        out.append((len(lines) - lcs(lines, max(near, key=start)[2])) if near else len(lines))
+    return out
+
+
+def test_differencing_equals_a_plain_form(spark):
+    """How many lines stay; which of equal ones go is open."""
+    rng = random.Random(12)
+    pages = []
+    for i in range(160):
+        host, words = rng.choice(["a.example", "b.example", "c.example"]), [f"w{rng.randrange(14)}" for _ in range(rng.randrange(9))]
+        pages.append((f"http://{host}/{rng.choice(['x', 'xy', 'z'])}/{i}", words))
+    pages += [(pages[3][0] + "copy", pages[3][1]), ("http://d.example/1", ["alone"])]
+    frame = spark.createDataFrame([(i, url, "".join(f"<div>{x}</div>" for x in lines)) for i, (url, lines) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: len(r.text.split("\n\n")) if r.text else 0 for r in pagediff.main_text(frame).collect()}
+    assert [got[i] for i in range(len(pages))] == nearest_by_hand(pages)
+
+
 def test_pages(spark):
     plain = lambda k: f"<body><div>Menu</div><div>Site</div><p>Story {k} begins</p><p>and {html.escape('<goes>')} on {k}</p><div>Foot</div></body>"
     rows = [(i, f"http://h.example/a/{i}", plain(i)) for i in range(12)] + [(20, "http://other.example/x", plain(20)), (21, None, None), (22, "http://h.example/a/1", ""), (23, "::", PAGE), (24, "http://h.example/a/3", plain(3))]
