@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import langid, ngramjoin, packing, substrings, toxicity
-from kindred.llm.shared import written
+from kindred.llm.shared import free_name, written
 
 #: A text is rejected as toxic from this score on.
 TOXIC = 0.5
@@ -18,26 +18,25 @@ LEAST_LANGUAGE = 0.4
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of these documents, doesn't find toxic."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_scores(docs, model, "_score").where(F.col("_score") < TOXIC).drop("_score")
+    model, score = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name(docs.columns, "score")
+    return toxicity.with_scores(docs, model, score).where(F.col(score) < TOXIC).drop(score)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language."""
-    found = langid.with_languages(docs, langid.fit(docs), "_language", "_share")
-    return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_share") >= LEAST_LANGUAGE)).select(*docs.columns)
+    language, share = (free_name(docs.columns, x) for x in ("language", "share"))
+    found = langid.with_languages(docs, langid.fit(docs), language, share)
+    return found.where((F.col(language) != langid.UNKNOWN) & (F.col(share) >= LEAST_LANGUAGE)).drop(language, share)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates. Rows without words or id stay."""
-    kept = ngramjoin.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    return ngramjoin.without_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that also stand earlier; ``n_chars`` follows the text."""
-    done = substrings.without_repeats(docs)
+    done = substrings.without_repeats(docs, counts=None)
     return done.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else done[c] for c in docs.columns))
 
 
