@@ -33,6 +33,8 @@ TIERS = np.array([0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2,
 FIRST = 2
 #: Components that are probed between two looks at the threshold.
 PROBED = 8
+#: Rows that are scored at once for the first threshold, and from which on probing isn't worth a look.
+TRIED = 64
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -62,24 +64,23 @@ class Shard:
         self.up = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32).T
         self.sorted = np.take_along_axis(self.rows.T, self.up, axis=1).astype(np.float64)
         self.ends = np.unique(np.ceil(TIERS * n).astype(np.int64))
+        self.columns = np.ascontiguousarray(self.rows.T)
         # bounds behind each tier; behind the last one nothing is left, and the least contribution is what every row has
         last = np.minimum(self.ends, n - 1)
         self.behind = {1: self.sorted[:, n - 1 - last], -1: -self.sorted[:, last]}
         self.touched = self.full = 0
 
-    def traversed(self, query: np.ndarray, begin: np.ndarray, end: np.ndarray, partial: np.ndarray) -> None:
-        """Adds to each row's partial score what the postings from tier ``begin`` to tier ``end`` of each term contribute."""
-        terms = np.flatnonzero(end > begin)
-        if not len(terms):
-            return
+    def traversed(self, query: np.ndarray, level: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """What each row's postings up to the tier ``level`` of each term contribute, over and above ``behind``."""
         n, where, what = len(self.ids), [], []
-        for t in terms:
-            a, b = self.ends[begin[t]], self.ends[end[t]]
-            part = slice(n - b, n - a) if query[t] > 0 else slice(a, b)
+        for t in np.flatnonzero(level):
+            end = self.ends[level[t]]
+            part = slice(n - end, n) if query[t] > 0 else slice(0, end)
             where.append(self.up[t, part])
             what.append(self.sorted[t, part] * query[t])
-            self.touched += b - a
-        partial += np.bincount(np.concatenate(where), np.concatenate(what), minlength=n)
+            what[-1] -= behind[t]
+            self.touched += end
+        return np.bincount(np.concatenate(where), np.concatenate(what), minlength=n)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k rows but those with the query's id; of equal scores the smaller ids."""
@@ -92,37 +93,34 @@ class Shard:
         size = np.abs(query).astype(np.float64)
         bounds = np.where((query > 0)[:, None], self.behind[1], self.behind[-1]) * size[:, None]
         tiers = bounds.shape[1] - 1
-        none, first = np.zeros(d, np.int64), np.where(size > 0, min(FIRST, tiers), 0)
-        partial = np.zeros(n)
-        self.traversed(query, none, first, partial)
-        seen = np.flatnonzero(others & (partial != 0)) if (partial[others] != 0).sum() >= k else np.flatnonzero(others)
-        tried = seen[np.argpartition(-partial[seen], min(4 * k, len(seen) - 1))[: 4 * k]]
+        # a first look: what the first tiers of all terms say are good rows gives the threshold
+        level = np.where(size > 0, min(FIRST, tiers), 0)
+        head = self.traversed(query, level, bounds[np.arange(d), level])
+        head[~others] = -1
+        tried = np.argpartition(-head, min(TRIED, n - 1))[:TRIED]
+        tried = tried[others[tried]]
         exact = self.rows[tried] @ query
         self.touched += d * len(tried)
+        if len(tried) < k:
+            return self._best(np.flatnonzero(others), self.rows[others] @ query, k)
         threshold = np.partition(exact, len(exact) - k)[len(exact) - k]
-        level = self.essential(bounds, first, threshold)
-        self.traversed(query, first, level, partial)
-        # an upper bound of each row's score: what was added up, and of the other terms the bound behind the tier reached
+        level = self.essential(bounds, level, threshold)
+        # an upper bound of each row's score: its postings, and of the terms in which it has none the bound behind the tier reached
         behind = bounds[np.arange(d), level]
-        upper = partial + behind.sum()
-        for t in np.flatnonzero((level > 0) & (level < tiers)):
-            part = self.up[t, n - self.ends[level[t]] :] if query[t] > 0 else self.up[t, : self.ends[level[t]]]
-            upper[part] -= behind[t]
-        done = (level == tiers) & (size > 0)
-        upper -= behind[done].sum()
+        upper = self.traversed(query, level, behind) + behind.sum()
         slack = 1e-9 * (np.abs(upper).max() + size.max() * np.abs(self.sorted).max() * d) + 0.5
-        keep = np.flatnonzero(others & (upper >= threshold - slack))
-        rank, upper = keep, upper[keep]
-        # probe what isn't known yet, the widest terms first, while a row is competitive
-        width = (bounds[:, 0] + np.where(query > 0, -self.sorted[:, 0], self.sorted[:, -1]) * size) * ~done
-        order = np.argsort(-width, kind="stable")[: int((width > 0).sum())]
-        for at in range(0, len(order), PROBED):
-            if len(rank) <= 4 * k:
+        rank = np.flatnonzero(others & (upper >= threshold - slack))
+        upper = upper[rank]
+        # probe what isn't known yet, the terms of the widest range behind their tiers first, while rows fall away
+        width = behind - np.where(query > 0, self.sorted[:, 0], -self.sorted[:, -1]) * size
+        order = np.argsort(-width, kind="stable")
+        for at in range(0, d, PROBED):
+            terms = order[at : at + PROBED]
+            if len(rank) <= TRIED or width[terms[0]] <= 0:
                 break
-            for t in order[at : at + PROBED]:
-                value = self.rows[rank, t] * float(query[t])
-                upper += np.minimum(value - behind[t], 0)
-                self.touched += len(rank)
+            value = self.columns[terms][:, rank] * query[terms][:, None]
+            upper += np.minimum(value - behind[terms][:, None], 0).sum(0)
+            self.touched += len(rank) * len(terms)
             good = upper >= threshold - slack
             rank, upper = rank[good], upper[good]
         self.touched += d * len(rank)
