@@ -16,7 +16,10 @@ def allowed(reference: DataFrame, safelist: list[str] | None = None, blocklist:
     if safelist is not None and blocklist is not None:
         raise ValueError("a safelist and a blocklist exclude each other")
     if safelist is not None:
-        return reference.where(F.col("label").isin(safelist))
+        kept = reference.where(F.col("label").isin(safelist))
+        if not kept.take(1):
+            raise ValueError("no reference row has a label of the safelist")
+        return kept
     return reference if blocklist is None else reference.where(~F.coalesce(F.col("label").isin(blocklist), F.lit(False)))
 
 

@@ -103,8 +103,8 @@ def dense(idx: pd.Series, val: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def embed(packed: DataFrame, encoder: Encoder, num_cells: int | None = None) -> DataFrame:
-    """``(cell_id, vector)`` of packed rows (cell_id, idx, val) that are log-normalised; at most ``num_cells`` rows by cell_id.
+def embed(packed: DataFrame, encoder: Encoder, num_cells: int | None = None, kind: str = "float") -> DataFrame:
+    """``(cell_id, vector)`` of packed rows (cell_id, idx, val) that are log-normalised; at most ``num_cells`` rows by cell_id. Vectors are arrays of ``kind``.
 
     A NaN in a row fails the task.
     """
@@ -120,9 +120,9 @@ def embed(packed: DataFrame, encoder: Encoder, num_cells: int | None = None) ->
                 x = dense(part["idx"], part["val"], net.n_genes)
                 if np.isnan(x).any():
                     raise ValueError("NaN in the rows to embed")
-                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "vector": list(net.forward(x).astype(np.float32))})
+                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "vector": list(net.forward(x).astype(np.float32 if kind == "float" else np.float64))})
 
-    return packed.select("cell_id", "idx", "val").mapInPandas(run, "cell_id long, vector array<float>")
+    return packed.select("cell_id", "idx", "val").mapInPandas(run, f"cell_id long, vector array<{kind}>")
 
 
 def attribute(pairs: DataFrame, encoder: Encoder, steps: int = STEPS) -> DataFrame:

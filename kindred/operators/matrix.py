@@ -6,9 +6,11 @@ summed. Packed form: ``(cell_id, idx array<int>, val array<float>)``, indices as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.sources.tables import append
+
 
 def collapsed(counts: DataFrame, *keys: str) -> DataFrame:
     """Sums coordinates that repeat."""
@@ -64,3 +66,32 @@ def to_symbols(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     pairs = mapping.select(F.col("id").alias("_id"), "symbol").union(mapping.select("symbol", "symbol")).where("_id is not null and symbol is not null").distinct()
     plain = counts.withColumn("_id", F.translate("name", "'\"", ""))
     return collapsed(plain.join(pairs, "_id"), "cell_id", "symbol")
+
+
+def sliced(counts: DataFrame, cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+    """Rows of a long matrix (cell_id, gene_idx, value) of some cells (cell_id), some genes (gene_idx), or both. Either axis is a semi-join, and a filter of the scan where the list is short."""
+    out = counts if cells is None else counts.join(cells.select("cell_id").distinct(), "cell_id", "left_semi")
+    return out if genes is None else out.join(genes.select("gene_idx").distinct(), "gene_idx", "left_semi").select(*counts.columns)
+
+
+def dense_row(counts: DataFrame, cell: int, width: int) -> DataFrame:
+    """``(cell_id, row)``: one cell of a long matrix as a dense array of ``width`` values; raises at run time if a gene lies beyond. A cell without values has zeros."""
+    own = collapsed(counts.where(F.col("cell_id") == cell)).select("gene_idx", "value")
+    own = own.withColumn("value", F.when((F.col("gene_idx") >= 0) & (F.col("gene_idx") < width), F.col("value")).otherwise(F.raise_error(F.lit(f"a gene lies beyond {width}")).cast("double")))
+    entries = own.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct(F.col("gene_idx").cast("int"), "value"))), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))).alias("_m"))
+    places = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
+    return entries.select(F.lit(cell).cast("long").alias("cell_id"), F.transform(places, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("row"))
+
+
+def append_matrix(counts: DataFrame, path: str, width: int, axis: str = "cell_id") -> int:
+    """Appends a long matrix whose ``axis`` counts from 0 behind that at ``path``; returns by how much. Raises ValueError if its other axis reaches beyond ``width``."""
+    other = "gene_idx" if axis == "cell_id" else "cell_id"
+    last = counts.agg(F.max(other)).first()[0]
+    if last is not None and last >= width:
+        raise ValueError(f"{other} reaches {last}, but the matrix is {width} wide")
+    return append(counts, path, axis)
+
+
+def hits_json(hits: str) -> Column:
+    """A map as JSON text, its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(hits))))

@@ -1,66 +1,107 @@
 """Nearest neighbours and radius search by cosine distance, exact in blocks or over an inverted-file index.
 
-Queries come in blocks and reference rows in shards; each pair of a block and a shard is one group of bounded size, in
-which numpy multiplies two matrices and keeps what can be in the result. Nothing is a cross join of rows,
-and no group grows with the data.
+Reference rows are dealt to shards once. Queries go to every shard (or, with an index, to the shards of the parts they probe) and stream past it in blocks, and
+numpy multiplies two matrices and keeps what can be in the result. Nothing is a cross join of rows, no row of the reference is copied, and a task
+holds one shard and one block, whatever the size of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a block of queries and of a shard of the reference, on average.
-BLOCK, SHARD = 1024, 8192
-
-
-def _unit(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors and which rows have one; the length is that of most rows' vectors."""
-    lengths = rows.map(lambda v: -1 if v is None else len(v)).to_numpy()
-    dim = np.bincount(lengths[lengths > 0]).argmax() if (lengths > 0).any() else 0
-    good = lengths == dim if dim else np.zeros(len(rows), bool)
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in rows[good]]).reshape(int(good.sum()), dim)
-    size = np.sqrt((matrix * matrix).sum(1))
-    fine = np.isfinite(size) & (size > 0)
-    good[np.flatnonzero(good)[~fine]] = False
-    return matrix[fine] / size[fine][:, None], good
-
+from kindred.functions.vectors import unit
+from kindred.sources.shared import settled
 
-def _blocked(queries: DataFrame, reference: DataFrame, keep: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], key: str | None = None) -> DataFrame:
+#: Rows of a block of queries at most, and of a shard of the reference on average.
+BLOCK, SHARD = 1024, 8192
+#: Label sums that are broadcast at once: so many vectors at most.
+LABELS = 10_000
+
+Keep = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def unit_bytes(vector: Column | str) -> Column:
+    """Each vector at length 1, as 64-bit floats in bytes; null for null, empty, zero and broken vectors."""
+
+    @F.arrow_udf(returnType=T.BinaryType())
+    def unit(column: pa.Array) -> pa.Array:
+        lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+        values = np.asarray(column.flatten().fill_null(float("nan")), dtype=np.float64)
+        ends, out = np.cumsum(lengths), [None] * len(lengths)
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            rows = values[(ends[at] - n)[:, None] + np.arange(n)]
+            size = np.sqrt((rows * rows).sum(1))
+            fine = np.isfinite(size) & (size > 0)
+            for i, row in zip(at[fine], rows[fine] / size[fine][:, None], strict=True):
+                out[i] = row.tobytes()
+        return pa.array(out, pa.binary())
+
+    return unit((F.col(vector) if isinstance(vector, str) else vector).cast("array<double>"))
+
+
+HITS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], keep: Keep) -> Iterator[pa.RecordBatch]:
+    """Batches (shard, key, dim, asks, id, raw), sorted by the first four, so that a shard's rows come before its queries."""
+    current, rows, held = None, [], None
+    for batch in batches:
+        names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        edges = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in names])) + 1
+        for at, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(batch)]]), strict=True):
+            if at == end:
+                continue
+            here = tuple(x[at] for x in names[:3])
+            if here != current:
+                current, rows, held = here, [], None
+            ids = batch.column(4).slice(at, end - at).to_numpy()
+            data = np.frombuffer(b"".join(batch.column(5).slice(at, end - at).to_pylist())).reshape(end - at, -1)
+            if not names[3][at]:
+                rows.append((ids, data))
+                continue
+            if held is None:
+                if not rows:
+                    continue
+                found, matrix = (np.concatenate(x) for x in zip(*rows, strict=True))
+                order = np.argsort(found, kind="stable")
+                held, rows = (found[order], matrix[order].T), []
+            for part in range(0, end - at, BLOCK):
+                dist = 1.0 - data[part : part + BLOCK] @ held[1]
+                row, column = keep(dist, held[0])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part + row]), pa.array(held[0][column]), pa.array(dist[row, column])], schema=HITS)
+
+
+def _blocked(queries: DataFrame, reference: DataFrame, keep: Keep, key: str | None = None) -> DataFrame:
     """``(query_id, id, dist)`` of what ``keep(distances, ids)`` names by rows and columns in each block and shard.
 
     With ``key`` only rows of equal key meet: an inverted-file search.
     """
     spark = queries.sparkSession
-    n, m = queries.count(), reference.count()
-    blocks, shards = max(1, -(-n // BLOCK)), max(1, -(-m // SHARD))
-    keys = [key] if key else []
-    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    fresh = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  both sides may stem from one table
-    asked = fresh(queries, "query_id", "vector", *keys).withColumn("_b", part("query_id", blocks)).withColumn("_s", every(shards))
-    held = fresh(reference, "id", "vector", *keys).withColumn("_s", part("id", shards)).withColumn("_b", every(blocks))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "dist": []}).astype({"query_id": "int64", "id": "int64"})
-        right = right.sort_values("id")
-        (a, fine), (b, good) = _unit(left["vector"]), _unit(right["vector"])
-        if not a.size or not b.size or a.shape[1] != b.shape[1]:
-            return pd.DataFrame({"query_id": [], "id": [], "dist": []}).astype({"query_id": "int64", "id": "int64"})
-        dist, ids = 1.0 - a @ b.T, right["id"].to_numpy()[good]
-        rows, columns = keep(dist, ids)
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[fine][rows], "id": ids[columns], "dist": dist[rows, columns]})
-
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = ["_b", "_s", *keys]
-    return asked.repartition(width, *by).groupBy(*by).cogroup(held.repartition(width, *by).groupBy(*by)).applyInPandas(search, "query_id long, id long, dist double")
+    of = (F.col(key) if key else F.lit(0)).cast("long").alias("_k")
+    held = reference.select(F.col("id").cast("long").alias("_id"), unit_bytes("vector").alias("_raw"), of).where("_raw is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("_id"), unit_bytes("vector").alias("_raw"), of).where("_raw is not null")
+    # the largest part decides, as all are cut alike
+    most = reference.groupBy(key).count().agg(F.max("count")).first()[0] if key else reference.count()
+    shards = max(1, -(-(most or 0) // SHARD))
+    held = held.select(F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("_s"), "_k", F.length("_raw").alias("_d"), F.lit(False).alias("_asks"), "_id", "_raw")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"), "_k", F.length("_raw").alias("_d"), F.lit(True).alias("_asks"), "_id", "_raw")
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 10_000))
+    both = held.union(asked).repartition(width, "_s", "_k").sortWithinPartitions("_s", "_k", "_d", "_asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _streamed(batches, keep)
+
+    return both.mapInArrow(search, "query_id long, id long, dist double")
 
 
 def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -98,6 +139,7 @@ class InvertedFile:
 
     def __init__(self, centres: DataFrame, rows: DataFrame, parts: int):
         self.centres, self.rows, self.parts = centres, rows, parts
+        self.measured: dict[tuple[int, float], int] = {}
 
     @classmethod
     def build(cls, reference: DataFrame, parts: int, seed: int = 4, sample: int = 100_000) -> InvertedFile:
@@ -121,29 +163,65 @@ class InvertedFile:
         return cls(centres, spark.read.parquet(f"{path}/rows"), centres.count())
 
     def nearest(self, queries: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame:
-        """Like ``nearest``, among the rows of the ``probes`` nearest parts (by default the root of their number)."""
-        probes = probes or max(1, int(self.parts**0.5))
+        """Like ``nearest``, among the rows of the ``probes`` nearest parts (by default as many as ``probes_for`` finds to be enough)."""
+        probes = probes or self.probes_for(k)
         probed = nearest(queries, self.centres, probes).select("query_id", F.col("id").alias("part")).join(queries, "query_id")
         hits = _blocked(probed, self.rows.withColumn("part", F.col("part").cast("long")), _first(k), key="part")
         return ranked(hits, k).select("query_id", "rank", "id", "dist")
 
+    def probes_for(self, k: int, recall: float = 0.95, sample: int = 200, seed: int = 4) -> int:
+        """The least number of probes that finds ``recall`` of the exact ``k`` neighbours of ``sample`` indexed rows, chosen by hash; measured once for each ``k``."""
+        if (k, recall) not in self.measured:
+            asked = self.rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(F.col("id").alias("query_id"), "vector")
+            asked = settled(asked)
+            order = nearest(asked, self.centres, self.parts).select("query_id", F.col("id").alias("part"), "rank")
+            exact = nearest(asked, self.rows, k).join(self.rows.select("id", F.col("part").cast("long").alias("part")), "id").select("query_id", "part")
+            needed = exact.join(order, ["query_id", "part"]).groupBy("rank").count().orderBy("rank").collect()
+            share = np.cumsum([r["count"] for r in needed])
+            at = int(np.searchsorted(share, recall * share[-1])) if len(share) else 0
+            self.measured[k, recall] = int(needed[at]["rank"]) if len(share) else 1
+        return self.measured[k, recall]
+
 
 def distance_sums(rows: DataFrame, squared: bool = False) -> DataFrame:
     """``(id, label, other, total, n)``: of each row (id, label, vector) the sum of distances to the other rows of each label, and their number.
 
-    Cosine distances, or squared Euclidean ones. A label's sum over a shard is one product with the sum of its vectors,
-    as both distances are linear in inner products.
+    Cosine distances, or squared Euclidean ones. Both are linear in inner products, so a row needs the labels' sums of vectors only: tasks multiply
+    batches of rows by a matrix of at most ``LABELS`` such sums, which is what is broadcast at once. All vectors have one length.
     """
+    spark = rows.sparkSession
     rows = rows.where("label is not null and vector is not null").select("id", "label", F.col("vector").cast("array<double>").alias("vector"))
-    size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    used = rows if squared else rows.withColumn("_s", size).where("_s > 0").withColumn("vector", F.transform("vector", lambda x: x / F.col("_s")))
+    rows = rows.where(F.size("vector") > 0)
+    vector = F.col("vector") if squared else unit("vector")
+    used = rows.withColumn("vector", vector).where("vector is not null")
     length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     parts = used.select("label", F.posexplode("vector").alias("_i", "_x")).groupBy("label", "_i").agg(F.sum("_x").alias("_x"))
     sums = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_v")).select("label", F.col("_v._x").alias("_sum"))
-    groups = used.groupBy("label").agg(F.count("*").alias("_n"), F.sum(length).alias("_length")).join(sums, "label")
-    groups = groups.select(F.col("label").alias("other"), "_n", "_length", "_sum")
-    paired = used.join(F.broadcast(groups) if groups.limit(10_001).count() <= 10_000 else groups)
-    inner = F.aggregate(F.zip_with("vector", "_sum", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    same = (F.col("label") == F.col("other")).cast("int")
-    total = F.col("_n") * length + F.col("_length") - 2 * inner if squared else (F.col("_n") - same) - (inner - same * length)
-    return paired.select("id", "label", "other", total.alias("total"), (F.col("_n") - same).alias("n")).where("n > 0")
+    groups = settled(used.groupBy("label").agg(F.count("*").alias("_n"), F.sum(length).alias("_length")).join(sums, "label"))
+    chunks = max(1, -(-groups.count() // LABELS))
+    kind = used.schema["label"].dataType
+    out = None
+    for chunk in range(chunks):
+        table = groups.where(F.pmod(F.xxhash64("label"), F.lit(chunks)) == chunk).orderBy("label").toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast(table)
+
+        def work(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            names, n, size = table["label"].combine_chunks(), table["_n"].to_numpy(), table["_length"].to_numpy()
+            matrix = np.array(table["_sum"].to_pylist(), dtype=np.float64).reshape(len(names), -1)
+            step = max(1, (1 << 19) // max(len(names), 1))
+            for batch in batches:
+                for at in range(0, len(batch), step) if len(names) else ():
+                    part = batch.slice(at, step)
+                    x = np.array(part.column(2).to_pylist(), dtype=np.float64).reshape(len(part), -1)
+                    own = np.array(pc.index_in(part.column(1), value_set=names).fill_null(-1))[:, None] == np.arange(len(names))[None, :]
+                    inner, length = x @ matrix.T, (x * x).sum(1)[:, None]
+                    total = n * length + size - 2 * inner if squared else (n - own) - (inner - own * length)
+                    count = np.broadcast_to(n, own.shape) - own
+                    row, column = np.nonzero(count > 0)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), names.take(column), pa.array(total[row, column]), pa.array(count[row, column])], ["id", "label", "other", "total", "n"])
+
+        schema = T.StructType([used.schema["id"], T.StructField("label", kind), T.StructField("other", kind), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+        found = used.select("id", "label", "vector").mapInArrow(work, schema)
+        out = found if out is None else out.union(found)
+    return out

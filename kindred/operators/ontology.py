@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +19,17 @@ def closure(edges: DataFrame, levels: int = 100) -> DataFrame:
     known = edges.where("parent is not null and child is not null").select(F.col("parent").alias("_p"), F.col("child").alias("_c")).distinct()
     known = settled(known)
     frontier = known.select(F.col("_p").alias("ancestor"), F.col("_c").alias("descendant"), F.lit(1).alias("depth"))
-    found = frontier
+    levels_found = [frontier]
     for depth in range(2, levels + 2):
         step = frontier.join(known, frontier["descendant"] == known["_p"]).select("ancestor", F.col("_c").alias("descendant"), F.lit(depth).alias("depth")).distinct()
         if step.where("ancestor = descendant").take(1):
             raise ValueError("the graph has a cycle")
+        # each level is written once; what was found before is read, not written again
+        found = reduce(DataFrame.union, levels_found)
         frontier = settled(step.join(found, ["ancestor", "descendant"], "left_anti"))
         if not frontier.take(1):
             return found
-        found = settled(found.union(frontier))
+        levels_found.append(frontier)
     raise ValueError(f"the graph is deeper than {levels} levels, or has a cycle")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.quantiles import quantiles
+from kindred.sources.tables import with_row_ids
+
 
 def sample_rollup(hits: DataFrame, metadata: DataFrame, levels: list[str]) -> DataFrame:
     """``(query_id, *levels, cells, total, fraction)``: hits of each query by levels, and their share of all cells of the study and sample.
@@ -41,8 +44,8 @@ def rank_by_score(df: DataFrame, name: str, score: str, ascending: bool = False,
     means = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.avg(score).alias("_mean"))
     if topn is not None:
         means = means.orderBy(F.col("_mean").asc() if ascending else F.col("_mean").desc(), name).limit(topn)
-    ranks = means.withColumn("name_rank", F.row_number().over(Window.orderBy("_mean", name))).drop("_mean")
-    return df.join(F.broadcast(ranks) if topn is not None else ranks, name)
+    ranks = with_row_ids(means, ["_mean", name], first=1, name="name_rank").select(name, F.col("name_rank").cast("int").alias("name_rank"))
+    return df.join(F.broadcast(ranks) if topn is not None and topn <= 10_000 else ranks, name)
 
 
 def proportions(df: DataFrame, column: str) -> DataFrame:
@@ -79,10 +82,41 @@ def heatmap(df: DataFrame, row: str, column: str, values: list[object], measure:
 
 def group_quantiles(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
     """``(group, quantile)`` by exact linear interpolation."""
-    return df.groupBy(group).agg(F.percentile(value, F.lit(q)).alias("quantile"))
+    return quantiles(df, value, q, group)
 
 
 def above_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     """Rows at or above the quantile of all rows."""
-    cut = df.agg(F.percentile(value, F.lit(q)).alias("_cut"))
-    return df.join(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")
+    cut = quantiles(df, value, q).select(F.col("quantile").alias("_cut"))
+    return df.join(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")  # one row
+
+
+def score_genes(counts: DataFrame, signature: DataFrame, bins: int = 25, control: int = 50, seed: int = 0) -> DataFrame:
+    """``(cell_id, score)``: the mean of the signature's genes less that of control genes of similar mean.
+
+    ``counts``: (cell_id, gene_idx, x), zeros left out; ``signature``: (gene_idx), of which genes that occur nowhere don't count. Genes are ranked by their mean over all
+    cells and cut into ``bins``; the controls are the ``control`` genes of least hash of each bin that holds a gene of the signature, the
+    signature's own left out. Cells without any of these genes score 0.
+    """
+    cells = counts.select("cell_id").distinct()
+    means = counts.groupBy("gene_idx").agg(F.sum("x").alias("_sum"))
+    ranked = with_row_ids(means, ["_sum", "gene_idx"], name="_rank").join(F.broadcast(means.agg(F.count("*").alias("_all"))))
+    binned = ranked.select("gene_idx", F.floor(F.col("_rank") * bins / F.col("_all")).cast("int").alias("_bin"))
+    wanted = signature.select("gene_idx").distinct().withColumn("_own", F.lit(True))
+    marked = binned.join(wanted, "gene_idx", "left")
+    order = Window.partitionBy("_bin").orderBy(F.xxhash64("gene_idx", F.lit(seed)), "gene_idx")
+    chosen = marked.where("_own is null").join(marked.where("_own").select("_bin").distinct(), "_bin", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= control)
+    genes = marked.where("_own").select("gene_idx", F.lit(1).alias("_side")).union(chosen.select("gene_idx", F.lit(0)))
+    sides = genes.agg(F.sum("_side").alias("_a"), F.sum(1 - F.col("_side")).alias("_b"))
+    sums = counts.join(genes, "gene_idx").groupBy("cell_id").agg(F.sum(F.col("x") * F.col("_side")).alias("_x"), F.sum(F.col("x") * (1 - F.col("_side"))).alias("_y"))
+    score = F.coalesce(F.try_divide("_x", "_a"), F.lit(0.0)) - F.coalesce(F.try_divide("_y", "_b"), F.lit(0.0))
+    return cells.join(sums, "cell_id", "left").join(F.broadcast(sides)).select("cell_id", score.alias("score"))
+
+
+def relabelled(leaves: DataFrame, levels: list[str], name: str, suffix: str, colours: DataFrame | None = None, otherwise: str = "lightgray") -> DataFrame:
+    """Leaves with names that are one of a kind in a drawing: ``name`` and the last level's name with ``suffix`` between, and ``colour`` by ``colours`` (name, colour)."""
+    out = leaves.withColumn("_old", F.col(name)).withColumn(name, F.concat_ws(suffix, F.col(name), F.col(levels[-1])))
+    if colours is None:
+        return out.drop("_old")
+    named = colours.select(F.col("name").alias("_old"), F.col("colour").alias("_colour")).dropDuplicates(["_old"])
+    return out.join(named, "_old", "left").withColumn("colour", F.coalesce("_colour", F.lit(otherwise))).drop("_old", "_colour")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.vectors import squared_euclidean
+from kindred.operators.matrix import align, lognorm, pack
+from kindred.operators.quantiles import quantiles
+from kindred.sources.tables import with_row_ids
+
+SIDES = ("anchor", "positive", "negative")
 
 
 def label_support(df: DataFrame) -> DataFrame:
@@ -35,7 +41,7 @@ def sampler_weights(df: DataFrame, class_scale: float = 1e4, study_scale: float
     out = out.withColumn("weight", 1.0 / F.log1p(F.col("_n_class") / class_scale) / F.log1p(F.col("_n_study") / study_scale)).drop("_n_class", "_n_study")
     if cap is None:
         return out
-    limit = out.agg((2 * F.percentile("weight", F.lit(cap))).alias("_cap"))
+    limit = quantiles(out, "weight", cap).select((2 * F.col("quantile")).alias("_cap"))  # one row
     return out.join(F.broadcast(limit)).withColumn("weight", F.least("weight", "_cap")).drop("_cap")
 
 
@@ -62,17 +68,82 @@ def weighted_batches(df: DataFrame, key: str, size: int, batches: int, seed: int
     return out
 
 
-def split(df: DataFrame, val_studies: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Training rows, and validation rows (of those studies) whose labels also occur in training."""
-    val = F.coalesce(F.col("study").isin(val_studies), F.lit(False))
-    train = df.where(~val)
-    return train, df.where(val).join(train.select("label").distinct(), "label", "left_semi")
+def sampled_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, all with equal chances: those of the least seeded hash of their key."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def split(df: DataFrame, val_studies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training rows, and validation rows (of the studies in ``val_studies`` (study)) whose labels also occur in training."""
+    studies = val_studies.select("study").distinct()
+    train = df.join(studies, "study", "left_anti").select(*df.columns)
+    val = df.join(studies, "study", "left_semi").select(*df.columns)
+    return train, val.join(train.select("label").distinct(), "label", "left_semi").select(*df.columns)
+
+
+def named_labels(df: DataFrame, terms: DataFrame, column: str = "label") -> DataFrame:
+    """``df`` with the ids in ``column`` replaced by the names of ``terms`` (term_id, name); rows with another id, and then rows with a null anywhere, go."""
+    names = terms.select(F.col("term_id").alias("_id"), F.col("name").alias("_name")).dropDuplicates(["_id"])
+    named = df.join(names, F.col(column) == F.col("_id")).withColumn(column, F.col("_name")).drop("_id", "_name")
+    return named.select(*df.columns).na.drop("any")
+
+
+def valid_labels(df: DataFrame, terms: DataFrame, column: str = "label") -> DataFrame:
+    """Rows whose label is the name of a term; raises ValueError if none is."""
+    names = terms.where("name is not null").select(F.col("name").alias(column)).distinct()
+    kept = df.join(names, column, "left_semi").select(*df.columns)
+    if not kept.take(1):
+        raise ValueError(f"no value of {column} is the name of a term")
+    return kept
+
+
+def perturbed(df: DataFrame, edges: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """``df`` with some labels made coarser: ``share * n`` draws with replacement, each of which gives its row a parent (parent, child) that is a label of ``df``, if there is one.
+
+    The parent is chosen by a seeded hash; a row drawn more than once changes once. Draws are numbers below n, met with consecutive row
+    numbers in the order of ``key``.
+    """
+    rows = with_row_ids(df.withColumn("_key", F.col(key)), "_key", name="_at")
+    n = df.count()
+    drawn = df.sparkSession.range(int(share * n)).select(F.floor(uniform(F.col("id"), seed) * max(n, 1)).cast("long").alias("_at")).distinct()
+    present = df.select("label").distinct()
+    parents = edges.select(F.col("child").alias("label"), "parent").distinct().join(present.select(F.col("label").alias("parent")), "parent", "left_semi")
+    hit = rows.join(drawn, "_at", "left_semi").select("_at", "_key", "label").join(parents, "label")
+    chosen = hit.groupBy("_at").agg(F.min_by("parent", F.struct(F.xxhash64("_key", "parent", F.lit(seed)), "parent")).alias("_parent"))
+    return rows.join(chosen, "_at", "left").withColumn("label", F.coalesce("_parent", "label")).select(*df.columns)
+
+
+def collated(cells: DataFrame, counts: DataFrame, target: DataFrame, labels: DataFrame, target_sum: float = 1e4) -> DataFrame:
+    """``(cell_id, idx, val, label_int, study)``: the rows of a mini-batch, packed, aligned to ``target`` (gene_idx, symbol) and log-normalised after that.
+
+    ``cells``: (cell_id, label, study); ``counts``: (cell_id, symbol, value); ``labels``: (label, label_int). Rows of other labels go; a cell without a gene of the target is empty.
+    """
+    asked = cells.join(labels, "label").select("cell_id", "label_int", "study")
+    own = counts.join(asked.select("cell_id").distinct(), "cell_id", "left_semi")
+    packed = pack(lognorm(align(own, target), target_sum).select("cell_id", "gene_idx", F.col("x").alias("value")))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return asked.join(packed, "cell_id", "left").select("cell_id", empty("idx", "int").alias("idx"), empty("val", "float").alias("val"), "label_int", "study")
+
+
+def mixed_loss(triplet: float, mse: float, weight: float = 0.5) -> float:
+    """The loss of an encoder that is also to reconstruct its input: ``weight`` of the triplets', the rest of the reconstruction's."""
+    return weight * triplet + (1 - weight) * mse
+
+
+def mixed_metric(widths: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """``(asw, nmse, metric)``: the mean silhouette width, the mean squared error over the mean square, and (1 - asw) / 2 + nmse, least for the best.
+
+    ``widths``: (width); ``rebuilt``: (x, y), what was and what was made of it.
+    """
+    asw = widths.agg(F.avg("width").alias("asw"))
+    error = rebuilt.agg((F.avg((F.col("x") - F.col("y")) ** 2) / F.avg(F.col("x") ** 2)).alias("nmse"))
+    return asw.join(F.broadcast(error)).withColumn("metric", (1 - F.col("asw")) / 2 + F.col("nmse"))  # one row each
 
 
 def encoded_labels(df: DataFrame) -> DataFrame:
     """``(label, label_int)``: places from 0 in the order of the labels."""
     names = df.where("label is not null").select("label").distinct()
-    return names.withColumn("label_int", F.row_number().over(Window.orderBy("label")) - 1)
+    return with_row_ids(names, "label", name="label_int").select("label", F.col("label_int").cast("int").alias("label_int"))
 
 
 def split_tags(cells: DataFrame, train: DataFrame, val: DataFrame) -> DataFrame:
@@ -81,35 +152,92 @@ def split_tags(cells: DataFrame, train: DataFrame, val: DataFrame) -> DataFrame:
     return cells.join(t, "cell_id", "left").join(v, "cell_id", "left").withColumn("data_type", F.when(F.col("_t"), "train").when(F.col("_v"), "test").otherwise("NA")).drop("_t", "_v")
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return np.array(rows["vector"].to_pylist(), dtype=np.float64).reshape(len(rows), -1)
+
+
+def _squared(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, by their inner products."""
+    length = (x * x).sum(1)
+    return np.maximum(length[:, None] + length[None, :] - 2 * (x @ x.T), 0)
+
+
 def pair_distances(batch: DataFrame) -> DataFrame:
-    """``(batch, a, b, dist2)``: squared distances of pairs a < b of one mini-batch. Mini-batches (batch, id, vector) have a bounded number of rows."""
-    a, b = (batch.select("batch", F.col("id").alias(x), F.col("vector").alias(f"_{x}")) for x in "ab")
-    return a.join(b, "batch").where("a < b").select("batch", "a", "b", squared_euclidean("_a", "_b").alias("dist2"))
+    """``(batch, a, b, dist2)``: squared distances of pairs a < b of one mini-batch. Mini-batches (batch, id, vector) have a bounded number of rows, all of one length."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, dist = rows["id"].to_numpy(), _squared(_matrix(rows))
+        a, b = np.nonzero(ids[:, None] < ids[None, :])
+        return pa.table({"batch": rows["batch"].take(a), "a": ids[a], "b": ids[b], "dist2": dist[a, b]})
+
+    kind = batch.schema["batch"].dataType.simpleString()
+    return batch.where("vector is not null").select("batch", F.col("id").cast("long").alias("id"), "vector").groupBy("batch").applyInArrow(work, f"batch {kind}, a long, b long, dist2 double")
 
 
-def triplets(batch: DataFrame, margin: float = 0.05, mode: str = "hard", related: DataFrame | None = None, seed: int = 0) -> DataFrame:
+def _least(dist: np.ndarray, x: np.ndarray, anchor: int, among: np.ndarray) -> int:
+    """Of the rows ``among`` the nearest to the anchor, of equally near ones the first: what inner products can't tell apart is compared directly."""
+    near = among[dist[among] <= dist[among].min() + 1e-9]
+    return int(near[0] if len(near) == 1 else near[((x[near] - x[anchor]) ** 2).sum(1).argmin()])
+
+
+def triplets(batch: DataFrame, margin: float = 0.05, mode: str = "hard", related: DataFrame | None = None, seed: int = 0, trace: bool = False) -> DataFrame:
     """``(batch, anchor, positive, negative, loss)`` of each mini-batch (batch, id, label, study, vector) of bounded size.
 
     Anchor and positive share a label, not a study; a negative has a label that is neither theirs nor ``related`` (a, b) to it.
     ``loss`` is d(anchor, positive) - d(anchor, negative) + margin of squared distances. ``hard``: the negative of the largest loss, if it is
-    positive; ``semihard``: of those below the margin; ``random``: one with positive loss by a seeded hash. Ties go to the smaller id.
+    positive; ``semihard``: of those below the margin; ``random``: one with positive loss by a seeded hash. Ties go to the smaller id. With ``trace`` also the labels and
+    studies of the three, to be written as a record of training.
+
+    A mini-batch is one group: a matrix of its distances and masks over it, so only triplets leave the task.
     """
-    side = lambda x: batch.select("batch", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "label", "study", "vector")))
-    a, p, n = side("a"), side("p"), side("n")
-    pairs = a.join(p, "batch").where("a_label = p_label and a_id < p_id and not (a_study <=> p_study)").select("batch", "a_id", "p_id", squared_euclidean("a_vector", "p_vector").alias("_ap"))
-    others = a.join(n, "batch").where("a_label <> n_label")
-    if related is not None:
-        close = related.select(F.col("a").alias("a_label"), F.col("b").alias("n_label"))
-        others = others.join(F.broadcast(close.union(close.select("n_label", "a_label")).distinct()), ["a_label", "n_label"], "left_anti")
-    others = others.select("batch", "a_id", "n_id", squared_euclidean("a_vector", "n_vector").alias("_an"))
-    if mode == "hard":
-        others = others.groupBy("batch", "a_id").agg(F.min(F.struct("_an", "n_id")).alias("_m")).select("batch", "a_id", "_m.n_id", "_m._an")
-    found = pairs.join(others, ["batch", "a_id"]).withColumn("loss", F.col("_ap") - F.col("_an") + margin).where("loss > 0")
-    if mode == "semihard":
-        found = found.where(F.col("loss") < margin)
-    order = F.xxhash64("a_id", "p_id", "n_id", F.lit(seed)) if mode == "random" else -F.col("loss")
-    best = found.groupBy("batch", "a_id", "p_id").agg(F.min(F.struct(order.alias("o"), "n_id", "loss")).alias("_m"))
-    return best.select("batch", F.col("a_id").alias("anchor"), F.col("p_id").alias("positive"), F.col("_m.n_id").alias("negative"), F.col("_m.loss").alias("loss"))
+    rows = batch.where("vector is not null and label is not null")
+    if related is None:
+        rows = rows.withColumn("_close", F.array().cast("array<string>"))
+    else:
+        close = related.select("a", "b").union(related.select("b", "a")).distinct().groupBy(F.col("a").alias("label")).agg(F.collect_set(F.col("b").cast("string")).alias("_close"))
+        rows = rows.join(close, "label", "left")
+    rows = rows.select("batch", F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("_name"), "label", "study", "vector", "_close")
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, x = rows["id"].to_numpy(), _matrix(rows)
+        dist = _squared(x)
+        names = rows["_name"].combine_chunks().dictionary_encode()
+        code, place = names.indices.to_numpy(), {name: i for i, name in enumerate(names.dictionary.to_pylist())}
+        apart = ~np.eye(len(place), dtype=bool)
+        for i, others in zip(code, rows["_close"].to_pylist(), strict=True):
+            apart[i, [place[o] for o in others or () if o in place]] = False
+        study = rows["study"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        found: list[tuple[int, int, int, float]] = []
+        for a in range(len(ids)):
+            positives = np.flatnonzero((code == code[a]) & (study != study[a]) & (ids > ids[a]))
+            negatives = np.flatnonzero(apart[code[a]][code])
+            if not len(positives) or not len(negatives):
+                continue
+            if mode == "hard":
+                n = _least(dist[a], x, a, negatives)
+                found += [(a, p, n, dist[a, p] - dist[a, n] + margin) for p in positives]
+                continue
+            for p in positives:
+                loss = dist[a, p] - dist[a, negatives] + margin
+                good = negatives[(loss > 0) & ((loss < margin) | (mode != "semihard"))]
+                if len(good):
+                    mixed = (ids[good] * 0x9E3779B1 + ids[a] * 0x85EBCA77 + ids[p] * 0xC2B2AE3D + seed) % 0xFFFFFFFB
+                    n = int(good[mixed.argmin()]) if mode == "random" else _least(dist[a], x, a, good)
+                    found.append((a, p, n, dist[a, p] - dist[a, n] + margin))
+        found = [f for f in found if f[3] > 0]
+        at = [np.array([f[k] for f in found], np.int64) for k in range(3)]
+        out = {"batch": rows["batch"].take(at[0]), **{side: ids[k] for side, k in zip(SIDES, at, strict=True)}, "loss": pa.array([f[3] for f in found], pa.float64())}
+        if trace:
+            out |= {f"{side}_{c}": rows[c].take(k) for c in ("label", "study") for side, k in zip(SIDES, at, strict=True)}
+        return pa.table(out)
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("batch", "label", "study")}
+    schema = f"batch {kind['batch']}, anchor long, positive long, negative long, loss double"
+    if trace:
+        schema += "".join(f", {side}_{c} {kind[c]}" for c in ("label", "study") for side in SIDES)
+    return rows.groupBy("batch").applyInArrow(work, schema)
 
 
 def silhouette(sums: DataFrame, descendants: DataFrame | None = None, ancestors: DataFrame | None = None) -> DataFrame:
@@ -121,10 +249,10 @@ def silhouette(sums: DataFrame, descendants: DataFrame | None = None, ancestors:
     own = F.col("label") == F.col("other")
     if descendants is not None:
         tie = descendants.select(F.col("node").alias("label"), F.col("related").alias("other")).distinct().withColumn("_d", F.lit(True))
-        sums = sums.join(F.broadcast(tie), ["label", "other"], "left")
+        sums = sums.join(tie, ["label", "other"], "left")
         own = own | F.coalesce("_d", F.lit(False))
     if ancestors is not None:
-        sums = sums.join(F.broadcast(ancestors.select(F.col("node").alias("label"), F.col("related").alias("other")).distinct()), ["label", "other"], "left_anti")
+        sums = sums.join(ancestors.select(F.col("node").alias("label"), F.col("related").alias("other")).distinct(), ["label", "other"], "left_anti")
     means = sums.groupBy("id", "label").agg(
         F.sum(F.when(own, F.col("total"))).alias("_in"),
         F.sum(F.when(own, F.col("n"))).alias("_n"),

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import vectors as vec
 from kindred.functions.vocabulary import clean_terms, harmonised, has_keyword
-from kindred.operators import aggregate, annotate, encoder, matrix, neighbours, ontology, search, summarize, training
+from kindred.operators import aggregate, annotate, encoder, flows, matrix, neighbours, ontology, search, summarize, training
 from kindred.operators import quality_control as qc
 from kindred.plans import roles
 from kindred.plans.roles import CELLS, CLOSURE, COUNTS, DISTANCES, EDGES, GENES, RANKED, VECTORS
 from kindred.sources import tables
+from kindred.sources.shared import settled
 from kindred.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +88,7 @@ def knn_inverted_file(spark, d):
     """Approximate; its recall is tested against the exact search."""
     rows = roles.vectors(spark, d)
     index = neighbours.InvertedFile.build(rows, 16)
-    return rounded(index.nearest(roles.asked(rows), 10, 10), dist=6)
+    return rounded(index.nearest(roles.asked(rows), 10), dist=6)
 
 
 @query()
@@ -154,6 +156,7 @@ def label_classes(spark, d):
 # Counts
 
 
+LOGNORM_ROWS = "SELECT cell_id, gene_idx, ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id)) AS x FROM counts"
 LOGNORM = f"WITH {COUNTS} SELECT cell_id, gene_idx, round(ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id)), 6) AS x FROM counts"
 
 
@@ -170,7 +173,7 @@ def pack_counts(spark, d):
 
 @query(f"WITH {COUNTS}, {GENES} SELECT cell_id, symbol, sum(value) AS value FROM counts JOIN genes USING (gene_idx) GROUP BY 1, 2")
 def consolidate_symbols(spark, d):
-    return matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d))
+    return matrix.consolidate(roles.lines(spark, d), roles.genes(spark, d))
 
 
 TARGET = "target AS (SELECT symbol, (row_number() OVER (ORDER BY symbol DESC) - 1)::INT AS gene_idx FROM (SELECT DISTINCT p_name AS symbol FROM part WHERE p_brand < 'Brand#3'))"
@@ -178,10 +181,13 @@ TARGET = "target AS (SELECT symbol, (row_number() OVER (ORDER BY symbol DESC) -
 
 @query(f"WITH {COUNTS}, {GENES}, {TARGET} SELECT cell_id, t.gene_idx, sum(value) AS value FROM counts c JOIN genes g ON c.gene_idx = g.gene_idx JOIN target t USING (symbol) GROUP BY 1, 2")
 def align_genes(spark, d):
+    return matrix.align(matrix.consolidate(roles.lines(spark, d), roles.genes(spark, d)), _target(spark, d), least_overlap=1)
+
+
+def _target(spark, d):
     names = roles.genes(spark, d).where("brand < 'Brand#3'").select("symbol").distinct()
-    # a gene order is a vocabulary, so one task may number it
-    target = names.withColumn("gene_idx", F.expr("cast(row_number() over (order by symbol desc) - 1 as int)"))
-    return matrix.align(matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)), target, least_overlap=1)
+    counted = tables.with_row_ids(names, "symbol", name="_up").join(F.broadcast(names.agg(F.count("*").alias("_n"))))
+    return counted.select("symbol", (F.col("_n") - 1 - F.col("_up")).cast("int").alias("gene_idx"))
 
 
 @query(f"WITH {COUNTS}, {GENES} SELECT cell_id, symbol, sum(value) AS value FROM counts JOIN genes USING (gene_idx) WHERE gene_idx > 10 GROUP BY 1, 2")
@@ -211,12 +217,12 @@ def filter_cells(spark, d):
 
 @query(f"WITH {COUNTS} SELECT gene_idx, round(ln(1 + 1e4 * sum(value) / (SELECT sum(value) FROM counts)), 6) AS x FROM counts GROUP BY 1")
 def centroid(spark, d):
-    return rounded(aggregate.centroid(roles.counts(spark, d)), x=6)
+    return rounded(aggregate.centroid(roles.lines(spark, d)), x=6)
 
 
 @query(f"WITH {COUNTS}, {CELLS}, s AS (SELECT region AS cluster, gene_idx, sum(value) AS value FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2) SELECT cluster, gene_idx, round(ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cluster)), 6) AS x FROM s")
 def cluster_centroid(spark, d):
-    return rounded(aggregate.cluster_centroids(roles.counts(spark, d), roles.cells(spark, d).select("cell_id", F.col("region").alias("cluster"))), x=6)
+    return rounded(aggregate.cluster_centroids(roles.lines(spark, d), roles.cells(spark, d).select("cell_id", F.col("region").alias("cluster"))), x=6)
 
 
 BULK = "bulk AS (SELECT c.{g}, symbol AS gene, cell_id, sum(value) AS value FROM counts JOIN genes USING (gene_idx) JOIN {cells} c USING (cell_id) GROUP BY 1, 2, 3)"
@@ -224,20 +230,20 @@ BULK = "bulk AS (SELECT c.{g}, symbol AS gene, cell_id, sum(value) AS value FROM
 
 @query(f"WITH {COUNTS}, {GENES}, {CELLS}, {BULK.format(g='study', cells='cells')}, n AS (SELECT study, count(*) AS cells FROM cells GROUP BY 1 HAVING count(*) >= 2) SELECT study, gene, sum(value) AS sum, count(*) FILTER (value <> 0) AS count_nonzero, any_value(n.cells) AS cells FROM bulk JOIN n USING (study) GROUP BY 1, 2")
 def pseudobulk(spark, d):
-    counts = matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
+    counts = matrix.consolidate(roles.lines(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
     return aggregate.pseudobulk(counts, roles.cells(spark, d), ["study"], 2)
 
 
 @query(f"WITH {QC}, {CELLS}, good AS (SELECT cells.* FROM cells JOIN qc USING (cell_id) WHERE pct_mt <= 20 AND total_counts >= 50 AND n_genes >= 2), {BULK.format(g='study', cells='good')}, n AS (SELECT study, count(*) AS cells FROM good GROUP BY 1) SELECT study, gene, sum(value) AS sum, count(*) FILTER (value <> 0) AS count_nonzero, any_value(n.cells) AS cells FROM bulk JOIN n USING (study) GROUP BY 1, 2")
 def pseudobulk_qc(spark, d):
-    counts = matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
+    counts = matrix.consolidate(roles.lines(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
     good = qc.qc_pass(_metrics(spark, d), 20.0, 50, 2).select("cell_id")
     return aggregate.pseudobulk(counts, roles.cells(spark, d).join(good, "cell_id", "left_semi"), ["study"])
 
 
 @query(f"WITH {COUNTS}, {GENES}, {CELLS}, {BULK.format(g='tissue', cells='cells')}, n AS (SELECT tissue, count(*) AS cells FROM cells GROUP BY 1), m AS (SELECT DISTINCT p_name AS gene FROM part WHERE p_name < 'g') SELECT tissue, gene, CASE WHEN gene IN (SELECT gene FROM m) THEN sum(value) END AS sum, CASE WHEN gene IN (SELECT gene FROM m) THEN count(*) FILTER (value <> 0) END AS count_nonzero, any_value(n.cells) AS cells FROM bulk JOIN n USING (tissue) GROUP BY 1, 2")
 def pseudobulk_masked(spark, d):
-    counts = matrix.consolidate(roles.counts(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
+    counts = matrix.consolidate(roles.lines(spark, d), roles.genes(spark, d)).withColumnRenamed("symbol", "gene")
     measured = roles.genes(spark, d).where("symbol < 'g'").select(F.col("symbol").alias("gene"))
     return aggregate.pseudobulk(counts, roles.cells(spark, d), ["tissue"], 1, measured)
 
@@ -264,6 +270,131 @@ def attribute_genes(spark, d):
     return training.ranked_genes(encoder.attribute(pairs, encoder.Encoder.random(width, [32], 16, seed=1)))
 
 
+# Whole ways from counts to hits. The net has one layer, which sums genes by their remainder of 16, so SQL can say what it gives.
+
+
+BINS = 16
+EMBED = "SELECT {by}, list(v / norm ORDER BY bin) AS vector FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {by})) AS norm FROM (SELECT {by}, bin, coalesce(sum(x) FILTER (gene_idx % 16 = bin), 0) AS v FROM {of}, range(16) t(bin) GROUP BY ALL)) GROUP BY 1"
+EMBEDDED = f"{COUNTS}, {CELLS}, normal AS (SELECT cell_id, gene_idx, ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id))::FLOAT::DOUBLE AS x FROM counts), vecs AS ({EMBED.format(by='cell_id', of='normal')})"
+CENTRES = "sums AS (SELECT {by} AS cluster, gene_idx, sum(value) AS value FROM counts JOIN cells USING (cell_id){where} GROUP BY 1, 2), shares AS (SELECT cluster, gene_idx, ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cluster))::FLOAT::DOUBLE AS x FROM sums), centres AS (" + EMBED.format(by="cluster", of="shares") + ")"
+
+
+def _binned(spark, d):
+    """A net of one layer, as many genes wide as there are."""
+    width = roles.genes(spark, d).agg(F.max("gene_idx")).first()[0] + 1
+    weight = (np.arange(width)[None, :] % BINS == np.arange(BINS)[:, None]).astype(np.float64)
+    return encoder.Encoder([encoder.Layer(weight, np.zeros(BINS))])
+
+
+def _own_genes(spark, d):
+    """The gene order that leaves genes where they are."""
+    return roles.genes(spark, d).select("gene_idx", F.concat(F.lit("g"), "gene_idx").alias("symbol"))
+
+
+def _embedded_cells(spark, d, net):
+    named = roles.counts(spark, d).select("cell_id", F.concat(F.lit("g"), "gene_idx").alias("symbol"), "value")
+    return settled(flows.embedded(named, _own_genes(spark, d), net, kind="double").select(F.col("cell_id").alias("id"), "vector"))
+
+
+@query(f"WITH {EMBEDDED}, {CENTRES.format(by="study || '/' || disease", where='')}, d AS (SELECT cell_id, cluster, split_part(cluster, '/', 2) AS label, list_cosine_distance(v.vector, c.vector) AS dist FROM vecs v, centres c), r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist, cluster) AS rank FROM d), top AS (SELECT * FROM r WHERE rank <= 15), v AS (SELECT cell_id, label, count(*) AS hits, min(rank) AS first_rank FROM top GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY hits DESC, first_rank) AS w FROM v), m AS (SELECT cell_id, min(dist) AS min_dist FROM top GROUP BY 1) SELECT cell_id, max(label) FILTER (w = 1) AS hint, round(max(m.min_dist), 5) AS min_dist, round(max(hits) / sum(hits), 6)::DOUBLE AS hint_stat, '{{' || string_agg('\"' || label || '\":' || hits, ',' ORDER BY label) || '}}' AS hits FROM o JOIN m USING (cell_id) GROUP BY 1")
+def annotate_dataset(spark, d):
+    net, counts = _binned(spark, d), roles.counts(spark, d)
+    clusters = roles.cells(spark, d).select("cell_id", F.concat_ws("/", "study", "disease").alias("cluster"))
+    centres = flows.embedded_centroids(counts, clusters, net, kind="double")
+    reference = settled(centres.select(F.col("query_id").alias("id"), "vector", F.split("cluster", "/")[1].alias("label")))
+    named = counts.select("cell_id", F.concat(F.lit("g"), "gene_idx").alias("symbol"), "value")
+    out = flows.annotate_counts(named, _own_genes(spark, d), net, reference, 15, kind="double")
+    return rounded(out.select("cell_id", "hint", "min_dist", "hint_stat", matrix.hits_json("hits").alias("hits")), min_dist=5, hint_stat=6)
+
+
+def _centroid_sql(by: str, limit: str, where: str = "", name: bool = True) -> str:
+    of = "cluster AS centroid, " if name else ""
+    return f"WITH {EMBEDDED}, {CENTRES.format(by=by, where=where)}, d AS (SELECT cluster, cell_id AS id, list_cosine_distance(v.vector, c.vector) AS dist FROM vecs v, centres c), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, id) AS rank FROM d) SELECT {of}id, rank::INT AS rank, tissue, round(dist, 6) AS query_nn_dist FROM r JOIN cells ON id = cells.cell_id WHERE {limit}"
+
+
+def _metadata(spark, d):
+    return roles.cells(spark, d).select(F.col("cell_id").alias("id"), "tissue", "data_type")
+
+
+@query(_centroid_sql("'all'", "rank <= 40", " WHERE tissue = 'BUILDING'", name=False))
+def centroid_search(spark, d):
+    net = _binned(spark, d)
+    chosen = roles.cells(spark, d).where("tissue = 'BUILDING'")
+    hits, _ = flows.search_centroid(roles.counts(spark, d), chosen, net, _embedded_cells(spark, d, net), _metadata(spark, d), 40, clusters=None, kind="double")
+    return rounded(hits.select("id", "rank", "tissue", "query_nn_dist"), query_nn_dist=6)
+
+
+@query(_centroid_sql("'all'", "dist <= 0.35", " WHERE tissue = 'BUILDING'", name=False))
+def centroid_exhaustive(spark, d):
+    net = _binned(spark, d)
+    chosen = roles.cells(spark, d).where("tissue = 'BUILDING'")
+    hits, _ = flows.search_centroid(roles.counts(spark, d), chosen, net, _embedded_cells(spark, d, net), _metadata(spark, d), max_dist=0.35, clusters=None, kind="double")
+    return rounded(hits.select("id", "rank", "tissue", "query_nn_dist"), query_nn_dist=6)
+
+
+@query(_centroid_sql("region", "rank <= 30"))
+def cluster_centroid_search(spark, d):
+    net, clusters = _binned(spark, d), roles.cells(spark, d).select("cell_id", F.col("region").alias("cluster"))
+    hits = flows.search_cluster_centroids(roles.counts(spark, d), clusters, net, _embedded_cells(spark, d, net), _metadata(spark, d), 30, kind="double")
+    return rounded(hits.select("centroid", "id", "rank", "tissue", "query_nn_dist"), query_nn_dist=6)
+
+
+@query(f"WITH a AS ({_centroid_sql('region', 'dist <= 0.4')}) SELECT centroid, id, row_number() OVER (PARTITION BY centroid ORDER BY rank)::INT AS rank, tissue, query_nn_dist FROM a WHERE tissue = 'MACHINERY'")
+def cluster_centroid_exhaustive(spark, d):
+    net, clusters = _binned(spark, d), roles.cells(spark, d).select("cell_id", F.col("region").alias("cluster"))
+    hits = flows.search_cluster_centroids(roles.counts(spark, d), clusters, net, _embedded_cells(spark, d, net), _metadata(spark, d), max_dist=0.4, equal={"tissue": "MACHINERY"}, kind="double")
+    return rounded(hits.select("centroid", "id", "rank", "tissue", "query_nn_dist"), query_nn_dist=6)
+
+
+@query()
+def centroid_coherence(spark, d):
+    """K-means has no SQL form; tested by its bounds and on clusters made by hand."""
+    net = _binned(spark, d)
+    chosen = roles.cells(spark, d).where("tissue = 'BUILDING'")
+    _, found = flows.search_centroid(roles.counts(spark, d), chosen, net, _embedded_cells(spark, d, net), _metadata(spark, d), 1000, clusters=10, kind="double")
+    return spark.createDataFrame([(found,)], "coherence double")
+
+
+@query(f"WITH {COUNTS}, {GENES}, {TARGET}, i AS (SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS pos, o_orderkey AS cell_id FROM orders), p AS (SELECT cell_id, t.gene_idx, sum(value) AS value FROM counts c JOIN genes g ON c.gene_idx = g.gene_idx JOIN target t USING (symbol) GROUP BY 1, 2) SELECT pos, cell_id, gene_idx, round(ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id)), 6) AS value FROM i JOIN p USING (cell_id)")
+def gather_counts(spark, d):
+    ids = tables.with_row_ids(tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), (-F.col("o_orderkey")).alias("_down")), "_down", name="pos")
+    return rounded(flows.gather_counts(ids, roles.counts(spark, d), roles.genes(spark, d), _target(spark, d)), value=6)
+
+
+@query(f"WITH {CELLS}, t AS (SELECT cell_id, study, sample, CASE WHEN data_type = 'F' THEN 'train' WHEN tissue = 'BUILDING' THEN 'test' ELSE 'NA' END AS data_type FROM cells), p AS (SELECT cell_id, tissue AS prediction, price AS min_dist FROM cells WHERE price > 100000) SELECT t.*, prediction, min_dist AS prediction_nn_dist, row_number() OVER (ORDER BY study, sample, cell_id) - 1 AS index FROM t LEFT JOIN p USING (cell_id)")
+def search_metadata(spark, d):
+    cells = roles.cells(spark, d)
+    predictions = cells.where("price > 100000").select("cell_id", F.col("tissue").alias("prediction"), F.col("price").alias("min_dist"))
+    return flows.search_metadata(cells.select("cell_id", "study", "sample"), cells.where("data_type = 'F'"), cells.where("tissue = 'BUILDING'"), predictions)
+
+
+@query(f"WITH {COUNTS} SELECT cell_id, gene_idx, value FROM counts WHERE cell_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND gene_idx IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')")
+def matrix_slice(spark, d):
+    cells = roles.cells(spark, d).where("data_type = 'P'")
+    return matrix.sliced(roles.counts(spark, d), cells, roles.genes(spark, d).where("brand = 'Brand#11'"))
+
+
+@query("SELECT cell_id, g AS gene_idx, coalesce(value, 0) AS value FROM (SELECT min(l_orderkey) AS cell_id FROM lineitem), range((SELECT max(p_partkey) + 1 FROM part)) t(g) LEFT JOIN (SELECT l_partkey AS g, sum(l_quantity)::DOUBLE AS value FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem) GROUP BY 1) USING (g)")
+def matrix_row(spark, d):
+    counts = roles.counts(spark, d)
+    cell, width = counts.agg(F.min("cell_id")).first()[0], roles.genes(spark, d).agg(F.max("gene_idx")).first()[0] + 1
+    return matrix.dense_row(counts, cell, width).select("cell_id", F.posexplode("row").alias("gene_idx", "value")).withColumn("gene_idx", F.col("gene_idx").cast("long"))
+
+
+@query(f"WITH {COUNTS}, m AS (SELECT gene_idx, sum(x) AS s FROM ({LOGNORM_ROWS}) GROUP BY 1), r AS (SELECT gene_idx, (row_number() OVER (ORDER BY s, gene_idx) - 1) * 25 // count(*) OVER () AS bin FROM m), own AS (SELECT r.* FROM r WHERE gene_idx % 50 = 7), ctl AS (SELECT gene_idx FROM r WHERE bin IN (SELECT bin FROM own) AND gene_idx % 50 <> 7), s AS (SELECT cell_id, sum(CASE WHEN gene_idx IN (SELECT gene_idx FROM own) THEN x ELSE 0 END) / (SELECT count(*) FROM own) - sum(CASE WHEN gene_idx IN (SELECT gene_idx FROM ctl) THEN x ELSE 0 END) / (SELECT count(*) FROM ctl) AS score FROM ({LOGNORM_ROWS}) GROUP BY 1) SELECT cell_id, round(score, 8) AS score FROM s")
+def score_genes(spark, d):
+    rows = matrix.lognorm(roles.counts(spark, d)).select("cell_id", "gene_idx", "x")
+    # every gene of a bin is a control, so no draw is left to chance
+    return rounded(summarize.score_genes(rows, roles.genes(spark, d).where("gene_idx % 50 = 7"), control=1 << 30), score=8)
+
+
+@query(f"WITH {CELLS} SELECT cell_id, tissue || '_' || region AS tissue, size, coalesce(colour, 'lightgray') AS colour FROM (SELECT cell_id, tissue, region, 1 AS size FROM cells) LEFT JOIN (VALUES ('BUILDING', 'red'), ('MACHINERY', 'blue')) c(t, colour) ON t = tissue")
+def relabel_leaves(spark, d):
+    leaves = roles.cells(spark, d).select("cell_id", "tissue", "region", F.lit(1).alias("size"))
+    colours = spark.createDataFrame([("BUILDING", "red"), ("MACHINERY", "blue")], "name string, colour string")
+    return summarize.relabelled(leaves, ["region"], "tissue", "_", colours).drop("region")
+
+
 # Summaries
 
 
@@ -479,8 +610,8 @@ def support_filter(spark, d):
 
 @query(f"WITH {CELLS} SELECT cell_id, study, sample FROM cells WHERE study IN (SELECT n_name FROM nation WHERE n_regionkey = 2) AND tissue IN (SELECT tissue FROM cells WHERE study NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 2))")
 def study_split(spark, d):
-    names = [r[0] for r in tables.load(spark, d, "nation").where("n_regionkey = 2").select("n_name").collect()]
-    _, val = training.split(roles.cells(spark, d).withColumnRenamed("tissue", "label"), names)
+    studies = tables.load(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_name").alias("study"))
+    _, val = training.split(roles.cells(spark, d).withColumnRenamed("tissue", "label"), studies)
     return val.select("cell_id", "study", "sample")
 
 
@@ -489,6 +620,43 @@ def label_encode(spark, d):
     return training.encoded_labels(roles.cells(spark, d).select(F.col("disease").alias("label")))
 
 
+@query(f"WITH {CELLS} SELECT cell_id, n_name AS label, study FROM (SELECT cell_id, sample % 40 AS label, nullif(study, 'FRANCE') AS study FROM cells) JOIN nation ON label = n_nationkey WHERE study IS NOT NULL")
+def label_names(spark, d):
+    rows = roles.cells(spark, d).select("cell_id", (F.col("sample") % 40).cast("string").alias("label"), F.nullif("study", F.lit("FRANCE")).alias("study"))
+    terms = tables.load(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("term_id"), F.col("n_name").alias("name"))
+    return training.named_labels(rows, terms)
+
+
+@query(f"WITH {CELLS} SELECT cell_id, study AS label FROM cells WHERE study IN (SELECT n_name FROM nation WHERE n_regionkey < 3)")
+def valid_terms(spark, d):
+    terms = tables.load(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("term_id"), F.col("n_name").alias("name"))
+    return training.valid_labels(roles.cells(spark, d).select("cell_id", F.col("study").alias("label")), terms)
+
+
+@query(f"WITH {COUNTS}, {GENES}, {TARGET}, {CELLS}, l AS (SELECT disease, (dense_rank() OVER (ORDER BY disease) - 1)::INT AS label_int FROM (SELECT DISTINCT disease FROM cells)), p AS (SELECT cell_id, t.gene_idx, sum(value) AS value FROM counts c JOIN genes g ON c.gene_idx = g.gene_idx JOIN target t USING (symbol) GROUP BY 1, 2), x AS (SELECT cell_id, gene_idx, ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id)) AS x FROM p), k AS (SELECT cell_id, list(gene_idx ORDER BY gene_idx)::VARCHAR AS genes, round(sum(x::FLOAT::DOUBLE), 4) AS total FROM x GROUP BY 1) SELECT c.cell_id, label_int, study, coalesce(genes, '[]') AS genes, coalesce(total, 0) AS total FROM cells c JOIN l USING (disease) LEFT JOIN k USING (cell_id)")
+def collate(spark, d):
+    cells = roles.cells(spark, d).select("cell_id", F.col("disease").alias("label"), "study")
+    symbols = matrix.consolidate(roles.lines(spark, d), roles.genes(spark, d))
+    out = training.collated(cells, symbols, _target(spark, d), training.encoded_labels(cells))
+    total = F.aggregate(F.col("val").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    genes = F.concat(F.lit("["), F.array_join(F.col("idx").cast("array<string>"), ", "), F.lit("]"))
+    return rounded(out.select("cell_id", "label_int", "study", genes.alias("genes"), total.alias("total")), total=4)
+
+
+@query()
+def perturbed_labels(spark, d):
+    """Drawn by a seeded hash; tested by its size, its repeatability and the parents it gives."""
+    rows = roles.cells(spark, d).select("cell_id", (F.col("sample") % 25).cast("int").alias("label"), "study")
+    return training.perturbed(rows, roles.edges(spark, d), "cell_id", 0.3, seed=3)
+
+
+@query("SELECT round(avg(l_tax), 8) AS asw, round(avg((l_quantity - l_extendedprice) ** 2) / avg(l_quantity ** 2), 4) AS nmse, round((1 - avg(l_tax)) / 2 + avg((l_quantity - l_extendedprice) ** 2) / avg(l_quantity ** 2), 4) AS metric FROM lineitem")
+def mixed_metric(spark, d):
+    lines = tables.load(spark, d, "lineitem")
+    rebuilt = lines.select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return rounded(training.mixed_metric(lines.select(F.col("l_tax").alias("width")), rebuilt), asw=8, nmse=4, metric=4)
+
+
 @query()
 def weighted_sample(spark, d):
     """Seeded by a hash; tested by its size, its bias and its repeatability."""

@@ -13,9 +13,13 @@ from kindred.operators.matrix import collapsed
 from kindred.sources.tables import load
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Counts whose coordinates may repeat: enough for what only sums them, and a shuffle less."""
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_idx"), F.col("l_quantity").alias("value"))
+
+
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_idx"), F.col("l_quantity").alias("value"))
-    return collapsed(lines)
+    return collapsed(lines(spark, d))
 
 
 def genes(spark: SparkSession, d: str) -> DataFrame:

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where ``spark.checkpoint.dir`` set none, as in tests."""
+    """Sets the checkpoint folder to ``spark.checkpoint.dir``; only a local master, as in tests, may leave that unset, and then gets a temporary one."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kindred-"))
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="kindred-")
+    context.setCheckpointDir(folder)
 
 
 def settled(df: DataFrame) -> DataFrame:

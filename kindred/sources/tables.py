@@ -30,20 +30,27 @@ def positions(spark: SparkSession, ids: list, key: str, kind: str = "long") -> D
     return spark.createDataFrame([(list(ids),)], f"ids array<{kind}>").select(F.posexplode("ids").alias("pos", key))
 
 
-def with_row_ids(df: DataFrame, order: str, first: int = 0, name: str = "row_id") -> DataFrame:
-    """Consecutive ids in the order of a column, by counts of range partitions and not by one sort of all rows in one task."""
-    spread = settled(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+def with_row_ids(df: DataFrame, order: str | list[str], first: int = 0, name: str = "row_id") -> DataFrame:
+    """Consecutive ids in the order of columns, by counts of range partitions and not by one sort of all rows in one task."""
+    by = [order] if isinstance(order, str) else list(order)
+    spread = settled(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + first
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1 + first
     return spread.withColumn("_n", place).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_n") + F.col("_start")).cast("long")).drop("_part", "_n", "_start")
 
 
 def append(df: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose ``key`` counts from 0, moved behind those at ``path``; returns by how much."""
+    """Appends rows whose ``key`` counts from 0, moved behind those at ``path``; returns by how much. The columns must be those at ``path``."""
     spark = df.sparkSession
-    offset = (spark.read.parquet(path).agg(F.max(key)).first()[0] or -1) + 1 if _exists(spark, path) else 0
+    offset = 0
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        if set(old.columns) != set(df.columns):
+            raise ValueError(f"the table at {path} has the columns {sorted(old.columns)}, not {sorted(df.columns)}")
+        last = old.agg(F.max(key)).first()[0]
+        offset = 0 if last is None else last + 1
     df.withColumn(key, F.col(key) + F.lit(offset)).write.mode("append").parquet(path)
     return offset
 

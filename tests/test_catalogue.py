@@ -70,3 +70,12 @@ def test_embeddings_are_unit(spark):
 def test_attributions_are_ranked(spark):
     found = QUERIES["attribute_genes"](spark, DATA).toPandas()
     assert len(found) and (found["attribution"] >= 0).all()
+
+
+def test_centroid_coherence_is_bounded(spark):
+    assert 0 < QUERIES["centroid_coherence"](spark, DATA).first()[0] <= 100
+
+
+def test_perturbed_labels_are_parents_or_the_same(spark):
+    found = QUERIES["perturbed_labels"](spark, DATA).toPandas()
+    assert len(found) and found["label"].between(0, 24).all()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import vectors as vec
-from kindred.operators import aggregate, annotate, encoder, matrix, neighbours, ontology, search, summarize, training
+from kindred.operators import aggregate, annotate, encoder, flows, matrix, neighbours, ontology, quantiles, search, summarize, training
 from kindred.operators import quality_control as qc
 from kindred.sources import obo, tables
 from kindred.streaming import events
@@ -113,7 +113,8 @@ def test_self_distance(spark):
 def test_index_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = frame(spark, [(i, [float(y) for y in v]) for i, v in enumerate(rng.normal(size=(200, 6)))], "id long, vector array<double>")
-    neighbours.InvertedFile.build(rows, 4).write(str(tmp_path))
+    built = neighbours.InvertedFile.build(rows, 4)
+    built.write(str(tmp_path))
     index, asked = neighbours.InvertedFile.read(spark, str(tmp_path)), rows.withColumnRenamed("id", "query_id")
     assert pairs(index.nearest(asked, 3, probes=4), "query_id", "rank", "id") == pairs(neighbours.nearest(asked, rows, 3), "query_id", "rank", "id")
 
@@ -245,3 +246,174 @@ def test_streams(spark, tmp_path):
     run = events.annotate_stream(spark.readStream.schema("query_id long, vector array<double>").parquet(str(tmp_path / "q")), reference, lambda df, n: found.extend(df.collect()), k=1)
     run.awaitTermination(60)
     assert [r.prediction for r in found] == ["x"]
+
+
+def test_append_to_one_row_and_to_none(spark, tmp_path):
+    path = str(tmp_path / "t")
+    none, one, two = (frame(spark, [(i, "x") for i in range(n)], "id long, v string") for n in range(3))
+    assert [tables.append(x, path, "id") for x in (none, one, two, one)] == [0, 0, 1, 3]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="columns"):
+        tables.append(one.withColumn("w", F.lit(1)), path, "id")
+
+
+def test_matrix_and_annotations_written_and_read_again(spark, tmp_path):
+    counts = frame(spark, [(0, 0, 1.0), (0, 4, 2.0), (1, 2, 3.0)], "cell_id long, gene_idx int, value double")
+    path = str(tmp_path / "x")
+    assert [matrix.append_matrix(counts, path, 5) for _ in range(2)] == [0, 2]
+    again = spark.read.parquet(path)
+    assert pairs(again, "cell_id", "gene_idx", "value") == {(a + k, g, v) for k in (0, 2) for a, g, v in [(0, 0, 1.0), (0, 4, 2.0), (1, 2, 3.0)]}
+    with pytest.raises(ValueError, match="4"):
+        matrix.append_matrix(counts, path, 4)
+    assert matrix.append_matrix(counts, str(tmp_path / "y"), 2, axis="gene_idx") == 0
+    assert matrix.dense_row(again, 2, 5).first().row == [1.0, 0.0, 0.0, 0.0, 2.0] and matrix.dense_row(again, 99, 3).first().row == [0.0] * 3
+    with pytest.raises(Exception, match="beyond"):
+        matrix.dense_row(again, 0, 3).collect()
+    assert pairs(matrix.sliced(again, frame(spark, [(2,), (3,)], "cell_id long"), frame(spark, [(2,)], "gene_idx int")), "cell_id", "value") == {(3, 3.0)}
+    obs = frame(spark, [(0, "a"), (1, None)], "cell_id long, kind string")
+    grown = tables.append_columns(obs, frame(spark, [(2, 7)], "cell_id long, depth int"))
+    grown.write.parquet(str(tmp_path / "obs"))
+    assert pairs(spark.read.parquet(str(tmp_path / "obs")), "cell_id", "kind", "depth") == {(0, "a", None), (1, None, None), (2, None, 7)}
+
+
+def test_side_files_and_folders(spark, tmp_path):
+    (tmp_path / "labels.tsv").write_text("label\tstudy\nT cell\ts1\nB cell\ts2\n")
+    assert pairs(tables.separated(spark, str(tmp_path / "labels.tsv"), "label string, study string"), "label", "study") == {("T cell", "s1"), ("B cell", "s2")}
+    for study, sample in (("s1", "a"), ("s1", "b"), ("s2", "a")):
+        frame(spark, [(1,)], "cell_id long").write.parquet(str(tmp_path / f"root/study={study}/sample={sample}"))
+    assert pairs(tables.study_samples(spark, str(tmp_path / "root")), "study", "sample", "cell_id") == {("s1", "a", 1), ("s1", "b", 1), ("s2", "a", 1)}
+
+
+def test_checked_counts(spark):
+    counts = frame(spark, [(1, 0, 0.0), (1, 1, 2.0)], "cell_id long, gene_idx int, value double")
+    assert matrix.check_counts(counts).count() == 2
+    with pytest.raises(Exception, match="negative"):
+        matrix.check_counts(counts.withColumn("value", F.lit(-1.0))).collect()
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), np.round(rng.normal(size=900), 1), strict=True)] + [(None, 1.0), (None, 2.0), (7, None), (8, 4.0)]
+    rows = frame(spark, values, "g int, v double")
+    for q in (0.0, 0.37, 0.5, 0.999, 1.0):
+        got = {r.g: r.quantile for r in quantiles.quantiles(rows, "v", q, "g").collect()}
+        assert set(got) == {0, 1, 2, None, 8}
+        for g in got:
+            assert np.isclose(got[g], np.quantile([v for k, v in values if k == g and v is not None], q))
+        assert np.isclose(quantiles.quantiles(rows, "v", q).first().quantile, np.quantile([v for _, v in values if v is not None], q))
+    assert quantiles.quantiles(rows.where("false"), "v", 0.5, "g").count() == 0
+
+
+@pytest.mark.parametrize("mode", ["hard", "semihard", "random"])
+def test_triplets_against_all_triples(spark, mode):
+    rng = np.random.default_rng(4)
+    rows = [(b, i, "abc"[rng.integers(3)], int(rng.integers(2)), [float(x) for x in np.round(rng.normal(size=3), 1)]) for b in range(2) for i in range(b * 100, b * 100 + 24)]
+    related = [("a", "b")]
+    batch = frame(spark, rows, "batch int, id long, label string, study int, vector array<double>")
+    dist = lambda x, y: sum((p - q) ** 2 for p, q in zip(x[4], y[4], strict=True))
+    want = {}
+    for a in rows:
+        for p in rows:
+            if a[0] == p[0] and a[2] == p[2] and a[1] < p[1] and a[3] != p[3]:
+                for n in rows:
+                    loss = dist(a, p) - dist(a, n) + 0.5
+                    if n[0] == a[0] and n[2] != a[2] and (a[2], n[2]) not in related and (n[2], a[2]) not in related and loss > 0 and (mode != "semihard" or loss < 0.5):
+                        want.setdefault((a[0], a[1], p[1]), []).append((-loss, n[1]))
+    if mode == "hard":  # the nearest negative of all, not only of those with a loss
+        want = {k: v for k, v in want.items() if v}
+    got = {(r.batch, r.anchor, r.positive): (r.negative, r.loss) for r in training.triplets(batch, 0.5, mode, frame(spark, related, "a string, b string")).collect()}
+    assert set(got) == set(want) and len(got) > 5
+    for key, (negative, loss) in got.items():
+        options = {n: -x for x, n in want[key]}
+        assert np.isclose(options[negative], loss)
+        if mode != "random":
+            assert negative == min((round(x, 9), n) for x, n in want[key])[1]
+    traced = training.triplets(batch, 0.5, mode, trace=True)
+    assert {f"{s}_{c}" for s in ("anchor", "positive", "negative") for c in ("label", "study")} < set(traced.columns)
+    assert all(r.anchor_label == r.positive_label != r.negative_label for r in traced.collect())
+
+
+def test_coarse_grained(spark):
+    rows = frame(spark, [(1, "D", "s1"), (2, "D", "s2"), (3, "B", "s1"), (4, "B", "s2"), (5, "E", "s1"), (6, "F", "s1")], "cell_id long, label string, study string")
+    viable = frame(spark, [("E", "D"), ("F", None)], "node string, parent string")
+    assert pairs(training.coarse_grained(rows, viable), "cell_id", "label") == {(1, "D"), (2, "D"), (3, "B"), (4, "B"), (5, "D")}
+
+
+def test_perturbed_labels(spark, dag):
+    edges, _, _ = dag
+    rows = frame(spark, [(i, "ABCDE"[i % 5]) for i in range(500)], "cell_id long, label string")
+    first, again = (dict(pairs(training.perturbed(rows, edges, "cell_id", 0.4, seed=2), "cell_id", "label")) for _ in range(2))
+    changed = {i: ("ABCDE"[i % 5], x) for i, x in first.items() if x != "ABCDE"[i % 5]}
+    assert first == again and len(first) == 500
+    assert all((parent, child) in DAG for child, parent in changed.values())
+    # a draw hits with probability 1 - exp(-0.4), and four labels of five have a parent
+    assert 90 < len(changed) < 175
+    assert training.perturbed(rows, edges, "cell_id", 0.0).subtract(rows).count() == 0
+    assert training.perturbed(rows.where("false"), edges, "cell_id", 0.5).count() == 0
+
+
+def test_names_and_valid_terms(spark):
+    terms = frame(spark, [("X:1", "one"), ("X:2", "two"), ("X:3", None)], "term_id string, name string")
+    rows = frame(spark, [(1, "X:1"), (2, "X:2"), (3, "X:9"), (4, None), (5, "X:3")], "cell_id long, label string")
+    assert pairs(training.named_labels(rows, terms), "cell_id", "label") == {(1, "one"), (2, "two")}
+    named = frame(spark, [(1, "one"), (2, "none")], "cell_id long, label string")
+    assert pairs(training.valid_labels(named, terms), "cell_id") == {(1,)}
+    with pytest.raises(ValueError):
+        training.valid_labels(named.where("cell_id = 2"), terms)
+    with pytest.raises(ValueError):
+        annotate.allowed(frame(spark, [(1, "a")], "id long, label string"), ["b"])
+
+
+def test_losses(spark):
+    assert training.mixed_loss(2.0, 4.0, 0.25) == 3.5
+    got = training.mixed_metric(frame(spark, [(0.5,), (0.1,)], "width double"), frame(spark, [(1.0, 2.0), (3.0, 3.0)], "x double, y double")).first()
+    assert np.allclose([got.asw, got.nmse, got.metric], [0.3, 0.1, 0.45])
+
+
+def test_sampled_rows(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "cell_id")
+    first, again, other = ({r.cell_id for r in training.sampled_rows(rows, "cell_id", 100, seed).collect()} for seed in (1, 1, 2))
+    assert first == again != other and len(first) == 100 and sum(x < 500 for x in first) in range(30, 71)
+
+
+def test_whole_ways(spark):
+    """Counts whose cells point along one axis each: labels, hits and the coherence of a query can be seen at once."""
+    net = encoder.Encoder([encoder.Layer(np.eye(4), np.zeros(4))])
+    target = frame(spark, [(i, f"g{i}") for i in range(4)], "gene_idx int, symbol string")
+    cells = [(i, f"g{i % 4}", 5.0) for i in range(40)] + [(i, "other", 9.0) for i in range(40)] + [(99, "other", 1.0)]
+    counts = frame(spark, cells, "cell_id long, symbol string, value double")
+    reference = frame(spark, [(i, [1.0 if k == i else 0.0 for k in range(4)], f"t{i}") for i in range(4)], "id long, vector array<double>, label string")
+    got = {r.cell_id: r for r in flows.annotate_counts(counts, target, net, reference, 1).collect()}
+    assert set(got) == set(range(40)) and all(got[i].hint == f"t{i % 4}" and abs(got[i].min_dist) < 1e-6 and got[i].hint_stat == 1 for i in got)
+    placed = matrix.align(counts, target)
+    own = frame(spark, [(i,) for i in range(0, 40, 4)], "cell_id long")
+    vectors = flows.embedded(counts, target, net).select(F.col("cell_id").alias("id"), "vector")
+    meta = vectors.select("id", (F.col("id") % 2).alias("odd"))
+    hits, share = flows.search_centroid(placed, own, net, vectors, meta, 10, clusters=2)
+    assert {r.id for r in hits.collect()} == set(range(0, 40, 4)) and share == 10
+    hits, share = flows.search_centroid(placed, own, net, vectors, meta, 10, max_dist=0.5, equal={"odd": 0}, clusters=None)
+    assert {r.id for r in hits.collect()} == set(range(0, 40, 4)) and share is None
+    named = frame(spark, [(i, "xy"[i % 4]) for i in range(40) if i % 4 < 2], "cell_id long, cluster string")
+    hits = flows.search_cluster_centroids(placed, named, net, vectors, meta, 10).collect()
+    assert {(r.centroid, r.id % 4) for r in hits} == {("x", 0), ("y", 1)} and len(hits) == 20
+    assert {r.centroid for r in flows.search_cluster_centroids(placed, named, net, vectors, meta, 10, label="y").collect()} == {"y"}
+
+
+def test_gene_scores(spark):
+    rows = [(c, g, float((c + g) % 3)) for c in range(5) for g in range(20) if (c + g) % 3]
+    counts, signature = frame(spark, rows, "cell_id long, gene_idx int, x double"), frame(spark, [(3,), (7,), (999,)], "gene_idx int")
+    got = {r.cell_id: r.score for r in summarize.score_genes(counts, signature, bins=1, control=100).collect()}
+    for c in range(5):
+        x = [float((c + g) % 3) for g in range(20)]
+        assert np.isclose(got[c], (x[3] + x[7]) / 2 - (sum(x) - x[3] - x[7]) / 18)
+
+
+def test_inverted_file_finds_enough_by_default(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 16))
+    rows = frame(spark, [(i, [float(y) for y in centre[i % 40] + rng.normal(size=16)]) for i in range(3000)], "id long, vector array<double>")
+    index = neighbours.InvertedFile.build(rows, 25)
+    asked = training.sampled_rows(rows, "id", 300, seed=9).withColumnRenamed("id", "query_id")
+    exact, near = (pairs(x, "query_id", "id") for x in (neighbours.nearest(asked, rows, 10), index.nearest(asked, 10)))
+    print(f"{index.probes_for(10)} of 25 parts probed, recall {len(exact & near) / len(exact):.3f}")
+    assert len(exact & near) >= 0.9 * len(exact) and index.probes_for(10) < 25
