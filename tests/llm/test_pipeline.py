@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import corpus_pipeline as pipeline
@@ -43,3 +45,58 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     got = pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() >= 1
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def without_near_by_hand(docs):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in docs.items()}
+    group = {i: i for i in docs}
+    for _ in docs:
+        for a in docs:
+            for b in docs:
+                if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                    group[a] = group[b] = min(group[a], group[b])
+    return {i: t for i, t in docs.items() if group[i] == i}
+
+
+def without_passages_by_hand(docs):
+    seen, out = set(), {}
+    for i in sorted(docs):
+        w, gone = words(docs[i]), set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone.update(range(k, k + 20))
+            seen.add(tuple(w[k : k + 20]))
+        out[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    return out
+
+
+def test_stages_against_plain_forms(spark, folder):
+    """Two stages have a plain form; each is held to it on its own input, after the trained stages have decided."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    stages = dict(pipeline.STAGES)
+    kept = stages["language_id"](spark, stages["toxicity"](spark, docs, folder), folder).where("doc_id < 45 or doc_id >= 200").cache()
+    single = stages["ngram_jaccard_join"](spark, kept, folder).cache()
+    assert texts(single) == without_near_by_hand(texts(kept)) and single.count() < kept.count()
+    left = stages["substring_dedup"](spark, single, folder)
+    assert texts(left) == without_passages_by_hand(texts(single))
+    assert all(r.n_chars == len(r.text) for r in left.collect())
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_empty_tables_and_clashing_columns(spark, folder, extra):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 9" if extra else "false")
+    if extra:
+        for name in ("score", "_score", "language", "_share", "starts", "_key", "n_words", "row"):
+            docs = docs.selectExpr("*", f"'kept' as `{name}`")
+    kinds = docs.dtypes
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.dtypes == kinds and (extra or docs.count() == 0), name
+    if extra:
+        assert "row" in docs.columns and {r["_score"] for r in docs.collect()} == {"kept"}
+    assert pipeline.STAGES[-1][1](spark, docs, folder).columns[0] == "doc_id"
