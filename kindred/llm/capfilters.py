@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm.components import components
-from kindred.llm.shared import written
+from kindred.llm.shared import order_text, ordered_number, written
 from kindred.llm.stars import BLOCK, stars, verified
 
 COSINE = 0.98
@@ -168,12 +168,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, n_tables: int =
     # of each class the filters of one row: its least id's
     chosen = fine.join(classes.select("name", F.col("rep").alias("vec_id"), "node", "copies"), ["name", "vec_id"])
     pairs = stars(chosen.select("label", "dim", "node", F.explode("filters").alias("filter")).select(F.xxhash64("label", "dim", "filter").alias("key"), "node").distinct())
-    content = chosen.join(pairs.select("node").distinct(), "node", "left_semi").dropDuplicates(["name"]).select("node", "copies", "name", "raw")
+    content = chosen.join(pairs.select("node").distinct(), "node", "left_semi").dropDuplicates(["name"])
+    # full names sort by the least vec_id, so the least one of a component says which vector that is
+    content = content.select("node", "copies", F.concat(order_text(F.col("vec_id")), "name").alias("name"), "raw")
     found = written(verified(pairs, content, linking(cosine, single), block), "links")
     partners = found.groupBy("node").agg(F.sum("partners").alias("partners"))
-    groups = components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "name")
-    least = groups.join(groups.join(classes.select("name", "rep"), "name").groupBy("component").agg(F.min("rep").alias("_component")), "component")
-    of_class = classes.join(partners.withColumnRenamed("node", "name"), "name", "left").join(least.select("name", "_component"), "name", "left").select("name", "rep", "copies", "partners", "_component")
+    key = lambda c: F.substring(c, 17, 32)
+    groups = components(found.where("node <> root"), "node", "root").select(key("node").alias("name"), ordered_number(F.col("component")).alias("_component"))
+    of_class = classes.join(partners.select(key("node").alias("name"), "partners"), "name", "left").join(groups, "name", "left").select("name", "rep", "copies", "partners", "_component")
     joined = base.select("vec_id", "name").join(of_class, "name", "left")
     links = F.when(F.col("vec_id").isNull() | F.col("copies").isNull(), F.lit(0)).otherwise(F.coalesce("partners", F.lit(0)) + F.col("copies") - 1)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_component", "rep", "vec_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
 from kindred.llm.components import components
-from kindred.llm.shared import written
+from kindred.llm.shared import order_text, ordered_number, written
 from kindred.llm.stars import BLOCK, stars, verified
 
 SHINGLE = 5
@@ -126,17 +126,18 @@ def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: i
     classes = keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("keys") > 0).alias("words"), F.first("keys").alias("keys"))
     classes = written(classes.withColumn("node", F.xxhash64("text_key")), "classes")
     pairs = stars(classes.select(F.explode("keys").alias("key"), "node"))
-    wanted = classes.join(pairs.select("node").distinct(), "node", "left_semi").select(F.col("text_key").alias("name"), "rep", "node", "copies")
-    own = F.md5(docs["text"]) == wanted["name"]
-    texts = docs.join(wanted, own & docs["doc_id"].eqNullSafe(wanted["rep"])).dropDuplicates(["name"])
-    content = texts.select("node", "copies", "name", shingle_set(F.col("text")).alias("raw"))
+    wanted = classes.join(pairs.select("node").distinct(), "node", "left_semi").select("text_key", "rep", "node", "copies")
+    own = F.md5(docs["text"]) == wanted["text_key"]
+    texts = docs.join(wanted, own & docs["doc_id"].eqNullSafe(wanted["rep"])).dropDuplicates(["text_key"])
+    # names sort by the least doc_id, so the least name of a component says which document that is
+    name = F.concat(order_text(F.col("rep")), "text_key").alias("name")
+    content = texts.select("node", "copies", name, shingle_set(F.col("text")).alias("raw"))
     found = written(verified(pairs, content, linking(similarity), block), "links")
     partners = found.groupBy("node").agg(F.sum("partners").alias("partners"))
-    groups = components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "text_key")
-    reps = groups.join(classes.select("text_key", "rep"), "text_key")
-    least = groups.join(reps.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
-    of = classes.select("text_key", "rep", "copies", "words").join(partners.withColumnRenamed("node", "text_key"), "text_key", "left")
-    return of.join(least.select("text_key", "component", "component_id"), "text_key", "left")
+    key = lambda c: F.substring(c, 17, 32)
+    groups = components(found.where("node <> root"), "node", "root").select(key("node").alias("text_key"), key("component").alias("component"), ordered_number(F.col("component")).alias("component_id"))
+    of = classes.select("text_key", "rep", "copies", "words").join(partners.select(key("node").alias("text_key"), "partners"), "text_key", "left")
+    return of.join(groups, "text_key", "left")
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

@@ -93,6 +93,17 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def order_text(key: Column) -> Column:
+    """16 characters that sort as whole numbers do; null comes last."""
+    return F.coalesce(F.lpad(F.hex(key.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("~" * 16))
+
+
+def ordered_number(text: Column) -> Column:
+    """The number that ``order_text`` made such a text of, which may go on behind its 16 characters."""
+    signed = F.conv(F.substring(text, 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(~text.startswith("~"), signed)
+
+
 def remainder(key: str | Column, modulus: int) -> Column:
     """``crc32(key as text) mod modulus``: the fold of a row."""
     column = F.col(key) if isinstance(key, str) else key

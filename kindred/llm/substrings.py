@@ -241,12 +241,14 @@ class FingerprintLog:
         self.compact()
         past = self.runs
         new = self.read([self.append(batch)])
+        # fingerprints that matter are counted and written first: a join with a table, unlike one with a count, is split where it is skewed
         often = new.groupBy("fp").agg(F.count("*").alias("n"))
         if not past:
-            found = new.join(often.where("n > 1").select("fp"), "fp", "left_semi")
+            found = new.join(written(often.where("n > 1").select("fp"), "often"), "fp", "left_semi")
         else:
             old = self.read(past)
             both = often.join(old.select("fp").distinct().withColumn("old", F.lit(True)), "fp", "left").where("n > 1 or old").select("fp")
+            both = written(both, "often")
             found = new.join(both, "fp", "left_semi").union(old.join(both, "fp", "left_semi"))
         return found.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
@@ -260,7 +262,7 @@ class FingerprintLog:
         made = texts.select("doc_id", F.explode(windows_at(F.col("frame"), F.col("places"), self.window, self.gram)).alias("_w")).select("doc_id", "_w.*")
         made = written(made, "windows")
         least = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-        later = made.join(least, ["h1", "h2"], "left").where("again or doc_id > _first")
+        later = made.join(written(least, "least"), ["h1", "h2"], "left").where("again or doc_id > _first")
         if first is not None:
             later = later.where(F.col("doc_id") >= first)
         return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))

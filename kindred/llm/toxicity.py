@@ -53,8 +53,25 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(44)).astype(np.int64)
 
 
+STEP = 0xFFFF
+
+
+def gaps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as 16-bit gaps; a gap of ``STEP`` or more has a ``STEP`` for each time it holds one."""
+    gap = np.diff(numbers, prepend=0)
+    many = gap // STEP
+    out = np.full(len(gap) + int(many.sum()), STEP, "<u2")
+    out[np.cumsum(many + 1) - 1] = gap % STEP
+    return out.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    gap = np.frombuffer(data, "<u2")
+    return np.cumsum(gap, dtype=np.int64)[gap != STEP].astype(np.int32)
+
+
 def presence(text: Column) -> Column:
-    """The distinct buckets of each text, ascending, as little-endian 32-bit bytes."""
+    """The distinct buckets of each text, by their gaps."""
 
     @F.arrow_udf(returnType=T.BinaryType())
     def buckets(column: pa.Array) -> pa.Array:
@@ -62,7 +79,7 @@ def presence(text: Column) -> Column:
         for _, _, data, offs in tw.slices(column):
             row, bucket = features(data, offs)
             pairs = np.unique(row * BUCKETS + bucket)
-            out += [x.astype("<i4").tobytes() for x in np.split(pairs % BUCKETS, np.searchsorted(pairs // BUCKETS, np.arange(1, len(offs) - 1)))]
+            out += [gaps(x) for x in np.split(pairs % BUCKETS, np.searchsorted(pairs // BUCKETS, np.arange(1, len(offs) - 1)))]
         return pa.array(out, pa.binary())
 
     return buckets(text)
@@ -134,7 +151,7 @@ def prior_shift(label: np.ndarray, weight: np.ndarray) -> float:
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out: int = 0, modulus: int = 5) -> Model:
     """A model of ``labels.toxic`` from a bounded sample outside the held-out fold; tasks hash its texts, and only distinct buckets come to the driver."""
     rows, label, weight = gathered(labelled_sample(documents, labels, "toxic", (modulus, held_out), per_class), presence(F.col("text")))
-    model = train([np.frombuffer(x, "<i4") for x in rows], label)
+    model = train([from_gaps(x) for x in rows], label)
     model.bias += prior_shift(label, weight)
     return model
 

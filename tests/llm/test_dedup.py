@@ -180,6 +180,13 @@ def test_stars(spark):
     assert all((r.node, r.leader) in pairs for r in got), "a star's nodes share a key with its leader, so chains don't grow"
 
 
+def test_numbers_as_texts_that_sort(spark):
+    numbers = [-(1 << 63), -70000, -1, 0, 1, 255, 1 << 40, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n,) for n in [*numbers, None]], "n long").select("n", shared.order_text(F.col("n")).alias("t"))
+    got = rows.select("n", "t", shared.ordered_number(F.concat("t", F.lit("ab"))).alias("back")).orderBy("t").collect()
+    assert [r.n for r in got] == [*numbers, None] and all(r.n == r.back for r in got)
+
+
 def test_scratch_is_deleted(spark, documents):
     with shared.scratch(spark):
         before = [len(x) for x in shared._made(spark)]

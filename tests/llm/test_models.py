@@ -43,6 +43,13 @@ def test_features_are_words_pairs_and_skips():
     assert len({b for x in names.values() for b in x}) > 0.99 * len(names)
 
 
+def test_gaps_come_back():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        numbers = np.unique(np.concatenate([rng.integers(0, toxicity.BUCKETS, n), [0, 65534, 65535, 65536, 131070][: n % 7]]).astype(np.int64))
+        assert (toxicity.from_gaps(toxicity.gaps(numbers)) == numbers).all()
+
+
 def ftrl_by_hand(rows, labels, alpha, beta, l1, l2, passes, weight):
     z, n = Counter(), Counter()
     rate = min(max(sum(labels) / len(labels), 0.01), 0.99)
