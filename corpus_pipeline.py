@@ -16,14 +16,27 @@ TOXIC = 0.5
 LEAST_LANGUAGE = 0.4
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a worker's and a JVM's copies of a batch come on top of all else an executor holds.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The pipeline's own session setting, for its stages' results are computed after they have returned; operators alone leave settings as they are. A smaller one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of these documents, doesn't find toxic."""
+    small_batches(spark)
     model, score = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name(docs.columns, "score")
     return toxicity.with_scores(docs, model, score).where(F.col(score) < TOXIC).drop(score)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language."""
+    small_batches(spark)
     language, share = (free_name(docs.columns, x) for x in ("language", "share"))
     found = langid.with_languages(docs, langid.fit(docs), language, share)
     return found.where((F.col(language) != langid.UNKNOWN) & (F.col(share) >= LEAST_LANGUAGE)).drop(language, share)
@@ -31,17 +44,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates. Rows without words or id stay."""
+    small_batches(spark)
     return ngramjoin.without_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that also stand earlier; ``n_chars`` follows the text."""
+    small_batches(spark)
     done = substrings.without_repeats(docs, counts=None)
     return done.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else done[c] for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    small_batches(spark)
     return packing.packed(docs)
 
 
