@@ -11,13 +11,14 @@ from kindred.operators.matrix import collapsed
 def cluster_centroids(counts: DataFrame, clusters: DataFrame, label: str | None = None, skip_null: bool = True) -> DataFrame:
     """``(cluster, gene_idx, x)``: log(1 + 1e4 * sum of the gene / sum of all) of each cluster, a ratio of sums.
 
-    ``clusters``: (cell_id, cluster). ``label``: only that cluster. Cells without a cluster go, or form the cluster "nan".
+    ``clusters``: (cell_id, cluster). A NaN among the counts is an error at run time. ``label``: only that cluster. Cells without a cluster go, or form the cluster "nan".
     """
     named = clusters.select("cell_id", F.col("cluster").cast("string").alias("cluster"))
     named = named.where("cluster is not null") if skip_null else named.fillna("nan", ["cluster"])
     if label is not None:
         named = named.where(F.col("cluster") == label)
-    sums = counts.join(named, "cell_id").groupBy("cluster", "gene_idx").agg(F.sum("value").alias("value"))
+    checked = counts.withColumn("value", F.when(F.isnan(F.col("value").cast("double")), F.raise_error(F.lit("NaN in counts")).cast("double")).otherwise(F.col("value").cast("double")))
+    sums = checked.join(named, "cell_id").groupBy("cluster", "gene_idx").agg(F.sum("value").alias("value"))
     total = F.sum("value").over(Window.partitionBy("cluster"))
     return sums.select("cluster", "gene_idx", F.when(total > 0, F.log1p(1e4 * F.col("value") / total)).otherwise(0.0).alias("x"))
 

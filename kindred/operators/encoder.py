@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH = 1024
 STEPS = 50
@@ -56,6 +56,18 @@ class Encoder:
             count = 1 + max(int(name.split(".")[0]) for name in held)
             return cls([Layer(**{name.split(".")[1]: held[name] for name in held if int(name.split(".")[0]) == k}) for k in range(count)])
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """As a table of arrays, in any folder that Spark can write."""
+        rows = [(k, name, list(value.shape), value.astype("<f8").tobytes()) for k, layer in enumerate(self.layers) for name, value in vars(layer).items() if value is not None]
+        spark.createDataFrame(rows, "layer int, name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Encoder:
+        layers: dict[int, dict[str, np.ndarray]] = {}
+        for r in spark.read.parquet(path).collect():
+            layers.setdefault(r["layer"], {})[r["name"]] = np.frombuffer(r["data"], "<f8").reshape(r["shape"])
+        return cls([Layer(**layers[k]) for k in sorted(layers)])
+
     def forward(self, x: np.ndarray, keep: list[np.ndarray] | None = None) -> np.ndarray:
         """Unit latent vectors of dense rows; ``keep`` gets what ``backward`` needs."""
         for layer in self.layers:
@@ -139,3 +151,19 @@ def attribute(pairs: DataFrame, encoder: Encoder, steps: int = STEPS) -> DataFra
                 yield pd.DataFrame({"pair_id": part["pair_id"].to_numpy()[row], "gene_idx": gene.astype(np.int32), "value": found[row, gene]})
 
     return pairs.mapInPandas(run, "pair_id long, gene_idx int, value double")
+
+
+def save_model(path: str, net: Encoder, genes: DataFrame, labels: DataFrame, studies: DataFrame) -> None:
+    """A net with what it takes to use it again: ``genes`` (gene_idx, symbol), ``labels`` (label, label_int) and ``studies`` (study, part), the lists of training and validation."""
+    net.write(genes.sparkSession, f"{path}/net")
+    for name, table in (("genes", genes), ("labels", labels), ("studies", studies)):
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[Encoder, DataFrame, DataFrame, DataFrame]:
+    """What ``save_model`` wrote. Raises ValueError if the gene order is not as wide as the net."""
+    net = Encoder.read(spark, f"{path}/net")
+    genes, labels, studies = (spark.read.parquet(f"{path}/{name}") for name in ("genes", "labels", "studies"))
+    if genes.count() != net.n_genes:
+        raise ValueError(f"the net takes {net.n_genes} genes, the gene order has {genes.count()}")
+    return net, genes, labels, studies

@@ -61,11 +61,20 @@ def consolidate(counts: DataFrame, genes: DataFrame) -> DataFrame:
 def to_symbols(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     """``(cell_id, symbol, value)``: ids become symbols, symbols stay, quotes are stripped, the rest goes.
 
-    ``counts``: (cell_id, name, value); ``mapping``: (id, symbol).
+    ``counts``: (cell_id, name, value), and perhaps (symbol), whose values take the names' place if no name is known; ``mapping``: (id, symbol).
     """
-    pairs = mapping.select(F.col("id").alias("_id"), "symbol").union(mapping.select("symbol", "symbol")).where("_id is not null and symbol is not null").distinct()
+    pairs = mapping.select(F.col("id").alias("_id"), F.col("symbol").alias("_symbol")).union(mapping.select("symbol", "symbol")).where("_id is not null and _symbol is not null").distinct()
     plain = counts.withColumn("_id", F.translate("name", "'\"", ""))
-    return collapsed(plain.join(pairs, "_id"), "cell_id", "symbol")
+    if "symbol" in counts.columns:
+        if not plain.join(pairs, "_id", "left_semi").take(1):
+            plain = plain.withColumn("_id", F.translate("symbol", "'\"", ""))
+        plain = plain.drop("symbol")
+    return collapsed(plain.join(pairs, "_id").withColumnRenamed("_symbol", "symbol"), "cell_id", "symbol")
+
+
+def write_packed(packed: DataFrame, path: str) -> int:
+    """Appends packed rows, whose cells count from 0, to the long matrix at ``path``; returns by how much cells were moved."""
+    return append(unpack(packed), path, "cell_id")
 
 
 def sliced(counts: DataFrame, cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:

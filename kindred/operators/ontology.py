@@ -65,6 +65,12 @@ def descendants(pairs: DataFrame, nodes: DataFrame, allowed: DataFrame | None =
     return out.union(nodes.select("node", "node")).distinct() if inclusive else out
 
 
+def lineage(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, related)``: ancestors and descendants of each node, each once: the terms that can't be told apart from it as labels."""
+    up = ancestors(pairs, nodes).withColumnRenamed("ancestor", "related")
+    return up.union(descendants(pairs, nodes).withColumnRenamed("descendant", "related")).distinct()
+
+
 def lowest_common_ancestors(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """``(a, b, lca)`` for asked pairs (a, b): of their common inclusive ancestors that have no common ancestor below them the least id."""
     both = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()

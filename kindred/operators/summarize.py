@@ -21,9 +21,14 @@ def sample_rollup(hits: DataFrame, metadata: DataFrame, levels: list[str]) -> Da
     return counted.join(totals, ["study", "sample"]).withColumn("fraction", F.col("cells") / F.col("total"))
 
 
+def first_index(metadata: DataFrame, groups: tuple[str, ...] = ("study", "sample", "data_type")) -> DataFrame:
+    """``(*groups, first)``: the least id of each group."""
+    return metadata.groupBy(*groups).agg(F.min("cell_id").alias("first"))
+
+
 def cell_index(metadata: DataFrame, groups: tuple[str, ...] = ("study", "sample", "data_type")) -> DataFrame:
     """``metadata`` with ``cell_index``: the id less the least id of its group."""
-    least = metadata.groupBy(*groups).agg(F.min("cell_id").alias("_first"))
+    least = first_index(metadata, groups).withColumnRenamed("first", "_first")
     return metadata.join(least, list(groups)).withColumn("cell_index", F.col("cell_id") - F.col("_first")).drop("_first")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.matrix import align, lognorm, pack
+from kindred.operators.neighbours import distance_sums
 from kindred.operators.quantiles import quantiles
 from kindred.sources.tables import with_row_ids
 
@@ -262,7 +263,13 @@ def silhouette(sums: DataFrame, descendants: DataFrame | None = None, ancestors:
     return out.select("id", "label", "intra", "inter", ((F.col("inter") - F.col("intra")) / F.greatest("intra", "inter")).alias("width"))
 
 
-def ranked_genes(attributions: DataFrame) -> DataFrame:
-    """``(gene_idx, attribution, std, cells, half_width)``: mean, population deviation and 1.96 standard errors over cells, largest mean first."""
+def average_width(rows: DataFrame, squared: bool = True, descendants: DataFrame | None = None, ancestors: DataFrame | None = None) -> float | None:
+    """The mean silhouette width of rows (id, label, vector) by squared Euclidean distances, or cosine ones; None where no row has one."""
+    return silhouette(distance_sums(rows, squared), descendants, ancestors).agg(F.avg("width")).first()[0]
+
+
+def ranked_genes(attributions: DataFrame, top: int | None = None) -> DataFrame:
+    """``(gene_idx, attribution, std, cells, half_width)``: mean, population deviation and 1.96 standard errors over cells, largest mean first; only the ``top`` of them if given."""
     stats = attributions.groupBy("gene_idx").agg(F.avg("value").alias("attribution"), F.stddev_pop("value").alias("std"), F.count("*").alias("cells"))
-    return stats.withColumn("half_width", 1.96 * F.col("std") / F.sqrt("cells")).orderBy(F.desc("attribution"), "gene_idx")
+    out = stats.withColumn("half_width", 1.96 * F.col("std") / F.sqrt("cells")).orderBy(F.desc("attribution"), "gene_idx")
+    return out if top is None else out.limit(top)

@@ -405,6 +405,11 @@ def _hits(spark, d):
     return roles.cells(spark, d).withColumn("query_id", F.col("cell_id") % 7)
 
 
+@query(f"WITH {CELLS} SELECT study, sample, data_type, min(cell_id) AS first FROM cells GROUP BY ALL")
+def first_index(spark, d):
+    return summarize.first_index(roles.cells(spark, d))
+
+
 @query(f"WITH {HITS}, n AS (SELECT query_id, study, sample, tissue, disease, count(*) AS cells FROM hits GROUP BY ALL), t AS (SELECT study, sample, count(*) AS total FROM cells GROUP BY 1, 2) SELECT query_id, study, sample, tissue, disease, n.cells, total, round(n.cells / total, 6) AS fraction FROM n JOIN t USING (study, sample)")
 def sample_rollup(spark, d):
     return rounded(summarize.sample_rollup(_hits(spark, d), roles.cells(spark, d), ["study", "sample", "tissue", "disease"]), fraction=6)
@@ -457,6 +462,11 @@ def hits_heatmap(spark, d):
     return summarize.heatmap(roles.cells(spark, d).withColumn("one", F.lit(1)), "tissue", "data_type", ["F", "O", "P"], "one")
 
 
+@query(f"WITH {CELLS} SELECT tissue, " + ", ".join(f"coalesce(round(avg(price) FILTER (data_type = '{x}'), 4), 0) AS {x}" for x in "FOP") + " FROM cells GROUP BY 1")
+def heatmap_of_means(spark, d):
+    return rounded(summarize.heatmap(roles.cells(spark, d), "tissue", "data_type", ["F", "O", "P"], "price", mean=True), F=4, O=4, P=4)
+
+
 @query(f"WITH {CELLS} SELECT region, study, tissue, round(sum(price), 2) AS size FROM cells GROUP BY ALL")
 def leaf_sizes(spark, d):
     return rounded(summarize.leaf_sizes(roles.cells(spark, d), ["region", "study"], "tissue", "price"), size=2)
@@ -560,6 +570,11 @@ def descendants(spark, d):
     return ontology.descendants(ontology.closure(roles.edges(spark, d)), nodes, nodes.where("node < 12"))
 
 
+@query(f"WITH RECURSIVE {CLOSURE} SELECT descendant AS node, ancestor AS related FROM pairs UNION SELECT ancestor, descendant FROM pairs")
+def lineage(spark, d):
+    return ontology.lineage(ontology.closure(roles.edges(spark, d)), roles.nodes(spark, d))
+
+
 @query(f"WITH RECURSIVE {CLOSURE} SELECT a.descendant AS a, b.descendant AS b, count(*) AS similarity FROM pairs a JOIN pairs b USING (ancestor) WHERE a.descendant < b.descendant GROUP BY 1, 2")
 def onto_similarity(spark, d):
     return ontology.similarities(ontology.closure(roles.edges(spark, d)), roles.nodes(spark, d))
@@ -708,6 +723,16 @@ def silhouette_onto(spark, d):
     return _widths(spark, d, descendants=below, ancestors=above)
 
 
+@query(f"WITH {VECTORS}, p AS (SELECT x.id, x.label, y.label AS other, sum({SQUARED.format(a='x.vector', b='y.vector')}) AS total, count(*) AS n FROM vectors x JOIN vectors y ON x.id <> y.id GROUP BY ALL), s AS (SELECT id, label, sum(total) FILTER (other = label) / (sum(n) FILTER (other = label) - 1) AS intra, sum(n) FILTER (other = label) AS k, min(total / n) FILTER (other <> label AND n > 1) AS inter FROM p GROUP BY 1, 2) SELECT round(avg((inter - intra) / greatest(intra, inter)), 5) AS asw FROM s WHERE k > 1 AND inter IS NOT NULL")
+def average_width(spark, d):
+    return spark.createDataFrame([(round(training.average_width(roles.vectors(spark, d)), 5),)], "asw double")
+
+
+@query(f"WITH {COUNTS} SELECT gene_idx, round(avg(value), 6) AS attribution, round(stddev_pop(value), 6) AS std, count(*) AS cells, round(1.96 * stddev_pop(value) / sqrt(count(*)), 6) AS half_width FROM counts GROUP BY 1 ORDER BY avg(value) DESC, gene_idx LIMIT 25")
+def top_genes(spark, d):
+    return rounded(training.ranked_genes(roles.counts(spark, d), 25), attribution=6, std=6, half_width=6)
+
+
 @query(f"WITH {COUNTS} SELECT gene_idx, round(avg(value), 6) AS attribution, round(stddev_pop(value), 6) AS std, count(*) AS cells, round(1.96 * stddev_pop(value) / sqrt(count(*)), 6) AS half_width FROM counts GROUP BY 1")
 def rank_genes(spark, d):
     return rounded(training.ranked_genes(roles.counts(spark, d)), attribution=6, std=6, half_width=6)

@@ -417,3 +417,35 @@ def test_inverted_file_finds_enough_by_default(spark):
     exact, near = (pairs(x, "query_id", "id") for x in (neighbours.nearest(asked, rows, 10), index.nearest(asked, 10)))
     print(f"{index.probes_for(10)} of 25 parts probed, recall {len(exact & near) / len(exact):.3f}")
     assert len(exact & near) >= 0.9 * len(exact) and index.probes_for(10) < 25
+
+
+def test_model_round_trip(spark, tmp_path):
+    net = encoder.Encoder.random(6, [4], 3, seed=1)
+    genes = frame(spark, [(i, f"g{i}") for i in range(6)], "gene_idx int, symbol string")
+    labels, studies = frame(spark, [("a", 0)], "label string, label_int int"), frame(spark, [("s1", "train"), ("s2", "val")], "study string, part string")
+    encoder.save_model(str(tmp_path / "m"), net, genes, labels, studies)
+    again, order, ints, lists = encoder.load_model(spark, str(tmp_path / "m"))
+    x = np.random.default_rng(0).random((5, 6))
+    assert np.array_equal(net.forward(x), again.forward(x)) and order.count() == 6 and pairs(ints, "label", "label_int") == {("a", 0)} and lists.count() == 2
+    genes.limit(5).write.mode("overwrite").parquet(str(tmp_path / "m/genes"))
+    with pytest.raises(ValueError, match="6 genes"):
+        encoder.load_model(spark, str(tmp_path / "m"))
+
+
+def test_symbols_when_no_id_is_known(spark):
+    mapping = frame(spark, [("e1", "A"), ("e2", "B")], "id string, symbol string")
+    counts = frame(spark, [(1, "x1", "'A'", 2.0), (1, "x2", "C", 3.0)], "cell_id long, name string, symbol string, value double")
+    assert pairs(matrix.to_symbols(counts, mapping), "cell_id", "symbol", "value") == {(1, "A", 2.0)}
+    assert pairs(matrix.to_symbols(counts.withColumn("name", F.lit("e2")), mapping), "symbol", "value") == {("B", 5.0)}
+
+
+def test_packed_rows_are_written_long(spark, tmp_path):
+    packed = frame(spark, [(0, [1, 3], [1.0, 2.0]), (1, [], [])], "cell_id long, idx array<int>, val array<float>")
+    assert [matrix.write_packed(packed, str(tmp_path / "p")) for _ in range(2)] == [0, 1]
+    assert pairs(spark.read.parquet(str(tmp_path / "p")), "cell_id", "gene_idx", "value") == {(0, 1, 1.0), (0, 3, 2.0), (1, 1, 1.0), (1, 3, 2.0)}
+
+
+def test_nan_counts_are_an_error(spark):
+    counts = frame(spark, [(1, 0, float("nan"))], "cell_id long, gene_idx int, value double")
+    with pytest.raises(Exception, match="NaN"):
+        aggregate.cluster_centroids(counts, frame(spark, [(1, "a")], "cell_id long, cluster string")).collect()
