@@ -187,13 +187,15 @@ def distance_sums(rows: DataFrame, squared: bool = False) -> DataFrame:
     """``(id, label, other, total, n)``: of each row (id, label, vector) the sum of distances to the other rows of each label, and their number.
 
     Cosine distances, or squared Euclidean ones. Both are linear in inner products, so a row needs the labels' sums of vectors only: tasks multiply
-    batches of rows by a matrix of at most ``LABELS`` such sums, which is what is broadcast at once. All vectors have one length.
+    batches of rows by a matrix of at most ``LABELS`` such sums, which is what is broadcast at once. Vectors of another length than most take no part.
     """
     spark = rows.sparkSession
     rows = rows.where("label is not null and vector is not null").select("id", "label", F.col("vector").cast("array<double>").alias("vector"))
     rows = rows.where(F.size("vector") > 0)
     vector = F.col("vector") if squared else unit("vector")
     used = rows.withColumn("vector", vector).where("vector is not null")
+    size = used.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    used = used.where(F.size("vector") == (size["size"] if size else 0))
     length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     parts = used.select("label", F.posexplode("vector").alias("_i", "_x")).groupBy("label", "_i").agg(F.sum("_x").alias("_x"))
     sums = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_v")).select("label", F.col("_v._x").alias("_sum"))

@@ -122,7 +122,9 @@ def test_index_round_trip(spark, tmp_path):
 def test_distance_sums(spark):
     rng = np.random.default_rng(2)
     x, label = rng.normal(size=(40, 5)), np.arange(40) % 3
-    rows = frame(spark, [(i, int(label[i]), [float(y) for y in v]) for i, v in enumerate(x)], "id long, label int, vector array<double>")
+    odd = [(900, 0, [1.0]), (901, 1, None), (902, None, [1.0] * 5), (903, 2, [])]
+    rows = frame(spark, [*((i, int(label[i]), [float(y) for y in v]) for i, v in enumerate(x)), *odd], "id long, label int, vector array<double>")
+    assert neighbours.distance_sums(rows.where("false")).count() == 0
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     for squared, dist in ((False, 1 - unit @ unit.T), (True, ((x[:, None] - x[None]) ** 2).sum(2))):
         for r in neighbours.distance_sums(rows, squared).collect():
