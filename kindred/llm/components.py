@@ -15,10 +15,13 @@ from kindred.llm.shared import partitions, shared_dir
 PER_FILE = 50_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each neighbour of u to the least of u and its neighbours: the larger neighbours, or u and the smaller ones. Links may repeat after a large star."""
+def _star(edges: DataFrame, large: bool, files: int) -> DataFrame:
+    """Links each neighbour of u to the least of u and its neighbours: the larger neighbours, or u and the smaller ones. Links may repeat after a large star.
+
+    The least neighbours are written first, for then Spark splits the join where a node has very many links.
+    """
     near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(files).checkpoint()
     joined = near.join(least.hint("merge"), "u")  # not a broadcast a round, as links may be many
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -38,7 +41,11 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
     edges, count, before = edges.where("_0 is not null and _1 is not null and u <> v").select("u", "v").distinct(), links.count(), None
     for step in range(rounds + 1):
         # links only get fewer, so few of them need few files
-        edges = (_star(_star(edges, True), False) if step else edges).coalesce(max(1, min(partitions(links), count // PER_FILE))).checkpoint()
+        files = max(1, min(partitions(links), count // PER_FILE))
+        if step:
+            larger = _star(edges, True, files).coalesce(files).checkpoint()
+            edges = _star(larger, False, files)
+        edges = edges.coalesce(files).checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files of an intermediate table for each core, at most.
+FILES_A_CORE = 2
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Only a local master, as in tests, may leave it unset, and then gets a temporary one."""
     context = spark.sparkContext
@@ -78,10 +82,10 @@ def new_table(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. As many files as keep all cores busy twice, at most, as small ones cost more than they hold."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

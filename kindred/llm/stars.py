@@ -23,13 +23,14 @@ BLOCK = 512
 def stars(rows: DataFrame) -> DataFrame:
     """``(node, leader)``, each once, from ``rows`` (key, node): two nodes with a common key have a common leader. Nodes that share no key are left out.
 
-    A frequent key is counted before it is shuffled, and joined as pairs of 64-bit numbers, which Spark splits where they are skewed.
+    Keys are counted, and their leaders chosen, by aggregates that combine before they shuffle; these are written before they are joined, as Spark splits a
+    skewed join of tables, but not one that an aggregate feeds. So a key that very many nodes share is no task of its own.
     """
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    many = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "many")
     shared = written(rows.join(many, "key"), "shared")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     leaders = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("_m")).select("key", F.col("_m.node").alias("leader"))
-    return written(shared.join(leaders, "key").select("node", "leader").distinct(), "stars")
+    return written(shared.join(written(leaders, "leaders"), "key").select("node", "leader").distinct(), "stars")
 
 
 def forest(links: np.ndarray) -> np.ndarray:
