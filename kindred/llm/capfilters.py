@@ -43,17 +43,14 @@ def tables(dim: int, n_tables: int, code: int, wanted: float) -> tuple[list[tupl
     rng, half, out = np.random.default_rng(98), dim // 2, []
     for _ in range(n_tables):
         words = [code_words(rng, code, n) for n in (half, dim - half)]
-        out.append((np.linalg.qr(rng.normal(size=(dim, dim)))[0], *words))
-    # inner products of random directions with a random filter: the bound is the quantile that few enough exceed
+        out.append(tuple(x.astype(np.float32) for x in (np.linalg.qr(rng.normal(size=(dim, dim)))[0], *words)))
+    # the bound is the quantile of random directions' sums that lets ``wanted`` filters pass on average; those are sums of the largest parts
     probe = rng.normal(size=(4096, dim))
     probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    parts = [half_sums(probe, t) for t in out]
-    mean = lambda bound: np.mean([passing(a, b, bound) for a, b in parts[:2]])
-    low, high = 0.0, 2**0.5
-    for _ in range(40):
-        middle = (low + high) / 2
-        low, high = (middle, high) if mean(middle) > wanted else (low, middle)
-    return out, min(high, REACH * 2**0.5)
+    largest = lambda x: -np.sort(-x, axis=1)[:, :32]
+    sums = np.concatenate([(largest(a)[:, :, None] + largest(b)[:, None, :]).ravel() for a, b in (half_sums(probe, t) for t in out[:2])])
+    nth = max(len(sums) - int(2 * wanted * len(probe)), 0)
+    return out, min(float(np.partition(sums, nth)[nth]), REACH * 2**0.5)
 
 
 def code_words(rng: np.random.Generator, code: int, dim: int) -> np.ndarray:
@@ -65,18 +62,12 @@ def code_words(rng: np.random.Generator, code: int, dim: int) -> np.ndarray:
 
 
 def half_sums(unit: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, word) inner products of both halves; a filter's is the sum of two, but for a common factor."""
+    """(vector, word) inner products of both halves, in single precision as they only choose candidates; a filter's is the sum of two, but for a common factor."""
+    unit = unit.astype(np.float32)
     turned, half = unit @ table[0], table[1].shape[1]
     return turned[:, :half] @ table[1].T, turned[:, half:] @ table[2].T
 
 
-def passing(first: np.ndarray, second: np.ndarray, bound: float) -> float:
-    """How many filters a vector exceeds, on average."""
-    ordered = np.sort(second, axis=1)
-    row, word = np.nonzero(first > bound - ordered[:, -1:])
-    return sum(int((ordered[r] > bound - first[r, w]).sum()) for r, w in zip(row, word, strict=True)) / len(first)
-
-
 def decoded(unit: np.ndarray, n_tables: int, code: int, wanted: float) -> list[np.ndarray]:
     """The filters of each vector, ascending. In fewer than two dimensions there is one filter for all."""
     n, dim = unit.shape
