@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Files of an intermediate table for each core, at most.
-FILES_A_CORE = 2
+#: An intermediate table has so many files a core, or one for so many shuffle partitions, whichever is more; and no more than its data have partitions.
+FILES_A_CORE, PARTITIONS_A_FILE = 2, 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,10 +82,14 @@ def new_table(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. As many files as keep all cores busy twice, at most, as small ones cost more than they hold."""
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Of small partitions three go to one file, as small files cost more than they hold, but there are enough of them to keep all cores busy twice.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, partitions(df) // PARTITIONS_A_FILE)
+    df.coalesce(files).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

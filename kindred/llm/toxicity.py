@@ -65,9 +65,14 @@ def gaps(numbers: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def from_gaps(data: bytes) -> np.ndarray:
-    gap = np.frombuffer(data, "<u2")
-    return np.cumsum(gap, dtype=np.int64)[gap != STEP].astype(np.int32)
+def from_gaps(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all parts one after another, and where each part's begin: two arrays, whatever the number of parts."""
+    held = [np.frombuffer(x, "<u2") for x in parts]
+    offs = np.concatenate([[0], np.cumsum([np.count_nonzero(x != STEP) for x in held], dtype=np.int64)]).astype(np.int64)
+    out = np.empty(offs[-1], np.int32)
+    for x, begin, end in zip(held, offs[:-1], offs[1:], strict=True):
+        out[begin:end] = np.cumsum(x, dtype=np.int64)[x != STEP]
+    return out, offs
 
 
 def presence(text: Column) -> Column:
@@ -85,15 +90,15 @@ def presence(text: Column) -> Column:
     return buckets(text)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, passes: int = 8, weight: float = 1.5) -> Model:
-    """FTRL-proximal over the presence of features, one document (its distinct buckets) at a time; ``weight`` multiplies the loss of label 1. Without rows, the bias is all there is."""
+def train(buckets: np.ndarray, offs: np.ndarray, labels: np.ndarray, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, passes: int = 8, weight: float = 1.5) -> Model:
+    """FTRL-proximal over the presence of features, one document (``buckets[offs[i] : offs[i + 1]]``, distinct) at a time; ``weight`` multiplies the loss of label 1. Without rows, the bias is all there is."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     rate = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
     bias, bias_n = float(np.log(rate / (1 - rate))), 1.0
     order = np.random.default_rng(7)
     for _ in range(passes):
-        for i in order.permutation(len(rows)):
-            x, y = rows[i], float(labels[i])
+        for i in order.permutation(len(labels)):
+            x, y = buckets[offs[i] : offs[i + 1]], float(labels[i])
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((beta + np.sqrt(nx)) / alpha + l2))
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
@@ -151,7 +156,10 @@ def prior_shift(label: np.ndarray, weight: np.ndarray) -> float:
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, held_out: int = 0, modulus: int = 5) -> Model:
     """A model of ``labels.toxic`` from a bounded sample outside the held-out fold; tasks hash its texts, and only distinct buckets come to the driver."""
     rows, label, weight = gathered(labelled_sample(documents, labels, "toxic", (modulus, held_out), per_class), presence(F.col("text")))
-    model = train([from_gaps(x) for x in rows], label)
+    buckets, offs = from_gaps(rows)
+    del rows
+    pa.default_memory_pool().release_unused()
+    model = train(buckets, offs, label)
     model.bias += prior_shift(label, weight)
     return model
 

@@ -45,9 +45,10 @@ def test_features_are_words_pairs_and_skips():
 
 def test_gaps_come_back():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 5, 3000):
-        numbers = np.unique(np.concatenate([rng.integers(0, toxicity.BUCKETS, n), [0, 65534, 65535, 65536, 131070][: n % 7]]).astype(np.int64))
-        assert (toxicity.from_gaps(toxicity.gaps(numbers)) == numbers).all()
+    sets = [np.unique(np.concatenate([rng.integers(0, toxicity.BUCKETS, n), [0, 65534, 65535, 65536, 131070][: n % 7]]).astype(np.int64)) for n in (0, 1, 5, 0, 3000)]
+    numbers, offs = toxicity.from_gaps([toxicity.gaps(x) for x in sets])
+    assert all((numbers[a:b] == x).all() and b - a == len(x) for a, b, x in zip(offs[:-1], offs[1:], sets, strict=True))
+    assert [len(x) for x in toxicity.from_gaps([])] == [0, 1]
 
 
 def ftrl_by_hand(rows, labels, alpha, beta, l1, l2, passes, weight):
@@ -78,7 +79,8 @@ def test_ftrl_equals_a_plain_form():
     rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))).astype(np.int32) for _ in range(150)]
     labels = np.array([int(3 in r or 7 in r) for r in rows])
     settings = {"alpha": 2.0, "beta": 1.0, "l1": 1.5, "l2": 0.1, "passes": 3, "weight": 1.5}
-    model = toxicity.train(rows, labels, **settings)
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = toxicity.train(np.concatenate(rows), offs, labels, **settings)
     weights, bias = ftrl_by_hand(rows, labels, **settings)
     assert dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(weights, rel=1e-5) and 0 < len(weights) < 40
     assert model.bias == pytest.approx(bias)
