@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, n_tables: int =
     key = lambda c: F.substring(c, 17, 32)
     groups = components(found.where("node <> root"), "node", "root").select(key("node").alias("name"), ordered_number(F.col("component")).alias("_component"))
     of_class = classes.join(partners.select(key("node").alias("name"), "partners"), "name", "left").join(groups, "name", "left").select("name", "rep", "copies", "partners", "_component")
-    joined = base.select("vec_id", "name").join(of_class, "name", "left")
+    joined = base.select("vec_id", "name").join(written(of_class, "groups"), "name", "left")
     links = F.when(F.col("vec_id").isNull() | F.col("copies").isNull(), F.lit(0)).otherwise(F.coalesce("partners", F.lit(0)) + F.col("copies") - 1)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_component", "rep", "vec_id"))
     return joined.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -29,6 +29,8 @@ from kindred.llm.stars import BLOCK, stars, verified
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 44, 8
+#: Marks of wanted texts, 64 bits each, that are broadcast at most; more are joined by a shuffle of all texts.
+FEW = 2_000_000
 #: Shingles that are hashed side by side.
 CHUNK = 512
 
@@ -127,6 +129,10 @@ def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: i
     classes = written(classes.withColumn("node", F.xxhash64("text_key")), "classes")
     pairs = stars(classes.select(F.explode("keys").alias("key"), "node"))
     wanted = classes.join(pairs.select("node").distinct(), "node", "left_semi").select("text_key", "rep", "node", "copies")
+    if pairs.select("node").distinct().count() <= FEW:
+        # few enough to tell every task which rows are wanted, so that other texts are not shuffled
+        mark = wanted.select(F.xxhash64("node", "rep").alias("mark"))
+        docs = docs.join(F.broadcast(mark), F.xxhash64(F.xxhash64(F.md5("text")), "doc_id") == F.col("mark"), "left_semi")
     own = F.md5(docs["text"]) == wanted["text_key"]
     texts = docs.join(wanted, own & docs["doc_id"].eqNullSafe(wanted["rep"])).dropDuplicates(["text_key"])
     # names sort by the least doc_id, so the least name of a component says which document that is
@@ -137,7 +143,8 @@ def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: i
     key = lambda c: F.substring(c, 17, 32)
     groups = components(found.where("node <> root"), "node", "root").select(key("node").alias("text_key"), key("component").alias("component"), ordered_number(F.col("component")).alias("component_id"))
     of = classes.select("text_key", "rep", "copies", "words").join(partners.select(key("node").alias("text_key"), "partners"), "text_key", "left")
-    return of.join(groups, "text_key", "left")
+    # written, so that its join with documents is split where one text has very many copies
+    return written(of.join(groups, "text_key", "left"), "groups")
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

@@ -56,8 +56,9 @@ def shingle_sets(texts):
     return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_ngram_join(documents, texts, block):
+@pytest.mark.parametrize(("block", "few"), [(512, 2_000_000), (3, 0)])
+def test_ngram_join(documents, texts, block, few, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "FEW", few)
     sets = shingle_sets(texts)
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
     number = [sum(i in pair for pair in links) for i in range(len(sets))]
