@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
 from kindred.llm.components import components
-from kindred.llm.shared import order_text, ordered_number, written
+from kindred.llm.shared import order_text, ordered_number, small_batches, written
 from kindred.llm.stars import BLOCK, stars, verified
 
 SHINGLE = 5
@@ -123,6 +123,11 @@ def linking(similarity: float) -> Callable[[list[bytes], list[bytes] | None], np
 def jaccard_links(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``(text_key, rep, copies, words, partners, component, component_id)`` of each class of equal texts: its least doc_id, its rows, whether it has words, the rows of the
     classes it links to, the least class that links reach and the least doc_id that they reach (the last three null where there are none)."""
+    with small_batches(documents.sparkSession):
+        return _jaccard_links(documents, similarity, bands, rows, block)
+
+
+def _jaccard_links(documents: DataFrame, similarity: float, bands: int, rows: int, block: int) -> DataFrame:
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.md5("text").alias("text_key"), banded(F.col("text"), bands, rows).alias("keys"))
     classes = keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("keys") > 0).alias("words"), F.first("keys").alias("keys"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import partitions, written
+from kindred.llm.shared import partitions, small_batches, written
 
 SIZE = 4096
 END = 1
@@ -275,4 +275,6 @@ def packed(documents: DataFrame, size: int = SIZE, path: str | None = None) -> D
     an empty table gives no rows.
     """
     cut = documents.select("doc_id", F.explode(tokenized(F.col("text"), path or tokenizer_path(), size)).alias("_p")).select("doc_id", "_p.*")
-    return placed(written(cut, "pieces"), size)
+    with small_batches(documents.sparkSession):
+        pieces = written(cut, "pieces")
+    return placed(pieces, size)

@@ -93,6 +93,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is computed inside, as texts and their windows can be long; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, or as many underscores before it as it takes to clash with no column; Spark's names know no case."""
     taken = {c.lower() for c in columns}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import textwords as tw
-from kindred.llm.shared import deleted, exists, new_path, new_table, partitions, written
+from kindred.llm.shared import deleted, exists, new_path, new_table, partitions, small_batches, written
 
 WINDOW = 20
 GRAM = 8
@@ -281,18 +281,19 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     log, buckets = FingerprintLog(spark, None, window, gram), max(8, partitions(documents))
     rest = [c for c in documents.columns if c != "text"]
     row = F.struct(*(F.col(c) for c in rest)).alias("_row")
-    whole = documents.select("doc_id", row, F.md5(F.coalesce("text", F.lit(""))).alias("_key"), compressed(F.col("text")).alias("_frame"))
-    held = spark.table(bucketed(whole.repartition(buckets, "doc_id"), "doc_id", buckets, "texts"))
-    ids = held.where("doc_id is not null").select("doc_id", "_key")
-    first_of = ids.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    copies = written(ids.join(first_of, "_key").where("doc_id > _first").select("doc_id").distinct().withColumn("_copy", F.lit(True)), "copies")
-    docs = held.where("doc_id is not null").select("doc_id", F.col("_frame").alias("frame")).join(copies, "doc_id", "left_anti")
-    cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []))
-    found = []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        seen = docs if high is None else docs.where(F.col("doc_id") <= high)
-        batch = seen if low is None else seen.where(F.col("doc_id") > low)
-        found.append(log.deduplicate(batch, seen, None if low is None else low + 1))
+    with small_batches(spark):
+        whole = documents.select("doc_id", row, F.md5(F.coalesce("text", F.lit(""))).alias("_key"), compressed(F.col("text")).alias("_frame"))
+        held = spark.table(bucketed(whole.repartition(buckets, "doc_id"), "doc_id", buckets, "texts"))
+        ids = held.where("doc_id is not null").select("doc_id", "_key")
+        first_of = ids.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        copies = written(ids.join(first_of, "_key").where("doc_id > _first").select("doc_id").distinct().withColumn("_copy", F.lit(True)), "copies")
+        docs = held.where("doc_id is not null").select("doc_id", F.col("_frame").alias("frame")).join(copies, "doc_id", "left_anti")
+        cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []))
+        found = []
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            seen = docs if high is None else docs.where(F.col("doc_id") <= high)
+            batch = seen if low is None else seen.where(F.col("doc_id") > low)
+            found.append(log.deduplicate(batch, seen, None if low is None else low + 1))
     gone = reduce(DataFrame.union, found).join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_gone")
     done = held.join(gone, held["doc_id"] == gone["_gone"], "left").withColumn("_kept", kept(F.col("_frame"), F.col("starts"), F.col("_copy"), window))
     added = {name: F.col(f"_kept.{kind}").alias(name) for name, kind in zip(counts or (), ("n_words", "n_removed"), strict=False)}

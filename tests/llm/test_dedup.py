@@ -197,6 +197,16 @@ def test_scratch_is_deleted(spark, documents):
     assert not any(shared.exists(spark, x) for x in folders) and not any(spark.catalog.tableExists(x) for x in tables)
 
 
+def test_settings_come_back(spark, documents):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), shared.small_batches(spark):
+        assert spark.conf.get(key) == "1000"
+        1 / 0  # noqa: B018
+    substrings.without_repeats(documents.limit(3))
+    assert spark.conf.get(key) == own
+
+
 def test_no_local_folder_stands_in_on_a_cluster():
     class Context:
         master = "spark://host:7077"
