@@ -284,42 +284,65 @@ def common(a: list[int], b: list[int]) -> np.ndarray:
     return used
 
 
-PARSED = T.StructType([T.StructField("key", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("kinds", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
-ARROW_PARSED = pa.struct([("key", pa.string()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+PARSED = T.StructType([T.StructField("key", T.StringType()), T.StructField("kinds", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("texts", T.BinaryType())])
+ARROW_PARSED = pa.struct([("key", pa.string()), ("kinds", pa.binary()), ("hashes", pa.binary()), ("texts", pa.binary())])
 
 
-def parsed(html: Column) -> Column:
-    """The lines that may stay, of the declared article or else those of which the markup says nothing, with their places; the kinds and hashes of all lines, and a key that equal lists of them share."""
+def parsed(html: Column, texts: bool) -> Column:
+    """The kinds (a byte each) and hashes (eight) of the lines of each page, and a key that equal lists of them share; with ``texts`` also the lines that may stay, those of the declared article or else those of which the markup says nothing, compressed."""
 
     @F.arrow_udf(returnType=PARSED)
     def parse(column: pa.Array) -> pa.Array:
-        out = []
+        codec, out = pa.Codec("zstd"), []
         for x in column:
             lines = lines_of(x.as_py() or "")
-            wanted = ARTICLE if any(kind == ARTICLE for _, kind in lines) else PLAIN
-            may = [(i, text) for i, (text, kind) in enumerate(lines) if kind == wanted]
-            hashes = np.array([hashed(t) for t, _ in lines], np.int64)
-            out.append({"key": md5(hashes.tobytes()).hexdigest(), "texts": [t for _, t in may], "places": [i for i, _ in may], "kinds": [k for _, k in lines], "hashes": hashes})
+            kinds, hashes = bytes(k for _, k in lines), np.array([hashed(t) for t, _ in lines], "<i8").tobytes()
+            may = "\n".join(t for t, k in lines if k == wanted(kinds)).encode() if texts else b""
+            out.append({"key": md5(hashes).hexdigest(), "kinds": kinds, "hashes": hashes, "texts": len(may).to_bytes(8, "little") + codec.compress(may, asbytes=True) if texts else None})
         return pa.array(out, ARROW_PARSED)
 
     return parse(html)
 
 
-def shared_lines(hashes: Column, path: Column, near: Column) -> Column:
+def wanted(kinds: bytes) -> int:
+    """The kind of lines that may stay: the article's where there is one."""
+    return ARTICLE if ARTICLE in kinds else PLAIN
+
+
+def shared_with(hashes: bytes, path: str, near: list[dict] | None) -> np.ndarray:
     """Which lines are shared with the page, of those in ``near``, whose path has the longest common start; none without such a page."""
+    others = [x for x in near or [] if x]
+    partner = max(others, key=lambda x: len(commonprefix([x["_path"], path])))["hashes"] if others else b""
+    return common(*(np.frombuffer(x, "<i8").tolist() for x in (hashes, partner)))
+
+
+def shared_lines(hashes: Column, path: Column, near: Column) -> Column:
+    """Which lines the nearest URL shares."""
 
     @F.arrow_udf(returnType=T.ArrayType(T.BooleanType()))
     def align(hashes: pa.Array, path: pa.Array, near: pa.Array) -> pa.Array:
-        out = []
-        for h, at, n in zip(hashes.to_pylist(), path.to_pylist(), near.to_pylist(), strict=True):
-            others = [x for x in n or [] if x]
-            partner = max(others, key=lambda x: len(commonprefix([x["_path"], at]))) if others else {"hashes": []}
-            out.append(common(h, partner["hashes"]))
-        return pa.array(out, pa.list_(pa.bool_()))
+        return pa.array([shared_with(*x) for x in zip(hashes.to_pylist(), path.to_pylist(), near.to_pylist(), strict=True)], pa.list_(pa.bool_()))
 
     return align(hashes, path, near)
 
 
+def decided(page: Column, path: Column, near: Column) -> Column:
+    """The text of a parsed page: of the lines that may stay those that are the article's, or that the nearest URL doesn't share."""
+
+    @F.arrow_udf(returnType=T.StringType())
+    def decide(page: pa.Array, path: pa.Array, near: pa.Array) -> pa.Array:
+        codec, out = pa.Codec("zstd"), []
+        for p, at, n in zip(page.to_pylist(), path.to_pylist(), near.to_pylist(), strict=True):
+            shared, kinds = shared_with(p["hashes"], at, n), np.frombuffer(p["kinds"], np.uint8)
+            may = np.flatnonzero(kinds == wanted(p["kinds"]))
+            size = int.from_bytes(p["texts"][:8], "little")
+            lines = codec.decompress(p["texts"][8:], size, asbytes=True).decode().split("\n") if size else []
+            out.append("\n\n".join(t for t, i in zip(lines, may, strict=True) if kinds[i] == ARTICLE or not shared[i]))
+        return pa.array(out, pa.string())
+
+    return decide(page, path, near)
+
+
 ORDER = ("_host", "_path", "key")
 
 
@@ -343,18 +366,26 @@ def beside(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_guest", F.lit(False)).union(guests).withColumn("near", F.array(*near)).where("not _guest").select("_host", "key", "near")
 
 
-def aligned(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, texts, places, kinds, shared)`` of every page: the lines that may stay and their places, and of all lines their kinds by the markup and whether the nearest URL shares them."""
+def beside_each(pages: DataFrame, texts: bool) -> DataFrame:
+    """``(page_id, url, _path, page, near)`` of every page: what ``parsed`` gives, and the path and hashes of its nearest URLs.
+
+    Pages are parsed once for the order of URLs, without texts, and again for what goes on with their neighbours: cheaper than keeping or moving more than is needed.
+    """
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
-    keyed = pages.select("page_id", "url", host.alias("_host"), path.alias("_path"), parsed(F.col("html")).alias("_p"))
-    lines = written(keyed.select("page_id", "url", "_host", "_path", "_p.*"), "lines")
-    distinct = lines.where(F.size("hashes") > 0).groupBy("_host", "key").agg(F.min(F.struct("_path", "hashes")).alias("_page"))
+    placed = pages.select("page_id", "url", "html", host.alias("_host"), path.alias("_path"))
+    lines = placed.select("_host", "_path", parsed(F.col("html"), False).alias("_p")).select("_host", "_path", "_p.key", "_p.hashes")
+    distinct = lines.where(F.length("hashes") > 0).groupBy("_host", "key").agg(F.min(F.struct("_path", "hashes")).alias("_page"))
     distinct = distinct.select("_host", "_page._path", "key", "_page.hashes").repartitionByRange(partitions(pages), *ORDER)
     near = beside(written(distinct.withColumn("_part", F.spark_partition_id()), "distinct"))
-    shared = shared_lines(F.col("hashes"), F.col("_path"), F.col("near")).alias("shared")
-    return lines.join(near, ["_host", "key"], "left").select("page_id", "url", "texts", "places", "kinds", shared)
+    whole = placed.select("page_id", "url", "_host", "_path", parsed(F.col("html"), texts).alias("page")).withColumn("key", F.col("page.key"))
+    return whole.join(near, ["_host", "key"], "left").select("page_id", "url", "_path", "page", "near")
+
+
+def aligned(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, kinds, shared)`` of every page: of all its lines their kinds by the markup, a byte each, and whether the nearest URL shares them."""
+    return beside_each(pages, False).select("page_id", "url", F.col("page.kinds").alias("kinds"), shared_lines(F.col("page.hashes"), F.col("_path"), F.col("near")).alias("shared"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -364,6 +395,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     when neighbours are sought, that of the least path, so copies are not differenced with each other, nor any page with one without text. A page whose host has no other page that
     differs loses no line by differencing; pages without a URL have the empty host. Repeated rows get a row each.
     """
-    stays = lambda x: (F.element_at("kinds", x["places"] + 1) == ARTICLE) | ~F.element_at("shared", x["places"] + 1)
-    left = F.transform(F.filter(F.arrays_zip("texts", "places"), stays), lambda x: x["texts"])
-    return aligned(pages).select("page_id", "url", F.array_join(left, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    texts = beside_each(pages, True).select("page_id", "url", decided(F.col("page"), F.col("_path"), F.col("near")).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

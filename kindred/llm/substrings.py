@@ -285,7 +285,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
         whole = documents.select("doc_id", row, F.md5(F.coalesce("text", F.lit(""))).alias("_key"), compressed(F.col("text")).alias("_frame"))
         held = spark.table(bucketed(whole.repartition(buckets, "doc_id"), "doc_id", buckets, "texts"))
         ids = held.where("doc_id is not null").select("doc_id", "_key")
-        first_of = ids.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        first_of = written(ids.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "first")
         copies = written(ids.join(first_of, "_key").where("doc_id > _first").select("doc_id").distinct().withColumn("_copy", F.lit(True)), "copies")
         docs = held.where("doc_id is not null").select("doc_id", F.col("_frame").alias("frame")).join(copies, "doc_id", "left_anti")
         cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []))

@@ -346,7 +346,7 @@ def nearest_by_hand(pages):
     out = []
     for url, lines in pages:
         host, path = url.removeprefix("http://").split("/", 1)
-        order = sorted((p, hashlib.md5(np.array([pagediff.hashed(x) for x in t], np.int64).tobytes()).hexdigest(), t) for t, p in hosts[host].items()) if lines else []
+        order = sorted((p, hashlib.md5(np.array([pagediff.hashed(x) for x in t], "<i8").tobytes()).hexdigest(), t) for t, p in hosts[host].items()) if lines else []
         here = next((i for i, x in enumerate(order) if x[2] == tuple(lines)), 0)
         near = [order[i] for i in (here - 1, here + 1) if 0 <= i < len(order)]
         start = lambda x: len(os.path.commonprefix([x[0], "/" + path]))  # noqa: E731, B023
