@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, quality, substrings, toxicity
+from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, quality, substrings, tieredindex, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tieredindex.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -64,6 +68,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_tiered_search": op11_tiered_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+TIERED_SEARCH = r"""
+with words as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents where doc_id is not null
+), docs as (select r, doc_id, w, len(w) as n from words where len(w) > 0),
+totals as (select count(*) as n_docs, sum(n)::bigint as n_words from docs),
+asked as (
+  select row_number() over () as i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from benchmark
+), terms as (select i, item_id, term, count(*) as q from (select i, item_id, unnest(w) as term from asked) group by all),
+postings as (
+  select r, doc_id, n, term, count(*) as tf from (select r, doc_id, n, unnest(w) as term from docs) where term in (select term from terms) group by all
+), dfs as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, totals group by term, n_docs),
+scored as (
+  select t.i, t.item_id, p.r, p.doc_id, sum(t.q * d.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * n_docs) // n_words))))::bigint as score
+  from terms t join postings p using (term) join dfs d using (term), totals group by all
+)
+select item_id, rank, doc_id, score from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_tiered_search": TIERED_SEARCH}
