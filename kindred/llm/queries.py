@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, quality, substrings, tieredindex, toxicity
+from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, quality, resample, substrings, tieredindex, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tieredindex.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_tiered_search": op11_tiered_search,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 TIERED_SEARCH = r"""
@@ -91,4 +96,36 @@ scored as (
 select item_id, rank, doc_id, score from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_tiered_search": TIERED_SEARCH}
+#: The checksum of a word is folded over its bytes, with a table made of its polynomial.
+RESAMPLING = r"""
+with crc as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as crcs
+  from (select unnest(range(256))::bigint as i)
+), found as (
+  select 'd' as kind, row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', row_number() over (), null, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), tokens as (select kind, r, unnest(w) as word from found),
+counted as (select kind, r, word, count(*) as n from tokens group by all),
+words as (select word, hex(encode(word)) as h from (select distinct word from counted)),
+hashed as (
+  select word, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)),
+    lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295) % 10000 as bucket
+  from words, crc
+), sums as (
+  select b.bucket, coalesce(sum(n) filter (kind = 'd'), 0) as s, coalesce(sum(n) filter (kind = 'b'), 0) as t
+  from (select unnest(range(10000)) as bucket) b left join hashed using (bucket) left join counted using (word) group by all
+), gains as (
+  select bucket, floor(1000 * ln(((t + 1) * ((select sum(s) from sums) + 10000))::double / ((s + 1) * ((select sum(t) from sums) + 10000))::double))::bigint as gain from sums
+), weights as (select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from counted join hashed using (word) join gains using (bucket) where kind = 'd' group by r),
+scored as (
+  select r, doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score
+  from found left join weights using (r) where kind = 'd'
+), placed as (
+  select r, row_number() over (order by score desc, doc_id) as place, 10 * count(*) over () // 100 as drawn from scored where n_features >= 20 and doc_id is not null
+)
+select doc_id, n_features, weight, score, case when place <= drawn then place end as rank from scored left join placed using (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_tiered_search": TIERED_SEARCH, "op12_importance_resampling": RESAMPLING}
