@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, quality, resample, substrings, tieredindex, toxicity
+from kindred.llm import capfilters, langid, maxscore, ngramjoin, packing, pagediff, pieces, quality, resample, secretscan, substrings, tieredindex, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_tiered_search": op11_tiered_search,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 TIERED_SEARCH = r"""
