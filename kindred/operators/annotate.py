@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.inverted import InvertedFile
 from kindred.operators.neighbours import nearest
+from kindred.operators.search import Index
 
 #: Distances count as at least this in weighted votes.
 FLOOR = 1e-6
 
 
-def allowed(reference: DataFrame, safelist: list[str] | None = None, blocklist: list[str] | None = None) -> DataFrame:
-    """Reference rows whose label is in the safelist, or isn't in the blocklist; give one of them at most."""
+def condition(safelist: list[str] | None = None, blocklist: list[str] | None = None) -> Column | None:
+    """What a row's label must be: in the safelist, or not in the blocklist; give one of them at most."""
     if safelist is not None and blocklist is not None:
         raise ValueError("a safelist and a blocklist exclude each other")
     if safelist is not None:
-        kept = reference.where(F.col("label").isin(safelist))
-        if not kept.take(1):
-            raise ValueError("no reference row has a label of the safelist")
-        return kept
-    return reference if blocklist is None else reference.where(~F.coalesce(F.col("label").isin(blocklist), F.lit(False)))
+        return F.col("label").isin(safelist)
+    return None if blocklist is None else ~F.coalesce(F.col("label").isin(blocklist), F.lit(False))
+
+
+def allowed(reference: DataFrame, safelist: list[str] | None = None, blocklist: list[str] | None = None) -> DataFrame:
+    """Reference rows that meet ``condition``; raises ValueError if no row has a label of the safelist."""
+    wanted = condition(safelist, blocklist)
+    kept = reference if wanted is None else reference.where(wanted)
+    if safelist is not None and not kept.take(1):
+        raise ValueError("no reference row has a label of the safelist")
+    return kept
 
 
 def votes(hits: DataFrame) -> DataFrame:
@@ -58,9 +66,22 @@ def predictions(hits: DataFrame, weighting: bool = False) -> DataFrame:
     )
 
 
-def annotate(queries: DataFrame, reference: DataFrame, k: int = 50, weighting: bool = False, exclude_self: bool = False) -> DataFrame:
-    """Predictions for ``queries`` (query_id, vector) from ``reference`` (id, vector, label)."""
-    hits = nearest(queries, reference, k + 1 if exclude_self else k)
+def annotate(queries: DataFrame, reference: DataFrame, k: int = 50, weighting: bool = False, exclude_self: bool = False, index: Index | None = None, safelist: list[str] | None = None, blocklist: list[str] | None = None) -> DataFrame:
+    """Predictions for ``queries`` (query_id, vector) from ``reference`` (id, vector, label), of the labels that the lists allow.
+
+    With an ``index`` of the reference neighbours come from it. An inverted file whose rows have labels keeps to the lists itself; they can't be given with another index.
+    """
+    n, wanted = k + 1 if exclude_self else k, condition(safelist, blocklist)
+    if index is None:
+        reference = allowed(reference, safelist, blocklist)
+        hits = nearest(queries, reference, n)
+    elif wanted is None:
+        hits = index.nearest(queries, n)
+    elif isinstance(index, InvertedFile):
+        allowed(index.rows, safelist, blocklist)
+        hits = index.nearest(queries, n, allowed=wanted)
+    else:
+        raise ValueError("this index knows no labels")
     if exclude_self:
         again = Window.partitionBy("query_id").orderBy("rank")
         hits = hits.where("id <> query_id").withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)

@@ -29,13 +29,13 @@ def embedded(counts: DataFrame, target: DataFrame, net: encoder.Encoder, least_o
     return encoder.embed(pack(normal), net, kind=kind)
 
 
-def annotate_counts(counts: DataFrame, target: DataFrame, net: encoder.Encoder, reference: DataFrame, k: int = 50, weighting: bool = False, least_overlap: int = 0, kind: str = "float") -> DataFrame:
+def annotate_counts(counts: DataFrame, target: DataFrame, net: encoder.Encoder, reference: DataFrame, k: int = 50, weighting: bool = False, least_overlap: int = 0, kind: str = "float", index: search.Index | None = None, safelist: list[str] | None = None, blocklist: list[str] | None = None) -> DataFrame:
     """``(cell_id, vector, hint, min_dist, hits, hits_weighted, hint_stat, hint_weighted_stat)`` of every cell of raw counts that has a gene of the target.
 
-    ``reference``: (id, vector, label), embedded by the same net. ``hint`` is the label voted for; the stats are the largest share of hits, and of weight.
+    ``reference``: (id, vector, label), embedded by the same net, with an ``index`` of it or without. ``hint`` is the label voted for; the stats are the largest share of hits, and of weight.
     """
     vectors = embedded(counts, target, net, least_overlap, kind)
-    voted = annotate(vectors.select(F.col("cell_id").alias("query_id"), "vector"), reference, k, weighting)
+    voted = annotate(vectors.select(F.col("cell_id").alias("query_id"), "vector"), reference, k, weighting, index=index, safelist=safelist, blocklist=blocklist)
     out = vectors.join(voted, F.col("cell_id") == F.col("query_id"), "left")
     return out.select("cell_id", "vector", F.col("prediction").alias("hint"), "min_dist", "hits", "hits_weighted", F.col("vs_all").alias("hint_stat"), F.col("weighted_vs_all").alias("hint_weighted_stat"))
 
@@ -48,21 +48,21 @@ def embedded_centroids(counts: DataFrame, clusters: DataFrame, net: encoder.Enco
     return encoder.embed(packed, net, kind=kind).join(named, "cell_id").select(F.col("cell_id").alias("query_id"), "cluster", "vector")
 
 
-def search_cluster_centroids(counts: DataFrame, clusters: DataFrame, net: encoder.Encoder, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, equal: dict[str, object] | None = None, label: str | None = None, skip_null: bool = True, kind: str = "float") -> DataFrame:
-    """Hits of the embedded centroid of each cluster, with ``centroid``, its name: the k nearest, or all within ``max_dist`` among rows whose metadata equal those given."""
+def search_cluster_centroids(counts: DataFrame, clusters: DataFrame, net: encoder.Encoder, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, equal: dict[str, object] | None = None, label: str | None = None, skip_null: bool = True, kind: str = "float", index: search.Index | None = None) -> DataFrame:
+    """Hits of the embedded centroid of each cluster, with ``centroid``, its name: the k nearest, or all within ``max_dist`` among rows whose metadata equal those given; by an ``index`` of the reference if given."""
     queries = embedded_centroids(counts, clusters, net, label, skip_null, kind)
-    return search.search_centroids(queries, lambda rows: rows, reference, metadata, k, max_dist, equal)
+    return search.search_centroids(queries, lambda rows: rows, reference, metadata, k, max_dist, equal, index)
 
 
-def search_centroid(counts: DataFrame, cells: DataFrame, net: encoder.Encoder, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, equal: dict[str, object] | None = None, clusters: int | None = 10, seed: int = 4, kind: str = "float") -> tuple[DataFrame, float | None]:
+def search_centroid(counts: DataFrame, cells: DataFrame, net: encoder.Encoder, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, equal: dict[str, object] | None = None, clusters: int | None = 10, seed: int = 4, kind: str = "float", index: search.Index | None = None) -> tuple[DataFrame, float | None]:
     """Hits of the embedded centroid of ``cells`` (cell_id), and how coherent the cells are as a query: the mean share of hits near the ``clusters`` k-means centres of their embeddings, or None without ``clusters``."""
     chosen = cells.select("cell_id", F.lit("all").alias("cluster")).dropDuplicates(["cell_id"])
-    hits = search_cluster_centroids(counts, chosen, net, reference, metadata, k, max_dist, equal, kind=kind).drop("centroid")
+    hits = search_cluster_centroids(counts, chosen, net, reference, metadata, k, max_dist, equal, kind=kind, index=index).drop("centroid")
     if clusters is None:
         return hits, None
     own = lognorm(counts.join(chosen.select("cell_id"), "cell_id", "left_semi")).select("cell_id", "gene_idx", F.col("x").alias("value"))
     vectors = encoder.embed(pack(own), net, kind=kind).select(F.col("cell_id").alias("query_id"), "vector")
-    near = search.search_nearest(search.mean_vectors(vectors.withColumn("one", F.lit(0)), "one").select(F.lit(0).cast("long").alias("query_id"), "vector"), reference, metadata.select("id"), k) if max_dist is not None else hits
+    near = search.search_nearest(search.mean_vectors(vectors.withColumn("one", F.lit(0)), "one").select(F.lit(0).cast("long").alias("query_id"), "vector"), reference, metadata.select("id"), k, index=index) if max_dist is not None else hits
     return hits, search.coherence(vectors, near, reference, clusters, seed=seed)
 
 

@@ -3,6 +3,8 @@
 Reference rows are dealt to shards once. Queries go to every shard (or, with an index, to the shards of the parts they probe) and stream past it in blocks, and
 numpy multiplies two matrices and keeps what can be in the result. Nothing is a cross join of rows, no row of the reference is copied, and a task
 holds one shard and one block, whatever the size of the data.
+
+Where ``k`` is large, shards would each return ``k`` rows: then a first pass counts distances by ranges, which gives each query a bound of its k-th distance, and the second returns what lies within.
 """
 
 from __future__ import annotations
@@ -12,8 +14,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +21,14 @@ from pyspark.sql import types as T
 from kindred.functions.vectors import unit
 from kindred.sources.shared import settled
 
-#: Rows of a block of queries at most, and of a shard of the reference on average.
-BLOCK, SHARD = 1024, 8192
+#: Rows of a block of queries at most; bytes of vectors in a shard, on average; rows of a shard from which on there are as many shards as cores.
+BLOCK, SHARD_BYTES, SHARD = 1024, 1 << 25, 8192
+#: Neighbours from which on distances are counted first, and the ranges they are counted in.
+LARGE, RANGES = 1024, 1024
 #: Label sums that are broadcast at once: so many vectors at most.
 LABELS = 10_000
-
-Keep = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: What angles are widened by before anything is skipped: cosines of near vectors tell them apart no better.
+SLACK = 1e-6
 
 
 def unit_bytes(vector: Column | str) -> Column:
@@ -49,11 +51,31 @@ def unit_bytes(vector: Column | str) -> Column:
     return unit((F.col(vector) if isinstance(vector, str) else vector).cast("array<double>"))
 
 
+class Shard:
+    """Reference rows of one shard and part in the order of their ids, with the number (an angle, or nothing) that came with each."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, extra: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.matrix, self.extra = ids[order], matrix[order], extra[order]
+        self.columns, self.by_extra = self.matrix.T, None
+
+    def sorted_by_extra(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors and numbers in the order of the numbers."""
+        if self.by_extra is None:
+            order = np.argsort(self.extra, kind="stable")
+            self.by_extra = self.ids[order], self.matrix[order].T.copy(), self.extra[order]
+        return self.by_extra
+
+
+#: What a task makes of a block of queries (ids, vectors, their numbers) and a shard.
+Emit = Callable[[np.ndarray, np.ndarray, np.ndarray, Shard], Iterator[pa.RecordBatch]]
+
 HITS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+HITS_DDL = "query_id long, id long, dist double"
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], keep: Keep) -> Iterator[pa.RecordBatch]:
-    """Batches (shard, key, dim, asks, id, raw), sorted by the first four, so that a shard's rows come before its queries."""
+def _streamed(batches: Iterator[pa.RecordBatch], emit: Emit) -> Iterator[pa.RecordBatch]:
+    """Batches (shard, key, dim, asks, id, extra, raw), sorted by the first four, so that a shard's rows come before its queries."""
     current, rows, held = None, [], None
     for batch in batches:
         names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -64,44 +86,50 @@ def _streamed(batches: Iterator[pa.RecordBatch], keep: Keep) -> Iterator[pa.Reco
             here = tuple(x[at] for x in names[:3])
             if here != current:
                 current, rows, held = here, [], None
-            ids = batch.column(4).slice(at, end - at).to_numpy()
-            data = np.frombuffer(b"".join(batch.column(5).slice(at, end - at).to_pylist())).reshape(end - at, -1)
+            ids, extra = (batch.column(i).slice(at, end - at).to_numpy(zero_copy_only=False) for i in (4, 5))
+            data = np.frombuffer(b"".join(batch.column(6).slice(at, end - at).to_pylist())).reshape(end - at, -1)
             if not names[3][at]:
-                rows.append((ids, data))
+                rows.append((ids, data, extra))
                 continue
             if held is None:
                 if not rows:
                     continue
-                found, matrix = (np.concatenate(x) for x in zip(*rows, strict=True))
-                order = np.argsort(found, kind="stable")
-                held, rows = (found[order], matrix[order].T), []
+                held, rows = Shard(*(np.concatenate(x) for x in zip(*rows, strict=True))), []
             for part in range(0, end - at, BLOCK):
-                dist = 1.0 - data[part : part + BLOCK] @ held[1]
-                row, column = keep(dist, held[0])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part + row]), pa.array(held[0][column]), pa.array(dist[row, column])], schema=HITS)
+                yield from emit(ids[part : part + BLOCK], data[part : part + BLOCK], extra[part : part + BLOCK], held)
 
 
-def _blocked(queries: DataFrame, reference: DataFrame, keep: Keep, key: str | None = None) -> DataFrame:
-    """``(query_id, id, dist)`` of what ``keep(distances, ids)`` names by rows and columns in each block and shard.
+def _prepared(rows: DataFrame, name: str, asks: bool, key: str | None, extra: str | None) -> DataFrame:
+    number = F.col(extra).cast("double") if extra else F.lit(0.0)
+    out = rows.select((F.col(key) if key else F.lit(0)).cast("long").alias("_k"), F.lit(asks).alias("_asks"), F.col(name).cast("long").alias("_id"), number.alias("_x"), unit_bytes("vector").alias("_raw"))
+    return out.where("_raw is not null").withColumn("_d", F.length("_raw"))
 
-    With ``key`` only rows of equal key meet: an inverted-file search.
+
+def _shards(reference: DataFrame, key: str | None) -> int:
+    """Shards of each part; the largest part decides, as all are cut alike."""
+    sizes = reference.groupBy(*([key] if key else [])).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("numbers"))
+    most = sizes.agg(F.max("rows"), F.max("numbers")).first()
+    rows, numbers = most[0] or 0, most[1] or 0
+    return max(1, -(-8 * numbers // SHARD_BYTES), min(-(-rows // SHARD), reference.sparkSession.sparkContext.defaultParallelism))
+
+
+def _blocked(queries: DataFrame, reference: DataFrame, emit: Emit, schema: str = HITS_DDL, key: str | None = None, extra: str | None = None, shards: int | None = None) -> DataFrame:
+    """What ``emit`` makes of each block of ``queries`` (query_id, vector) and shard of ``reference`` (id, vector).
+
+    With ``key`` only rows of equal key meet: an inverted-file search. ``extra`` names a number of both sides that goes along.
     """
     spark = queries.sparkSession
-    of = (F.col(key) if key else F.lit(0)).cast("long").alias("_k")
-    held = reference.select(F.col("id").cast("long").alias("_id"), unit_bytes("vector").alias("_raw"), of).where("_raw is not null")
-    asked = queries.select(F.col("query_id").cast("long").alias("_id"), unit_bytes("vector").alias("_raw"), of).where("_raw is not null")
-    # the largest part decides, as all are cut alike
-    most = reference.groupBy(key).count().agg(F.max("count")).first()[0] if key else reference.count()
-    shards = max(1, -(-(most or 0) // SHARD))
-    held = held.select(F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("_s"), "_k", F.length("_raw").alias("_d"), F.lit(False).alias("_asks"), "_id", "_raw")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"), "_k", F.length("_raw").alias("_d"), F.lit(True).alias("_asks"), "_id", "_raw")
+    shards = shards or _shards(reference, key)
+    columns = ["_s", "_k", "_d", "_asks", "_id", "_x", "_raw"]
+    held = _prepared(reference, "id", False, key, extra).withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
+    asked = _prepared(queries, "query_id", True, key, extra).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 10_000))
-    both = held.union(asked).repartition(width, "_s", "_k").sortWithinPartitions("_s", "_k", "_d", "_asks")
+    both = held.select(*columns).union(asked.select(*columns)).repartition(width, "_s", "_k").sortWithinPartitions("_s", "_k", "_d", "_asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _streamed(batches, keep)
+        return _streamed(batches, emit)
 
-    return both.mapInArrow(search, "query_id long, id long, dist double")
+    return both.mapInArrow(search, schema)
 
 
 def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -110,15 +138,59 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def _first(k: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    def keep(dist: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # ids ascend, so a stable order puts the smaller id first among equal distances
+def _hits(queries: np.ndarray, ids: np.ndarray, dist: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(queries[rows]), pa.array(ids[columns]), pa.array(dist[rows, columns])], schema=HITS)
+
+
+def _first(k: int, bounded: bool = False) -> Emit:
+    """The first ``k`` of each query by distance, then id; if ``bounded``, of those within the query's number."""
+
+    def emit(asked: np.ndarray, vectors: np.ndarray, extra: np.ndarray, shard: Shard) -> Iterator[pa.RecordBatch]:
+        dist = 1.0 - vectors @ shard.columns
         n = min(k, dist.shape[1])
         cut = np.partition(dist, n - 1, axis=1)[:, n - 1 : n]
+        if bounded:
+            cut = np.minimum(cut, extra[:, None])
         rows, columns = np.nonzero(dist <= cut)
-        return rows, columns
+        if len(rows) > n * len(asked) or np.bincount(rows, minlength=1).max(initial=0) > n:
+            # ids ascend with columns; of equal distances the smaller ids stay
+            order = np.lexsort((columns, dist[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            rows, columns = rows[place < n], columns[place < n]
+        yield _hits(asked, shard.ids, dist, rows, columns)
+
+    return emit
+
+
+def _counts(k: int) -> Emit:
+    """How many rows have distances in each of ``RANGES`` ranges, finer for nearer ones, up to the range that holds the shard's k-th."""
+
+    def emit(asked: np.ndarray, vectors: np.ndarray, extra: np.ndarray, shard: Shard) -> Iterator[pa.RecordBatch]:
+        dist = 1.0 - vectors @ shard.columns
+        place = np.minimum((np.sqrt(np.clip(dist, 0, 2) / 2) * RANGES).astype(np.int64), RANGES - 1)
+        counts = np.bincount((place + np.arange(len(asked))[:, None] * RANGES).ravel(), minlength=len(asked) * RANGES).reshape(len(asked), RANGES)
+        needed = np.cumsum(counts, axis=1) - counts < k
+        rows, ranges = np.nonzero((counts > 0) & needed)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[rows]), pa.array(ranges.astype(np.int32)), pa.array(counts[rows, ranges])], ["query_id", "range", "n"])
+
+    return emit
 
-    return keep
+
+def bounds(queries: DataFrame, reference: DataFrame, k: int, key: str | None = None, shards: int | None = None) -> DataFrame:
+    """``(query_id, bound)``: a distance within which each query has ``k`` reference rows, if there are as many, and few more."""
+    counts = _blocked(queries, reference, _counts(k), "query_id long, range int, n long", key, shards=shards).groupBy("query_id", "range").agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("query_id").orderBy("range"))
+    reached = counts.withColumn("_n", so_far).where(F.col("_n") >= k).groupBy("query_id").agg(F.min("range").alias("range"))
+    return reached.select("query_id", (2 * ((F.col("range") + 1) / RANGES) ** 2 + 1e-9).alias("bound"))
+
+
+def _nearest(queries: DataFrame, reference: DataFrame, k: int, key: str | None = None) -> DataFrame:
+    shards = _shards(reference, key)
+    if k < LARGE or (shards == 1 and key is None):
+        return _blocked(queries, reference, _first(k), key=key, shards=shards)
+    limited = queries.join(bounds(queries, reference, k, key, shards), "query_id", "left").withColumn("_bound", F.coalesce("bound", F.lit(4.0)))
+    return _blocked(limited, reference.withColumn("_bound", F.lit(0.0)), _first(k, bounded=True), key=key, extra="_bound", shards=shards)
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int = 50) -> DataFrame:
@@ -126,61 +198,20 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int = 50) -> DataFrame:
 
     ``queries``: (query_id, vector); ``reference``: (id, vector). Null, zero and non-finite vectors, and those of another length, take no part.
     """
-    return ranked(_blocked(queries, reference, _first(k)), k).select("query_id", "rank", "id", "dist")
+    return ranked(_nearest(queries, reference, k), k).select("query_id", "rank", "id", "dist")
+
+
+def _all_within(max_dist: float) -> Emit:
+    def emit(asked: np.ndarray, vectors: np.ndarray, extra: np.ndarray, shard: Shard) -> Iterator[pa.RecordBatch]:
+        dist = 1.0 - vectors @ shard.columns
+        yield _hits(asked, shard.ids, dist, *np.nonzero(dist <= max_dist))
+
+    return emit
 
 
 def within(queries: DataFrame, reference: DataFrame, max_dist: float) -> DataFrame:
     """``(query_id, rank, id, dist)``: all reference rows at a distance of at most ``max_dist``. Filter the reference before."""
-    return ranked(_blocked(queries, reference, lambda dist, ids: np.nonzero(dist <= max_dist))).select("query_id", "rank", "id", "dist")
-
-
-class InvertedFile:
-    """An approximate index: reference rows dealt to the nearest of ``parts`` k-means centres, to be probed by the nearest centres of a query."""
-
-    def __init__(self, centres: DataFrame, rows: DataFrame, parts: int):
-        self.centres, self.rows, self.parts = centres, rows, parts
-        self.measured: dict[tuple[int, float], int] = {}
-
-    @classmethod
-    def build(cls, reference: DataFrame, parts: int, seed: int = 4, sample: int = 100_000) -> InvertedFile:
-        """Centres are fitted on the ``sample`` rows of least hash; every row is indexed."""
-        chosen = reference.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-        features = array_to_vector(F.col("vector").cast("array<double>"))
-        model = KMeans(k=parts, seed=seed, distanceMeasure="cosine").fit(chosen.where("vector is not null").select(features.alias("features")))
-        centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-        table = reference.sparkSession.createDataFrame(centres, "id long, vector array<double>")
-        part = nearest(reference.select(F.col("id").alias("query_id"), "vector"), table, 1).select(F.col("query_id").alias("id"), F.col("id").alias("part"))
-        return cls(table, reference.join(part, "id"), len(centres))
-
-    def write(self, path: str) -> None:
-        """As Parquet, one folder a part, so a probe reads only its parts."""
-        self.rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-        self.centres.write.mode("overwrite").parquet(f"{path}/centres")
-
-    @classmethod
-    def read(cls, spark, path: str) -> InvertedFile:
-        centres = spark.read.parquet(f"{path}/centres")
-        return cls(centres, spark.read.parquet(f"{path}/rows"), centres.count())
-
-    def nearest(self, queries: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame:
-        """Like ``nearest``, among the rows of the ``probes`` nearest parts (by default as many as ``probes_for`` finds to be enough)."""
-        probes = probes or self.probes_for(k)
-        probed = nearest(queries, self.centres, probes).select("query_id", F.col("id").alias("part")).join(queries, "query_id")
-        hits = _blocked(probed, self.rows.withColumn("part", F.col("part").cast("long")), _first(k), key="part")
-        return ranked(hits, k).select("query_id", "rank", "id", "dist")
-
-    def probes_for(self, k: int, recall: float = 0.95, sample: int = 200, seed: int = 4) -> int:
-        """The least number of probes that finds ``recall`` of the exact ``k`` neighbours of ``sample`` indexed rows, chosen by hash; measured once for each ``k``."""
-        if (k, recall) not in self.measured:
-            asked = self.rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(F.col("id").alias("query_id"), "vector")
-            asked = settled(asked)
-            order = nearest(asked, self.centres, self.parts).select("query_id", F.col("id").alias("part"), "rank")
-            exact = nearest(asked, self.rows, k).join(self.rows.select("id", F.col("part").cast("long").alias("part")), "id").select("query_id", "part")
-            needed = exact.join(order, ["query_id", "part"]).groupBy("rank").count().orderBy("rank").collect()
-            share = np.cumsum([r["count"] for r in needed])
-            at = int(np.searchsorted(share, recall * share[-1])) if len(share) else 0
-            self.measured[k, recall] = int(needed[at]["rank"]) if len(share) else 1
-        return self.measured[k, recall]
+    return ranked(_blocked(queries, reference, _all_within(max_dist))).select("query_id", "rank", "id", "dist")
 
 
 def distance_sums(rows: DataFrame, squared: bool = False) -> DataFrame:
@@ -210,12 +241,12 @@ def distance_sums(rows: DataFrame, squared: bool = False) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             table = shared.value
             names, n, size = table["label"].combine_chunks(), table["_n"].to_numpy(), table["_length"].to_numpy()
-            matrix = np.array(table["_sum"].to_pylist(), dtype=np.float64).reshape(len(names), -1)
+            matrix = np.asarray(table["_sum"].combine_chunks().flatten(), dtype=np.float64).reshape(len(names), -1)
             step = max(1, (1 << 19) // max(len(names), 1))
             for batch in batches:
                 for at in range(0, len(batch), step) if len(names) else ():
                     part = batch.slice(at, step)
-                    x = np.array(part.column(2).to_pylist(), dtype=np.float64).reshape(len(part), -1)
+                    x = np.asarray(part.column(2).flatten(), dtype=np.float64).reshape(len(part), -1)
                     own = np.array(pc.index_in(part.column(1), value_set=names).fill_null(-1))[:, None] == np.arange(len(names))[None, :]
                     inner, length = x @ matrix.T, (x * x).sum(1)[:, None]
                     total = n * length + size - 2 * inner if squared else (n - own) - (inner - own * length)

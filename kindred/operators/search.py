@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import Protocol
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -15,22 +16,34 @@ from kindred.operators.neighbours import nearest, within
 Embed = Callable[[DataFrame], DataFrame]
 
 
+class Index(Protocol):
+    """What a search can be routed by, in place of comparing all rows. Not every index can tell all rows within a distance."""
+
+    def nearest(self, queries: DataFrame, k: int = 50) -> DataFrame: ...
+
+    def within(self, queries: DataFrame, max_dist: float, among: DataFrame | None = None) -> DataFrame: ...
+
+
 def _with_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     return hits.join(metadata, "id").withColumnRenamed("dist", "query_nn_dist")
 
 
-def search_nearest(queries: DataFrame, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None) -> DataFrame:
-    """Hits of each query joined to ``metadata`` (id, ...): the k nearest, or all within ``max_dist``."""
-    hits = nearest(queries, reference, k) if max_dist is None else within(queries, reference, max_dist)
+def search_nearest(queries: DataFrame, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, index: Index | None = None) -> DataFrame:
+    """Hits of each query joined to ``metadata`` (id, ...): the k nearest, or all within ``max_dist``; by an ``index`` of the reference if given."""
+    if max_dist is None:
+        hits = nearest(queries, reference, k) if index is None else index.nearest(queries, k)
+    else:
+        hits = within(queries, reference, max_dist) if index is None else index.within(queries, max_dist)
     return _with_metadata(hits, metadata)
 
 
-def search_exhaustive(queries: DataFrame, reference: DataFrame, metadata: DataFrame, max_dist: float = 0.03, equal: dict[str, object] | None = None) -> DataFrame:
-    """All hits within ``max_dist`` among the rows whose metadata equal those given; the filter comes before any distance."""
+def search_exhaustive(queries: DataFrame, reference: DataFrame, metadata: DataFrame, max_dist: float = 0.03, equal: dict[str, object] | None = None, index: Index | None = None) -> DataFrame:
+    """All hits within ``max_dist`` among the rows whose metadata equal those given; the filter comes before any distance. Exact with an ``index`` too."""
     if equal:
         metadata = metadata.where(reduce(lambda a, b: a & b, (F.col(c) == F.lit(v) for c, v in equal.items())))
         reference = reference.join(metadata.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
-    return _with_metadata(within(queries, reference, max_dist), metadata)
+    hits = within(queries, reference, max_dist) if index is None else index.within(queries, max_dist, metadata.select("id") if equal else None)
+    return _with_metadata(hits, metadata)
 
 
 def mean_vectors(vectors: DataFrame, *groups: str) -> DataFrame:
@@ -41,12 +54,12 @@ def mean_vectors(vectors: DataFrame, *groups: str) -> DataFrame:
     return means.groupBy(*groups).agg(ordered.alias("_v")).select(*groups, F.col("_v._x").alias("vector"))
 
 
-def search_centroids(centroids: DataFrame, embed: Embed, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, equal: dict[str, object] | None = None) -> DataFrame:
+def search_centroids(centroids: DataFrame, embed: Embed, reference: DataFrame, metadata: DataFrame, k: int = 10_000, max_dist: float | None = None, equal: dict[str, object] | None = None, index: Index | None = None) -> DataFrame:
     """Hits of each cluster's centroid: ``centroids`` (cluster, gene_idx, x) are embedded to (query_id, cluster, vector) and searched, exactly within ``max_dist`` if given."""
     queries = embed(centroids)
     names = queries.select("query_id", F.col("cluster").alias("centroid"))
     asked = queries.select("query_id", "vector")
-    hits = search_nearest(asked, reference, metadata, k) if max_dist is None else search_exhaustive(asked, reference, metadata, max_dist, equal)
+    hits = search_nearest(asked, reference, metadata, k, index=index) if max_dist is None else search_exhaustive(asked, reference, metadata, max_dist, equal, index)
     return hits.join(names, "query_id")
 
 

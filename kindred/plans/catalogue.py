@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import vectors as vec
 from kindred.functions.vocabulary import clean_terms, harmonised, has_keyword
-from kindred.operators import aggregate, annotate, encoder, flows, matrix, neighbours, ontology, search, summarize, training
+from kindred.operators import aggregate, annotate, encoder, flows, inverted, matrix, neighbours, ontology, search, summarize, training
 from kindred.operators import quality_control as qc
 from kindred.plans import roles
 from kindred.plans.roles import CELLS, CLOSURE, COUNTS, DISTANCES, EDGES, GENES, RANKED, VECTORS
@@ -87,7 +87,7 @@ def dist2centroid(spark, d):
 def knn_inverted_file(spark, d):
     """Approximate; its recall is tested against the exact search."""
     rows = roles.vectors(spark, d)
-    index = neighbours.InvertedFile.build(rows, 16)
+    index = inverted.InvertedFile.build(rows, 16)
     return rounded(index.nearest(roles.asked(rows), 10), dist=6)
 
 

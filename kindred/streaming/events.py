@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators.annotate import annotate
+from kindred.operators.search import Index
 
 
 def _counted(events: DataFrame, window: Column, keys: list[str], late: str | None) -> DataFrame:
@@ -32,7 +33,7 @@ def sessions(events: DataFrame, gap: str, keys: list[str], late: str | None = No
     return _counted(events, F.session_window("ts", gap), keys, late)
 
 
-def annotate_stream(queries: DataFrame, reference: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 50, checkpoint: str | None = None) -> StreamingQuery:
-    """Labels each micro-batch of a stream (query_id, vector) from a static reference and hands it to ``sink``, once a batch number."""
-    writer = queries.writeStream.foreachBatch(lambda batch, number: sink(annotate(batch, reference, k), number))
+def annotate_stream(queries: DataFrame, reference: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 50, checkpoint: str | None = None, index: Index | None = None) -> StreamingQuery:
+    """Labels each micro-batch of a stream (query_id, vector) from a static reference, by an ``index`` of it if given, and hands it to ``sink``, once a batch number."""
+    writer = queries.writeStream.foreachBatch(lambda batch, number: sink(annotate(batch, reference, k, index=index), number))
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import vectors as vec
-from kindred.operators import aggregate, annotate, encoder, flows, matrix, neighbours, ontology, quantiles, search, summarize, training
+from kindred.operators import aggregate, annotate, encoder, flows, inverted, matrix, neighbours, ontology, quantiles, search, summarize, training
 from kindred.operators import quality_control as qc
 from kindred.sources import obo, tables
 from kindred.streaming import events
@@ -113,9 +113,9 @@ def test_self_distance(spark):
 def test_index_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = frame(spark, [(i, [float(y) for y in v]) for i, v in enumerate(rng.normal(size=(200, 6)))], "id long, vector array<double>")
-    built = neighbours.InvertedFile.build(rows, 4)
+    built = inverted.InvertedFile.build(rows, 4)
     built.write(str(tmp_path))
-    index, asked = neighbours.InvertedFile.read(spark, str(tmp_path)), rows.withColumnRenamed("id", "query_id")
+    index, asked = inverted.InvertedFile.read(spark, str(tmp_path)), rows.withColumnRenamed("id", "query_id")
     assert pairs(index.nearest(asked, 3, probes=4), "query_id", "rank", "id") == pairs(neighbours.nearest(asked, rows, 3), "query_id", "rank", "id")
 
 
@@ -414,7 +414,7 @@ def test_inverted_file_finds_enough_by_default(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(40, 16))
     rows = frame(spark, [(i, [float(y) for y in centre[i % 40] + rng.normal(size=16)]) for i in range(3000)], "id long, vector array<double>")
-    index = neighbours.InvertedFile.build(rows, 25)
+    index = inverted.InvertedFile.build(rows, 25)
     asked = training.sampled_rows(rows, "id", 300, seed=9).withColumnRenamed("id", "query_id")
     exact, near = (pairs(x, "query_id", "id") for x in (neighbours.nearest(asked, rows, 10), index.nearest(asked, 10)))
     print(f"{index.probes_for(10)} of 25 parts probed, recall {len(exact & near) / len(exact):.3f}")
