@@ -10,8 +10,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH = 1024
 STEPS = 50
@@ -68,8 +69,8 @@ class Encoder:
             layers.setdefault(r["layer"], {})[r["name"]] = np.frombuffer(r["data"], "<f8").reshape(r["shape"])
         return cls([Layer(**layers[k]) for k in sorted(layers)])
 
-    def forward(self, x: np.ndarray, keep: list[np.ndarray] | None = None) -> np.ndarray:
-        """Unit latent vectors of dense rows; ``keep`` gets what ``backward`` needs."""
+    def linear(self, x: np.ndarray, keep: list[np.ndarray] | None = None) -> np.ndarray:
+        """Dense rows through all layers; ``keep`` gets what ``backward`` needs."""
         for layer in self.layers:
             x = x @ layer.weight.T + layer.bias
             if layer.mean is not None:
@@ -78,6 +79,11 @@ class Encoder:
                 if keep is not None:
                     keep.append(x)
                 x = np.where(x >= 0, x, layer.slope * x)
+        return x
+
+    def forward(self, x: np.ndarray, keep: list[np.ndarray] | None = None) -> np.ndarray:
+        """Unit latent vectors of dense rows."""
+        x = self.linear(x, keep)
         size = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         if keep is not None:
             keep.append(size)
@@ -106,15 +112,49 @@ class Encoder:
         return np.abs(total * (anchors - negatives)) * (anchors > negatives)
 
 
-def dense(idx: pd.Series, val: pd.Series, width: int) -> np.ndarray:
-    """A matrix of packed rows; indices beyond the width are an error."""
+class Decoder(Encoder):
+    """The way back: a net of the mirrored sizes, from latent vectors to genes, whose outputs are as they come."""
+
+    @property
+    def n_latent(self) -> int:
+        return self.layers[0].weight.shape[1]
+
+    def forward(self, x: np.ndarray, keep: list[np.ndarray] | None = None) -> np.ndarray:
+        return self.linear(x, keep)
+
+    def backward(self, out: np.ndarray, keep: list[np.ndarray], gradient: np.ndarray) -> np.ndarray:
+        raise NotImplementedError("attributions are an encoder's")
+
+
+def dense(idx: pa.ListArray, val: pa.ListArray, width: int) -> np.ndarray:
+    """A matrix of packed rows; indices beyond the width are an error, and a null row is empty."""
     out = np.zeros((len(idx), width))
-    lengths = idx.map(len).to_numpy()
-    if lengths.sum():
-        np.add.at(out, (np.repeat(np.arange(len(idx)), lengths), np.concatenate(list(idx))), np.concatenate(list(val)))
+    lengths = np.asarray(idx.value_lengths().fill_null(0), dtype=np.int64)
+    values = np.asarray(val.flatten(), dtype=np.float64)
+    if len(values) != lengths.sum():
+        raise ValueError("a row has more indices than values, or fewer")
+    np.add.at(out, (np.repeat(np.arange(len(idx)), lengths), np.asarray(idx.flatten())), values)
     return out
 
 
+def _lists(matrix: np.ndarray, kind: str) -> pa.ListArray:
+    """The rows of a matrix, as lists over one flat array."""
+    values = pa.array(matrix.astype(np.float32 if kind == "float" else np.float64).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), values)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield batch.slice(at, size)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    if np.isnan(x).any():
+        raise ValueError("NaN in the rows to embed")
+    return x
+
+
 def embed(packed: DataFrame, encoder: Encoder, num_cells: int | None = None, kind: str = "float") -> DataFrame:
     """``(cell_id, vector)`` of packed rows (cell_id, idx, val) that are log-normalised; at most ``num_cells`` rows by cell_id. Vectors are arrays of ``kind``.
 
@@ -124,33 +164,56 @@ def embed(packed: DataFrame, encoder: Encoder, num_cells: int | None = None, kin
     if num_cells is not None:
         packed = packed.orderBy("cell_id").limit(num_cells)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for part in _parts(batches, BATCH):
+            vectors = net.forward(_whole(dense(part.column(1), part.column(2), net.n_genes)))
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(vectors, kind)], ["cell_id", "vector"])
+
+    return packed.select(F.col("cell_id").cast("long").alias("cell_id"), "idx", "val").mapInArrow(run, f"cell_id long, vector array<{kind}>")
+
+
+def decode(vectors: DataFrame, decoder: Decoder, kind: str = "float") -> DataFrame:
+    """``(cell_id, values)`` of latent vectors (cell_id, vector), one value a gene. Null vectors, and those of another length, take no part."""
+    shared = vectors.sparkSession.sparkContext.broadcast(decoder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH]
-                x = dense(part["idx"], part["val"], net.n_genes)
-                if np.isnan(x).any():
-                    raise ValueError("NaN in the rows to embed")
-                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "vector": list(net.forward(x).astype(np.float32 if kind == "float" else np.float64))})
+        for part in _parts(batches, BATCH):
+            x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(part), -1)
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(net.forward(x), kind)], ["cell_id", "values"])
+
+    fit = vectors.where(F.size("vector") == decoder.n_latent).select(F.col("cell_id").cast("long").alias("cell_id"), F.col("vector").cast("array<double>").alias("vector"))
+    return fit.mapInArrow(run, f"cell_id long, values array<{kind}>")
+
 
-    return packed.select("cell_id", "idx", "val").mapInPandas(run, f"cell_id long, vector array<{kind}>")
+def reconstruction(packed: DataFrame, encoder: Encoder, decoder: Decoder) -> DataFrame:
+    """``(cell_id, error, square, genes)`` of packed rows (cell_id, idx, val): what is lost on the way through both nets, the sum of squared differences over all genes, beside the sum of squares. No dense row leaves its task."""
+    shared = packed.sparkSession.sparkContext.broadcast((encoder, decoder))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, back = shared.value
+        for part in _parts(batches, BATCH):
+            x = _whole(dense(part.column(1), part.column(2), there.n_genes))
+            rest = x - back.forward(there.forward(x))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array((rest * rest).sum(1)), pa.array((x * x).sum(1)), pa.array(np.full(len(part), there.n_genes, np.int64))], ["cell_id", "error", "square", "genes"])
+
+    return packed.select(F.col("cell_id").cast("long").alias("cell_id"), "idx", "val").mapInArrow(run, "cell_id long, error double, square double, genes long")
 
 
 def attribute(pairs: DataFrame, encoder: Encoder, steps: int = STEPS) -> DataFrame:
     """``(pair_id, gene_idx, value)``, zeros left out, of pairs (pair_id, anchor_idx, anchor_val, negative_idx, negative_val)."""
     shared = pairs.sparkSession.sparkContext.broadcast(encoder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 128):
-                part = pdf.iloc[at : at + 128]
-                found = net.attributions(dense(part["anchor_idx"], part["anchor_val"], net.n_genes), dense(part["negative_idx"], part["negative_val"], net.n_genes), steps)
-                row, gene = np.nonzero(found)
-                yield pd.DataFrame({"pair_id": part["pair_id"].to_numpy()[row], "gene_idx": gene.astype(np.int32), "value": found[row, gene]})
-
-    return pairs.mapInPandas(run, "pair_id long, gene_idx int, value double")
+        for part in _parts(batches, 128):
+            found = net.attributions(*(dense(part.column(k), part.column(k + 1), net.n_genes) for k in (1, 3)), steps)
+            row, gene = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(gene.astype(np.int32)), pa.array(found[row, gene])], ["pair_id", "gene_idx", "value"])
+
+    columns = ["anchor_idx", "anchor_val", "negative_idx", "negative_val"]
+    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), *columns).mapInArrow(run, "pair_id long, gene_idx int, value double")
 
 
 def save_model(path: str, net: Encoder, genes: DataFrame, labels: DataFrame, studies: DataFrame) -> None:

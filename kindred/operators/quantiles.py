@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from kindred.sources.shared import settled
 
 
-def quantiles(df: DataFrame, value: str, q: float, *groups: str) -> DataFrame:
+def quantiles(df: DataFrame, value: str, q: float, *groups: str, times: str | None = None) -> DataFrame:
     """``(*groups, quantile)`` by linear interpolation between the two values next to rank ``q * (n - 1)``; nulls don't count, and groups of nothing else are left out.
+    With ``times`` a row counts as often as that column says.
 
     Values are counted (so a frequent one is one row), cut into ranges of group and value, and the ranges' sizes say which of them hold the two
     ranks; only within these do rows get numbers. A large group spreads over many ranges.
     """
     keys = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg((F.count("*") if times is None else F.sum(times)).alias("_n"))
     spread = settled(counts.repartitionByRange(*keys, "_value").withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
     own = Window.partitionBy(*keys)

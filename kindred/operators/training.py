@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.matrix import align, lognorm, pack
 from kindred.operators.neighbours import distance_sums
 from kindred.operators.quantiles import quantiles
+from kindred.sources.shared import settled
 from kindred.sources.tables import with_row_ids
 
 SIDES = ("anchor", "positive", "negative")
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, or as many underscores before it as it takes to clash with no column."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def label_support(df: DataFrame) -> DataFrame:
     """``(label, studies)``: distinct studies of each label."""
     return df.where("label is not null").groupBy("label").agg(F.count_distinct("study").alias("studies"))
@@ -32,23 +40,29 @@ def coarse_grained(df: DataFrame, viable: DataFrame, n_studies: int = 2) -> Data
 
 
 def sampler_weights(df: DataFrame, class_scale: float = 1e4, study_scale: float = 1e6, cap: float | None = 0.999, use_study: bool = True) -> DataFrame:
-    """``df`` with ``weight``: 1 / log1p(n_class / class_scale) / log1p(n_study / study_scale), at most twice its ``cap`` quantile; without studies 1 / n_class."""
-    n = df.groupBy("label").agg(F.count("*").alias("_n_class"))
-    out = df.join(n, df["label"].eqNullSafe(n["label"])).drop(n["label"])
+    """``df`` with ``weight``: 1 / log1p(n_class / class_scale) / log1p(n_study / study_scale), at most twice its ``cap`` quantile; without studies 1 / n_class.
+
+    A weight depends on label and study alone: weights, and their quantile, are computed of the counts of these, once, and joined to the rows.
+    """
+    pairs = df.groupBy("label", "study").agg(F.count("*").alias("_n")) if use_study else df.groupBy("label").agg(F.count("*").alias("_n_class"))
     if not use_study:
-        return out.withColumn("weight", 1.0 / F.col("_n_class")).drop("_n_class")
-    m = df.groupBy("study").agg(F.count("*").alias("_n_study"))
-    out = out.join(m, out["study"].eqNullSafe(m["study"])).drop(m["study"])
-    out = out.withColumn("weight", 1.0 / F.log1p(F.col("_n_class") / class_scale) / F.log1p(F.col("_n_study") / study_scale)).drop("_n_class", "_n_study")
-    if cap is None:
-        return out
-    limit = quantiles(out, "weight", cap).select((2 * F.col("quantile")).alias("_cap"))  # one row
-    return out.join(F.broadcast(limit)).withColumn("weight", F.least("weight", "_cap")).drop("_cap")
+        found = pairs.select(F.col("label").alias("_label"), (1.0 / F.col("_n_class")).alias("weight"))
+        return df.join(found, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
+    pairs = settled(pairs)
+    by_label, by_study = (pairs.groupBy(F.col(c).alias(f"_{c}")).agg(F.sum("_n").alias(f"_n_{c}")) for c in ("label", "study"))
+    found = pairs.join(by_label, F.col("label").eqNullSafe(F.col("_label"))).drop("_label").join(by_study, F.col("study").eqNullSafe(F.col("_study"))).drop("_study")
+    found = found.withColumn("weight", 1.0 / F.log1p(F.col("_n_label") / class_scale) / F.log1p(F.col("_n_study") / study_scale)).select(F.col("label").alias("_label"), F.col("study").alias("_study"), "_n", "weight")
+    if cap is not None:
+        limit = quantiles(found, "weight", cap, times="_n").select((2 * F.col("quantile")).alias("_cap"))  # one row
+        found = found.join(F.broadcast(limit)).withColumn("weight", F.least("weight", "_cap")).drop("_cap")
+    found = found.drop("_n")
+    return df.join(found, F.col("label").eqNullSafe(F.col("_label")) & F.col("study").eqNullSafe(F.col("_study"))).drop("_label", "_study")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on the key and the seed alone."""
-    return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def uniform(key: Column, seed: int | Column) -> Column:
+    """A number in (0, 1) that depends on the key and the seed alone: the first 52 bits of their hash."""
+    text = F.concat_ws(":", key.cast("string"), (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def weighted_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -57,16 +71,46 @@ def weighted_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame
 
 
 def weighted_batches(df: DataFrame, key: str, size: int, batches: int, seed: int = 0, decay: float | None = None, floor: float = 0.01) -> DataFrame:
-    """``batches`` samples of ``size`` rows with column ``batch``; a row may be in several. With ``decay`` a chosen row's weight falls by it, to ``floor`` at least."""
-    out, rest = None, df
-    for b in range(batches):
-        chosen = weighted_sample(rest, key, size, seed + b).withColumn("batch", F.lit(b))
-        out = chosen if out is None else out.unionByName(chosen)
-        if decay is not None:
-            hit = chosen.select(key, F.lit(True).alias("_hit"))
-            lower = F.greatest(F.col("weight") * decay, F.lit(floor))
-            rest = rest.join(hit, key, "left").withColumn("weight", F.when(F.col("_hit"), lower).otherwise(F.col("weight"))).drop("_hit")
-    return out
+    """``batches`` samples of ``size`` rows with column ``batch``; a row may be in several. With ``decay`` a chosen row's weight falls by it, to ``floor`` at least; a weight below stays.
+
+    One plan for any number of batches. Each row arrives in each batch at an exponential time by its weight, and a batch takes the first. Weights only fall, so in batch b only rows that were
+    chosen before can come later than they would have: the rows that it takes are among the first (b + 1) * size by their first weights. That is all that one task settles, batch after batch:
+    its size depends on the number and size of the batches alone. Rows that come far too late for a batch, by the sum of the weights, aren't sorted for it.
+    """
+    names = [free(df.columns, c) for c in ("_arrival", "_place", "_sum", "_top")]
+    arrival, place, total, top = names
+    rows = df.where(F.col("weight") > 0)
+    every = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    every = every.withColumn(arrival, -F.log(uniform(F.col(key), F.lit(seed) + F.col("batch"))) / F.col("weight"))
+    # by this time twice the rows that are needed, and ten deviations more, have come on average, unless it is so late that heavy ones are sure to have come: then nothing is left out
+    needed = F.lit(float(size)) * (F.lit(1) if decay is None else F.col("batch") + 1)
+    until = 2 * (needed + 10 * F.sqrt(needed) + 100) / F.col(total)
+    sums = rows.agg(F.sum("weight").alias(total), F.max("weight").alias(top))  # one row
+    every = every.join(F.broadcast(sums)).where((F.col(arrival) <= until) | (F.col(top) * until > 1))
+    first = every.withColumn(place, F.row_number().over(Window.partitionBy("batch").orderBy(arrival, key)))
+    if decay is None:
+        return first.where(F.col(place) <= size).drop(*names)
+    among = first.where(F.col(place) <= size * batches).where(F.col(place) <= size * (F.col("batch") + 1))
+    kind = df.schema[key].dataType.simpleString()
+
+    def settle(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("batch", "ascending"), ("place", "ascending")])
+        batch, times, first_weight = (rows[c].to_numpy() for c in ("batch", "arrival", "weight"))
+        keys, now = rows["key"].to_pylist(), {}
+        taken = []
+        for at, end in zip(np.searchsorted(batch, range(batches)), np.searchsorted(batch, range(batches), "right"), strict=True):
+            weight = np.array([now.get(k, w) for k, w in zip(keys[at:end], first_weight[at:end], strict=True)])
+            # places follow arrivals and keys, so equal times stay in the order of keys
+            chosen = np.argsort(times[at:end] * first_weight[at:end] / weight, kind="stable")[:size]
+            for i in chosen.tolist():
+                now[keys[at + i]] = min(weight[i], max(weight[i] * decay, floor))
+            taken.append(at + chosen)
+        taken = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+        return pa.table({"batch": rows["batch"].take(taken), "key": rows["key"].take(taken)})
+
+    packed = among.select("batch", F.col(place).alias("place"), F.col(arrival).alias("arrival"), F.col("weight").cast("double").alias("weight"), F.col(key).alias("key"))
+    chosen = packed.groupBy().applyInArrow(settle, f"batch int, key {kind}")
+    return among.join(chosen.select("batch", F.col("key").alias(key)), ["batch", key], "left_semi").drop(*names).select(*df.columns, "batch")
 
 
 def sampled_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -110,7 +154,7 @@ def perturbed(df: DataFrame, edges: DataFrame, key: str, share: float, seed: int
     present = df.select("label").distinct()
     parents = edges.select(F.col("child").alias("label"), "parent").distinct().join(present.select(F.col("label").alias("parent")), "parent", "left_semi")
     hit = rows.join(drawn, "_at", "left_semi").select("_at", "_key", "label").join(parents, "label")
-    chosen = hit.groupBy("_at").agg(F.min_by("parent", F.struct(F.xxhash64("_key", "parent", F.lit(seed)), "parent")).alias("_parent"))
+    chosen = hit.groupBy("_at").agg(F.min_by("parent", F.struct(F.md5(F.concat_ws(":", "_key", "parent", F.lit(seed))), "parent")).alias("_parent"))
     return rows.join(chosen, "_at", "left").withColumn("label", F.coalesce("_parent", "label")).select(*df.columns)
 
 
@@ -134,10 +178,11 @@ def mixed_loss(triplet: float, mse: float, weight: float = 0.5) -> float:
 def mixed_metric(widths: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """``(asw, nmse, metric)``: the mean silhouette width, the mean squared error over the mean square, and (1 - asw) / 2 + nmse, least for the best.
 
-    ``widths``: (width); ``rebuilt``: (x, y), what was and what was made of it.
+    ``widths``: (width); ``rebuilt``: (x, y), what was and what was made of it, or sums (error, square) of the squares of their differences and of x.
     """
     asw = widths.agg(F.avg("width").alias("asw"))
-    error = rebuilt.agg((F.avg((F.col("x") - F.col("y")) ** 2) / F.avg(F.col("x") ** 2)).alias("nmse"))
+    sums = F.sum("error") / F.sum("square") if "error" in rebuilt.columns else F.avg((F.col("x") - F.col("y")) ** 2) / F.avg(F.col("x") ** 2)
+    error = rebuilt.agg(sums.alias("nmse"))
     return asw.join(F.broadcast(error)).withColumn("metric", (1 - F.col("asw")) / 2 + F.col("nmse"))  # one row each
 
 
@@ -182,6 +227,46 @@ def _least(dist: np.ndarray, x: np.ndarray, anchor: int, among: np.ndarray) -> i
     return int(near[0] if len(near) == 1 else near[((x[near] - x[anchor]) ** 2).sum(1).argmin()])
 
 
+def labels_apart(names: pa.Array, close: list) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the labels of a mini-batch, and which of them are neither equal nor ``close`` (for each row the labels that its own is related to)."""
+    coded = names.dictionary_encode()
+    code, place = coded.indices.to_numpy(), {name: i for i, name in enumerate(coded.dictionary.to_pylist())}
+    apart = ~np.eye(len(place), dtype=bool)
+    for i, others in zip(code, close, strict=True):
+        apart[i, [place[o] for o in others or () if o in place]] = False
+    return code, apart
+
+
+def mined(dist: np.ndarray, x: np.ndarray, ids: np.ndarray, code: np.ndarray, apart: np.ndarray, study: np.ndarray, margin: float, mode: str, seed: int) -> list[tuple[int, int, int, float]]:
+    """``(anchor, positive, negative, loss)`` by their places in a mini-batch sorted by id, of squared distances ``dist``; those of positive loss."""
+    found: list[tuple[int, int, int, float]] = []
+    for a in range(len(ids)):
+        positives = np.flatnonzero((code == code[a]) & (study != study[a]) & (ids > ids[a]))
+        negatives = np.flatnonzero(apart[code[a]][code])
+        if not len(positives) or not len(negatives):
+            continue
+        if mode == "hard":
+            n = _least(dist[a], x, a, negatives)
+            found += [(a, p, n, dist[a, p] - dist[a, n] + margin) for p in positives]
+            continue
+        for p in positives:
+            loss = dist[a, p] - dist[a, negatives] + margin
+            good = negatives[(loss > 0) & ((loss < margin) | (mode != "semihard"))]
+            if len(good):
+                mixed = (ids[good] * 0x9E3779B1 + ids[a] * 0x85EBCA77 + ids[p] * 0xC2B2AE3D + seed) % 0xFFFFFFFB
+                n = int(good[mixed.argmin()]) if mode == "random" else _least(dist[a], x, a, good)
+                found.append((a, p, n, dist[a, p] - dist[a, n] + margin))
+    return [f for f in found if f[3] > 0]
+
+
+def with_close_labels(rows: DataFrame, related: DataFrame | None) -> DataFrame:
+    """``rows`` (label, ...) with ``_close``: the labels that each one's is ``related`` (a, b) to, either way."""
+    if related is None:
+        return rows.withColumn("_close", F.array().cast("array<string>"))
+    close = related.select("a", "b").union(related.select("b", "a")).distinct().groupBy(F.col("a").alias("label")).agg(F.collect_set(F.col("b").cast("string")).alias("_close"))
+    return rows.join(close, "label", "left")
+
+
 def triplets(batch: DataFrame, margin: float = 0.05, mode: str = "hard", related: DataFrame | None = None, seed: int = 0, trace: bool = False) -> DataFrame:
     """``(batch, anchor, positive, negative, loss)`` of each mini-batch (batch, id, label, study, vector) of bounded size.
 
@@ -192,42 +277,16 @@ def triplets(batch: DataFrame, margin: float = 0.05, mode: str = "hard", related
 
     A mini-batch is one group: a matrix of its distances and masks over it, so only triplets leave the task.
     """
-    rows = batch.where("vector is not null and label is not null")
-    if related is None:
-        rows = rows.withColumn("_close", F.array().cast("array<string>"))
-    else:
-        close = related.select("a", "b").union(related.select("b", "a")).distinct().groupBy(F.col("a").alias("label")).agg(F.collect_set(F.col("b").cast("string")).alias("_close"))
-        rows = rows.join(close, "label", "left")
+    rows = with_close_labels(batch.where("vector is not null and label is not null"), related)
     rows = rows.select("batch", F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("_name"), "label", "study", "vector", "_close")
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         ids, x = rows["id"].to_numpy(), _matrix(rows)
         dist = _squared(x)
-        names = rows["_name"].combine_chunks().dictionary_encode()
-        code, place = names.indices.to_numpy(), {name: i for i, name in enumerate(names.dictionary.to_pylist())}
-        apart = ~np.eye(len(place), dtype=bool)
-        for i, others in zip(code, rows["_close"].to_pylist(), strict=True):
-            apart[i, [place[o] for o in others or () if o in place]] = False
+        code, apart = labels_apart(rows["_name"].combine_chunks(), rows["_close"].to_pylist())
         study = rows["study"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-        found: list[tuple[int, int, int, float]] = []
-        for a in range(len(ids)):
-            positives = np.flatnonzero((code == code[a]) & (study != study[a]) & (ids > ids[a]))
-            negatives = np.flatnonzero(apart[code[a]][code])
-            if not len(positives) or not len(negatives):
-                continue
-            if mode == "hard":
-                n = _least(dist[a], x, a, negatives)
-                found += [(a, p, n, dist[a, p] - dist[a, n] + margin) for p in positives]
-                continue
-            for p in positives:
-                loss = dist[a, p] - dist[a, negatives] + margin
-                good = negatives[(loss > 0) & ((loss < margin) | (mode != "semihard"))]
-                if len(good):
-                    mixed = (ids[good] * 0x9E3779B1 + ids[a] * 0x85EBCA77 + ids[p] * 0xC2B2AE3D + seed) % 0xFFFFFFFB
-                    n = int(good[mixed.argmin()]) if mode == "random" else _least(dist[a], x, a, good)
-                    found.append((a, p, n, dist[a, p] - dist[a, n] + margin))
-        found = [f for f in found if f[3] > 0]
+        found = mined(dist, x, ids, code, apart, study, margin, mode, seed)
         at = [np.array([f[k] for f in found], np.int64) for k in range(3)]
         out = {"batch": rows["batch"].take(at[0]), **{side: ids[k] for side, k in zip(SIDES, at, strict=True)}, "loss": pa.array([f[3] for f in found], pa.float64())}
         if trace:
@@ -241,6 +300,12 @@ def triplets(batch: DataFrame, margin: float = 0.05, mode: str = "hard", related
     return rows.groupBy("batch").applyInArrow(work, schema)
 
 
+def write_trace(traced: DataFrame, path: str, step: int) -> None:
+    """Adds the triplets of a step, traced, to a record of training: quoted CSV, compressed, a folder a step."""
+    columns = [c for c in traced.columns if c.rsplit("_", 1)[0] in SIDES]
+    traced.select(*columns).write.mode("overwrite").option("compression", "gzip").option("quoteAll", True).option("header", True).csv(f"{path}/step={step}")
+
+
 def silhouette(sums: DataFrame, descendants: DataFrame | None = None, ancestors: DataFrame | None = None) -> DataFrame:
     """``(id, label, intra, inter, width)`` from distance sums (id, label, other, total, n) of each row to the other rows of each label.
 

@@ -307,6 +307,39 @@ def annotate_dataset(spark, d):
     return rounded(out.select("cell_id", "hint", "min_dist", "hint_stat", matrix.hits_json("hits").alias("hits")), min_dist=5, hint_stat=6)
 
 
+def _unbinned(spark, d):
+    """The way back from ``_binned``: every gene gets what its remainder has."""
+    return encoder.Decoder([encoder.Layer(_binned(spark, d).layers[0].weight.T.copy(), np.zeros(roles.genes(spark, d).agg(F.max("gene_idx")).first()[0] + 1))])
+
+
+REBUILT = "genes_of AS (SELECT g % 16 AS bin, count(*) AS genes FROM range((SELECT max(p_partkey) + 1 FROM part)) t(g) GROUP BY 1), {name} AS (SELECT {by}, max(own.xx) - 2 * max(own.xz) + max(of_z.zz) AS error, max(own.xx) AS square FROM (SELECT {by}, sum(x * x) AS xx, sum(x * vector[gene_idx % 16 + 1]) AS xz FROM {of} JOIN {vectors} USING ({by}) GROUP BY 1) own JOIN (SELECT {by}, sum(vector[bin + 1] ** 2 * genes) AS zz FROM {vectors}, genes_of GROUP BY 1) of_z USING ({by}) GROUP BY 1)"
+
+
+@query(f"WITH {EMBEDDED}, {REBUILT.format(name='rebuilt', by='cell_id', of='normal', vectors='vecs')} SELECT cell_id, round(error, 3) AS error, round(square, 3) AS square FROM rebuilt")
+def reconstruction(spark, d):
+    net = _binned(spark, d)
+    normal = matrix.lognorm(roles.counts(spark, d)).select("cell_id", "gene_idx", F.col("x").alias("value"))
+    return rounded(encoder.reconstruction(matrix.pack(normal), net, _unbinned(spark, d)).drop("genes"), error=3, square=3)
+
+
+@query(
+    f"WITH {COUNTS}, {CELLS}, {CENTRES.format(by="study || '/' || disease", where='')}, {REBUILT.format(name='rebuilt', by='cluster', of='shares', vectors='centres')}, v AS (SELECT cluster, split_part(cluster, '/', 2) AS label, vector FROM centres), "
+    "p AS (SELECT a.cluster, a.label, b.label AS other, sum(list_sum(list_transform(range(1, 17), lambda i: (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i])))) AS total, count(*) AS n FROM v a JOIN v b ON a.cluster <> b.cluster GROUP BY ALL), "
+    "s AS (SELECT cluster, sum(total) FILTER (other = label) / (sum(n) FILTER (other = label) - 1) AS intra, sum(n) FILTER (other = label) AS k, min(total / n) FILTER (other <> label AND n > 1) AS inter FROM p GROUP BY cluster, label), "
+    "m AS (SELECT (SELECT avg((inter - intra) / greatest(intra, inter)) FROM s WHERE k > 1 AND inter IS NOT NULL) AS asw, (SELECT sum(error) / sum(square) FROM rebuilt) AS nmse) SELECT round(asw, 5) AS asw, round(nmse, 5) AS nmse, round((1 - asw) / 2 + nmse, 5) AS metric FROM m"
+)
+def model_metric(spark, d):
+    """How well a pair of nets does on the centroids of study and disease: silhouettes by disease, and what is lost on the way back."""
+    net, counts = _binned(spark, d), roles.counts(spark, d)
+    clusters = roles.cells(spark, d).select("cell_id", F.concat_ws("/", "study", "disease").alias("cluster"))
+    centres = aggregate.cluster_centroids(counts, clusters)
+    named = tables.with_row_ids(centres.select("cluster").distinct(), "cluster", name="cell_id")
+    packed = settled(matrix.pack(centres.join(named, "cluster").select("cell_id", "gene_idx", F.col("x").alias("value"))))
+    vectors = encoder.embed(packed, net, kind="double").join(named, "cell_id").select(F.col("cell_id").alias("id"), F.split("cluster", "/")[1].alias("label"), "vector")
+    widths = training.silhouette(neighbours.distance_sums(vectors, squared=True))
+    return rounded(training.mixed_metric(widths, encoder.reconstruction(packed, net, _unbinned(spark, d))), asw=5, nmse=5, metric=5)
+
+
 def _centroid_sql(by: str, limit: str, where: str = "", name: bool = True) -> str:
     of = "cluster AS centroid, " if name else ""
     return f"WITH {EMBEDDED}, {CENTRES.format(by=by, where=where)}, d AS (SELECT cluster, cell_id AS id, list_cosine_distance(v.vector, c.vector) AS dist FROM vecs v, centres c), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, id) AS rank FROM d) SELECT {of}id, rank::INT AS rank, tissue, round(dist, 6) AS query_nn_dist FROM r JOIN cells ON id = cells.cell_id WHERE {limit}"
@@ -658,9 +691,13 @@ def collate(spark, d):
     return rounded(out.select("cell_id", "label_int", "study", genes.alias("genes"), total.alias("total")), total=4)
 
 
-@query()
+@query(
+    f"WITH {CELLS}, {EDGES}, rows AS (SELECT cell_id, sample % 25 AS label, study, row_number() OVER (ORDER BY cell_id) - 1 AS pos FROM cells), n AS (SELECT count(*) AS n FROM rows), "
+    "drawn AS (SELECT DISTINCT floor((('0x' || substr(md5(i || ':3'), 1, 13))::BIGINT + 0.5) / 4503599627370496 * n)::BIGINT AS pos FROM n, range((SELECT floor(0.3 * n)::BIGINT FROM n)) t(i)), "
+    "chosen AS (SELECT pos, arg_min(parent, md5(cell_id || ':' || parent || ':3') || parent) AS parent FROM rows JOIN drawn USING (pos) JOIN edges ON child = label WHERE parent IN (SELECT label FROM rows) GROUP BY 1) "
+    "SELECT cell_id, coalesce(parent, label)::INT AS label, study FROM rows LEFT JOIN chosen USING (pos)"
+)
 def perturbed_labels(spark, d):
-    """Drawn by a seeded hash; tested by its size, its repeatability and the parents it gives."""
     rows = roles.cells(spark, d).select("cell_id", (F.col("sample") % 25).cast("int").alias("label"), "study")
     return training.perturbed(rows, roles.edges(spark, d), "cell_id", 0.3, seed=3)
 
@@ -672,9 +709,21 @@ def mixed_metric(spark, d):
     return rounded(training.mixed_metric(lines.select(F.col("l_tax").alias("width")), rebuilt), asw=8, nmse=4, metric=4)
 
 
-@query()
+def _sample_sql(size: int, batches: int, decay: float, floor: float) -> str:
+    """One batch after another, as the sampler is defined."""
+    hashed = "(('0x' || substr(md5(cell_id || ':' || {seed}), 1, 13))::BIGINT + 0.5) / 4503599627370496"
+    parts = [
+        f"WITH {CELLS}, n AS (SELECT cell_id, 1 / ln(1 + count(*) OVER (PARTITION BY disease) / 1e4) / ln(1 + count(*) OVER (PARTITION BY study) / 1e6) AS w FROM cells)",
+        "w0 AS (SELECT cell_id, least(w, 2 * (SELECT quantile_cont(w, 0.999) FROM n)) AS w FROM n)",
+    ]
+    for b in range(batches):
+        parts.append(f"b{b} AS (SELECT {b} AS batch, cell_id FROM (SELECT cell_id, row_number() OVER (ORDER BY -ln({hashed.format(seed=1 + b)}) / w, cell_id) AS r FROM w{b}) WHERE r <= {size})")
+        parts.append(f"w{b + 1} AS (SELECT w.cell_id, CASE WHEN b.cell_id IS NULL THEN w ELSE least(w, greatest(w * {decay}, {floor})) END AS w FROM w{b} w LEFT JOIN b{b} b USING (cell_id))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM b{b}" for b in range(batches))
+
+
+@query(_sample_sql(100, 3, 0.5, 0.01))
 def weighted_sample(spark, d):
-    """Seeded by a hash; tested by its size, its bias and its repeatability."""
     rows = roles.cells(spark, d).select("cell_id", F.col("disease").alias("label"), "study")
     return training.weighted_batches(training.sampler_weights(rows), "cell_id", 100, 3, seed=1, decay=0.5).select("batch", "cell_id")
 
