@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.sources.tables import append
+from kindred.sources.tables import append, replace
 
 
 def collapsed(counts: DataFrame, *keys: str) -> DataFrame:
@@ -101,6 +101,15 @@ def append_matrix(counts: DataFrame, path: str, width: int, axis: str = "cell_id
     return append(counts, path, axis)
 
 
+def overwrite_matrix(counts: DataFrame, path: str, shape: tuple[int, int]) -> None:
+    """Puts a long matrix in the place of that at ``path``, which ``counts`` may read. Raises ValueError if an entry lies outside ``shape``, cells by genes; then, and if a task fails, the old one stays."""
+    ends = counts.agg(*(f(c).alias(f"{n}_{c}") for c in ("cell_id", "gene_idx") for n, f in (("least", F.min), ("most", F.max)))).first()
+    for c, n in zip(("cell_id", "gene_idx"), shape, strict=True):
+        if ends[f"most_{c}"] is not None and not 0 <= ends[f"least_{c}"] <= ends[f"most_{c}"] < n:
+            raise ValueError(f"{c} reaches from {ends[f'least_{c}']} to {ends[f'most_{c}']}, but the matrix has {n}")
+    replace(counts, path)
+
+
 def hits_json(hits: str) -> Column:
     """A map as JSON text, its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(hits))))

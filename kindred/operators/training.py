@@ -28,6 +28,24 @@ def label_support(df: DataFrame) -> DataFrame:
     return df.where("label is not null").groupBy("label").agg(F.count_distinct("study").alias("studies"))
 
 
+def chosen_samples(samples: DataFrame, by: str) -> DataFrame:
+    """Of each study the row with the largest ``by``."""
+    rest = [c for c in samples.columns if c != "study"]
+    best = samples.where("study is not null").groupBy("study").agg(F.max_by(F.struct(*rest), by).alias("_s"))
+    return best.select(*(F.col("study") if c == "study" else F.col(f"_s.{c}").alias(c) for c in samples.columns))
+
+
+def listed_genes(samples: DataFrame, column: str = "genes", sep: str = ",") -> DataFrame:
+    """``(study, symbol)`` of samples whose genes stand in a list of text."""
+    names = F.explode(F.split(F.col(column), sep, -1)).alias("symbol")
+    return samples.select("study", names).withColumn("symbol", F.trim("symbol")).where("symbol <> ''")
+
+
+def gene_studies(rows: DataFrame, least: int = 1) -> DataFrame:
+    """``(symbol, studies)``: in how many studies each gene of rows (study, symbol) is, of those in at least ``least``."""
+    return rows.where("symbol is not null").groupBy("symbol").agg(F.count_distinct("study").alias("studies")).where(F.col("studies") >= least)
+
+
 def with_support(df: DataFrame, n_studies: int = 2) -> DataFrame:
     """Rows of labels in at least ``n_studies`` studies."""
     return df.join(label_support(df).where(F.col("studies") >= n_studies), "label", "left_semi")

@@ -64,6 +64,23 @@ def radius_all(spark, d):
     return rounded(hits.select("query_id", "rank", "id", "label", "query_nn_dist"), query_nn_dist=6)
 
 
+@query(ORACLE_SQL["radius_all"])
+def radius_by_index(spark, d):
+    """Exact, though most rows are skipped where vectors lie in clusters."""
+    rows = roles.vectors(spark, d)
+    index = inverted.InvertedFile.build(rows, 16)
+    hits = search.search_nearest(roles.asked(rows), rows, rows.select("id", "label"), max_dist=MAX_DIST, index=index)
+    return rounded(hits.select("query_id", "rank", "id", "label", "query_nn_dist"), query_nn_dist=6)
+
+
+@query(ORACLE_SQL["radius_filtered"])
+def radius_filtered_by_index(spark, d):
+    rows = roles.vectors(spark, d)
+    index = inverted.InvertedFile.build(rows, 16)
+    hits = search.search_exhaustive(roles.asked(rows), rows, rows.select("id", "label"), MAX_DIST, {"label": 3}, index)
+    return rounded(hits.select("query_id", "rank", "id", "label", "query_nn_dist"), query_nn_dist=6)
+
+
 MEANS = f"{VECTORS}, parts AS (SELECT label, i, avg(vector[i]) AS x FROM vectors, range(1, 65) t(i) GROUP BY 1, 2), means AS (SELECT label, list(x ORDER BY i) AS vector FROM parts GROUP BY 1)"
 
 
@@ -143,6 +160,16 @@ def annotate_safelist(spark, d):
     return _voted(spark, d, 25, safelist=[1, 3, 5])
 
 
+@query(_vote_sql(25, where="label IN (1, 3, 5)"))
+def annotate_safelist_by_index(spark, d):
+    """All parts are probed, so the vote is the exact one."""
+    rows = roles.vectors(spark, d)
+    index = inverted.InvertedFile.build(rows, 8)
+    hits = index.nearest(roles.asked(rows), 25, probes=8, allowed=annotate.condition([1, 3, 5]))
+    out = annotate.predictions(hits.join(rows.select("id", "label"), "id"))
+    return rounded(out.select("query_id", "prediction", "vs2nd", "vs_all", "weighted_vs_all"), vs2nd=6, vs_all=6, weighted_vs_all=4)
+
+
 @query(_vote_sql(25, where="label NOT IN (0, 2)"))
 def annotate_blocklist(spark, d):
     return _voted(spark, d, 25, blocklist=[0, 2])
@@ -613,6 +640,13 @@ def onto_similarity(spark, d):
     return ontology.similarities(ontology.closure(roles.edges(spark, d)), roles.nodes(spark, d))
 
 
+@query(f"WITH RECURSIVE {CLOSURE} SELECT a.descendant AS a, b.descendant AS b, count(*) AS similarity FROM pairs a JOIN pairs b USING (ancestor) WHERE a.descendant < b.descendant AND ancestor > 1 GROUP BY 1, 2")
+def onto_similarity_restricted(spark, d):
+    """Terms so general that every pair shares them don't count."""
+    nodes = roles.nodes(spark, d)
+    return ontology.similarities(ontology.closure(roles.edges(spark, d)), nodes, nodes.where("node <= 1"))
+
+
 @query(f"""WITH RECURSIVE {CLOSURE}, up AS (SELECT descendant AS node, ancestor AS c FROM pairs UNION SELECT n_nationkey::INT, n_nationkey::INT FROM nation),
     common AS (SELECT x.node AS a, y.node AS b, x.c FROM up x JOIN up y ON x.c = y.c AND x.node < y.node)
     SELECT a, b, min(c) AS lca FROM common k WHERE NOT EXISTS (SELECT 1 FROM common j JOIN pairs p ON p.descendant = j.c WHERE j.a = k.a AND j.b = k.b AND p.ancestor = k.c) GROUP BY 1, 2""")
@@ -789,9 +823,9 @@ def rank_genes(spark, d):
 
 @query(f"WITH {COUNTS}, {GENES}, {CELLS}, pick AS (SELECT study, arg_max(cell_id, price) AS cell_id FROM cells GROUP BY 1) SELECT symbol, count(DISTINCT study) AS studies FROM counts JOIN pick USING (cell_id) JOIN genes USING (gene_idx) GROUP BY 1 HAVING count(DISTINCT study) >= 2")
 def genes_by_support(spark, d):
-    chosen = roles.cells(spark, d).groupBy("study").agg(F.max_by("cell_id", "price").alias("cell_id"))
+    chosen = training.chosen_samples(roles.cells(spark, d).select("study", "cell_id", "price"), "price")
     rows = roles.counts(spark, d).join(chosen, "cell_id").join(roles.genes(spark, d), "gene_idx")
-    return rows.groupBy("symbol").agg(F.count_distinct("study").alias("studies")).where("studies >= 2")
+    return training.gene_studies(rows.select("study", "symbol"), 2)
 
 
 # Event time

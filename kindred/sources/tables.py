@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +57,63 @@ def append(df: DataFrame, path: str, key: str) -> int:
     return offset
 
 
+def write_at(df: DataFrame, path: str, key: str, first: int) -> None:
+    """Writes rows whose ``key`` counts from 0 to the table at ``path``, from the place ``first`` on. Raises ValueError if any of those places is taken."""
+    spark = df.sparkSession
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    if ends["a"] is None:
+        return
+    if _exists(spark, path) and spark.read.parquet(path).where(F.col(key).between(first + ends["a"], first + ends["b"])).take(1):
+        raise ValueError(f"rows {first + ends['a']} to {first + ends['b']} of the table at {path} aren't free")
+    df.withColumn(key, F.col(key) + F.lit(first)).write.mode("append").parquet(path)
+
+
+def replace(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Puts ``df``, which may read the table at ``path``, in that table's place; ``by`` names a column to make folders of.
+
+    Everything is written beside the table first, so what fails before leaves the table as it was; then the folders change names, and the old one goes.
+    """
+    spark, new, old = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    system = name(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(new)
+    except Exception:
+        system.delete(name(new), True)
+        raise
+    if system.exists(name(path)) and not system.rename(name(path), name(old)):
+        raise OSError(f"the table at {path} can't be moved")
+    if not system.rename(name(new), name(path)):
+        system.rename(name(old), name(path))
+        raise OSError(f"the new table can't be moved to {path}")
+    system.delete(name(old), True)
+    spark.catalog.refreshByPath(path)
+
+
+def write_clustered(df: DataFrame, path: str, key: str, span: int) -> None:
+    """Writes a table in folders of ``span`` consecutive keys each, for gathers that open only the folders they need."""
+    df.withColumn("_range", F.floor(F.col(key) / span)).repartition("_range").sortWithinPartitions(key).write.mode("overwrite").partitionBy("_range").parquet(path)
+
+
+def gather_clustered(spark: SparkSession, path: str, ids: DataFrame, key: str, span: int, most: int = 10_000) -> DataFrame:
+    """``gather`` from a table that ``write_clustered`` made: only the ids' own folders are read, unless they are more than ``most``."""
+    own = ids.select(F.floor(F.col(key) / span).alias("_range")).where("_range is not null").distinct()
+    wanted = [r["_range"] for r in own.limit(most + 1).collect()]
+    rows = spark.read.parquet(path)
+    rows = rows.where(F.col("_range").isin(wanted)) if len(wanted) <= most else rows
+    return gather(rows.drop("_range"), ids, key)
+
+
 def append_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of both; columns that one lacks are null there."""
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def compact(spark: SparkSession, source: str, target: str, key: str, files: int, rows_per_file: int = 0) -> None:
-    """Rewrites many small files as ``files`` ranges of a key, sorted, of at most ``rows_per_file`` rows each if given."""
+def compact(spark: SparkSession, source: str, target: str | None, key: str, files: int, rows_per_file: int = 0) -> None:
+    """Rewrites many small files as ``files`` ranges of a key, sorted, of at most ``rows_per_file`` rows each if given; without a ``target`` in place, by ``replace``."""
     df = spark.read.parquet(source).repartitionByRange(files, key).sortWithinPartitions(key)
+    if target is None:
+        return replace(df, source)
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(target)
 
 
