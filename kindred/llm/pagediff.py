@@ -13,6 +13,7 @@ stay if differencing finds them in this page alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import md5
 from html import unescape
@@ -44,6 +45,10 @@ SITE_WORDS = frozenset(
 #: Elements of running text: inside an article their ids are anchors named by what they say.
 ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 WRAPPING = frozenset("wrap wrapper container layout page has with no without".split())
+#: Words that stand beside those in the name of a region, and those that name what a page is about.
+BESIDE = frozenset("area areas bar bars block blocks bottom box boxes button buttons inner item items left link links list lists main outer panel post posts primary right secondary section sections site slot slots top unit units".split())
+CONTENT = frozenset("article body content entry main post story text".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 TAG = re.compile(r"</?([a-z][^\s/>]*+)", re.IGNORECASE)
 PLAINLY = re.compile(r"[^<>\"']*+")
@@ -54,32 +59,54 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 EMPTY_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.IGNORECASE)
 
 
-def named_site(names: str) -> bool:
-    """Whether a whole class or id, all words of it, names a region of the site, and none a wrapping one."""
-    return not set(WORD.findall(names)) & WRAPPING and any(SITE_WORDS.issuperset(re.split("[-_]+", x)) for x in names.split())
+def named_site(names: str, words: frozenset[str] = SITE_WORDS) -> bool:
+    """Whether a whole class or id names a region of the site: of these words, and perhaps of words that stand beside them; and none a wrapping one, or what the page is about."""
+    if set(WORD.findall(names)) & WRAPPING:
+        return False
+    parts = [set(re.split("[-_]+", x)) - {""} for x in names.split()]
+    return not any(x and CONTENT | BESIDE >= x and x & CONTENT for x in parts) and any(x & words and words | BESIDE >= x for x in parts)
 
 
-def kind_of(tag: str, attrs: str, kind: int, nested: bool = False) -> int:
-    """The kind of region an element opens inside one of ``kind``. What a page declares as its article is one by any name, but for one ``nested`` in another, as comments are."""
+def kind_of(tag: str, attrs: str, kind: int, nested: bool = False, around: bool = False, banner: bool = False) -> int:
+    """The kind of region an element opens inside one of ``kind``. What a page declares as its article is one by any name but that of a comment, and but for one ``nested`` in another, as comments are.
+
+    A form ``around`` an article is the page's own; a header in an article is a ``banner`` if it stands in the main part before the article.
+    """
     if kind in (SITE, UNSEEN):
         return kind
     if tag in CONTROLS:
         return UNSEEN
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
     role = named.get("role", "").lower()
-    if role in SITE_ROLES or tag in SITE_TAGS or (tag == "header" and kind != ARTICLE):
+    if (role in SITE_ROLES or tag in SITE_TAGS) and not (around and tag == "form") or (tag == "header" and (kind != ARTICLE or banner)):
         return SITE
     if named.get("aria-hidden") == "true" or HIDDEN.search(named.get("style", "")) or (attrs and EMPTY_ATTRIBUTE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs))):
         return SITE
     declared = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articleBody"
+    names = f"{named.get('class', '')} {'' if kind == ARTICLE and tag in ANCHORED else named.get('id', '')}".lower()
+    if tag == "article" and named_site(names, COMMENTS):
+        return SITE
     if declared and not nested:
         return ARTICLE
-    anchor = "" if kind == ARTICLE and tag in ANCHORED else named.get("id", "")
-    if tag not in ("html", "body") and named_site(f"{named.get('class', '')} {anchor}".lower()):
+    # a table in an article is one of its own, whatever it lists
+    if tag not in ("html", "body") and not (around and tag == "form") and not (kind == ARTICLE and tag == "table") and named_site(names):
         return SITE
     return ARTICLE if declared else kind
 
 
+def ends_of(parts: list[tuple[str, str, str]]) -> dict[int, int]:
+    """Where each element that has an end tag of its own ends, by the places of tags; the innermost open one of a name ends first."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for i, (_, tag, _) in enumerate(parts):
+        if tag.startswith("/"):
+            if opened.get(tag[1:]):
+                ends[opened[tag[1:]].pop()] = i
+        elif tag and tag not in VOID:
+            opened.setdefault(tag, []).append(i)
+    return ends
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(text before it, tag, attributes) of every tag in one forward scan; a tag of "" is a comment, a declaration or a raw element, "/p" an end.
 
@@ -141,6 +168,7 @@ class Elements:
         self.stack: list[tuple[str, int, int]] = []
         self.places: dict[str, list[int]] = {}
         self.unseen: list[int] = []
+        self.site: list[int] = []
 
     def __len__(self) -> int:
         return len(self.stack)
@@ -155,6 +183,8 @@ class Elements:
         self.places.setdefault(name, []).append(len(self.stack))
         if kind == UNSEEN:
             self.unseen.append(len(self.stack))
+        if kind == SITE != self.kind():
+            self.site.append(len(self.stack))
         self.stack.append((name, kind, self.region() if kind == UNSEEN else kind))
 
     def cut(self, place: int) -> None:
@@ -163,6 +193,8 @@ class Elements:
             self.places[name].pop()
             if kind == UNSEEN:
                 self.unseen.pop()
+        while self.site and self.site[-1] >= place:
+            self.site.pop()
 
     def last(self, *names: str) -> int:
         """Where the innermost element of these names stands, or -1."""
@@ -178,6 +210,16 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     part: list[str] = []
     elements = Elements()
+    parts = list(tokens(html))
+    ends = ends_of(parts)
+    declared = [i for i, (_, tag, _) in enumerate(parts) if tag in ("article", "main")]
+    articles = [i for i in declared if parts[i][1] == "article"]
+    opened: list[int] = []  # where the open elements' tags stand
+
+    def holds(place: int, among: list[int], after: int) -> bool:
+        """Whether an element holds any of some tags behind a place."""
+        at = bisect_right(among, after)
+        return at < len(among) and among[at] < ends.get(place, len(parts))
 
     def flush() -> None:
         text = " ".join(unescape("".join(part)).split())
@@ -190,8 +232,9 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if below not in (UNSEEN, elements.region()):
             flush()
         elements.cut(place)
+        del opened[place:]
 
-    for text, tag, attrs in tokens(html):
+    for i, (text, tag, attrs) in enumerate(parts):
         if elements.kind() != UNSEEN:
             part.append(text)
         if not tag:
@@ -216,17 +259,23 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             found = [x for x in (elements.first("nav", "header"), elements.unseen[0] if elements.unseen else -1) if x >= 0]
             if found:
                 close(min(found))
+            # a region of the site that has no end of its own ends where the page's article begins
+            if elements.site and opened[elements.site[0]] not in ends:
+                close(elements.site[0])
         elif tag in BLOCKS:
             place = elements.last("p", "li") if tag == "li" else elements.last("p")
             if place >= 0 and elements.last("ul", "ol", "div", "section", "article") <= place:
                 close(place)
         kind = elements.kind()
-        new = kind_of(tag, attrs, kind, tag == "article" and elements.last(tag) >= 0)
+        around = tag == "form" and holds(i, declared, i)
+        banner = tag == "header" and bool(elements) and elements.stack[-1][0] == "main" and holds(opened[-1], articles, i)
+        new = kind_of(tag, attrs, kind, tag == "article" and elements.last(tag) >= 0, around, banner)
         if new == UNSEEN != kind:
             part.append(" ")
         elif new != kind:
             flush()
         elements.push(tag, new)
+        opened.append(i)
     flush()
     return lines
 

@@ -273,6 +273,31 @@ def test_names_of_elements_cut_no_article(page, want):
     assert [t for t, kind in pagediff.lines_of(page) if kind == pagediff.ARTICLE] == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # a page inside one form, and regions of the site that have no end
+        ('<form id="aspnetForm"><nav>X</nav><aside><article>X</article></aside><div id="content"><article><p>A</p></article></div><p>X</p></form>', ["A"]),
+        ('<form class="search">X</form><form class="comment-form"><p>X</p></form><article>A<form>X</form>B</article>', ["A", "B"]),
+        ("<aside>X<article><p>A</p></article>", ["A"]),
+        ('<div class="menu"><ul><li>X<main><p>A</p></main>', ["A"]),
+        ("<aside><article>X</article></aside><article>A</article>", ["A"]),
+        ('<div class="menu"><article>X</article></div><article>A</article>', ["A"]),
+        ('<article><p>A</p><table class="menu"><tr><td>B</td></tr></table><p>C</p></article>', ["A", "B", "C"]),
+        ('<div class="content sidebar-right"><article>A</article></div>', ["A"]),
+        # regions with names of several words inside the article
+        *((f'<article><p>A</p><div class="{name}"><p>X</p></div><p>B</p></article>', ["A", "B"]) for name in ("comments-area", "comment-list", "post-comments", "share-buttons", "related-posts", "ad-slot", "site-footer", "sidebar-left")),
+        *((f'<article><p>A</p><div class="{name}"><p>B</p></div></article>', ["A", "B"]) for name in ("share-price", "menu-of-the-day", "advertising-law", "main-content", "post-body", "related-work-summary")),
+        # comments as articles, and a banner in the main part
+        ('<article><p>A</p></article><article class="comment">X</article><article class="comment-list-item reply">X</article>', ["A"]),
+        ("<main><header><p>X</p></header><article><header><h1>A</h1></header><p>B</p></article></main>", ["A", "B"]),
+        ("<main><header><h1>A</h1></header><p>B</p></main>", ["A", "B"]),
+    ],
+)
+def test_regions_of_ordinary_pages(page, want):
+    assert [t for t, kind in pagediff.lines_of(page) if kind == pagediff.ARTICLE] == want
+
+
 @pytest.mark.parametrize(
     ("inside", "want"),
     [
