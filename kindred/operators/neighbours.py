@@ -18,37 +18,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.functions.vectors import unit
 from kindred.sources.shared import settled
 
 #: Rows of a block of queries at most; bytes of vectors in a shard, on average; rows of a shard from which on there are as many shards as cores.
 BLOCK, SHARD_BYTES, SHARD = 1024, 1 << 25, 8192
 #: Neighbours from which on distances are counted first, and the ranges they are counted in.
 LARGE, RANGES = 1024, 1024
-#: Label sums that are broadcast at once: so many vectors at most.
-LABELS = 10_000
+#: Label sums that are broadcast at once: so many vectors, and bytes, at most.
+LABELS, SUM_BYTES = 10_000, 1 << 26
 #: What angles are widened by before anything is skipped: cosines of near vectors tell them apart no better.
 SLACK = 1e-6
 
 
-def unit_bytes(vector: Column | str) -> Column:
-    """Each vector at length 1, as 64-bit floats in bytes; null for null, empty, zero and broken vectors."""
+def vector_bytes(vector: Column | str, unit: bool = True) -> Column:
+    """Each vector, at length 1 if ``unit``, as 64-bit floats in bytes; null for null and empty vectors, and at length 1 for zero and broken ones."""
 
     @F.arrow_udf(returnType=T.BinaryType())
-    def unit(column: pa.Array) -> pa.Array:
+    def packed(column: pa.Array) -> pa.Array:
         lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
         values = np.asarray(column.flatten().fill_null(float("nan")), dtype=np.float64)
         ends, out = np.cumsum(lengths), [None] * len(lengths)
         for n in np.unique(lengths[lengths > 0]):
             at = np.flatnonzero(lengths == n)
             rows = values[(ends[at] - n)[:, None] + np.arange(n)]
-            size = np.sqrt((rows * rows).sum(1))
-            fine = np.isfinite(size) & (size > 0)
-            for i, row in zip(at[fine], rows[fine] / size[fine][:, None], strict=True):
+            if unit:
+                size = np.sqrt((rows * rows).sum(1))
+                fine = np.isfinite(size) & (size > 0)
+                at, rows = at[fine], rows[fine] / size[fine][:, None]
+            for i, row in zip(at, rows, strict=True):
                 out[i] = row.tobytes()
         return pa.array(out, pa.binary())
 
-    return unit((F.col(vector) if isinstance(vector, str) else vector).cast("array<double>"))
+    return packed((F.col(vector) if isinstance(vector, str) else vector).cast("array<double>"))
+
+
+def unit_bytes(vector: Column | str) -> Column:
+    return vector_bytes(vector)
 
 
 class Shard:
@@ -214,39 +219,67 @@ def within(queries: DataFrame, reference: DataFrame, max_dist: float) -> DataFra
     return ranked(_blocked(queries, reference, _all_within(max_dist))).select("query_id", "rank", "id", "dist")
 
 
+def _matrix(raw: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist())).reshape(len(raw), -1)
+
+
+def _label_sums(rows: DataFrame) -> DataFrame:
+    """``(label, size, n, length, sum)`` of rows (label, raw): of each label's vectors of one size their number, squared lengths and sum. Tasks add up before anything is shuffled."""
+    kind = rows.schema["label"].dataType.simpleString()
+    schema = f"label {kind}, size long, n long, length double, sum binary"
+
+    def batch_of(label: pa.Array, raw: pa.Array, size: int) -> pa.RecordBatch:
+        coded, x = label.dictionary_encode(), _matrix(raw)
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(coded.dictionary)))
+        sums = np.add.reduceat(x[order], starts, axis=0)
+        n, length = np.bincount(code), np.bincount(code, (x * x).sum(1))
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(n), size)), pa.array(n), pa.array(length), pa.array([v.tobytes() for v in sums], pa.binary())], ["label", "size", "n", "length", "sum"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1))
+            for size in pc.unique(sizes).to_pylist():
+                part = batch.filter(pc.equal(sizes, size))
+                yield batch_of(part.column(0), part.column(1), size)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = _matrix(table["sum"]).sum(0)
+        return pa.table({"label": table["label"].slice(0, 1), "size": table["size"].slice(0, 1), "n": pa.array([pc.sum(table["n"]).as_py()]), "length": pa.array([pc.sum(table["length"]).as_py()]), "sum": pa.array([total.tobytes()], pa.binary())})
+
+    return rows.select("label", "raw").mapInArrow(partial, schema).groupBy("label", "size").applyInArrow(add, schema)
+
+
 def distance_sums(rows: DataFrame, squared: bool = False) -> DataFrame:
     """``(id, label, other, total, n)``: of each row (id, label, vector) the sum of distances to the other rows of each label, and their number.
 
     Cosine distances, or squared Euclidean ones. Both are linear in inner products, so a row needs the labels' sums of vectors only: tasks multiply
-    batches of rows by a matrix of at most ``LABELS`` such sums, which is what is broadcast at once. Vectors of another length than most take no part.
+    batches of rows by a matrix of at most ``LABELS`` such sums and ``SUM_BYTES``, which is what is broadcast at once. Vectors of another length than most take no part.
     """
     spark = rows.sparkSession
-    rows = rows.where("label is not null and vector is not null").select("id", "label", F.col("vector").cast("array<double>").alias("vector"))
-    rows = rows.where(F.size("vector") > 0)
-    vector = F.col("vector") if squared else unit("vector")
-    used = rows.withColumn("vector", vector).where("vector is not null")
-    size = used.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    used = used.where(F.size("vector") == (size["size"] if size else 0))
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    parts = used.select("label", F.posexplode("vector").alias("_i", "_x")).groupBy("label", "_i").agg(F.sum("_x").alias("_x"))
-    sums = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_v")).select("label", F.col("_v._x").alias("_sum"))
-    groups = settled(used.groupBy("label").agg(F.count("*").alias("_n"), F.sum(length).alias("_length")).join(sums, "label"))
-    chunks = max(1, -(-groups.count() // LABELS))
+    used = rows.where("label is not null").select("id", "label", vector_bytes("vector", unit=not squared).alias("raw")).where("raw is not null")
+    groups = settled(_label_sums(used))
+    most = groups.groupBy("size").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).orderBy(F.desc("n"), "size").first()
+    size, labels = (most["size"], most["labels"]) if most else (0, 0)
+    used, groups = used.where(F.length("raw") == size), groups.where(F.col("size") == size)
+    chunks = max(1, -(-labels // max(1, min(LABELS, SUM_BYTES // max(size, 1)))))
     kind = used.schema["label"].dataType
     out = None
     for chunk in range(chunks):
-        table = groups.where(F.pmod(F.xxhash64("label"), F.lit(chunks)) == chunk).orderBy("label").toArrow().combine_chunks()
+        table = groups.where(F.pmod(F.xxhash64("label"), F.lit(chunks)) == chunk).toArrow().combine_chunks().sort_by("label")
         shared = spark.sparkContext.broadcast(table)
 
         def work(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             table = shared.value
-            names, n, size = table["label"].combine_chunks(), table["_n"].to_numpy(), table["_length"].to_numpy()
-            matrix = np.asarray(table["_sum"].combine_chunks().flatten(), dtype=np.float64).reshape(len(names), -1)
-            step = max(1, (1 << 19) // max(len(names), 1))
+            if not len(table):
+                return
+            names, n, size, matrix = table["label"].combine_chunks(), table["n"].to_numpy(), table["length"].to_numpy(), _matrix(table["sum"])
+            step = max(1, (1 << 19) // len(names))
             for batch in batches:
-                for at in range(0, len(batch), step) if len(names) else ():
+                for at in range(0, len(batch), step):
                     part = batch.slice(at, step)
-                    x = np.asarray(part.column(2).flatten(), dtype=np.float64).reshape(len(part), -1)
+                    x = _matrix(part.column(2))
                     own = np.array(pc.index_in(part.column(1), value_set=names).fill_null(-1))[:, None] == np.arange(len(names))[None, :]
                     inner, length = x @ matrix.T, (x * x).sum(1)[:, None]
                     total = n * length + size - 2 * inner if squared else (n - own) - (inner - own * length)
@@ -255,6 +288,6 @@ def distance_sums(rows: DataFrame, squared: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), names.take(column), pa.array(total[row, column]), pa.array(count[row, column])], ["id", "label", "other", "total", "n"])
 
         schema = T.StructType([used.schema["id"], T.StructField("label", kind), T.StructField("other", kind), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
-        found = used.select("id", "label", "vector").mapInArrow(work, schema)
+        found = used.mapInArrow(work, schema)
         out = found if out is None else out.union(found)
     return out
