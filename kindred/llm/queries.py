@@ -81,6 +81,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_secret_scan": op13_secret_scan,
 }
 
+#: The least key that links (a, b) lead to from each of some rows.
+REACH = "reach AS (SELECT r AS a, r AS b FROM {rows} UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), groups AS (SELECT reach.a AS r, min({key}) AS component_id FROM reach JOIN {rows} ON reach.b = {rows}.r GROUP BY 1)"
+
+EMBEDDING_NEARDUP = f"""
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+links AS (SELECT x.r AS a, y.r AS b FROM rows x JOIN rows y ON x.label = y.label AND x.r <> y.r WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+{REACH.format(rows="rows", key="vec_id")},
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM rows JOIN groups USING (r) LEFT JOIN n USING (r)
+"""
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM rows),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON a = p.r JOIN sizes q ON b = q.r WHERE 5 * c >= 4 * (p.n + q.n - c)),
+{REACH.format(rows="rows", key="doc_id")},
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY 1)
+SELECT doc_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept FROM rows JOIN groups USING (r) LEFT JOIN n USING (r)
+"""
+
+SUBSTRING_DEDUP = f"""
+WITH rows AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS start, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i : i + 19], ' '))) AS s FROM rows WHERE len(w) >= 20),
+later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY s ORDER BY doc_id, start) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM later),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM rows),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM rows LEFT JOIN kept USING (doc_id)
+"""
+
+MAXSCORE = """
+WITH rows AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 TIERED_SEARCH = r"""
 with words as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
@@ -98,7 +138,7 @@ scored as (
   select t.i, t.item_id, p.r, p.doc_id, sum(t.q * d.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * n_docs) // n_words))))::bigint as score
   from terms t join postings p using (term) join dfs d using (term), totals group by all
 )
-select item_id, rank, doc_id, score from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+select item_id, rank::int as rank, doc_id, score from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
 """
 
 #: The checksum of a word is folded over its bytes, with a table made of its polynomial.
@@ -133,4 +173,11 @@ scored as (
 select doc_id, n_features, weight, score, case when place <= drawn then place end as rank from scored left join placed using (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_tiered_search": TIERED_SEARCH, "op12_importance_resampling": RESAMPLING}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_neardup": EMBEDDING_NEARDUP,
+    "op2_ngram_jaccard": NGRAM_JACCARD,
+    "op3_substring_dedup": SUBSTRING_DEDUP,
+    "op4_maxscore": MAXSCORE,
+    "op11_tiered_search": TIERED_SEARCH,
+    "op12_importance_resampling": RESAMPLING,
+}
