@@ -285,6 +285,25 @@ def embed_cells(spark, d):
     return out.select("cell_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
+@query(
+    f"WITH {COUNTS}, normal AS (SELECT cell_id, gene_idx, ln(1 + 1e4 * value / sum(value) OVER (PARTITION BY cell_id))::FLOAT::DOUBLE AS x FROM counts), "
+    "bins AS (SELECT cell_id, bin, coalesce(sum(x) FILTER (gene_idx % 16 = bin), 0) AS v FROM normal, range(16) t(bin) GROUP BY ALL), "
+    "hidden AS (SELECT cell_id, bin, (v - bin / 4.0) * 0.5 - 1 AS h FROM bins), bent AS (SELECT cell_id, bin, CASE WHEN h >= 0 THEN h ELSE 0.25 * h END AS h FROM hidden), "
+    "outs AS (SELECT cell_id, bin % 8 AS j, sum(CASE WHEN bin < 8 THEN h ELSE -h END) + 0.1 AS y FROM bent GROUP BY ALL), "
+    "sized AS (SELECT *, sqrt(sum(y * y) OVER (PARTITION BY cell_id)) AS size FROM outs) "
+    "SELECT cell_id, j::INT AS j, round(y / size, 5) AS x FROM sized"
+)
+def embed_two_layers(spark, d):
+    """A hidden layer that is normalised and bent, and an output layer of half its width; weights are such that SQL can say what comes out."""
+    width = roles.genes(spark, d).agg(F.max("gene_idx")).first()[0] + 1
+    first = (np.arange(width)[None, :] % 16 == np.arange(16)[:, None]).astype(np.float64)
+    hidden = encoder.Layer(first, np.zeros(16), np.arange(16) / 4.0, np.full(16, 0.5), np.full(16, -1.0), np.full(16, 0.25))
+    last = encoder.Layer(np.concatenate([np.eye(8), -np.eye(8)], axis=1), np.full(8, 0.1))
+    packed = matrix.pack(matrix.lognorm(roles.counts(spark, d)).select("cell_id", "gene_idx", F.col("x").alias("value")))
+    out = encoder.embed(packed, encoder.Encoder([hidden, last]), kind="double")
+    return rounded(out.select("cell_id", F.posexplode("vector").alias("j", "x")), x=5)
+
+
 @query()
 def attribute_genes(spark, d):
     """Integrated gradients have no SQL form; tested against their sum, the distance itself."""

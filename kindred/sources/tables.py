@@ -90,6 +90,46 @@ def replace(df: DataFrame, path: str, by: str | None = None) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a published table that were written to their end, oldest first."""
+    return sorted(n for n, done in _published(spark, path) if done)
+
+
+def publish(df: DataFrame, path: str) -> int:
+    """Writes ``df``, which may read an earlier one, as the next version of the table at ``path``; returns its number. Readers of earlier versions go on; one that isn't written to its end is never read."""
+    n = 1 + max((n for n, _ in _published(df.sparkSession, path)), default=0)
+    df.write.parquet(f"{path}/version-{n}")
+    return n
+
+
+def published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a published table, the newest by default; it stays as it is until it is vacuumed."""
+    known = versions(spark, path)
+    if version is None and known:
+        version = known[-1]
+    if version not in known:
+        raise ValueError(f"the table at {path} has the versions {known}")
+    return spark.read.parquet(f"{path}/version-{version}")
+
+
+def consolidate(spark: SparkSession, path: str, key: str, files: int) -> int:
+    """Publishes the newest version again, as ``files`` sorted ranges of a key."""
+    return publish(published(spark, path).repartitionByRange(files, key).sortWithinPartitions(key), path)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Deletes all but the newest ``keep`` versions, and what was never written to its end before them; returns what is left."""
+    if keep < 1:
+        raise ValueError("a table keeps one version at least")
+    left = versions(spark, path)[-keep:]
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    system = name(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, _ in _published(spark, path):
+        if left and n < left[0]:
+            system.delete(name(f"{path}/version-{n}"), True)
+    return left
+
+
 def write_clustered(df: DataFrame, path: str, key: str, span: int) -> None:
     """Writes a table in folders of ``span`` consecutive keys each, for gathers that open only the folders they need."""
     df.withColumn("_range", F.floor(F.col(key) / span)).repartition("_range").sortWithinPartitions(key).write.mode("overwrite").partitionBy("_range").parquet(path)
@@ -134,3 +174,13 @@ def study_samples(spark: SparkSession, root: str) -> DataFrame:
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _published(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """Numbers of all versions that were begun, and whether each was written to its end."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    system = name(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(name(path)):
+        return []
+    begun = [s.getPath().getName() for s in system.listStatus(name(path))]
+    return [(int(n.removeprefix("version-")), system.exists(name(f"{path}/{n}/_SUCCESS"))) for n in begun if n.startswith("version-")]

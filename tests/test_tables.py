@@ -55,6 +55,27 @@ def test_compaction_in_place(spark, tmp_path):
     assert len(list(Path(path).glob("*.parquet"))) == 2 and spark.read.parquet(path).count() == 60 and [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_versions_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.versions(spark, path) == []
+    with pytest.raises(ValueError):
+        tables.published(spark, path)
+    assert tables.publish(spark.range(20).repartition(5), path) == 1
+    reader = tables.published(spark, path)
+    # a version that fails is never read, and its number isn't used again
+    with pytest.raises(Exception, match="lost"):
+        tables.publish(spark.range(9).select(F.when(F.col("id") > 5, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")).alias("id")), path)
+    assert tables.versions(spark, path) == [1] and tables.published(spark, path).count() == 20
+    assert tables.publish(tables.published(spark, path).union(spark.range(20, 25)), path) > 1
+    last = tables.consolidate(spark, path, "id", 2)
+    assert len(list(Path(f"{path}/version-{last}").glob("*.parquet"))) == 2
+    assert rows(tables.published(spark, path)) == [(i,) for i in range(25)] and reader.count() == 20 and tables.published(spark, path, 1).count() == 20
+    assert tables.vacuum(spark, path, 2) == tables.versions(spark, path)[-2:] and 1 not in tables.versions(spark, path)
+    assert tables.vacuum(spark, path) == [last] and [p.name for p in Path(path).iterdir() if p.is_dir()] == [f"version-{last}"]
+    with pytest.raises(ValueError):
+        tables.published(spark, path, 1)
+
+
 def scanned(df):
     """Files that the scans of an executed plan opened."""
     df.collect()
