@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,12 +113,20 @@ def test_every_way_takes_an_index(spark, collection, tmp_path):
     assert {r.query_id: r.prediction for r in got} == by_index
 
 
-def test_ten_thousand_neighbours_by_an_index(spark):
-    x, _ = clustered(100_000, 16, 64, 0.6, seed=5)
-    rows = table(spark, x).cache()
-    index, queries = inverted.InvertedFile.build(rows, 64, sample=20_000), asked(rows.where("id % 2500 = 0"))
-    exact, found = (set(map(tuple, d.select("query_id", "id").toArrow().to_pandas().to_numpy())) for d in (neighbours.nearest(queries, rows, 10_000), index.nearest(queries, 10_000)))
-    assert len(exact) == 40 * 10_000 and len(found & exact) >= 0.95 * len(exact)
+def test_ten_thousand_neighbours_of_a_million_by_an_index(spark, tmp_path):
+    x, _ = clustered(1_000_000, 16, 64, 0.6, seed=5)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 16, pa.int32()), pa.array(x.astype(np.float32).ravel()))
+    (tmp_path / "rows").mkdir()
+    for k in range(8):
+        part = slice(k * 125_000, (k + 1) * 125_000)
+        pq.write_table(pa.table({"id": np.arange(part.start, part.stop), "vector": vectors[part]}), tmp_path / "rows" / f"{k}.parquet")
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    inverted.InvertedFile.build(rows, 64, sample=20_000).write(str(tmp_path / "index"))
+    index, queries = inverted.InvertedFile.read(spark, str(tmp_path / "index")), asked(rows.where("id % 50000 = 0"))
+    exact, found = (d.select("query_id", "id").toPandas() for d in (neighbours.nearest(queries, rows, 10_000), index.nearest(queries, 10_000)))
+    both = exact.merge(found)
+    assert len(exact) == len(found) == 20 * 10_000 and len(both) >= 0.95 * len(exact)
+    assert index.probes_for(10_000) < 32
 
 
 def test_layers_keep_diverse_links():
