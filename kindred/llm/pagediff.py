@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import md5
 from html import unescape
 from os.path import commonprefix
@@ -48,6 +49,8 @@ WRAPPING = frozenset("wrap wrapper container layout page has with no without".sp
 #: Words that stand beside those in the name of a region, and those that name what a page is about.
 BESIDE = frozenset("area areas bar bars block blocks bottom box boxes button buttons inner item items left link links list lists main outer panel post posts primary right secondary section sections site slot slots top unit units".split())
 CONTENT = frozenset("article body content entry main post story text".split())
+#: Elements that say something without attributes; attributes so short are remembered, as pages repeat them.
+TELLING, SHORT = CONTROLS | SITE_TAGS | {"header", "article", "main"}, 200
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 TAG = re.compile(r"</?([a-z][^\s/>]*+)", re.IGNORECASE)
@@ -94,6 +97,9 @@ def kind_of(tag: str, attrs: str, kind: int, nested: bool = False, around: bool
     return ARTICLE if declared else kind
 
 
+known_kind = lru_cache(maxsize=4096)(kind_of)
+
+
 def ends_of(parts: list[tuple[str, str, str]]) -> dict[int, int]:
     """Where each element that has an end tag of its own ends, by the places of tags; the innermost open one of a name ends first."""
     opened: dict[str, list[int]] = {}
@@ -211,15 +217,21 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     part: list[str] = []
     elements = Elements()
     parts = list(tokens(html))
-    ends = ends_of(parts)
-    declared = [i for i, (_, tag, _) in enumerate(parts) if tag in ("article", "main")]
-    articles = [i for i in declared if parts[i][1] == "article"]
     opened: list[int] = []  # where the open elements' tags stand
 
-    def holds(place: int, among: list[int], after: int) -> bool:
-        """Whether an element holds any of some tags behind a place."""
+    @lru_cache(maxsize=1)
+    def ends() -> dict[int, int]:
+        return ends_of(parts)
+
+    @lru_cache(maxsize=2)
+    def places(*names: str) -> list[int]:
+        return [i for i, (_, tag, _) in enumerate(parts) if tag in names]
+
+    def holds(place: int, after: int, *names: str) -> bool:
+        """Whether an element holds any tag of these names behind a place."""
+        among = places(*names)
         at = bisect_right(among, after)
-        return at < len(among) and among[at] < ends.get(place, len(parts))
+        return at < len(among) and among[at] < ends().get(place, len(parts))
 
     def flush() -> None:
         text = " ".join(unescape("".join(part)).split())
@@ -260,16 +272,19 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             if found:
                 close(min(found))
             # a region of the site that has no end of its own ends where the page's article begins
-            if elements.site and opened[elements.site[0]] not in ends:
+            if elements.site and opened[elements.site[0]] not in ends():
                 close(elements.site[0])
         elif tag in BLOCKS:
             place = elements.last("p", "li") if tag == "li" else elements.last("p")
             if place >= 0 and elements.last("ul", "ol", "div", "section", "article") <= place:
                 close(place)
         kind = elements.kind()
-        around = tag == "form" and holds(i, declared, i)
-        banner = tag == "header" and bool(elements) and elements.stack[-1][0] == "main" and holds(opened[-1], articles, i)
-        new = kind_of(tag, attrs, kind, tag == "article" and elements.last(tag) >= 0, around, banner)
+        if attrs or tag in TELLING:
+            around = tag == "form" and holds(i, i, "article", "main")
+            banner = tag == "header" and bool(elements) and elements.stack[-1][0] == "main" and holds(opened[-1], i, "article")
+            new = (known_kind if len(attrs) < SHORT else kind_of)(tag, attrs, kind, tag == "article" and elements.last(tag) >= 0, around, banner)
+        else:
+            new = kind
         if new == UNSEEN != kind:
             part.append(" ")
         elif new != kind:
