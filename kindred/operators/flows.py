@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators import aggregate, encoder, search, training
+from kindred.operators import aggregate, encoder, learning, search, training
 from kindred.operators.annotate import annotate
 from kindred.operators.matrix import align, consolidate, lognorm, pack
+from kindred.sources.shared import settled
 from kindred.sources.tables import with_row_ids
 
 
@@ -66,6 +67,19 @@ def search_centroid(counts: DataFrame, cells: DataFrame, net: encoder.Encoder, r
     return hits, search.coherence(vectors, near, reference, clusters, seed=seed)
 
 
+def trained(cells: DataFrame, counts: DataFrame, target: DataFrame, net: learning.Net, path: str, size: int = 1000, batches: int = 100, epochs: int = 1, workers: int = 1, rate: float = 5e-3, decay: float | None = None, seed: int = 0, settings: learning.Settings | None = None, related: DataFrame | None = None) -> list[dict[str, float]]:
+    """Trains ``net`` in place and returns its losses step by step: cells (cell_id, label, study) are drawn into ``batches`` of ``size`` by the weights of their labels and studies, their raw counts (cell_id, symbol, value)
+    aligned to ``target`` (gene_idx, symbol) and log-normalised, and written as mini-batches to ``path``, of which every epoch takes all.
+
+    With ``decay`` cells that were drawn are drawn less. ``related`` (a, b): labels that aren't negatives for each other.
+    """
+    drawn = settled(training.weighted_batches(training.sampler_weights(cells.select("cell_id", "label", "study")), "cell_id", size, batches, seed, decay).select("batch", "cell_id", "label", "study"))
+    once = drawn.select("cell_id", "label", "study").distinct()
+    packed = training.collated(once, counts, target, training.encoded_labels(cells)).select("cell_id", "idx", "val")
+    rows = drawn.join(packed, "cell_id")
+    return learning.fit(learning.minibatches(rows, path, workers, related), net, epochs, rate, settings=settings)
+
+
 def search_metadata(cells: DataFrame, train: DataFrame, val: DataFrame, predictions: DataFrame) -> DataFrame:
     """``cells`` as the metadata of a search: with ``index`` from 0 in the order of study, sample and cell, ``data_type`` (train, test or NA), and the ``prediction`` and ``prediction_nn_dist`` of those that have one (cell_id, prediction, min_dist)."""
     tagged = training.split_tags(cells, train, val)

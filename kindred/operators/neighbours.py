@@ -112,8 +112,8 @@ def _prepared(rows: DataFrame, name: str, asks: bool, key: str | None, extra: st
 
 def _shards(reference: DataFrame, key: str | None) -> int:
     """Shards of each part; the largest part decides, as all are cut alike."""
-    sizes = reference.groupBy(*([key] if key else [])).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("numbers"))
-    most = sizes.agg(F.max("rows"), F.max("numbers")).first()
+    sums = [F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("numbers")]
+    most = (reference.groupBy(key).agg(*sums).agg(F.max("rows"), F.max("numbers")) if key else reference.agg(*sums)).first()
     rows, numbers = most[0] or 0, most[1] or 0
     return max(1, -(-8 * numbers // SHARD_BYTES), min(-(-rows // SHARD), reference.sparkSession.sparkContext.defaultParallelism))
 

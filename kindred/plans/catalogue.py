@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from kindred.functions import vectors as vec
 from kindred.functions.vocabulary import clean_terms, harmonised, has_keyword
-from kindred.operators import aggregate, annotate, encoder, flows, inverted, matrix, neighbours, ontology, search, summarize, training
+from kindred.operators import aggregate, annotate, encoder, flows, graph, inverted, matrix, neighbours, ontology, search, summarize, training
 from kindred.operators import quality_control as qc
 from kindred.plans import roles
 from kindred.plans.roles import CELLS, CLOSURE, COUNTS, DISTANCES, EDGES, GENES, RANKED, VECTORS
 from kindred.sources import tables
-from kindred.sources.shared import settled
+from kindred.sources.shared import new_folder, settled
 from kindred.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,14 @@ def knn_inverted_file(spark, d):
     return rounded(index.nearest(roles.asked(rows), 10), dist=6)
 
 
+@query()
+def knn_graph(spark, d):
+    """Approximate; its recall and how little it compares are tested against the exact search."""
+    rows = roles.vectors(spark, d)
+    index = graph.SmallWorld.build(rows, new_folder(spark, "graph"))
+    return rounded(index.nearest(roles.asked(rows), 10), dist=6)
+
+
 @query()
 def query_coherence(spark, d):
     """K-means has no SQL form; tested by its bounds."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,12 @@ def use_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed now and kept in the shared folder; its lineage ends there."""
     use_checkpoints(df.sparkSession)

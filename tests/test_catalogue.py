@@ -52,6 +52,12 @@ def test_inverted_file_recall(spark):
     assert len(found) >= 0.9 * len(exact)
 
 
+def test_graph_recall(spark):
+    exact, near = (QUERIES[n](spark, DATA).select("query_id", "id").toPandas() for n in ("knn_topk", "knn_graph"))
+    found = set(map(tuple, near.to_numpy())) & set(map(tuple, exact.to_numpy()))
+    assert len(near) == len(exact) and len(found) >= 0.95 * len(exact)
+
+
 def test_coherence_is_bounded(spark):
     assert 0 < QUERIES["query_coherence"](spark, DATA).first()[0] <= 100
 

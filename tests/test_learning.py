@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import encoder, learning, training
+from kindred.operators import encoder, flows, learning, training
 
 
 def small_batch(n=12, genes=9, seed=0):
@@ -94,6 +94,22 @@ def test_it_learns(spark, tmp_path):
     assert lines[0].startswith('"anchor_label","positive_label"') and sum('"L' in x for x in lines) == traced.count()
 
 
+def test_training_from_raw_counts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(i, f"L{i % 3}", f"S{i % 2}") for i in range(90)] + [(90, None, "S0")], "cell_id long, label string, study string")
+    counts = spark.createDataFrame([(i, f"g{g}", float(1 + rng.poisson(6 if g % 3 == i % 3 else 1))) for i in range(91) for g in range(12)] + [(0, "unknown", 9.0)], "cell_id long, symbol string, value double")
+    target = spark.createDataFrame([(g, f"g{g}") for g in range(12)], "gene_idx int, symbol string")
+    net = learning.Net.random(12, [8], 4, seed=1)
+    history = flows.trained(cells, counts, target, net, str(tmp_path / "b"), size=40, batches=4, epochs=5, workers=2, rate=0.03, decay=0.5, settings=learning.Settings(margin=0.2, input_dropout=0.0, dropout=0.0))
+    assert len(history) == 10 and np.mean([h["loss"] for h in history[-2:]]) < 0.8 * history[0]["loss"]
+    held = spark.read.parquet(str(tmp_path / "b"))
+    sizes = {r.batch: len(r.rows) for r in held.collect()}
+    assert set(sizes) == {0, 1, 2, 3} and all(38 <= n <= 40 for n in sizes.values())
+    there, _ = net.frozen()
+    vectors = flows.embedded(counts, target, there, kind="double").join(cells.where("label is not null"), "cell_id").select(F.col("cell_id").alias("id"), "label", "vector")
+    assert training.average_width(vectors) > 0.3
+
+
 def test_a_step_doesnt_depend_on_its_tasks(spark, tmp_path):
     related = spark.createDataFrame([("L0", "L1")], "a string, b string")
     one = learning.minibatches(rows(spark, 180), str(tmp_path / "one"), workers=3, related=related)
