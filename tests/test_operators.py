@@ -451,3 +451,33 @@ def test_nan_counts_are_an_error(spark):
     counts = frame(spark, [(1, 0, float("nan"))], "cell_id long, gene_idx int, value double")
     with pytest.raises(Exception, match="NaN"):
         aggregate.cluster_centroids(counts, frame(spark, [(1, "a")], "cell_id long, cluster string")).collect()
+
+
+def test_nets_on_wide_rows(spark):
+    """Long and packed rows give what dense ones do, and none is made dense: a batch of ten million genes would take 80 GB."""
+    width, rng = 20_000, np.random.default_rng(5)
+    net = encoder.Encoder.random(width, [6], 4, seed=3)
+    back = encoder.Decoder([encoder.Layer(rng.normal(size=(5, 4)), rng.normal(size=5), np.ones(5), np.full(5, 2.0), np.ones(5), np.full(5, 0.25)), encoder.Layer(rng.normal(size=(width, 5)), rng.normal(size=width))])
+    dense = np.zeros((4, width))
+    for row in dense:
+        row[rng.choice(width, 50, replace=False)] = rng.integers(1, 9, 50)
+    dense[1] = dense[0] / 2
+    packed = spark.createDataFrame([(i, np.flatnonzero(row).tolist(), row[row != 0].tolist()) for i, row in enumerate(dense)] + [(i, [i], [1.0]) for i in range(10, 1000)], "cell_id long, idx array<int>, val array<float>").coalesce(1)
+    long = packed.where("cell_id < 4").select("cell_id", F.explode(F.arrays_zip("idx", "val")).alias("z")).select("cell_id", F.col("z.idx").alias("gene_idx"), F.col("z.val").alias("value"))
+
+    one_net = encoder.Encoder([encoder.Layer(np.ones((1, 10_000_000), np.int8), np.zeros(1))])
+    assert encoder.embed(packed, one_net).where("vector[0] = 1").count() == 994
+    want = net.forward(dense)
+    for found in (encoder.embed(packed, net, kind="double").where("cell_id < 4"), encoder.embed_long(long, net, "double")):
+        assert np.allclose([v for _, v in sorted(map(tuple, found.collect()))], want)
+    lost = ((dense - back.forward(want)) ** 2).sum(1)
+    for found in (encoder.reconstruction(packed, net, back).where("cell_id < 4"), encoder.reconstruction_long(long, net, back)):
+        rows = sorted(map(tuple, found.collect()))
+        assert np.allclose([r[1] for r in rows], lost) and np.allclose([r[2] for r in rows], (dense**2).sum(1)) and {r[3] for r in rows} == {width}
+    attributed = net.attributions(dense[[0, 2]], dense[[1, 3]])
+    sides = spark.createDataFrame([(7, 0, 1), (8, 2, 3)], "pair_id long, anchor long, negative long")
+    one = lambda x: packed.select(F.col("cell_id").alias(x), F.col("idx").alias(f"{x}_idx"), F.col("val").alias(f"{x}_val"))
+    for found in (encoder.attribute_long(sides, long, net), encoder.attribute(sides.join(one("anchor"), "anchor").join(one("negative"), "negative"), net)):
+        got = {(r.pair_id, r.gene_idx): r.value for r in found.collect()}
+        assert set(got) == {(7 + i, int(g)) for i, g in zip(*np.nonzero(attributed), strict=True)}
+        assert all(np.isclose(got[7 + i, int(g)], attributed[i, g]) for i, g in zip(*np.nonzero(attributed), strict=True))
