@@ -191,3 +191,25 @@ def test_flows_take_an_index(spark):
     clusters = spark.createDataFrame([(c, f"k{c % 2}") for c in range(60)], "cell_id long, cluster string")
     a, b = (flows.search_cluster_centroids(counts, clusters, net, reference, reference.select("id", "label"), 4, kind="double", index=i).select("centroid", "rank", "id") for i in (None, index))
     assert set(map(tuple, a.collect())) == set(map(tuple, b.collect())) and a.count() == 8
+
+
+def test_blocks_are_smaller_where_shards_are_large():
+    """A task holds no more than CELLS distances, and every query still meets the shard once."""
+    import pyarrow as pa
+
+    from kindred.operators import neighbours
+
+    def batch(asks, ids):
+        n = len(ids)
+        raw = pa.array([np.array([1.0, 0.0]).tobytes()] * n, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, 16, np.int32)), pa.array([asks] * n), pa.array(ids), pa.array(np.zeros(n)), raw], ["_s", "_k", "_d", "_asks", "_id", "_x", "_raw"])
+
+    seen = []
+
+    def emit(asked, vectors, extra, shard):
+        assert len(asked) * len(shard.ids) <= neighbours.CELLS
+        seen.extend(asked.tolist())
+        return iter(())
+
+    list(neighbours._streamed(iter([batch(False, np.arange(5000)), batch(True, np.arange(3000))]), emit))
+    assert seen == list(range(3000))
