@@ -481,3 +481,11 @@ def test_nets_on_wide_rows(spark):
         got = {(r.pair_id, r.gene_idx): r.value for r in found.collect()}
         assert set(got) == {(7 + i, int(g)) for i, g in zip(*np.nonzero(attributed), strict=True)}
         assert all(np.isclose(got[7 + i, int(g)], attributed[i, g]) for i, g in zip(*np.nonzero(attributed), strict=True))
+
+
+def test_sums_of_coordinates_keep_all_partitions(spark):
+    """Merged partitions would be sized by compressed bytes; sums and what follows by cell take many times that."""
+    counts = spark.range(2000).select((F.col("id") % 500).alias("cell_id"), (F.col("id") % 7).alias("gene_idx"), F.lit(1.0).alias("value"))
+    summed = matrix.collapsed(counts)
+    assert summed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert summed.agg(F.sum("value")).first()[0] == 2000
