@@ -12,6 +12,7 @@ words, and the paths of words seen before are remembered, a bounded number of th
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,6 +33,8 @@ ARCS = 1 << 20
 OVERHEAD = 160
 START, FALLBACK, NONE = -1, -2, -3
 EMPTY: dict[int, bool] = {}
+#: The score where nothing is left to merge.
+NO_MERGE = float("-inf")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -113,6 +116,13 @@ class Transducer:
                     self.final.append(NONE)
                 at = self.next[at][c]
             self.final[at] = i
+        #: The lengths of pieces, and of each the next shorter one that starts it: the fallback where not even its first character is a piece.
+        self.longest = max(map(len, self.pieces), default=1)
+        self.size = {FALLBACK: 1} | {i: len(name) for name, i in self.pieces.items()}
+        self.shorter = {FALLBACK: NONE}
+        for name, i in self.pieces.items():
+            starts = (self.pieces[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in self.pieces)
+            self.shorter[i] = next(starts, NONE if len(name) == 1 else FALLBACK)
         self.spelled = [self.names[i].replace(MARK, " ").encode() for i in ids]
         for byte, i in self.bytes.items():
             self.spelled[i] = bytes([byte])
@@ -121,11 +131,12 @@ class Transducer:
                 self.spelled[i] = b""
         self.arcs: dict[int, dict[int, bool]] = {}
         self.compiled = 0
+        self.histories: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
         self.memo: dict[str, bytes] = {}
         self.held = 0
 
-    def merged(self, text: str) -> list[str]:
-        """The model's merges: again and again the pair of neighbours whose union has the highest score, the leftmost of equals."""
+    def merged(self, text: str, log: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """The model's merges: again and again the pair of neighbours whose union has the highest score, the leftmost of equals. ``log`` gets the score of each, and the first and the last part after it."""
         parts = list(text)
         while True:
             best, at = None, -1
@@ -136,56 +147,95 @@ class Transducer:
             if best is None:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if log is not None:
+                log.append((best, parts[0], parts[-1]))
+
+    def history(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """The merges that make a piece of its characters: their scores, then ``NO_MERGE``, and the first and the last part before each and at the end. None where they don't make it."""
+        if piece not in self.histories:
+            name, log = self.names[piece], []
+            whole = self.merged(name, log) == [name]
+            self.histories[piece] = ([x[0] for x in log] + [NO_MERGE], [name[0], *(x[1] for x in log)], [name[-1], *(x[2] for x in log)]) if whole else None
+        return self.histories[piece]
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces together gives the two. As long as nothing is merged across, each side goes its own way, the side of the higher score first, the left one of equals."""
+        one, two = self.history(left), self.history(right)
+        if one is None or two is None:
+            return False
+        (scores, _, lasts), (others, firsts, _) = one, two
+        a = b = 0
+        while True:
+            piece = self.pieces.get(lasts[a] + firsts[b])
+            across = NO_MERGE if piece is None else self.score[piece]
+            last, first = lasts[a], firsts[b]
+            while lasts[a] is last and firsts[b] is first:
+                x, y = scores[a], others[b]
+                if across > x and across >= y:
+                    return False
+                if x == y == NO_MERGE:
+                    return True
+                if x >= y:
+                    a += 1
+                else:
+                    b += 1
 
     def finite(self, left: int, right: int) -> bool:
         """Whether the arc from one piece to the next weighs 0, not infinity. Compiles it."""
-        if left < 0:
+        if left < 0 or right < 0:
             return True
         if self.compiled >= ARCS:
             self.arcs.clear()
             self.compiled = 0
         self.compiled += 1
-        p, q = self.names[left], self.names[right]
-        known = self.arcs.setdefault(left, {})[right] = self.merged(p + q) == [p, q]
+        known = self.arcs.setdefault(left, {})[right] = self.apart(left, right)
         return known
 
     def shortest(self, text: str) -> list[int]:
         """Piece ids of the shortest path through the composition with a normalised text.
 
         Arcs weigh 0 or infinity, and each prefix of a text has one segmentation, so each position has one state
-        that a path of finite weight reaches.
+        that a path of finite weight reaches. Longer pieces are tried first; a position from which no path of weight 0
+        goes on is left once and for all, so each is entered once at most.
         """
-        n, nexts, final = len(text), self.next, self.final
-        states, before = [NONE] * (n + 1), [0] * (n + 1)
-        states[0] = START
-        for i in range(n):
-            last = states[i]
-            if last == NONE:
-                continue
-            arcs, at, known = self.arcs.get(last, EMPTY), 0, False
-            for j in range(i, n):
-                at = nexts[at].get(text[j])
+        n, nexts, final, all_arcs, size, shorter = len(text), self.next, self.final, self.arcs, self.size, self.shorter
+        states, ends, dead, i = [START], [0], set(), 0
+        while i < n:
+            # the longest piece the text goes on with; all others that it goes on with are that one's prefixes
+            at, piece = 0, FALLBACK
+            for c in text[i : i + self.longest]:
+                at = nexts[at].get(c)
                 if at is None:
                     break
-                piece = final[at]
-                if piece == NONE:
-                    continue
-                known = known or j == i
-                if states[j + 1] == NONE:
-                    finite = arcs.get(piece)
-                    if self.finite(last, piece) if finite is None else finite:
-                        states[j + 1], before[j + 1] = piece, i
-            if not known:
-                states[i + 1], before[i + 1] = FALLBACK, i
-        path, at = [], n
-        while at:
-            i = before[at]
-            path += [states[at]] if states[at] >= 0 else [self.bytes[b] for b in reversed(text[i:at].encode())]
-            at = i
-        return path[::-1]
+                if final[at] != NONE:
+                    piece = final[at]
+            while True:
+                last = states[-1]
+                arcs = all_arcs.get(last, EMPTY)
+                while piece != NONE:
+                    end = i + size[piece]
+                    if end not in dead:
+                        finite = arcs.get(piece)
+                        if self.finite(last, piece) if finite is None else finite:
+                            break
+                    piece = shorter[piece]
+                if piece != NONE:
+                    states.append(piece)
+                    ends.append(end)
+                    i = end
+                    break
+                dead.add(i)
+                piece = shorter[states.pop()]
+                del ends[-1]
+                i = ends[-1]
+        path = []
+        for k in range(1, len(states)):
+            path += [states[k]] if states[k] >= 0 else [self.bytes[b] for b in text[ends[k - 1] : ends[k]].encode()]
+        return path
 
     def learned(self, segment: str) -> bytes:
-        ids = np.array(self.shortest(segment), dtype="<u4").tobytes()
+        path = self.shortest(segment)
+        ids = struct.pack(f"<{len(path)}I", *path)
         if len(segment) <= LONGEST:
             if self.held >= MEMO:
                 self.memo.clear()

@@ -420,6 +420,21 @@ def test_transducer_equals_the_library():
         assert machine.decode(ids) == text.replace("▁", " ")
 
 
+def test_arcs_are_compiled_from_the_merges_of_pieces(monkeypatch):
+    machine, rng, asked = pieces.Transducer(pieces.model_path()), random.Random(5), []
+    texts = ["".join(rng.choice("aetinoshr") for _ in range(rng.randrange(1, 20))) for _ in range(400)]
+    merged = machine.merged
+    monkeypatch.setattr(machine, "merged", lambda text, *log: asked.append(text) or merged(text, *log))
+    for text in texts:
+        machine.encode(text)
+    assert len(asked) == len(set(asked)) and set(asked) <= set(machine.pieces)
+    pairs = [(p, q) for p, arcs in machine.arcs.items() for q in arcs]
+    assert len(pairs) > len(asked)
+    for p, q in pairs:
+        names = [machine.names[p], machine.names[q]]
+        assert machine.arcs[p][q] == (merged("".join(names)) == names), names
+
+
 def test_round_trip(spark):
     odd = edge_rows(spark)
     got = pieces.round_trip(odd).collect()
