@@ -401,6 +401,27 @@ def test_whole_ways(spark):
     assert {r.centroid for r in flows.search_cluster_centroids(placed, named, net, vectors, meta, 10, label="y").collect()} == {"y"}
 
 
+def test_large_nets_are_read_from_a_file(spark, monkeypatch):
+    rng, n = np.random.default_rng(5), 500
+    net, back = encoder.Encoder.random(n, [8], 4, seed=1), encoder.Decoder.random(4, [8], n, seed=2)
+    rows = [(c, int(g), float(x)) for c in range(60) for g, x in zip(rng.choice(n, 5, replace=False), rng.random(5), strict=True)]
+    long = frame(spark, rows, "cell_id long, gene_idx int, value double")
+
+    def found():
+        tables = encoder.embed(matrix.pack(long), net, kind="double"), encoder.embed_long(long, net, "double"), encoder.reconstruction(matrix.pack(long), net, back)
+        return [np.array([[*r[1]] if isinstance(r[1], list) else [*r[1:]] for r in sorted(t.collect())]) for t in tables]
+
+    plain = found()
+    monkeypatch.setattr(encoder, "COPIED", 1000)
+    held = encoder.at_hand(spark.sparkContext, net.layers[0].weight)
+    assert isinstance(held, encoder.Columns) and np.array_equal(held.take(np.array([3, 499, 3])), net.layers[0].weight[:, [3, 499, 3]])
+    assert isinstance(encoder.at_hand(spark.sparkContext, np.zeros((2, 5))), np.ndarray)
+    with pytest.raises(IndexError):
+        held.take(np.array([n]))
+    for a, b in zip(plain, found(), strict=True):
+        assert len(a) == 60 and np.allclose(a, b, rtol=1e-12, atol=1e-12)
+
+
 def test_gene_scores(spark):
     rows = [(c, g, float((c + g) % 3)) for c in range(5) for g in range(20) if (c + g) % 3]
     counts, signature = frame(spark, rows, "cell_id long, gene_idx int, x double"), frame(spark, [(3,), (7,), (999,)], "gene_idx int")
