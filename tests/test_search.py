@@ -65,6 +65,29 @@ def test_equal_vectors_are_cut_in_their_shard(spark):
     assert [r.id for r in neighbours.nearest(queries, rows, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_hits_of_one_query_are_ranked_by_many_tasks(spark):
+    x, _ = clustered(4000, 8, 30)
+    x[100:400] = x[100]
+    rows = table(spark, x)
+    queries = asked(rows.where("id in (5, 100)"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = neighbours.within(queries, rows, 2.0).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.groupby(["query_id", "task"]).size().max() < 3600
+    for _, own in found.groupby("query_id"):
+        own = own.sort_values(["dist", "id"])
+        assert own["rank"].tolist() == list(range(1, 4001)) and sorted(own["id"]) == list(range(4000))
+
+
+def test_a_shard_is_put_together_in_order():
+    x = np.arange(12.0).reshape(6, 2)
+    parts = [(np.array([1, 4]), x[:2], np.zeros(2)), (np.array([2]), x[2:3], np.ones(1)), (np.array([7, 8, 9]), x[3:], np.zeros(3))]
+    held = neighbours.Shard.of(list(parts))
+    assert held.ids.tolist() == [1, 2, 4, 7, 8, 9] and held.matrix[:, 0].tolist() == [0, 4, 2, 6, 8, 10] and held.extra.tolist() == [0, 1, 0, 0, 0, 0]
+
+
 def test_radius_by_an_index_is_exact_and_skips_most(spark, collection):
     x, rows, index, queries = collection
     for dist in (0.0005, 0.02, 0.3):
