@@ -298,5 +298,5 @@ class SmallWorld:
         """``(queries, compared, whole)`` in all: how many distances ``nearest`` computes, and how many an exact search would."""
         return self._run(queries, k, breadth, "queries long, compared long, whole long", True).agg(*(F.sum(c).alias(c) for c in ("queries", "compared", "whole")))
 
-    def within(self, queries: DataFrame, max_dist: float, among: DataFrame | None = None) -> DataFrame:
+    def within(self, queries: DataFrame, max_dist: float, among: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError("a graph can't tell whether it has found all rows within a distance: use an inverted file")

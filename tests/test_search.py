@@ -42,6 +42,37 @@ def collection(spark):
     return x, rows, inverted.InvertedFile.build(rows, 40), asked(rows.where("id % 60 = 7")).cache()
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_hits_of_many_queries_are_ranked_where_they_are_found(spark, collection, monkeypatch, kind):
+    _, rows, index, _ = collection
+    rows = rows.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+    queries = asked(rows.where("id % 6 = 1"))
+    # rows without metadata take a rank; rows with two come twice; without the index two queries may share an id
+    metadata = rows.where("id % 7 > 0").select("id", "label").union(rows.where("id % 5 = 0").select("id", F.lit(None).cast("string")))
+    twice = queries.unionByName(rows.where("id = 2").select(F.lit(1).cast("long").alias("query_id"), "vector"))
+    columns = ["query_id", "rank", "id", F.round("dist", 9).alias("dist"), "label"]
+
+    def found(by):
+        hits = neighbours.within(twice, rows, 0.5, metadata) if by is None else by.within(queries, 0.5, metadata=metadata)
+        return hits, sorted(map(repr, hits.select(columns).collect()))
+
+    monkeypatch.setattr(neighbours, "FEW", 1 << 40)
+    want = {by: found(by)[1] for by in ((None, index) if kind == "double" else (None,))}
+    assert len(want[None]) > 100_000
+    most = neighbours.within(twice, rows, 0.5).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(neighbours, "FEW", 0)
+    for by in want:
+        hits, got = found(by)
+        assert got == want[by]
+        # hits aren't dealt by query, nor again by row for the metadata
+        assert hits._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    # a query with too many hits for a task goes the other way
+    monkeypatch.setattr(neighbours, "GATHERED", 4 * (most - 1))
+    monkeypatch.setattr(neighbours, "HIT_BYTES", 1 << 20)
+    hits, got = found(None)
+    assert got == want[None] and "Union" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_neighbours_take_two_passes(spark, monkeypatch):
     x, _ = clustered(9000, 8, 30)
     monkeypatch.setattr(neighbours, "LARGE", 100)
