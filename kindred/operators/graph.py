@@ -6,7 +6,7 @@ away; of these it keeps the ones that are nearer to it than to any it has kept a
 Equal vectors of a shard are one node with several ids, so copies don't fill each other's links.
 
 A search enters at the top layer and follows links toward the query, all queries of a block at once; at the bottom it keeps the ``breadth`` nearest rows it has seen and follows
-their links until none of them has an unseen neighbour. Shards are searched apart and merged by rank. More breadth finds more and compares more.
+their links until none of them has an unseen neighbour. Shards are searched apart, each by several tasks with a slice of the queries, and merged by rank. More breadth finds more and compares more.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from kindred.operators.neighbours import HITS_DDL, ranked, unit_bytes
 
 #: Rows of a shard on average, and queries that are led through it together.
 SHARD, BLOCK = 32_768, 256
+#: Queries that a task leads through a shard at most, and at least where tasks are fewer than cores.
+SLICE, LEAST = 1 << 14, 1 << 10
 #: Links of a row in each layer (twice as many at the bottom), nearest rows they are chosen from, and rows of a query that are followed at once.
 LINKS, POOL, STRIDE = 16, 48, 4
 #: Rows compared with all others at a time while a shard is built.
@@ -218,7 +220,7 @@ def _world(held: list[pa.RecordBatch]) -> World:
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int, breadth: int, count: bool) -> Iterator[pa.RecordBatch]:
-    """Batches (shard, asks, place, ids, raw, links), sorted by the first three; a query's ids are its own alone."""
+    """Batches (task, asks, place, ids, raw, links), sorted by the first three: rows of one shard and queries; a query's ids are its own alone."""
     current, held, world = None, [], None
     for batch in batches:
         shard, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -276,13 +278,20 @@ class SmallWorld:
         about = spark.read.parquet(f"{path}/about").first()
         return cls(spark.read.parquet(f"{path}/rows"), about["shards"], about["breadth"])
 
+    def _slices(self, queries: DataFrame) -> int:
+        """Into how many slices queries are dealt, so that shards keep all cores busy and no task has a number of queries that grows with the table."""
+        n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+        return max(1, -(-n // SLICE), min(-(-2 * cores // self.shards), n // LEAST))
+
     def _run(self, queries: DataFrame, k: int, breadth: int | None, schema: str, count: bool) -> DataFrame:
-        spark, columns = queries.sparkSession, ["shard", "asks", "place", "ids", "raw", "links"]
-        held = self.rows.withColumn("asks", F.lit(False))
+        columns = ["task", "asks", "place", "ids", "raw", "links"]
+        slices = self._slices(queries)
+        task = (F.col("shard") * slices + F.col("slice")).cast("int").alias("task")
+        held = self.rows.withColumn("asks", F.lit(False)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
         asked = queries.select(F.array(F.col("query_id").cast("long")).alias("ids"), unit_bytes("vector").alias("raw"), F.lit(True).alias("asks"), F.lit(0).alias("place"), F.lit(None).cast("array<array<int>>").alias("links")).where("raw is not null")
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
-        width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(self.shards, 10_000))
-        both = held.select(*columns).union(asked.select(*columns)).repartition(width, "shard").sortWithinPartitions("shard", "asks", "place")
+        asked = asked.withColumn("slice", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(slices))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
+        width = min(self.shards * slices, 10_000)
+        both = held.select(task, *columns[1:]).union(asked.select(task, *columns[1:])).repartitionById(width, F.pmod(F.col("task"), F.lit(width))).sortWithinPartitions("task", "asks", "place")
         wide = breadth or self.breadth
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

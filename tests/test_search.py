@@ -73,6 +73,19 @@ def test_hits_of_many_queries_are_ranked_where_they_are_found(spark, collection,
     assert got == want[None] and "Union" in hits._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_shard_of_a_graph_is_searched_by_several_tasks(spark, collection, tmp_path):
+    _, rows, _, _ = collection
+    some = rows.where("id < 2500").select("id", "vector")
+    world = graph.SmallWorld.build(some, str(tmp_path / "graph"))
+    assert world.shards == 1
+    queries = asked(some)
+    hits = world._run(queries, 5, 32, neighbours.HITS_DDL, False).withColumn("task", F.spark_partition_id()).toPandas()
+    assert hits["task"].nunique() > 1 and hits.groupby("query_id")["task"].nunique().max() == 1
+    assert (hits.groupby("query_id").size() == 5).all() and hits["query_id"].nunique() == 2500
+    near = pairs(neighbours.nearest(queries, some, 5))
+    assert len(near & set(zip(hits["query_id"], hits["id"], strict=True))) > 0.95 * len(near)
+
+
 def test_many_neighbours_take_two_passes(spark, monkeypatch):
     x, _ = clustered(9000, 8, 30)
     monkeypatch.setattr(neighbours, "LARGE", 100)
