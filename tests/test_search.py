@@ -73,6 +73,22 @@ def test_hits_of_many_queries_are_ranked_where_they_are_found(spark, collection,
     assert got == want[None] and "Union" in hits._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rows_are_read_by_groups_of_queries_and_not_shuffled(spark, collection, monkeypatch):
+    """However many groups, neither hits nor rows are dealt out again; a task holds one group."""
+    _, rows, index, _ = collection
+    queries = asked(rows.where("id % 6 = 1"))
+    monkeypatch.setattr(neighbours, "PACKED", 100)
+    want = {by: sorted(map(repr, (neighbours if by is None else by).within(*((queries, rows) if by is None else (queries,)), 0.5).withColumn("dist", F.round("dist", 9)).collect())) for by in (None, index)}
+    monkeypatch.setattr(neighbours, "FEW", 0)
+    monkeypatch.setattr(neighbours, "GATHERED", 6000)
+    for by in (None, index):
+        hits = (neighbours if by is None else by).within(*((queries, rows) if by is None else (queries,)), 0.5, metadata=rows.select("id", "label"))
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionBy" not in plan and "Generate" not in plan
+        assert hits.rdd.getNumPartitions() > 20
+        assert sorted(map(repr, hits.select("query_id", "rank", "id", F.round("dist", 9).alias("dist")).collect())) == want[by]
+
+
 def test_a_shard_of_a_graph_is_searched_by_several_tasks(spark, collection, tmp_path):
     _, rows, _, _ = collection
     some = rows.where("id < 2500").select("id", "vector")
