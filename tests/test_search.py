@@ -89,6 +89,46 @@ def test_rows_are_read_by_groups_of_queries_and_not_shuffled(spark, collection,
         assert sorted(map(repr, hits.select("query_id", "rank", "id", F.round("dist", 9).alias("dist")).collect())) == want[by]
 
 
+def test_a_small_reference_is_searched_by_several_tasks(spark, collection):
+    _, rows, _, _ = collection
+    queries = asked(rows)
+    some = rows.where("id % 60 = 3")
+    assert neighbours._shards(some, None) == 1
+    hits = neighbours._blocked(queries, some, neighbours._first(5)).withColumn("task", F.spark_partition_id()).toPandas()
+    assert hits["task"].nunique() == 4 and hits.groupby("query_id")["task"].nunique().max() == 1
+    assert (hits.groupby("query_id").size() == 5).all() and hits["query_id"].nunique() == 6000
+
+
+@pytest.mark.parametrize("weighting", [False, True])
+def test_rows_are_labelled_in_their_place(spark, weighting, monkeypatch):
+    """As by dealing out hits: with odd rows and labels, equal distances, and vectors of two sizes."""
+    x, own = clustered(400, 8, 6, 0.6)
+    x[50:80] = x[50]
+    label = pa.array([None if i % 9 == 4 else f"g{g % 4}" for i, g in enumerate(own)])
+    odd = spark.createDataFrame([(900, None, "g1"), (901, [0.0] * 8, "g1"), (902, [1.0, 0.0], "g2"), (903, [1.0, 1.0], None), (904, [1.0, float("nan")], "g3")], "id long, vector array<double>, label string")
+    rows = table(spark, x, label=label).union(odd).cache()
+    queries = rows.select(F.col("id").alias("cell_id"), "vector").union(spark.createDataFrame([(905, [1.0, 2.0, 3.0])], "cell_id long, vector array<double>"))
+    for reference, k in ((rows, 7), (rows, 1), (rows.where("id % 9 = 4 or id = 903"), 3), (rows.where("id = 903 or id = 902"), 5), (rows.where("false"), 5)):
+        want = {r.query_id: r for r in annotate.annotate(queries.withColumnRenamed("cell_id", "query_id"), reference, k, weighting).collect()}
+        found = annotate.annotated_rows(queries, reference, k, weighting)
+        assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Window" not in plan and "Aggregate" not in plan
+        got = {r.cell_id: r for r in found.collect()}
+        assert len(got) == 406 and {i for i, r in got.items() if r.prediction is not None} == set(want)
+        for i, r in got.items():
+            w = want.get(i)
+            if w is None:
+                assert r[2:] == (None,) * 9
+                continue
+            assert (r.prediction, r.hits) == (w.prediction, w.hits)
+            assert r.hits_weighted.keys() == w.hits_weighted.keys() and list(r.hits_weighted.values()) == pytest.approx([w.hits_weighted[c] for c in r.hits_weighted], rel=1e-6)
+            for c in ("min_dist", "max_dist", "vs2nd", "vs_all", "weighted_vs2nd", "weighted_vs_all"):
+                assert r[c] == pytest.approx(w[c], rel=1e-6, abs=1e-12)
+    # a reference that is large, or whose ids repeat, goes the other way
+    assert annotate.annotated_rows(queries, rows.union(rows.where("id = 3")), 5) is None
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    assert annotate.annotated_rows(queries, rows, 5) is None
+
+
 def test_a_shard_of_a_graph_is_searched_by_several_tasks(spark, collection, tmp_path):
     _, rows, _, _ = collection
     some = rows.where("id < 2500").select("id", "vector")
