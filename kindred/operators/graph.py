@@ -17,15 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kindred.operators.neighbours import HITS_DDL, ranked, unit_bytes
+from kindred.operators.neighbours import HITS_DDL, _unit, ranked, unit_bytes, vector_bytes
 
 #: Rows of a shard on average, and queries that are led through it together.
 SHARD, BLOCK = 32_768, 256
-#: Queries that a task leads through a shard at most, and at least where tasks are fewer than cores.
-SLICE, LEAST = 1 << 14, 1 << 10
+#: Queries that a task leads through a shard at most, and at least where tasks are fewer than cores. Every slice gets the shard's rows and links again.
+SLICE, LEAST = 1 << 16, 1 << 10
 #: Links of a row in each layer (twice as many at the bottom), nearest rows they are chosen from, and rows of a query that are followed at once.
 LINKS, POOL, STRIDE = 16, 48, 4
+#: Pairs of vectors that are multiplied at a time, so that they stay in a core's cache.
+PAIRS = 1 << 10
 #: Rows compared with all others at a time while a shard is built.
 PART = 512
 
@@ -103,7 +106,7 @@ class World:
     def walk(self, queries: np.ndarray, start: np.ndarray, table: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``breadth`` nearest rows that were seen on the way from ``start`` (query, row), with their similarities; -1 where there are fewer."""
         n, all_rows = len(queries), np.arange(len(queries))
-        seen = np.zeros((n, len(self.x)), bool)
+        seen = np.zeros(n * len(self.x), bool)
         ids = np.full((n, breadth), -1, np.int64)
         sims = np.full((n, breadth), -np.inf, np.float32)
         done = np.ones((n, breadth), bool)
@@ -112,42 +115,45 @@ class World:
         sims[:, :width] = np.where(ids[:, :width] >= 0, np.einsum("qd,qwd->qw", queries, self.small[np.maximum(ids[:, :width], 0)]), -np.inf)
         done[:, :width] = ids[:, :width] < 0
         self.compared += int((ids[:, :width] >= 0).sum())
-        np.put_along_axis(seen, np.maximum(ids[:, :width], 0), ids[:, :width] >= 0, 1)
+        seen[(all_rows[:, None] * len(self.x) + ids[:, :width])[ids[:, :width] >= 0]] = True
         while True:
-            open_sims = np.where(done, -np.inf, sims)
             active = all_rows[(~done).any(1)]
             if not len(active):
                 return ids, sims
             step = min(STRIDE, breadth)
-            best = np.argpartition(-open_sims[active], step - 1, axis=1)[:, :step] if step < breadth else np.tile(np.arange(breadth), (len(active), 1))
-            follow = np.where(np.take_along_axis(done[active], best, 1), -1, np.take_along_axis(ids[active], best, 1))
+            open_sims = np.where(done[active], np.inf, -sims[active])
+            best = np.argpartition(open_sims, step - 1, axis=1)[:, :step] if step < breadth else np.tile(np.arange(breadth), (len(active), 1))
+            follow = np.where(np.take_along_axis(done[active], best, 1), -1, ids[active[:, None], best])
             done[active[:, None], best] = True
-            to = np.where((follow >= 0)[:, :, None], table[np.maximum(follow, 0)], -1).reshape(len(active), -1)
-            row = np.repeat(active, to.shape[1])
-            pairs = np.unique((row * len(self.x) + to.ravel())[to.ravel() >= 0])
-            row, to = pairs // len(self.x), pairs % len(self.x)
-            fresh = ~seen[row, to]
-            row, to = row[fresh], to[fresh]
-            if not len(row):
+            to = table.take(np.maximum(follow, 0).ravel(), axis=0)
+            to[follow.ravel() < 0] = -1
+            to = to.reshape(len(active), -1)
+            pairs = (active[:, None] * len(self.x) + to)[to >= 0]
+            # what is new is little, and sorting it tells what comes twice
+            pairs = np.sort(pairs[~seen.take(pairs)])
+            if not len(pairs):
                 continue
-            seen[row, to] = True
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+            seen[pairs] = True
+            row, to = pairs // len(self.x), pairs % len(self.x)
             self.compared += len(row)
-            sim = np.einsum("pd,pd->p", queries[row], self.small[to])
+            sim = np.concatenate([np.einsum("pd,pd->p", queries.take(row[at : at + PAIRS], axis=0), self.small.take(to[at : at + PAIRS], axis=0)) for at in range(0, len(row), PAIRS)])
             # only what beats the worst row held can enter
             good = sim > sims.min(1)[row]
             row, to, sim = row[good], to[good], sim[good]
             if not len(row):
                 continue
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            more_ids = np.full((n, int(place.max()) + 1), -1, np.int64)
+            first = np.concatenate([[True], row[1:] != row[:-1]])
+            touched, at = row[first], np.cumsum(first) - 1
+            place = np.arange(len(row)) - np.flatnonzero(first)[at]
+            more_ids = np.full((len(touched), int(place.max()) + 1), -1, np.int64)
             more_sims = np.full(more_ids.shape, -np.inf, np.float32)
-            more_ids[row, place], more_sims[row, place] = to, sim
-            touched = np.unique(row)
-            joined_sims = np.concatenate([sims[touched], more_sims[touched]], 1)
-            keep = np.argpartition(-joined_sims, breadth - 1, axis=1)[:, :breadth]
-            sims[touched] = np.take_along_axis(joined_sims, keep, 1)
-            ids[touched] = np.take_along_axis(np.concatenate([ids[touched], more_ids[touched]], 1), keep, 1)
-            done[touched] = np.take_along_axis(np.concatenate([done[touched], more_ids[touched] < 0], 1), keep, 1)
+            more_ids[at, place], more_sims[at, place] = to, sim
+            joined_sims = np.concatenate([sims[touched], more_sims], 1)
+            keep = np.argpartition(-joined_sims, breadth - 1, axis=1)[:, :breadth] + np.arange(len(touched))[:, None] * joined_sims.shape[1]
+            sims[touched] = joined_sims.take(keep)
+            ids[touched] = np.concatenate([ids[touched], more_ids], 1).take(keep)
+            done[touched] = np.concatenate([done[touched], more_ids < 0], 1).take(keep)
 
     def top(self, queries: np.ndarray, k: int, breadth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, id, distance) of up to ``k`` rows a query."""
@@ -206,21 +212,27 @@ def _built(batches: Iterator[pa.RecordBatch], links: int, pool: int) -> Iterator
 
 def _world(held: list[pa.RecordBatch]) -> World:
     rows = pa.Table.from_batches(held)
-    raw, links = rows["raw"].to_pylist(), rows["links"].to_pylist()
+    raw, links = rows["raw"].to_pylist(), rows["links"].combine_chunks()
     x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+    # lists of lists, flat: a row's layers, and a layer's links
+    layers, lists = np.asarray(links.value_lengths()), links.flatten()
+    sizes, values = np.asarray(lists.value_lengths()), np.asarray(lists.flatten())
+    starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(raw)), layers)
+    layer = np.arange(len(row)) - np.repeat(np.cumsum(layers) - layers, layers)
     tables = []
-    for level in range(max(map(len, links))):
-        own = [row[level] if level < len(row) else [] for row in links]
-        size = np.array([len(o) for o in own])
-        table = np.full((len(own), max(1, size.max())), -1, np.int32)
-        table[np.repeat(np.arange(len(own)), size), np.concatenate([np.arange(s) for s in size])] = np.concatenate([np.array(o, np.int32) for o in own])
+    for level in range(int(layers.max())):
+        own = np.flatnonzero(layer == level)
+        size = sizes[own]
+        table = np.full((len(raw), max(1, size.max())), -1, np.int32)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        table[np.repeat(row[own], size), place] = values[np.repeat(starts[own], size) + place]
         tables.append(table)
     ids = rows["ids"].combine_chunks()
     return World(np.asarray(ids.flatten()), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), x, tables)
 
 
-def _searched(batches: Iterator[pa.RecordBatch], k: int, breadth: int, count: bool) -> Iterator[pa.RecordBatch]:
-    """Batches (task, asks, place, ids, raw, links), sorted by the first three: rows of one shard and queries; a query's ids are its own alone."""
+def _searched(batches: Iterator[pa.RecordBatch], k: int, breadth: int, count: bool, narrow: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches (task, asks, place, ids, raw, links), sorted by the first three: rows of one shard and queries, ``narrow`` as in ``vector_bytes``; a query's ids are its own alone."""
     current, held, world = None, [], None
     for batch in batches:
         shard, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -239,11 +251,11 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, breadth: int, count: bo
                     continue
                 world, held = _world(held), []
             ids, raw = np.asarray(part.column(3).flatten()), part.column(4).to_pylist()
-            fit = [i for i, r in enumerate(raw) if len(r) == 8 * world.x.shape[1]]
+            fit = [i for i, r in enumerate(raw) if len(r) == (4 if narrow else 8) * world.x.shape[1]]
             for b in range(0, len(fit), BLOCK):
                 some = fit[b : b + BLOCK]
                 before = world.compared
-                row, found, dist = world.top(np.frombuffer(b"".join(raw[i] for i in some)).reshape(len(some), -1), k, breadth)
+                row, found, dist = world.top(_unit(b"".join(raw[i] for i in some), len(some), narrow), k, breadth)
                 if count:
                     yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int64()), pa.array([world.compared - before], pa.int64()), pa.array([len(some) * len(world.ids)], pa.int64())], ["queries", "compared", "whole"])
                 else:
@@ -288,14 +300,15 @@ class SmallWorld:
         slices = self._slices(queries)
         task = (F.col("shard") * slices + F.col("slice")).cast("int").alias("task")
         held = self.rows.withColumn("asks", F.lit(False)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        asked = queries.select(F.array(F.col("query_id").cast("long")).alias("ids"), unit_bytes("vector").alias("raw"), F.lit(True).alias("asks"), F.lit(0).alias("place"), F.lit(None).cast("array<array<int>>").alias("links")).where("raw is not null")
+        narrow = queries.schema["vector"].dataType == T.ArrayType(T.FloatType())
+        asked = queries.select(F.array(F.col("query_id").cast("long")).alias("ids"), vector_bytes("vector", narrow=narrow).alias("raw"), F.lit(True).alias("asks"), F.lit(0).alias("place"), F.lit(None).cast("array<array<int>>").alias("links")).where("raw is not null")
         asked = asked.withColumn("slice", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(slices))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
         width = min(self.shards * slices, 10_000)
         both = held.select(task, *columns[1:]).union(asked.select(task, *columns[1:])).repartitionById(width, F.pmod(F.col("task"), F.lit(width))).sortWithinPartitions("task", "asks", "place")
         wide = breadth or self.breadth
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _searched(batches, k, wide, count)
+            return _searched(batches, k, wide, count, narrow)
 
         return both.mapInArrow(search, schema)
 

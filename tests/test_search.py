@@ -267,6 +267,35 @@ def test_layers_keep_diverse_links():
             assert all(x[c] @ x[e] <= x[c] @ x[i] + 1e-12 for e in own[:j])
 
 
+def test_a_world_is_read_flat_and_walked_without_counting_twice():
+    """Rows of a shard become the tables they were written from, and links that several rows share are followed once."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 12))
+    x[7] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    level = np.minimum(np.arange(1200) % 40 == 0, 1).astype(np.int32) + (np.arange(1200) % 400 == 0)
+    raw = pa.array([v.tobytes() for v in x], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(1200, np.int32)), pa.array(level, pa.int32()), pa.array(np.arange(1200)), raw], ["shard", "level", "id", "raw"])
+    rows = [r.select(["place", "ids", "raw", "links"]) for r in graph._built(iter([batch]), 8, 24)]
+    world = graph._world(rows)
+    of = pa.Table.from_batches(rows).to_pylist()
+    assert len(of) == 1199 and of[3]["ids"] == [3, 7] and len(world.tables) == 3
+    for k, table in enumerate(world.tables):
+        for i, row in enumerate(of):
+            assert table[i][table[i] >= 0].tolist() == (row["links"][k] if k < len(row["links"]) else [])
+    met = []
+    world.small = type("Met", (np.ndarray,), {"take": lambda self, at, axis=None: met.extend(np.ravel(at).tolist()) or np.asarray(self).take(at, axis=axis)})(world.small.shape, world.small.dtype, world.small.tobytes())
+    found, _ = world.walk(x[:1].astype(np.float32), np.array([[world.entry]]), world.tables[0], 32)
+    assert len(met) == len(set(met)) == world.compared - 1 and 100 < len(met) < 1000
+    assert set(found[0][:10].tolist()) <= set(range(1199)) and 0 in found[0]
+    # 32-bit queries come in half the bytes
+    values = pa.array([x[:5].astype(np.float32)[i].tobytes() for i in range(5)], pa.binary())
+    asks = pa.RecordBatch.from_arrays([pa.array(np.zeros(5, np.int32)), pa.array([True] * 5), pa.array(np.zeros(5, np.int32)), pa.array([[i] for i in range(5)]), values, pa.nulls(5, rows[0].column(3).type)], ["task", "asks", "place", "ids", "raw", "links"])
+    held = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(r), np.int32)), pa.array([False] * len(r)), *r.columns], asks.schema.names) for r in rows]
+    hits = pa.Table.from_batches(list(graph._searched(iter([*held, asks]), 1, 64, False, True))).to_pylist()
+    assert [(h["query_id"], h["id"]) for h in hits] == [(i, i) for i in range(5)] and max(h["dist"] for h in hits) < 1e-6
+
+
 def test_graph_recall_and_comparisons(spark, tmp_path):
     x, _ = clustered(20_000, 32, 100, 0.6, seed=3)
     rows = table(spark, x)
